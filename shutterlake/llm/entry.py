@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shutterlake.llm import piece_codec
+from shutterlake.llm import fair_mix, matroska, pair_rank, piece_codec, quality_rules
 
 #: Where the public vocabularies lie; the folder is the same on every machine.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -25,10 +25,26 @@ def piece_model() -> str:
     return f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
+def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_digest(documents(spark, sf_dir))
+
+
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.token_digest(documents(spark, sf_dir), piece_model())
 
 
+def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fair_mix.mix_digest(documents(spark, sf_dir))
+
+
+def op8_pair_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_rank.score_digest(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rules_digest(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
     if importlib.util.find_spec("corpus_pipeline"):
