@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shutterlake.llm import fair_mix, matroska, pair_rank, piece_codec, quality_rules
+from shutterlake.llm import fair_mix, gram_join, matroska, pair_rank, piece_codec, quality_rules
 
 #: Where the public vocabularies lie; the folder is the same on every machine.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -41,6 +41,10 @@ def op8_pair_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_rank.score_digest(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op9_gram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gram_join.jaccard_components(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules_digest(documents(spark, sf_dir))
 
