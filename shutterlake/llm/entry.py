@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shutterlake.llm import fair_mix, gram_join, matroska, pair_rank, piece_codec, quality_rules, recompress
+from shutterlake.llm import fair_mix, gram_join, line_join, matroska, pair_rank, piece_codec, quality_rules, recompress
 
 #: Where the public vocabularies lie; the folder is the same on every machine.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -37,6 +37,10 @@ def op3_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.repeats_digest(documents(spark, sf_dir))
 
 
+def op4_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_join.lines_digest(documents(spark, sf_dir))
+
+
 def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.mix_digest(documents(spark, sf_dir))
 
