@@ -7,12 +7,16 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shutterlake.llm import fair_mix, gram_join, line_join, matroska, pair_rank, piece_codec, quality_rules, recompress
+from shutterlake.llm import fair_mix, gram_join, line_join, matroska, pair_rank, piece_codec, quality_rules, recompress, secret_cnn, surrogate
 
 #: Where the public vocabularies lie; the folder is the same on every machine.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
+#: The key of surrogates; a deployment sets its own.
+SURROGATE_KEY = os.environ.get("SURROGATE_KEY", "change-me").encode()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,6 +45,14 @@ def op4_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_join.lines_digest(documents(spark, sf_dir))
 
 
+def op5_secret_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_cnn.secrets_digest(documents(spark, sf_dir))
+
+
+def op6_surrogate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogate.pii_digest(documents(spark, sf_dir), SURROGATE_KEY)
+
+
 def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.mix_digest(documents(spark, sf_dir))
 
