@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -15,3 +16,13 @@ def kept(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame, written as Parquet below the shared folder and read again."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        kept(spark.range(1))  # sets the folder
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
