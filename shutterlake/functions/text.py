@@ -12,7 +12,7 @@ MAX_CHARS = 512
 
 @F.pandas_udf(T.StringType())
 def _fixed1(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: f"{v:.1f}", na_action="ignore")
+    return pd.Series([None if pd.isna(v) else f"{v:.1f}" for v in x], dtype=object)
 
 
 def fixed1(x: Column) -> Column:

@@ -23,7 +23,7 @@ def visible_positions(photos: DataFrame) -> DataFrame:
 def current_position(visible: DataFrame, current: DataFrame) -> DataFrame:
     """folder, current, pos, exact: where ``current`` (folder, current) stands: its own
     place, else the next visible photo's, the last one's at most."""
-    joined = visible.join(current, "folder").groupBy("folder", "current").agg(
+    joined = visible.join(current.select("folder", "current").distinct(), "folder").groupBy("folder", "current").agg(
         F.count(F.when(F.col("idx") < F.col("current"), 1)).alias("before"), F.count("*").alias("n"), F.max(F.col("idx") == F.col("current")).alias("exact")
     )
     return joined.select("folder", "current", F.least("before", F.col("n") - 1).cast("int").alias("pos"), "exact", F.col("n").cast("int").alias("n"))
