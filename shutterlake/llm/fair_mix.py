@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 def mix_sources(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """Every row of ``df`` with size, source_size, target, copies (0, 1 or 2 whole copies)
     and taken (their words). Columns of these names are replaced."""
-    carried = F.struct(*[F.col(c) for c in df.columns if c not in ("size", "source_size", "target", "copies", "taken")])
+    carried = F.struct(*[F.col(c) for c in df.columns if c.lower() not in ("size", "source_size", "target", "copies", "taken")])
     return _mixed(_rows(df, carried, text, source, doc_id)).select("_row.*", "size", "source_size", "target", "copies", "taken")
 
 

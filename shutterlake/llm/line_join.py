@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from shutterlake.llm import exchange
 from shutterlake.llm.components import components, forest, in_blocks, small
-from shutterlake.llm.store import kept
+from shutterlake.llm.store import kept, spare
 from shutterlake.llm.text_arrays import arrow_session, hash_spans, mix, raw, slices
 
 EDITS, MIN_CHARS = 2, 20
@@ -279,17 +279,21 @@ def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ed
 
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, report: bool = False) -> DataFrame:
-    """``df`` without its repeated lines; with ``report`` n_lines and n_removed are appended."""
-    gone = repeated_lines(df, doc_id, text, edits, min_chars).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("drop").alias("_drop"))
-    keyed = df.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))).withColumn("_key", F.xxhash64(text))
-    joined = keyed.join(gone, ["_id", "_key"], "left").drop("_id", "_key")
-    order = [*df.columns, "_drop"]
-    schema = T.StructType([*(df.schema[c] for c in df.columns), *([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())] if report else [])])
+    """``df`` without its repeated lines; with ``report`` n_lines and n_removed are
+    appended, in place of columns of these names."""
+    own_id, own_key, own_drop = spare(df, "_id", "_key", "_drop")
+    gone = repeated_lines(df, doc_id, text, edits, min_chars).select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key), F.col("drop").alias(own_drop))
+    counts = ["n_lines", "n_removed"] if report else []
+    carried = [c for c in df.columns if c.lower() not in counts]
+    keyed = df.withColumn(own_id, F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))).withColumn(own_key, F.xxhash64(text))
+    joined = keyed.join(gone, [own_id, own_key], "left")
+    order = [*carried, own_drop]
+    schema = T.StructType([*(df.schema[c] for c in carried), *(T.StructField(c, T.LongType()) for c in counts)])
 
     def run(batches):
         for batch in batches:
             at = batch.schema.names.index(text)
-            whole, drops = batch.column(at).to_pylist(), batch.column("_drop").to_pylist()
+            whole, drops = batch.column(at).to_pylist(), batch.column(own_drop).to_pylist()
             out, counts = [], []
             for t, drop in zip(whole, drops):
                 if drop:
@@ -297,9 +301,9 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits
                     t = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
                 out.append(t)
                 counts.append(len(drop or ()))
-            columns = [c for c, name in zip(batch.columns, batch.schema.names) if name != "_drop"]
+            columns = [c for c, name in zip(batch.columns, batch.schema.names) if name != own_drop]
             columns[at] = pa.array(out, pa.string())
-            names = [x for x in batch.schema.names if x != "_drop"]
+            names = [x for x in batch.schema.names if x != own_drop]
             if report:
                 columns += [pa.array([0 if t is None else t.count("\n") + 1 for t in whole], pa.int64()), pa.array(counts, pa.int64())]
                 names += ["n_lines", "n_removed"]

@@ -131,7 +131,7 @@ def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> D
     joined = c.join(t, F.col("c.lang").eqNullSafe(F.col("t.lang")) & F.col("c.source").eqNullSafe(F.col("t.source")), "left")
     over = [F.coalesce(v > F.col(f"t.max_{k}"), F.lit(False)) for k, v in _rates().items()]
     verdict = ~F.col("base_failed") & ~(over[0] | over[1] | over[2] | over[3])
-    return joined.select("c.*", verdict.alias("kept"))
+    return joined.select(*[F.col(f"c.`{x}`") for x in counted.columns if x.lower() != "kept"], verdict.alias("kept"))
 
 
 def rules_digest(df: DataFrame) -> DataFrame:

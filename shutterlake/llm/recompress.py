@@ -142,7 +142,7 @@ def _first_windows(table: pa.Table, answers: pa.Table, chunks: int, window: int)
     lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.empty(0, np.int64)
     later = (doc > doc[lead]) | (where > where[lead])
     rows = []
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(~later)  # rows of one id that stand at one place go together
     bucket = hashed[first] % np.uint64(chunks)
     order = np.argsort(bucket, kind="stable")
     first, bucket = first[order], bucket[order].astype(np.int64)

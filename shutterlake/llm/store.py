@@ -18,6 +18,17 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of the frame has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The frame, written as Parquet below the shared folder and read again."""
     spark = df.sparkSession

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shutterlake.llm.store import kept
+from shutterlake.llm.store import kept, spare
 from shutterlake.llm.text_arrays import map_slices
 
 EMAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
@@ -198,23 +198,25 @@ def pseudonymize(df: DataFrame, key: bytes, doc_id: str = "doc_id", text: str =
         kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("entity", pa.string())]))
         return [pa.array([mentions(t or "") for t in column.to_pylist()], kinds)]
 
-    keyed = df.drop("mentions").withColumn("_key", F.xxhash64(text))
-    narrow = keyed.select(F.col(doc_id).alias("_id"), "_key", F.col(text).alias("_text"))
+    own_id, own_key, own_list = spare(df, "_id", "_key", "_m")
+    plain_id = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
+    keyed = df.withColumn(own_id, plain_id).withColumn(own_key, F.xxhash64(text))
+    narrow = keyed.select(F.col(own_id).alias("_id"), F.col(own_key).alias("_key"), F.col(text).alias("_text"))
     found = map_slices(narrow, "_text", [("m", MENTION)], lambda: work, ["_id", "_key"]).filter(F.size("m") > 0)
     found = kept(found.select("_id", "_key", F.explode("m").alias("m")).select("_id", "_key", "m.*").distinct())
     names = assign(found.select("kind", "entity").distinct(), key)
     told = found.join(names, ["kind", "entity"]).groupBy("_id", "_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "surrogate"))).alias("_m"))
-    told = kept(told.withColumn("_id", F.coalesce(F.col("_id").cast("long"), F.lit(-(2**63)))))
+    told = kept(told.select(F.col("_id").alias(own_id), F.col("_key").alias(own_key), F.col("_m").alias(own_list)))
     told = F.broadcast(told) if told.count() <= BROADCAST_LISTS else told
-    joined = keyed.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))).join(told, ["_id", "_key"], "left")
-    columns = [c for c in df.columns if c != "mentions"]
+    joined = keyed.join(told, [own_id, own_key], "left")
+    columns = [c for c in df.columns if c.lower() != "mentions"]
     parts = T.ArrayType(T.StructType(MENTION.elementType.fields[:3]))
     schema = T.StructType([*(df.schema[c] for c in columns), T.StructField("mentions", parts)])
 
     def replace(batches):
         for batch in batches:
             at = batch.schema.names.index(text)
-            out, lists = [], batch.column("_m").to_pylist()
+            out, lists = [], batch.column(own_list).to_pylist()
             for t, m in zip(batch.column(at).to_pylist(), lists):
                 if m:
                     pieces, end = [], 0
@@ -229,7 +231,7 @@ def pseudonymize(df: DataFrame, key: bytes, doc_id: str = "doc_id", text: str =
             cells.append(pa.array([[{c: x[c] for c in ("kind", "start", "end")} for x in m or ()] for m in lists], kinds))
             yield pa.RecordBatch.from_arrays(cells, names=[*columns, "mentions"])
 
-    return joined.select(*columns, "_m").mapInArrow(replace, schema)
+    return joined.select(*columns, own_list).mapInArrow(replace, schema)
 
 
 def pii_digest(df: DataFrame, key: bytes) -> DataFrame:

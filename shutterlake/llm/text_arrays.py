@@ -44,7 +44,7 @@ def map_slices(
     """
     arrow_session(df.sparkSession)
     new = [n for n, _ in added]
-    kept = [c for c in (df.columns if keep is None else keep) if c not in new]
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in {n.lower() for n in new}]
     taken = df.select(*dict.fromkeys([*kept, column]))
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, t) for n, t in added)])
 
