@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shutterlake.llm import fair_mix, gram_join, line_join, matroska, pair_rank, piece_codec, quality_rules, recompress, secret_cnn, surrogate
+from shutterlake.llm import fair_mix, gram_join, line_join, matroska, oracles, pair_rank, piece_codec, quality_rules, recompress, secret_cnn, surrogate
 
 #: Where the public vocabularies lie; the folder is the same on every machine.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -79,4 +79,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.SQL
