@@ -197,9 +197,27 @@ def f22_tone_curve(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", geometry.tone_curve(F.col("value") / 100).alias("tone"))
 
 
+NAMES = "SELECT doc_id, chr(9) || lang || ' ' AS make, source || chr(9) AS model, CASE WHEN doc_id % 3 = 0 THEN ' ' || chr(9) ELSE lang END AS lens_name, CASE WHEN doc_id % 2 = 0 THEN ' ' || source END AS lens_model FROM documents"
+
+
+@query(f"SELECT doc_id, lang || '  ' || source AS camera, CASE WHEN doc_id % 3 <> 0 THEN lang WHEN doc_id % 2 = 0 THEN source END AS lens, CASE WHEN doc_id % 4 > 0 THEN CASE WHEN doc_id % 4 = 3 THEN 'f' ELSE CAST(doc_id % 4 AS VARCHAR) END END AS focal, doc_id % 9 >= 5 AS swaps FROM documents".replace("CASE WHEN doc_id % 4 > 0 THEN CASE WHEN doc_id % 4 = 3 THEN 'f' ELSE CAST(doc_id % 4 AS VARCHAR) END END AS focal", "CASE WHEN doc_id % 4 > 0 THEN CASE WHEN doc_id % 4 = 2 THEN CAST(doc_id // 2 AS VARCHAR) || ' mm' ELSE CAST(doc_id // 2 AS VARCHAR) || '.5 mm' END END AS focal"))
+def f13_f15_camera_lens(spark, sf):
+    e = d.derived(spark, sf, NAMES)
+    ratio = F.struct(F.when(F.col("doc_id") % 4 > 0, F.col("doc_id")).otherwise(0).alias("n"), F.lit(2).alias("d"))
+    return e.select(
+        "doc_id", exif.camera(F.col("make"), F.col("model")).alias("camera"), exif.lens(F.col("lens_name"), F.col("lens_model")).alias("lens"),
+        exif.format_focal(exif.focal_mm(ratio)).alias("focal"), exif.swaps_axes(exif.orient(F.col("doc_id") % 9)).alias("swaps"),
+    )
+
+
 # ---- ratings
 
 
+@query(f"SELECT folder, file_name FROM ({CAT_SQL}) c")
+def t1_order_catalog(spark, sf):
+    return sources.order_catalog(cat(spark, sf)).select("folder", "file_name")
+
+
 @query(f"SELECT folder, file_name, idx FROM ({CAT_SQL}) c")
 def w1_folder_index(spark, sf):
     return cat(spark, sf).select("folder", "file_name", "idx")
@@ -383,6 +401,11 @@ def w4_neighbors(spark, sf):
     return n.select("folder", "idx", "pos", "previous", "next", F.aggregate("window", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("window_sum"))
 
 
+@query(f"SELECT a.folder, a.pos, b.idx, t.tier FROM ({VIS_SQL}) a JOIN ({VIS_SQL}) b ON a.folder = b.folder AND abs(a.pos - b.pos) <= 1 CROSS JOIN (SELECT unnest(['thumb', 'browse', 'full']) AS tier) t")
+def w4_pins(spark, sf):
+    return views.pins(visible(spark, sf))
+
+
 @query(f"SELECT folder, idx, CASE WHEN idx = s THEN 0 WHEN idx > s THEN (idx - s) + least((idx - s - 1) // 3, s) ELSE least(3 * (s - idx), n - 1 - s) + (s - idx) END AS rank FROM (SELECT c.folder, c.idx, r.current AS s, count(*) OVER (PARTITION BY c.folder) AS n FROM ({CAT_SQL}) c JOIN ({REQ_SQL}) r ON c.folder = r.folder) q")
 def w5_outward_order(spark, sf):
     sized = cat(spark, sf).join(requests(spark, sf).select("folder", F.col("current").alias("start")), "folder")
@@ -406,10 +429,26 @@ def w7_budget_prefix(spark, sf):
     return prewarm.budget_prefix(near, "budget", "base").select("session", "idx")
 
 
-@query()
+SIZED_SQL = f"SELECT a.*, c.size AS bytes FROM ({AROUND_SQL}) a JOIN ({CAT_SQL}) c ON a.folder = c.folder AND a.idx = c.idx"
+HELD_SQL = f"SELECT r.session, coalesce(max(c.size), 0) + coalesce(sum(b.bytes), 0) AS held FROM ({REQ_SQL}) r LEFT JOIN ({CAT_SQL}) c ON c.folder = r.folder AND c.idx = r.current LEFT JOIN (SELECT * FROM ({SIZED_SQL}) z WHERE steps <= 1 AND idx <> current) b ON b.session = r.session GROUP BY r.session"
+WAVE_SQL = f"SELECT f.session, f.idx, f.weight, (h.held + sum(f.bytes) OVER (PARTITION BY f.session ORDER BY f.weight, CASE WHEN f.ahead THEN 0 ELSE 1 END ROWS UNBOUNDED PRECEDING)) AS used FROM ({SIZED_SQL}) f JOIN ({HELD_SQL}) h ON h.session = f.session WHERE f.steps >= 2 AND f.idx <> f.current"
+
+
+@query(
+    f"""SELECT session, idx, tier, class, distance, kind FROM (
+ SELECT session, current AS idx, 'browse' AS tier, 0 AS class, 0 AS distance, 'display' AS kind FROM ({REQ_SQL}) r UNION ALL SELECT session, current, 'full', CASE WHEN zoomed THEN 0 ELSE 1 END, 0, 'display' FROM ({REQ_SQL}) r
+ UNION ALL SELECT session, idx, 'browse', 2, weight, 'display' FROM ({AROUND_SQL}) a WHERE steps <= 1 AND idx <> current UNION ALL SELECT session, idx, 'full', 2, weight, 'display' FROM ({AROUND_SQL}) a WHERE steps <= 1 AND idx <> current
+ UNION ALL SELECT session, idx, 'browse', 4, weight, 'display' FROM ({WAVE_SQL}) w WHERE weight <= 24 AND used <= 60000 UNION ALL SELECT session, idx, 'full', 5, weight, 'prefetch' FROM ({WAVE_SQL}) w WHERE 5 * used <= 400000) q"""
+)
 def w8_prewarm_plan(spark, sf):
     estimates = cat(spark, sf).select("folder", "idx", (F.col("size") * 5).alias("full_bytes"), F.col("size").alias("browse_bytes"))
-    return prewarm.prewarm_plan(requests(spark, sf), visible(spark, sf), estimates)
+    return prewarm.prewarm_plan(requests(spark, sf), visible(spark, sf), estimates).drop("rank")
+
+
+@query(f"SELECT session, idx, tier, row_number() OVER (PARTITION BY session ORDER BY class, distance, place) - 1 AS rank FROM (SELECT session, idx, 'browse' AS tier, CASE WHEN steps <= 1 THEN 2 ELSE 4 END AS class, weight AS distance, 2 * pos + 2 AS place FROM ({AROUND_SQL}) a WHERE weight <= 24 AND idx <> current) q")
+def t3_plan_order(spark, sf):
+    plan = prewarm.fixed_plan(requests(spark, sf), visible(spark, sf)).filter("tier = 'browse' and class > 0").withColumnRenamed("rank", "_order")
+    return prewarm.plan_order(plan).select("session", "idx", "tier", "rank")
 
 
 @query(
@@ -467,7 +506,7 @@ def a4_star_marker_buckets(spark, sf):
     return _markers(spark, sf).select("folder", "bucket", "count", "pos")
 
 
-@query()
+@query(f"SELECT folder, pos FROM (SELECT folder, pos, row_number() OVER (PARTITION BY folder ORDER BY abs(bucket / 1000.0 * 500.0 - 250.0), pos) AS k FROM (SELECT folder, bucket, arg_min(pos, dist) AS pos FROM ({STAR_SQL}) s GROUP BY folder, bucket) m WHERE abs(bucket / 1000.0 * 500.0 - 250.0) <= 40) q WHERE k = 1")
 def w14_nearest_marker(spark, sf):
     return views.nearest_marker(_markers(spark, sf), 250.0, 40.0)
 
@@ -605,11 +644,17 @@ def r1_debounce_ratings(spark, sf):
     return streams.debounce_ratings(commands(spark, sf), "6 hours").select("owner", "seq", "rating")
 
 
-@query()
+FLUSHED = "SELECT 'lib' || CAST(user_id % 5 AS STRING) AS library, CAST(user_id AS STRING) AS owner, event_id AS seq, ts, CAST(floor(value) AS INT) % 6 AS rating, CASE WHEN event_id % 17 = 0 THEN 'flush' ELSE 'rate' END AS kind FROM events"
+R2_SQL = f"""WITH c AS (SELECT *, sum(CASE WHEN kind = 'flush' THEN 1 ELSE 0 END) OVER (PARTITION BY library ORDER BY seq ROWS UNBOUNDED PRECEDING) AS f FROM ({FLUSHED.replace('STRING', 'VARCHAR')}) q),
+ r AS (SELECT *, CASE WHEN lag(seq) OVER (PARTITION BY library, owner ORDER BY seq) IS NULL OR lag(f) OVER (PARTITION BY library, owner ORDER BY seq) <> f OR (epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) OVER (PARTITION BY library, owner ORDER BY seq) > 21600000 THEN 1 ELSE 0 END AS fresh FROM c WHERE kind = 'rate'),
+ s AS (SELECT *, sum(fresh) OVER (PARTITION BY library, owner ORDER BY seq ROWS UNBOUNDED PRECEDING) AS s FROM r), l AS (SELECT *, row_number() OVER (PARTITION BY library, owner, s ORDER BY seq DESC) AS k FROM s)
+SELECT l.library, l.owner, l.seq, l.rating, least((epoch_us(l.ts) // 1000) + 21600000, coalesce((epoch_us(m.ts) // 1000), (epoch_us(l.ts) // 1000) + 21600000)) AS due FROM l LEFT JOIN (SELECT library, f - 1 AS f, ts FROM c WHERE kind = 'flush') m ON m.library = l.library AND m.f = l.f WHERE l.k = 1"""
+
+
+@query(R2_SQL)
 def r2_debounce_with_flush(spark, sf):
-    c = commands(spark, sf)
-    c = c.selectExpr("concat('lib', CAST(hash(owner) % 5 AS STRING)) AS library", "owner", "seq", "ts", "rating", "CASE WHEN seq % 17 = 0 THEN 'flush' ELSE 'rate' END AS kind")
-    return streams.debounce_with_flush(c, 6 * 3600 * 1000)
+    out = streams.debounce_with_flush(d.derived(spark, sf, FLUSHED), 6 * 3600 * 1000)
+    return out.withColumn("due", F.unix_millis("due"))
 
 
 @query("SELECT user_id % 10 AS f, user_id AS idx, rating FROM (SELECT user_id, CAST(floor(value) AS BIGINT) % 8 AS r, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, least(CAST(floor(value) AS BIGINT) % 8, 5) AS rating FROM events WHERE CAST(floor(value) AS BIGINT) % 8 > 0) q WHERE n = 1")
@@ -668,9 +713,9 @@ def a10_image_error_metrics(spark, sf):
     return m.select("vec_id", F.col("e.max_error").alias("max_error"), F.round(255 * 255 * 48 / F.pow(F.lit(10.0), F.col("e.psnr") / 10)).cast("bigint").alias("squares"))
 
 
-@query()
+@query(f"WITH q AS (SELECT vec_id, unnest({PV}) AS v, unnest(range(0, 64)) AS i FROM embeddings) SELECT a.vec_id, sum(abs((a.v - b.v) - (a.v // 2 - b.v // 2))) AS total FROM q a JOIN q b ON a.vec_id = b.vec_id AND a.i = b.i + 4 WHERE a.i % 4 < 3 AND a.i // 16 = b.i // 16 GROUP BY a.vec_id")
 def a11_neighbor_delta_mae(spark, sf):
-    return _images(spark, sf).select("vec_id", pixels.neighbor_delta_mae(F.col("a"), F.col("b")).alias("mae"))
+    return _images(spark, sf).select("vec_id", F.round(36 * pixels.neighbor_delta_mae(F.col("a"), F.col("b"))).cast("bigint").alias("total"))
 
 
 @query()
