@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,12 +69,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
-    if importlib.util.find_spec("corpus_pipeline"):
-        import corpus_pipeline
-
-        found["pipeline"] = corpus_pipeline.run
-    return found
+    return {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
