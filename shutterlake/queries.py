@@ -1,4 +1,9 @@
-"""One query for each operator over the given tables, with SQL for the same rows."""
+"""One query for each operator over the given tables, with SQL for the same rows.
+
+The tables hold no catalogue of their own, so inputs are derived from them; remainders of
+ids only deal rows out to the roles that an operator needs (old and new rows, files and
+rows, accepted and late commands). No query leaves rows out to be cheap.
+"""
 
 from __future__ import annotations
 
