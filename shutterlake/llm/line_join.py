@@ -28,10 +28,11 @@ from pyspark.sql import types as T
 from shutterlake.llm import exchange
 from shutterlake.llm.components import components, forest, in_blocks, small
 from shutterlake.llm.store import kept, spare
-from shutterlake.llm.text_arrays import arrow_session, hash_spans, mix, raw, slices
+from shutterlake.llm.text_arrays import arrow_session, mix, raw, slices
 
 EDITS, MIN_CHARS = 2, 20
 BLOCK = 400
+PILE_CHARS = 1_000_000
 NULL_ID = -(2**63)
 
 
@@ -63,20 +64,44 @@ def segments(length: np.ndarray, k: int, edits: int) -> tuple[np.ndarray, np.nda
     return k * base + longer, base + (k >= edits + 1 - extra)
 
 
-def line_keys(chars: np.ndarray, start: np.ndarray, length: np.ndarray, edits: int = EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+_ODD = 0x9E3779B97F4A7C15
+_CODES = mix(np.arange(1, 1 << 14, dtype=np.uint64))
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64, the first ones being 1."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 20)
+        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]), dtype=np.uint64) for x in (_ODD, pow(_ODD, -1, 1 << 64))]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def running(chars: np.ndarray) -> np.ndarray:
+    """Running sums of scrambled code points times powers: any substring's fingerprint is a
+    difference of two of them times an inverse power."""
+    known = chars < len(_CODES)
+    value = _CODES[np.where(known, chars, 0)]
+    if not known.all():
+        value[~known] = mix(chars[~known].astype(np.uint64) + np.uint64(1))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * powers(len(chars) + 1)[0][:-1], dtype=np.uint64)])
+
+
+def line_hashes(run: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    undo = powers(len(run))[1]
+    return mix((run[start + length] - run[start]) * undo[start] + mix(length.astype(np.uint64)))
+
+
+def line_keys(run: np.ndarray, start: np.ndarray, length: np.ndarray, edits: int = EDITS, salt: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, key, probe): index keys of each line's segments, and probe keys of the
-    substrings that a segment of an indexed line of length - edits .. length can match."""
-    n = len(chars)
-    odd = np.uint64(0x9E3779B97F4A7C15)
-    back = np.uint64(pow(int(odd), -1, 1 << 64))
-    power = np.cumprod(np.full(n + 1, odd, np.uint64), dtype=np.uint64)
-    undo = np.cumprod(np.full(n + 1, back, np.uint64), dtype=np.uint64)
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(chars.astype(np.uint64) + np.uint64(1)) * power[:n], dtype=np.uint64)])
+    substrings that a segment of an indexed line of length - edits .. length can match.
+    Lines of different ``salt`` share no key."""
+    undo = powers(len(run))[1]
 
     def key(line: np.ndarray, at: np.ndarray, size: np.ndarray, k: int, of: np.ndarray) -> np.ndarray:
         a = start[line] + at
-        part = (run[a + size] - run[a]) * undo[a]
-        return mix(part + mix(of.astype(np.uint64) * np.uint64(64) + np.uint64(k)))
+        part = (run[a + size] - run[a]) * undo[a] + mix(of.astype(np.uint64) * np.uint64(64) + np.uint64(k))
+        return mix(part if salt is None else part + salt[line])
 
     every = np.arange(len(start))
     lines, keys, probes = [], [], []
@@ -142,19 +167,27 @@ def within(chars: np.ndarray, start_a: np.ndarray, len_a: np.ndarray, start_b: n
     return out
 
 
-def block_pairs(chars: np.ndarray, start: np.ndarray, length: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of a block's lines within ``edits``."""
-    line, key, probe = line_keys(chars, start, length, edits)
+def block_pairs(chars: np.ndarray, start: np.ndarray, length: np.ndarray, edits: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of lines of one group within ``edits``."""
+    salt = None if group is None else mix(group.astype(np.uint64) + np.uint64(1))
+    line, key, probe = line_keys(running(chars), start, length, edits, salt)
     order = np.lexsort((probe, key))
     line, key, probe = line[order], key[order], probe[order]
     cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-    seen = np.zeros((len(start), len(start)), bool)  # a block is of bounded size
-    for i, j in zip(cuts[:-1], cuts[1:]):
-        mid = i + np.searchsorted(probe[i:j], 1)
+    mids = cuts[:-1] + np.add.reduceat(probe == 0, cuts[:-1]) if len(key) else cuts[:-1]
+    found = [np.zeros(0, np.int64)]
+    for i, mid, j in zip(cuts[:-1], mids, cuts[1:]):
         if i < mid < j:
-            seen[line[i:mid, None], line[None, mid:j]] = True
-    seen |= seen.T
-    a, b = np.nonzero(np.triu(seen, 1))
+            a, b = np.repeat(line[i:mid], j - mid), np.tile(line[mid:j], mid - i)
+            found.append(np.unique(np.minimum(a, b) * len(start) + np.maximum(a, b)))
+            if len(found) > 2000:
+                found = [np.unique(np.concatenate(found))]
+    pairs = np.unique(np.concatenate(found))
+    a, b = pairs // max(len(start), 1), pairs % max(len(start), 1)
+    a, b = a[a != b], b[a != b]
+    # Long pairs go together, so that short ones don't wait for them.
+    order = np.argsort(length[a], kind="stable")
+    a, b = a[order], b[order]
     keep = [within(chars, start[a[k : k + 50_000]], length[a[k : k + 50_000]], start[b[k : k + 50_000]], length[b[k : k + 50_000]], edits) for k in range(0, len(a), 50_000)]
     ok = np.concatenate([np.zeros(0, bool), *keep])
     return a[ok], b[ok]
@@ -165,21 +198,21 @@ def _long_lines(column: pa.Array, min_chars: int) -> tuple:
     start, end, row, number = split_lines(data, at)
     chars, cuts = code_points(data, np.stack([start, end]))
     long = cuts[1] - cuts[0] >= min_chars
-    start, end = start[long], end[long]
-    return data, start, end, row[long], number[long], chars, cuts[0][long], (cuts[1] - cuts[0])[long], hash_spans(data, start, end).view(np.int64)
+    run, first, length = running(chars), cuts[0][long], (cuts[1] - cuts[0])[long]
+    return data, start[long], end[long], row[long], number[long], run, first, length, line_hashes(run, first, length).view(np.int64)
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, text_key, number, line (hash) of every line that takes part."""
+    """doc_id, text_key, number, line (hash), length of every line that takes part."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                _, _, _, row, number, _, _, _, line = _long_lines(part.column("text"), min_chars)
+                _, _, _, row, number, _, _, length, line = _long_lines(part.column("text"), min_chars)
                 of = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(of), part.column("text_key").take(of), pa.array(number), pa.array(line)], names=["doc_id", "text_key", "number", "line"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(of), part.column("text_key").take(of), pa.array(number), pa.array(line), pa.array(length)], names=["doc_id", "text_key", "number", "line", "length"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, number long, line long")
+    return docs.mapInArrow(run, "doc_id long, text_key long, number long, line long, length long")
 
 
 def _sent_keys(docs: DataFrame, buckets: int, edits: int, min_chars: int) -> DataFrame:
@@ -189,13 +222,13 @@ def _sent_keys(docs: DataFrame, buckets: int, edits: int, min_chars: int) -> Dat
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                _, _, _, _, _, chars, at, length, name = _long_lines(part.column("text"), min_chars)
+                _, _, _, _, _, run_, at, length, name = _long_lines(part.column("text"), min_chars)
                 _, once = np.unique(name, return_index=True)
                 if not len(once):
                     continue
-                line, key, probe = line_keys(chars, at[once], length[once], edits)
+                line, key, probe = line_keys(run_, at[once], length[once], edits)
                 places = exchange.place(key, buckets)
-                order = np.argsort(places)
+                order = np.argsort((places >> np.uint64(40)).astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
                 places, name_of, probe = places[order], name[once][line[order]], probe[order]
                 rows = [(b, exchange.planes(places[i:j] & exchange.REST), exchange.planes(name_of[i:j].view(np.uint64), 8), probe[i:j].tobytes()) for b, i, j in exchange.by_bucket(places)]
                 yield from exchange.rows_table(rows, schema).to_batches()
@@ -231,16 +264,17 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
                 text = pa.array([data[a:b].tobytes().decode() for a, b in zip(start[once], end[once])], pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(line[once]), text], names=["line", "line_text"])
 
-    found = docs.select("text").mapInArrow(run, "line long, line_text string")
+    holders = small(kept(wanted.select(F.col("first_doc").alias("doc_id")).distinct()))
+    found = docs.join(holders, "doc_id", "left_semi").select("text").mapInArrow(run, "line long, line_text string")
     others = [c for c in wanted.columns if c != "line"]
     return found.join(small(wanted), "line").groupBy("line", *others).agg(F.first("line_text").alias("line_text"))
 
 
 def _earliest(table: pa.Table, edits: int) -> pa.Table:
-    """For one pair of blocks: each line's earliest line within the edits, if earlier."""
+    """For a pile of pairs of blocks: each line's earliest line within the edits, if earlier."""
     data, at = raw(table["line_text"])
     chars, at = code_points(data, at)
-    a, b = block_pairs(chars, at[:-1], np.diff(at), edits)
+    a, b = block_pairs(chars, at[:-1], np.diff(at), edits, table["block"].to_numpy())
     doc, number = table["first_doc"].to_numpy(), table["first_number"].to_numpy()
     a, b = np.concatenate([a, b]), np.concatenate([b, a])
     earlier = (doc[b] < doc[a]) | ((doc[b] == doc[a]) & (number[b] < number[a]))
@@ -262,16 +296,20 @@ def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ed
     buckets = max(1, size // exchange.CHUNK_BYTES)
     lines = kept(_lines(docs, min_chars))
     place: Column = F.struct(F.col("doc_id").alias("doc"), F.col("number").alias("number"))
-    firsts = lines.groupBy("line").agg(F.min(place).alias("first"))
+    firsts = lines.groupBy("line").agg(F.min(place).alias("first"), F.first("length").alias("length"))
 
     tied = components(_sent_keys(docs, buckets, edits, min_chars).groupBy("bucket").applyInArrow(_ties, "a long, b long"))
     blocks = in_blocks(tied, BLOCK).withColumnRenamed("node", "line")
-    wanted = kept(blocks.join(firsts, "line").select("line", "root", "i", "j", F.col("first.doc").alias("first_doc"), F.col("first.number").alias("first_number")))
+    block = F.xxhash64("root", "i", "j").alias("block")
+    wanted = kept(blocks.join(firsts, "line").select("line", block, "length", F.col("first.doc").alias("first_doc"), F.col("first.number").alias("first_number")))
+    # Blocks are piled up to fill a worker's arrays; a pile holds whole blocks.
+    piles = max(1, (wanted.agg(F.sum("length")).first()[0] or 0) // PILE_CHARS)
+    wanted = wanted.withColumn("pile", F.pmod("block", F.lit(piles)))
 
     def earliest(table: pa.Table) -> pa.Table:
         return _earliest(table, edits)
 
-    near = _texts(docs, wanted, min_chars).groupBy("root", "i", "j").applyInArrow(earliest, "line long, doc long, number long")
+    near = _texts(docs, wanted, min_chars).groupBy("pile").applyInArrow(earliest, "line long, doc long, number long")
     near = near.groupBy("line").agg(F.min(F.struct("doc", "number")).alias("near"))
     known = firsts.join(near, "line", "left").select("line", F.least("first", F.coalesce("near", "first")).alias("earliest"))
     gone = lines.join(known, "line").filter(F.col("earliest") < place)
