@@ -207,6 +207,7 @@ def _links(table: pa.Table, size: int, percent: int) -> pa.Table:
 
 
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` whose document is the first of its component."""
+    """The rows of ``df`` whose document is the first of its component. Rows without an id
+    stay, and rows that share their component's smallest id stay all."""
     found = jaccard_components(df, doc_id, text).filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id))
     return df.join(small(kept(found.distinct())), doc_id, "left_anti")

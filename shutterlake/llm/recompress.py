@@ -179,9 +179,11 @@ def _repeats(table: pa.Table) -> pa.Table:
         lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
         later = np.zeros(len(order), bool)
         later[order] = (doc[order] > doc[lead]) | (start[order] > start[lead])
-        for k in np.unique(source[later]).tolist():
-            own = later & (source == k)
-            out.append((sent[k]["chunk"], exchange.planes(row[own], 4), exchange.planes(start[own], 4)))
+        found = np.flatnonzero(later)
+        cuts = np.flatnonzero(np.diff(source[found], prepend=-1)) if len(found) else found
+        for i, j in zip(cuts, [*cuts[1:], len(found)]):
+            own = found[i:j]
+            out.append((sent[source[own[0]]]["chunk"], exchange.planes(row[own], 4), exchange.planes(start[own], 4)))
     return exchange.rows_table(out, _REPEATS)
 
 
