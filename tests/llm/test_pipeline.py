@@ -7,6 +7,8 @@ import sentencepiece
 from shutterlake.llm import entry
 from shutterlake.llm.store import stored
 
+from .test_llm_operators import ROWS, SCHEMA
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -36,6 +38,18 @@ def test_stages(spark):
     assert seen == ["quality", "line_dedup", "near_duplicates", "mixing", "pieces"]
 
 
+def test_awkward_rows(spark):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF).collect()
+        if name == "near_duplicates":
+            assert {r["doc_id"] for r in out} >= {None, 0, 1, 6} and not {r["doc_id"] for r in out} & {7, 8}
+        if name == "line_dedup":
+            assert next(r["text"] for r in out if r["doc_id"] == 0) is None
+        if name == "pieces":
+            assert len(out) == len(ROWS)
+
+
 def test_empty(spark):
     docs = entry.documents(spark, SF).limit(0)
     for _, stage in corpus_pipeline.STAGES:
