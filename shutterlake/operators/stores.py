@@ -45,8 +45,10 @@ def size_estimates(photos: DataFrame, observed: DataFrame) -> DataFrame:
     top = counted.groupBy("folder").agg(F.max(size).alias("top_full"))
     top_browse = observed.filter("tier = 'browse'").groupBy("folder").agg(F.max("bytes").alias("top_browse"))
     all_ = photos.select("folder", "idx").join(own, ["folder", "idx"], "left").join(top, "folder", "left").join(top_browse, "folder", "left")
-    full = F.coalesce("f", F.col("b") * FULL_OF_BROWSE, F.greatest("top_full", F.lit(1)), F.lit(FULL_DEFAULT))
-    return all_.select("folder", "idx", full.alias("full_bytes"), F.coalesce("b", F.greatest("top_browse", F.lit(1)), F.lit(BROWSE_DEFAULT)).alias("browse_bytes"))
+    # greatest() would pass over a missing size.
+    seen = lambda c: F.when(F.col(c).isNotNull(), F.greatest(c, F.lit(1)))
+    full = F.coalesce("f", F.col("b") * FULL_OF_BROWSE, seen("top_full"), F.lit(FULL_DEFAULT))
+    return all_.select("folder", "idx", full.alias("full_bytes"), F.coalesce("b", seen("top_browse"), F.lit(BROWSE_DEFAULT)).alias("browse_bytes"))
 
 
 def running_sum(df: DataFrame, value: str, order: str, tie: str, out: str) -> DataFrame:
