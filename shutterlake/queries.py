@@ -400,7 +400,7 @@ def w3_navigate(spark, sf):
     return views.navigate(visible(spark, sf), current).select("folder", "current", "target")
 
 
-@query(f"SELECT folder, idx, pos, lag(idx) OVER (PARTITION BY folder ORDER BY pos) AS previous, lead(idx) OVER (PARTITION BY folder ORDER BY pos) AS next, sum(idx) OVER (PARTITION BY folder ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS window_sum FROM ({VIS_SQL}) v")
+@query(f"SELECT folder, idx, pos, lag(idx) OVER (PARTITION BY folder ORDER BY pos) AS previous, lead(idx) OVER (PARTITION BY folder ORDER BY pos) AS next, CAST(sum(idx) OVER (PARTITION BY folder ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS BIGINT) AS window_sum FROM ({VIS_SQL}) v")
 def w4_neighbors(spark, sf):
     n = views.neighbors(visible(spark, sf))
     return n.select("folder", "idx", "pos", "previous", "next", F.aggregate("window", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("window_sum"))
@@ -484,7 +484,7 @@ def w12_latest_command(spark, sf):
     return journal.latest_command(commands(spark, sf)).select("owner", "seq", "rating")
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS path, sum(CASE WHEN event_id % 3 <> 2 OR event_id % 2 = 0 THEN 1 ELSE 0 END) AS revision FROM events GROUP BY user_id HAVING sum(CASE WHEN event_id % 3 <> 2 OR event_id % 2 = 0 THEN 1 ELSE 0 END) > 0")
+@query("SELECT CAST(user_id AS VARCHAR) AS path, CAST(sum(CASE WHEN event_id % 3 <> 2 OR event_id % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS revision FROM events GROUP BY user_id HAVING sum(CASE WHEN event_id % 3 <> 2 OR event_id % 2 = 0 THEN 1 ELSE 0 END) > 0")
 def w13_revision_counters(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_id AS seq", "CAST(user_id AS STRING) AS path", "element_at(array('insert', 'delete', 'update'), CAST(event_id % 3 AS INT) + 1) AS kind", "event_id % 2 = 0 AS changed")
     return journal.revision_counters(e, spark.createDataFrame([], "path string, revision bigint"))
@@ -546,7 +546,7 @@ def _seen(spark, sf):
     return cat(spark, sf).filter("doc_id % 4 <> 0").selectExpr("folder", "idx", "CASE WHEN doc_id % 3 = 0 THEN 'full' ELSE 'browse' END AS tier", "size AS bytes", "doc_id AS seq")
 
 
-@query(f"SELECT folder, CAST(0 AS BIGINT) AS thumb, sum(CASE WHEN tier = 'browse' THEN bytes ELSE 0 END) AS browse, sum(CASE WHEN tier = 'full' THEN bytes ELSE 0 END) AS \"full\", sum(bytes) AS rgba FROM ({SEEN.format(CAT_SQL)}) s GROUP BY folder")
+@query(f"SELECT folder, CAST(0 AS BIGINT) AS thumb, CAST(sum(CASE WHEN tier = 'browse' THEN bytes ELSE 0 END) AS BIGINT) AS browse, CAST(sum(CASE WHEN tier = 'full' THEN bytes ELSE 0 END) AS BIGINT) AS \"full\", CAST(sum(bytes) AS BIGINT) AS rgba FROM ({SEEN.format(CAT_SQL)}) s GROUP BY folder")
 def a5_store_bytes_by_tier(spark, sf):
     return stores.store_bytes_by_tier(_seen(spark, sf))
 
@@ -712,13 +712,13 @@ def _bytes(image):
 PV = "list_transform(embedding, lambda x: CAST(least(greatest(floor((x + 1.0) * 127.5), 0), 255) AS INTEGER))"
 
 
-@query(f"SELECT vec_id, max(CASE WHEN (i - 1) % 4 < 3 THEN v - v // 2 END) AS max_error, sum(CASE WHEN (i - 1) % 4 < 3 THEN (v - v // 2) * (v - v // 2) ELSE 0 END) AS squares FROM (SELECT vec_id, unnest({PV}) AS v, unnest(range(1, 65)) AS i FROM embeddings) q GROUP BY vec_id")
+@query(f"SELECT vec_id, max(CASE WHEN (i - 1) % 4 < 3 THEN v - v // 2 END) AS max_error, CAST(sum(CASE WHEN (i - 1) % 4 < 3 THEN (v - v // 2) * (v - v // 2) ELSE 0 END) AS BIGINT) AS squares FROM (SELECT vec_id, unnest({PV}) AS v, unnest(range(1, 65)) AS i FROM embeddings) q GROUP BY vec_id")
 def a10_image_error_metrics(spark, sf):
     m = _images(spark, sf).select("vec_id", pixels.image_error_metrics(F.col("a"), F.col("b")).alias("e"))
     return m.select("vec_id", F.col("e.max_error").alias("max_error"), F.round(255 * 255 * 48 / F.pow(F.lit(10.0), F.col("e.psnr") / 10)).cast("bigint").alias("squares"))
 
 
-@query(f"WITH q AS (SELECT vec_id, unnest({PV}) AS v, unnest(range(0, 64)) AS i FROM embeddings) SELECT a.vec_id, sum(abs((a.v - b.v) - (a.v // 2 - b.v // 2))) AS total FROM q a JOIN q b ON a.vec_id = b.vec_id AND a.i = b.i + 4 WHERE a.i % 4 < 3 AND a.i // 16 = b.i // 16 GROUP BY a.vec_id")
+@query(f"WITH q AS (SELECT vec_id, unnest({PV}) AS v, unnest(range(0, 64)) AS i FROM embeddings) SELECT a.vec_id, CAST(sum(abs((a.v - b.v) - (a.v // 2 - b.v // 2))) AS BIGINT) AS total FROM q a JOIN q b ON a.vec_id = b.vec_id AND a.i = b.i + 4 WHERE a.i % 4 < 3 AND a.i // 16 = b.i // 16 GROUP BY a.vec_id")
 def a11_neighbor_delta_mae(spark, sf):
     return _images(spark, sf).select("vec_id", F.round(36 * pixels.neighbor_delta_mae(F.col("a"), F.col("b"))).cast("bigint").alias("total"))
 
