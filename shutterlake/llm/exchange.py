@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.llm.text_arrays import arrow_session
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 REST = np.uint64((1 << 40) - 1)
 
 SENT = "bucket long, chunk long, rest binary, n binary"

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from shutterlake.llm import exchange
 from shutterlake.llm.components import components, forest, in_blocks, small
 from shutterlake.llm.store import kept, spare
-from shutterlake.llm.text_arrays import arrow_session, mix, raw, slices
+from shutterlake.llm.text_arrays import arrow_session, mix, raw, release, slices
 
 EDITS, MIN_CHARS = 2, 20
 BLOCK = 400
@@ -72,7 +72,7 @@ _POWERS: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64, the first ones being 1."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]), dtype=np.uint64) for x in (_ODD, pow(_ODD, -1, 1 << 64))]
     return _POWERS[0][:n], _POWERS[1][:n]
 
@@ -211,6 +211,7 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
                 _, _, _, row, number, _, _, length, line = _long_lines(part.column("text"), min_chars)
                 of = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(of), part.column("text_key").take(of), pa.array(number), pa.array(line), pa.array(length)], names=["doc_id", "text_key", "number", "line", "length"])
+        release()
 
     return docs.mapInArrow(run, "doc_id long, text_key long, number long, line long, length long")
 
@@ -232,6 +233,7 @@ def _sent_keys(docs: DataFrame, buckets: int, edits: int, min_chars: int) -> Dat
                 places, name_of, probe = places[order], name[once][line[order]], probe[order]
                 rows = [(b, exchange.planes(places[i:j] & exchange.REST), exchange.planes(name_of[i:j].view(np.uint64), 8), probe[i:j].tobytes()) for b, i, j in exchange.by_bucket(places)]
                 yield from exchange.rows_table(rows, schema).to_batches()
+        release()
 
     return docs.select("text").mapInArrow(run, "bucket long, rest binary, line binary, probe binary")
 

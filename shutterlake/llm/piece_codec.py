@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from shutterlake.llm.text_arrays import map_slices, raw
 
 SPACE = "▁"
-CACHE_SIZE = 1 << 19
+CACHE_SIZE = 1 << 17
 
 
 class PieceModel:

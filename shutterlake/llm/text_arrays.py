@@ -6,6 +6,8 @@ Spark does all the partitioning and shuffling.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-SLICE_BYTES = 2 << 20
+_LIBC = ctypes.CDLL(None)
+SLICE_BYTES = 1 << 19
 
 #: Word separators of every operator: the space and the bytes 09 to 0D.
 _SEPARATOR = np.zeros(256, dtype=bool)
@@ -26,7 +29,7 @@ LOWER_ASCII[65:91] += 32
 def arrow_session(spark: SparkSession) -> None:
     """Bound the Arrow batches: a batch of 10,000 long texts would not fit a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def map_slices(
@@ -54,10 +57,20 @@ def map_slices(
             for part in slices(batch, column):
                 out = work(part.column(column))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *out], names=[*kept, *new])
+        release()
 
     return taken.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back to the system: workers live on, and
+    wait beside others for their next task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice holds about ``limit`` bytes of the column, a row at least."""
     if not batch.num_rows:
@@ -119,10 +132,14 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     step = np.full(int(lens.max()), rng.integers(0, 2**62, dtype=np.uint64) * np.uint64(2) + np.uint64(1), np.uint64)
     step[0] = 1
     power = np.cumprod(step, dtype=np.uint64)
-    base = np.cumsum(lens) - lens
-    place = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(base, lens)
-    picked = data[place + np.repeat(starts, lens)]
-    sums = np.add.reduceat(of_byte[picked] * power[place], base)
+    sums = np.empty(len(lens), np.uint64)
+    for i in range(0, len(lens), 1 << 16):  # in parts, for the temporary arrays' sake
+        size, start = lens[i : i + (1 << 16)], starts[i : i + (1 << 16)]
+        base = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(base, size)
+        value = of_byte[data[place + np.repeat(start, size)]]
+        value *= power[place]
+        sums[i : i + (1 << 16)] = np.add.reduceat(value, base)
     return mix(sums + lens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
