@@ -3,8 +3,11 @@
 Each text gives counts and four rates in parts per million. Their distribution in each
 (language, source) group is sketched by counters over buckets whose width is a 16th of
 their value: sketches merge by adding counters, have some hundred buckets at most however
-many rows they hold, and don't depend on the order of the rows. A rate above the group's
-upper quartile plus REACH quartile distances (SLACK at least) fails the document.
+many rows they hold, and don't depend on the order of the rows. A rate fails the document
+if it is above the group's HIGH quantile and above its upper quartile plus REACH quartile
+distances (FLOOR, or a 16th of the quartile, at least). Where more than the rest above HIGH
+is junk, the upper quartile plus REACH distances of SLACK at least is the limit. The limit
+of repeats is one bucket below the base rule's at most, so that it can reject documents.
 
 Edge cases: a null or empty text has no words and fails the base rule; a null language
 or source is a group of its own; with fewer than MIN_ROWS documents in all that pass the base rule there are no
@@ -24,8 +27,10 @@ from shutterlake.llm.store import kept
 from shutterlake.llm.text_arrays import gram_hashes, hash_spans, map_slices, mix, raw, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-REACH, MIN_ROWS = 3, 40
+REACH, MIN_ROWS, HIGH = 3, 40, 0.97
 #: Least quartile distance taken, in parts per million.
+FLOOR = {"symbols": 10_000, "dup_lines": 20_000, "repeats": 10_000, "word_length": 0}
+#: The same where the HIGH quantile lies higher.
 SLACK = {"symbols": 20_000, "dup_lines": 120_000, "repeats": 100_000, "word_length": 1_000_000}
 
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -116,9 +121,13 @@ def _limits(counters: DataFrame, level: list[str]) -> DataFrame:
     group = Window.partitionBy(*level, "rate")
     run = counters.withColumn("_upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("_all", F.sum("n").over(group))
     at = lambda q: F.min(F.when(F.col("_upto") >= q * F.col("_all"), F.col("bucket")))
-    quartiles = run.groupBy(*level, "rate").agg(at(0.25).alias("_low"), at(0.75).alias("_high"), F.max("_all").alias("_all"))
-    slack = F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv])[F.col("rate")]
-    limit = F.when(F.col("_all") >= MIN_ROWS, (F.col("_high") + REACH * F.greatest(F.col("_high") - F.col("_low"), slack)).cast("double"))
+    quartiles = run.groupBy(*level, "rate").agg(at(0.25).alias("_low"), at(0.75).alias("_high"), at(HIGH).alias("_top"), F.max("_all").alias("_all"))
+    of = lambda least: F.create_map(*[F.lit(x) for kv in least.items() for x in kv])[F.col("rate")]
+    fence = lambda *least: F.col("_high") + REACH * F.greatest(F.col("_high") - F.col("_low"), *least)
+    end = F.expr("_top + shiftleft(1L, greatest(length(bin(_top)) - 5, 0)) - 1")  # the last value of the bucket
+    below_base = F.when(F.col("rate") == "repeats", F.lit(10_000 * MAX_REPEAT_PERCENT - (1 << (10_000 * MAX_REPEAT_PERCENT).bit_length() - 5)))
+    bounded = F.least(F.greatest(end, fence(of(FLOOR), F.expr("_high div 16"))), fence(of(SLACK)), below_base)
+    limit = F.when(F.col("_all") >= MIN_ROWS, bounded.cast("double"))
     return quartiles.groupBy(*level).agg(*[F.max(F.when(F.col("rate") == r, limit)).alias(f"max_{r}") for r in SLACK])
 
 

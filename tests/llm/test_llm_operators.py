@@ -418,3 +418,30 @@ def test_adaptive_limits(spark):
     count = lambda f: {tuple(r)[:4]: r["n"] for r in quality_rules.sketches(quality_rules.measured(f)).collect()}
     a, b = count(frame.filter("doc_id < 200")), count(frame.filter("doc_id >= 200"))
     assert collections.Counter(a) + collections.Counter(b) == collections.Counter(count(frame))
+
+
+def test_limits_of_tight_groups(spark):
+    """Repeats, duplicate lines and long words far outside a tight group go, and groups differ."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    prose = lambda n=120, size=5: [word(size) for _ in range(n)]
+    rows = []
+    for i in range(200):
+        w = prose()
+        text = " ".join(w)
+        if i == 0:
+            text = " ".join(w[:15] + w[:15] + w[30:])  # a quarter of the words repeated, under the base rule
+        if i == 1:
+            text = "\n".join(" ".join(w[k : k + 6]) for k in range(0, 120, 6)) + ("\n" + " ".join(w[:6])) * 4
+        if i == 2:
+            text = " ".join(prose(size=7))
+        rows.append((i, text, "en", "tight"))
+    # A tenth of this group repeats as much as document 0 does.
+    for i in range(200, 400):
+        w = prose()
+        rows.append((i, " ".join(w[:15] + w[:15] + w[30:] if i % 10 == 0 else w), "en", "loose"))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    judged = quality_rules.judge(frame).collect()
+    assert not any(r["base_failed"] for r in judged) and {r["doc_id"] for r in judged if not r["kept"]} == {0, 1, 2}
+    limits = {r["source"]: r for r in quality_rules.thresholds(quality_rules.sketches(quality_rules.measured(frame))).collect()}
+    assert limits["tight"]["max_repeats"] < limits["loose"]["max_repeats"] < 300_000
