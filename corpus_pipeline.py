@@ -28,8 +28,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and documents that lost all they had with them."""
-    left = dedup_lines(docs, report=True).filter((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
+    """Repeated lines go, exact copies of short ones too, and documents that lost all they had
+    with them."""
+    left = dedup_lines(docs, report=True, exact_chars=1).filter((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

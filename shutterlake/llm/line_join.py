@@ -10,7 +10,9 @@ distance, for all pairs at once.
 
 A line goes if it, or a line within EDITS edits, occurs earlier (smaller document id, or
 the same document and an earlier line). This is judged on the input, not on what is left.
-Lines of fewer than MIN_CHARS code points take no part and stay.
+Lines of fewer than MIN_CHARS code points take no part in the search for near lines. With
+``exact_chars`` those of so many or more that hold a word go if the same line occurs
+earlier; without it they stay.
 
 Edge cases: a null or empty text has no lines that take part and stays as it is; a null
 id comes first; rows of equal ids have equally early lines, which don't remove each
@@ -193,22 +195,25 @@ def block_pairs(chars: np.ndarray, start: np.ndarray, length: np.ndarray, edits:
     return a[ok], b[ok]
 
 
-def _long_lines(column: pa.Array, min_chars: int) -> tuple:
+def _long_lines(column: pa.Array, min_chars: int, exact_chars: int | None = None) -> tuple:
     data, at = raw(column)
     start, end, row, number = split_lines(data, at)
     chars, cuts = code_points(data, np.stack([start, end]))
     long = cuts[1] - cuts[0] >= min_chars
+    if exact_chars is not None:
+        in_words = np.concatenate([[0], np.cumsum((data != 32) & ((data < 9) | (data > 13)))])
+        long |= (cuts[1] - cuts[0] >= exact_chars) & (in_words[end] > in_words[start])
     run, first, length = running(chars), cuts[0][long], (cuts[1] - cuts[0])[long]
     return data, start[long], end[long], row[long], number[long], run, first, length, line_hashes(run, first, length).view(np.int64)
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def _lines(docs: DataFrame, min_chars: int, exact_chars: int | None) -> DataFrame:
     """doc_id, text_key, number, line (hash), length of every line that takes part."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                _, _, _, row, number, _, _, length, line = _long_lines(part.column("text"), min_chars)
+                _, _, _, row, number, _, _, length, line = _long_lines(part.column("text"), min_chars, exact_chars)
                 of = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(of), part.column("text_key").take(of), pa.array(number), pa.array(line), pa.array(length)], names=["doc_id", "text_key", "number", "line", "length"])
         release()
@@ -288,7 +293,7 @@ def _earliest(table: pa.Table, edits: int) -> pa.Table:
     return pa.table({"line": table["line"].combine_chunks().take(pa.array(a[first])), "doc": pa.array(doc[b[first]]), "number": pa.array(number[b[first]])})
 
 
-def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text) and ``drop``, the numbers of its lines that go."""
     if min_chars <= 2 * edits:
         raise ValueError("lines must be longer than twice the edits")
@@ -296,7 +301,7 @@ def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ed
     docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, size // exchange.CHUNK_BYTES)
-    lines = kept(_lines(docs, min_chars))
+    lines = kept(_lines(docs, min_chars, exact_chars))
     place: Column = F.struct(F.col("doc_id").alias("doc"), F.col("number").alias("number"))
     firsts = lines.groupBy("line").agg(F.min(place).alias("first"), F.first("length").alias("length"))
 
@@ -318,11 +323,11 @@ def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ed
     return gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("number")).alias("drop"))
 
 
-def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, report: bool = False) -> DataFrame:
+def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, report: bool = False, exact_chars: int | None = None) -> DataFrame:
     """``df`` without its repeated lines; with ``report`` n_lines and n_removed are
     appended, in place of columns of these names."""
     own_id, own_key, own_drop = spare(df, "_id", "_key", "_drop")
-    gone = repeated_lines(df, doc_id, text, edits, min_chars).select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key), F.col("drop").alias(own_drop))
+    gone = repeated_lines(df, doc_id, text, edits, min_chars, exact_chars).select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key), F.col("drop").alias(own_drop))
     counts = ["n_lines", "n_removed"] if report else []
     carried = [c for c in df.columns if c.lower() not in counts]
     keyed = df.withColumn(own_id, F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))).withColumn(own_key, F.xxhash64(text))

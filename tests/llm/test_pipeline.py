@@ -55,3 +55,12 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF))
     assert docs.count() == 0
+
+
+def test_short_repeated_lines_go(spark):
+    """Exact copies of lines too short for the search of near ones; blank lines stay."""
+    texts = ["Ietzte.\n\nfirst one\n \t\nß", "Ietzte.\n\nfirst two\n \t\nß\nß ", "Ietzte!\nfirst one\nIetzte!", "ß\nIetzte.", "\n \t"]
+    rows = [(i, t, "en", "s1", len(t)) for i, t in enumerate(texts)]
+    left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()}
+    want = {0: texts[0], 1: "\nfirst two\n \t\nß ", 2: "Ietzte!", 4: "\n \t"}
+    assert left == {i: (t, len(t)) for i, t in want.items()}
