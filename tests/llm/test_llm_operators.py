@@ -445,3 +445,33 @@ def test_limits_of_tight_groups(spark):
     assert not any(r["base_failed"] for r in judged) and {r["doc_id"] for r in judged if not r["kept"]} == {0, 1, 2}
     limits = {r["source"]: r for r in quality_rules.thresholds(quality_rules.sketches(quality_rules.measured(frame))).collect()}
     assert limits["tight"]["max_repeats"] < limits["loose"]["max_repeats"] < 300_000
+
+
+def test_secret_windows(spark):
+    """A long candidate is seen to its end, and a run without digits is scored."""
+    rng = random.Random(5)
+    text = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    key = lambda: text(40, "0123456789abcdef")
+    path = "/".join(["srv/data/releases/current/modules"] * 4) + "/"
+    assert len(secret_cnn.findings([path])[0]) > 1
+    found = secret_cnn.findings([path + key()])[0]
+    assert [f["secret"] for f in found][-1] and not found[0]["secret"]
+    parts = secret_cnn.windows(np.array([(3, 20), (30, 70), (100, 171)]))
+    assert {tuple(p) for p in parts} == {(3, 20, 3), (30, 70, 30), (100, 171, 100), (100, 171, 120), (100, 171, 131)}
+    codes = secret_cnn.codes_of("é" + path + "é")
+    seen = secret_cnn.views(codes, secret_cnn.windows(np.array([(1, len(path) + 1)])))
+    shown = "".join(chr(c - 132) for row in seen[:1] for c in row[secret_cnn.BEFORE :] if c >= 132)
+    assert path.startswith(shown) and (seen[0][secret_cnn.BEFORE - 1], seen[-1][-secret_cnn.AFTER]) == (1, 1)
+
+    class Marked:
+        """Hits a view that shows a mark inside the candidate."""
+
+        threshold = 0.5
+
+        def probability(self, x):
+            return np.array([float((row == ord("Q") + 132).any()) for row in x])
+
+    texts = [path + "Q" + "w" * 11, "see QwertyUiopAsdf now", "see qwertyuiopasdf now", None, "Q" * 5000]
+    out = secret_cnn.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), Marked(), keep=["doc_id"]).collect()
+    spans = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in out}
+    assert spans == {0: [("cnn", 0, len(texts[0]))], 1: [("cnn", 4, 18)], 2: [], 3: [], 4: [("cnn", 0, 5000)]}
