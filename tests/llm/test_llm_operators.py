@@ -475,3 +475,15 @@ def test_secret_windows(spark):
     out = secret_cnn.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), Marked(), keep=["doc_id"]).collect()
     spans = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in out}
     assert spans == {0: [("cnn", 0, len(texts[0]))], 1: [("cnn", 4, 18)], 2: [], 3: [], 4: [("cnn", 0, 5000)]}
+
+
+def test_secret_threshold_keeps_recall():
+    """The threshold is the recall quantile, also where it is low."""
+    model = secret_cnn.CharNetwork()
+    rng = np.random.default_rng(3)
+    x, y = np.zeros((1000, secret_cnn.LENGTH), np.int16), np.arange(1000) < 100
+    model.logits = lambda x, z=np.where(y, rng.normal(0.5, 1, 1000), rng.normal(0, 1, 1000)): z
+    model.calibrate(x, y)
+    p = model.probability(x)
+    assert model.threshold < 0.5 and (p[y] >= model.threshold).mean() >= secret_cnn.RECALL
+    assert model.precision == y[p >= model.threshold].mean()
