@@ -487,3 +487,19 @@ def test_secret_threshold_keeps_recall():
     p = model.probability(x)
     assert model.threshold < 0.5 and (p[y] >= model.threshold).mean() >= secret_cnn.RECALL
     assert model.precision == y[p >= model.threshold].mean()
+
+
+def test_rare_secrets_are_sampled(spark, monkeypatch):
+    """The bound is on labelled windows, not on documents, and the sample doesn't depend on partitions."""
+    monkeypatch.setattr(secret_cnn, "SAMPLE", 40)
+    if hasattr(secret_cnn, "SAMPLE_DOCS"):
+        monkeypatch.setattr(secret_cnn, "SAMPLE_DOCS", 20)
+    rng = random.Random(9)
+    text = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    rows = [(i, f"see {text(14, 'abcdefghij')}{i % 10} there" + (f' token = "{text(32, "0123456789abcdef")}"' if i % 500 == 7 else "")) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    models = [secret_cnn.train(frame.repartition(n)) for n in (1, 5)]
+    assert None not in models and models[0].threshold == models[1].threshold
+    assert all((a == b).all() for a, b in zip(models[0].parts, models[1].parts))
+    best = secret_cnn.smallest(frame.select("text").union(frame.select("text")).coalesce(1), 20).collect()
+    assert collections.Counter(r["secret"] for r in best) == {True: 4, False: 20}
