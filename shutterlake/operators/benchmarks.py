@@ -2,24 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Different values of a group that one range holds, about.
+RANGE_ROWS = 100_000
+
 
 def upper_median(x: Column) -> Column:
     """An aggregate: the value at half the count of the sorted values (the upper one of two
-    middle ones). A group is one run's samples."""
+    middle ones). It holds a group as one array, so it is for groups of one run's samples;
+    ``upper_medians`` takes groups of any size."""
     values = F.sort_array(F.collect_list(x))
     return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
 
 
+def upper_medians(df: DataFrame, keys: list[str], value: Column, out: str) -> DataFrame:
+    """keys and ``out``, the upper median of a numeric value; groups with none have no row.
+
+    No task holds a group: equal values are counted, counts are summed in ranges of values
+    (over all groups, so no group has many values in a range), and only the range that holds
+    the middle place is put in order."""
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    ids = [f"_k{i}" for i in range(len(keys))]
+    counts = df.select(*named, value.alias("_x")).filter("_x IS NOT NULL").groupBy(*ids, "_x").agg(F.count("*").alias("_n"))
+    ranges = min(1000, math.ceil(counts.count() / RANGE_ROWS))
+    bounds = sorted(set(counts.approxQuantile("_x", [k / ranges for k in range(1, ranges)], 0.5 / ranges))) if ranges > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("_x"))) if bounds else F.lit(0)
+    cut = counts.withColumn("_part", part)
+    sums = cut.groupBy(*ids, "_part").agg(F.sum("_n").alias("_s"))
+    group = Window.partitionBy(*ids)
+    upto = sums.withColumn("_upto", F.sum("_s").over(group.orderBy("_part"))).withColumn("_place", F.floor(F.sum("_s").over(group) / 2) + 1)
+    middle = upto.filter("_upto - _s < _place AND _place <= _upto").select(*[F.col(k).alias(f"{k}m") for k in ids], F.col("_part").alias("_partm"), (F.col("_place") - F.col("_upto") + F.col("_s")).alias("_left"))
+    same = F.col("_part") == F.col("_partm")
+    for k in ids:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}m"))
+    run = F.sum("_n").over(Window.partitionBy(*ids, "_part").orderBy("_x"))
+    found = cut.join(middle, same).withColumn("_run", run).filter("_run - _n < _left AND _left <= _run")
+    return found.select(*[F.col(i).alias(k) for i, k in zip(ids, keys)], F.col("_x").alias(out))
+
+
 def probe_summary(probe: DataFrame) -> DataFrame:
     """codec, fixture, quality and the medians of encode_ms, megapixels per second, bytes;
     rows have width, height, encode_ms, bytes."""
     speed = F.col("width") * F.col("height") / 1e6 / (F.col("encode_ms") / 1e3)
-    return probe.groupBy("codec", "fixture", "quality").agg(
-        upper_median(F.col("encode_ms")).alias("encode_ms"), upper_median(speed).alias("mp_per_s"), upper_median(F.col("bytes")).alias("bytes")
-    )
+    keys = ["codec", "fixture", "quality"]
+    out = probe.select(*keys).distinct()
+    for name, value in (("encode_ms", F.col("encode_ms")), ("mp_per_s", speed), ("bytes", F.col("bytes"))):
+        o, m = out.alias("o"), upper_medians(probe, keys, value, name).alias("m")
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(f"o.{k}").eqNullSafe(F.col(f"m.{k}"))
+        out = o.join(m, same, "left").select("o.*", f"m.{name}")
+    return out
 
 
 def compare_records(records: DataFrame, least_runs: int = 3) -> DataFrame:

@@ -258,6 +258,20 @@ def test_medians(spark):
     assert {r["k"]: r["m"] for r in rows.groupBy("k").agg(benchmarks.upper_median(F.col("x")).alias("m")).collect()} == {"a": 3, "b": 5}
 
 
+def test_medians_of_large_groups(spark, monkeypatch):
+    """A hot group is cut into ranges and never held as one array."""
+    monkeypatch.setattr(benchmarks, "RANGE_ROWS", 50)
+    rows = [("hot", 1 + i * 7919 % 1000 // 3) for i in range(3000)] + [("even", x) for x in (4, 1, 3, 2)] + [(None, 5), ("one", 9), ("gaps", None), ("gaps", 8), ("none", None)]
+    got = benchmarks.upper_medians(spark.createDataFrame(rows, "k string, x int"), ["k"], F.col("x"), "m").collect()
+    want = {k: sorted(x for j, x in rows if j == k and x is not None) for k in {k for k, _ in rows}}
+    assert len(got) == 5 and {r["k"]: r["m"] for r in got} == {k: v[len(v) // 2] for k, v in want.items() if v}
+    probe = [(k, 1, 90, 10, 10, x, x) for k, x in rows]
+    out = benchmarks.probe_summary(spark.createDataFrame(probe, "codec string, fixture int, quality int, width int, height int, encode_ms int, bytes int"))
+    assert out.columns == ["codec", "fixture", "quality", "encode_ms", "mp_per_s", "bytes"]
+    assert {r["codec"]: r["encode_ms"] for r in out.collect()} == {k: v[len(v) // 2] if v else None for k, v in want.items()}
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
 def test_markers_and_slices(spark):
     stars = spark.createDataFrame([("f", p) for p in (0, 1, 2, 9)], "folder string, pos int")
     total = spark.createDataFrame([("f", 10)], "folder string, total int")
