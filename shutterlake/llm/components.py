@@ -60,11 +60,30 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def in_blocks(nodes: DataFrame, size: int) -> DataFrame:
-    """node, root with ``i``, ``j``: groups of at most about 2 * size nodes that hold every
-    pair of a component's nodes together. Components of up to ``size`` are one group."""
-    parts = nodes.groupBy("root").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
-    cut = nodes.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    spread = cut.select("node", "root", "part", "parts", other).filter("parts = 1 or part <> other")
-    return spread.select("node", "root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+def in_blocks(nodes: DataFrame, size: int, most: int) -> DataFrame:
+    """node, block: a component's nodes, such that any two that may be linked share a block.
+
+    ``nodes``: node, root (of the component), step (linked nodes lie in one step or in
+    neighbouring ones), owner (nodes of one owner need no block in common; null: none) and
+    weight. Components of up to ``size`` nodes and ``most`` weight are one block; larger ones
+    are cut into parts of one step and owner, and a block is a pair of parts."""
+    parts = F.greatest(F.ceil(F.count("*") / size), F.ceil(F.sum("weight") / most), F.lit(1)).cast("int")
+    whole = small(kept(nodes.groupBy("root").agg(parts.alias("_parts"))))
+    # The owners and steps of small components make no difference.
+    few = F.col("_parts") == 1
+    held = nodes.join(whole, "root").select(
+        "node", "root", F.when(few, F.lit(0)).otherwise(F.col("step")).alias("step"), F.when(few, F.lit(0)).otherwise(F.coalesce("owner", F.lit(0))).alias("owner"),
+        (~few & F.col("owner").isNotNull()).alias("closed"), "weight",
+    )
+    kinds = ["root", "step", "owner", "closed"]
+    cut = kept(held.groupBy(*kinds).agg(parts.alias("_parts")))
+    name = F.xxhash64(*kinds, "part").alias("part")
+    each = cut.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(*kinds, name)
+    a = each.select(*kinds, "part", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("other")).alias("a")
+    b = each.alias("b")
+    differ = (F.col("a.owner") != F.col("b.owner")) | ~F.col("a.closed") | ~F.col("b.closed")
+    order = (F.col("a.step") < F.col("b.step")) | (F.col("a.part") <= F.col("b.part"))
+    pairs = a.join(b, (F.col("a.root") == F.col("b.root")) & (F.col("a.other") == F.col("b.step")) & order & differ).select(F.col("a.part").alias("x"), F.col("b.part").alias("y"))
+    sides = pairs.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("part"), F.xxhash64("x", "y").alias("block"))
+    placed = held.join(small(cut), kinds).withColumn("part", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int")).select("node", name)
+    return placed.join(small(kept(sides)), "part").select("node", "block")

@@ -3,16 +3,19 @@
 A line within EDITS edits of another one, cut into EDITS + 1 segments, leaves at least one
 of the other's segments whole. So each distinct line is indexed by its segments, and looks
 up those substrings of its own that can match a segment of a line of its length or up to
-EDITS shorter (the places that edits before and behind allow). Lines that meet in a key
-are tied into components, components are cut into blocks of lines, and each pair of blocks
-joins its lines by the same keys and verifies the pairs with a banded bit-parallel edit
-distance, for all pairs at once.
+EDITS shorter (the places that edits before and behind allow). An edit changes the parity of
+two characters at most: of the lines that meet in a key only those stay a candidate pair
+whose parities differ in 2 * EDITS bits or fewer. Candidate pairs are tied into components,
+so that each line's text is sent once; components are cut into blocks of lines, and each pair
+of blocks joins its lines by the same keys and verifies the pairs with a banded bit-parallel
+edit distance, for all pairs at once.
 
 A line goes if it, or a line within EDITS edits, occurs earlier (smaller document id, or
 the same document and an earlier line). This is judged on the input, not on what is left.
-Lines of fewer than MIN_CHARS code points take no part in the search for near lines. With
-``exact_chars`` those of so many or more that hold a word go if the same line occurs
-earlier; without it they stay.
+So of equal lines only the first can stay, and it stays if no line near it comes earlier.
+Lines of fewer than MIN_CHARS code points, where two edits can make another line of it, are
+compared for equality only. Lines without a word, or of fewer than ``exact_chars`` code
+points, always stay.
 
 Edge cases: a null or empty text has no lines that take part and stays as it is; a null
 id comes first; rows of equal ids have equally early lines, which don't remove each
@@ -21,19 +24,25 @@ other; an empty table gives an empty result; further columns are carried over.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shutterlake.llm import exchange
 from shutterlake.llm.components import components, forest, in_blocks, small
 from shutterlake.llm.store import kept, spare
-from shutterlake.llm.text_arrays import arrow_session, mix, raw, release, slices
+from shutterlake.llm.text_arrays import arrow_session, joined_spans, mix, raw, release, slices
 
-EDITS, MIN_CHARS = 2, 20
-BLOCK = 400
+EDITS, MIN_CHARS, EXACT_CHARS = 2, 20, 1
+#: Lines and code points of a block.
+BLOCK, BLOCK_CHARS = 400, 500_000
+#: Pairs that are compared at once, and from how many on a key's lines are split by parities.
+AT_ONCE = 1 << 21
 PILE_CHARS = 1_000_000
 NULL_ID = -(2**63)
 
@@ -89,6 +98,11 @@ def running(chars: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * powers(len(chars) + 1)[0][:-1], dtype=np.uint64)])
 
 
+def parities(chars: np.ndarray) -> np.ndarray:
+    """Running parities of characters in 32 classes: those of a line are two places' difference."""
+    return np.concatenate([np.zeros(1, np.uint32), np.bitwise_xor.accumulate(np.uint32(1) << (mix(chars.astype(np.uint64)) & np.uint64(31)).astype(np.uint32))])
+
+
 def line_hashes(run: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     undo = powers(len(run))[1]
     return mix((run[start + length] - run[start]) * undo[start] + mix(length.astype(np.uint64)))
@@ -195,166 +209,250 @@ def block_pairs(chars: np.ndarray, start: np.ndarray, length: np.ndarray, edits:
     return a[ok], b[ok]
 
 
-def _long_lines(column: pa.Array, min_chars: int, exact_chars: int | None = None) -> tuple:
+class Lines(NamedTuple):
+    """The lines of a slice that take part, and whether they are long enough for near ones."""
+
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    row: np.ndarray
+    number: np.ndarray
+    chars: np.ndarray
+    run: np.ndarray
+    at: np.ndarray
+    length: np.ndarray
+    line: np.ndarray
+    near: np.ndarray
+
+
+def lines_of(column: pa.Array, min_chars: int, exact_chars: int) -> Lines:
     data, at = raw(column)
     start, end, row, number = split_lines(data, at)
     chars, cuts = code_points(data, np.stack([start, end]))
-    long = cuts[1] - cuts[0] >= min_chars
-    if exact_chars is not None:
-        in_words = np.concatenate([[0], np.cumsum((data != 32) & ((data < 9) | (data > 13)))])
-        long |= (cuts[1] - cuts[0] >= exact_chars) & (in_words[end] > in_words[start])
-    run, first, length = running(chars), cuts[0][long], (cuts[1] - cuts[0])[long]
-    return data, start[long], end[long], row[long], number[long], run, first, length, line_hashes(run, first, length).view(np.int64)
+    in_words = np.concatenate([[0], np.cumsum((data != 32) & ((data < 9) | (data > 13)))])
+    part = (cuts[1] - cuts[0] >= exact_chars) & (in_words[end] > in_words[start])
+    run, first, length = running(chars), cuts[0][part], (cuts[1] - cuts[0])[part]
+    line = line_hashes(run, first, length).view(np.int64)
+    return Lines(data, start[part], end[part], row[part], number[part], chars, run, first, length, line, length >= min_chars)
 
 
-def _lines(docs: DataFrame, min_chars: int, exact_chars: int | None) -> DataFrame:
-    """doc_id, text_key, number, line (hash), length of every line that takes part."""
+def _lines(docs: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
+    """doc_id, number, line (hash), length of the lines that take part; of a slice's equal
+    lines only the first."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                _, _, _, row, number, _, _, length, line = _long_lines(part.column("text"), min_chars, exact_chars)
-                of = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(of), part.column("text_key").take(of), pa.array(number), pa.array(line), pa.array(length)], names=["doc_id", "text_key", "number", "line", "length"])
+                x = lines_of(part.column("text"), min_chars, exact_chars)
+                doc = part.column("doc_id").to_numpy()[x.row]
+                order = np.lexsort((x.number, doc, x.line))
+                first = order[np.flatnonzero(np.diff(x.line[order], prepend=x.line[order[:1]] - 1) != 0)] if len(order) else order
+                yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(x.number[first]), pa.array(x.line[first]), pa.array(x.length[first])], names=["doc_id", "number", "line", "length"])
         release()
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, number long, line long, length long")
+    return docs.mapInArrow(run, "doc_id long, number long, line long, length long")
 
 
 def _sent_keys(docs: DataFrame, buckets: int, edits: int, min_chars: int) -> DataFrame:
     """Packed keys of each slice's distinct lines, for the key buckets."""
-    schema = pa.schema([("bucket", pa.int64()), ("rest", pa.binary()), ("line", pa.binary()), ("probe", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), ("rest", pa.binary()), ("line", pa.binary()), ("parity", pa.binary()), ("probe", pa.binary())])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                _, _, _, _, _, run_, at, length, name = _long_lines(part.column("text"), min_chars)
-                _, once = np.unique(name, return_index=True)
+                x = lines_of(part.column("text"), min_chars, min_chars)
+                name, once = np.unique(x.line, return_index=True)
                 if not len(once):
                     continue
-                line, key, probe = line_keys(run_, at[once], length[once], edits)
+                sums = parities(x.chars)
+                parity = sums[x.at[once] + x.length[once]] ^ sums[x.at[once]]
+                line, key, probe = line_keys(x.run, x.at[once], x.length[once], edits)
                 places = exchange.place(key, buckets)
                 order = np.argsort((places >> np.uint64(40)).astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
-                places, name_of, probe = places[order], name[once][line[order]], probe[order]
-                rows = [(b, exchange.planes(places[i:j] & exchange.REST), exchange.planes(name_of[i:j].view(np.uint64), 8), probe[i:j].tobytes()) for b, i, j in exchange.by_bucket(places)]
+                places, line, probe = places[order], line[order], probe[order]
+                rows = [
+                    (b, exchange.planes(places[i:j] & exchange.REST), exchange.planes(name[line[i:j]].view(np.uint64), 8), exchange.planes(parity[line[i:j]], 4), probe[i:j].tobytes())
+                    for b, i, j in exchange.by_bucket(places)
+                ]
                 yield from exchange.rows_table(rows, schema).to_batches()
         release()
 
-    return docs.select("text").mapInArrow(run, "bucket long, rest binary, line binary, probe binary")
-
-
-def _ties(table: pa.Table) -> pa.Table:
-    """Ties of one key bucket: the lines of each key that was both indexed and probed."""
+    return docs.select("text").mapInArrow(run, "bucket long, rest binary, line binary, parity binary, probe binary")
+
+
+def _crossed(group: np.ndarray, parity: np.ndarray, probe: np.ndarray, edits: int, split: bool = True):
+    """(a, b), part by part: places of indexed and probing lines of one group (sorted, the
+    indexed ones first) whose parities differ little enough. Large groups are split by equal
+    parts of the parities: of 2 * edits + 1 parts one is the same in both."""
+    cut = np.flatnonzero(np.diff(group, prepend=-1)) if len(group) else np.zeros(0, np.int64)
+    of = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(group))))
+    indexed = np.bincount(of, probe == 0, len(cut)).astype(np.int64)
+    probing = np.diff(np.append(cut, len(group))) - indexed
+    large = (indexed * probing > AT_ONCE) if split else np.zeros(len(cut), bool)
+    each = np.flatnonzero((probe == 0) & ~large[of] & (probing[of] > 0)) if len(cut) else cut
+    upto = np.cumsum(probing[of[each]])
+    i = 0
+    while i < len(each):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + AT_ONCE, side="right")))
+        some = each[i:j]
+        n = probing[of[some]]
+        a = np.repeat(some, n)
+        b = np.repeat((cut + indexed)[of[some]], n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        ok = np.bitwise_count(parity[a] ^ parity[b]) <= 2 * edits
+        yield a[ok], b[ok]
+        i = j
+    if large.any():
+        own = np.flatnonzero(large[of])
+        parts = 2 * edits + 1
+        edges = np.linspace(0, 32, parts + 1).astype(np.uint64)
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            value = parity[own].astype(np.uint64) >> lo & ((np.uint64(1) << hi - lo) - np.uint64(1))
+            sub = of[own] * 2**16 + value.astype(np.int64)
+            order = np.lexsort((probe[own], sub))
+            for a, b in _crossed(sub[order], parity[own[order]], probe[own[order]], edits, False):
+                yield own[order[a]], own[order[b]]
+
+
+def _ties(table: pa.Table, edits: int) -> pa.Table:
+    """Ties of one key bucket: pairs of lines of one key that may be near by their parities."""
     rest = np.concatenate([exchange.joined(x) for x in table["rest"].to_pylist()])
     line = np.concatenate([exchange.joined(x, 8) for x in table["line"].to_pylist()]).view(np.int64)
+    parity = np.concatenate([exchange.joined(x, 4) for x in table["parity"].to_pylist()]).astype(np.uint32)
     probe = np.concatenate([np.frombuffer(x, np.uint8) for x in table["probe"].to_pylist()])
-    order = np.argsort(rest, kind="stable")
-    rest, line, probe = rest[order], line[order], probe[order]
-    cut = np.flatnonzero(np.concatenate([[True], rest[1:] != rest[:-1]]))
-    group = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(rest))))
-    met = np.bincount(group, probe == 0) * np.bincount(group, probe == 1) > 0
-    hub = line[cut][group]
-    tied = met[group] & (hub != line)
-    pairs = np.unique(np.stack([hub[tied], line[tied]], axis=1), axis=0)
-    found = forest(pairs[:, 0], pairs[:, 1])
-    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+    order = np.lexsort((line, probe, rest))
+    rest, line, parity, probe = rest[order], line[order], parity[order], probe[order]
+    fresh = np.ones(len(order), bool)  # equal lines of several slices are one
+    fresh[1:] = (rest[1:] != rest[:-1]) | (line[1:] != line[:-1]) | (probe[1:] != probe[:-1])
+    rest, line, parity, probe = rest[fresh], line[fresh], parity[fresh], probe[fresh]
+    group = np.cumsum(np.append(True, rest[1:] != rest[:-1])) - 1
+    found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+    for a, b in _crossed(group, parity, probe, edits):
+        other = line[a] != line[b]
+        pairs = np.sort(np.stack([line[a[other]], line[b[other]]], axis=1), axis=1)
+        found.append(pairs)
+        if sum(map(len, found)) > AT_ONCE:
+            found = [_spanning(np.concatenate(found))]
+    pairs = _spanning(np.concatenate(found))
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+
+def _spanning(pairs: np.ndarray) -> np.ndarray:
+    """As many of the pairs as tie the same lines."""
+    pairs = np.unique(pairs, axis=0)
+    return np.array(forest(pairs[:, 0], pairs[:, 1]), np.int64).reshape(-1, 2)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
-    """wanted (line, ...) with each line's text."""
+    """line, line_text of the lines of ``wanted`` (line, first_doc, first_number), from where they first stand."""
+    by_doc = small(kept(wanted.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_set("line").alias("lines"))))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                data, start, end, _, _, _, _, _, line = _long_lines(part.column("text"), min_chars)
-                _, once = np.unique(line, return_index=True)
-                text = pa.array([data[a:b].tobytes().decode() for a, b in zip(start[once], end[once])], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(line[once]), text], names=["line", "line_text"])
+                x = lines_of(part.column("text"), min_chars, min_chars)
+                lists = part.column("lines")
+                names = lists.flatten().to_numpy(zero_copy_only=False)
+                of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                # A row's lines are told from other rows' by the row's number.
+                ours, theirs = (mix(line.view(np.uint64) + mix(row.astype(np.uint64))) for line, row in ((x.line, x.row), (names, of)))
+                _, once = np.unique(ours, return_index=True)
+                once = once[np.isin(ours[once], theirs)]
+                text = pa.array([x.data[a:b].tobytes().decode() for a, b in zip(x.start[once], x.end[once])], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(x.line[once]), text], names=["line", "line_text"])
+        release()
 
-    holders = small(kept(wanted.select(F.col("first_doc").alias("doc_id")).distinct()))
-    found = docs.join(holders, "doc_id", "left_semi").select("text").mapInArrow(run, "line long, line_text string")
-    others = [c for c in wanted.columns if c != "line"]
-    return found.join(small(wanted), "line").groupBy("line", *others).agg(F.first("line_text").alias("line_text"))
+    return docs.join(by_doc, "doc_id").select("text", "lines").mapInArrow(run, "line long, line_text string")
 
 
-def _earliest(table: pa.Table, edits: int) -> pa.Table:
-    """For a pile of pairs of blocks: each line's earliest line within the edits, if earlier."""
+def _later(table: pa.Table, edits: int) -> pa.Table:
+    """For a pile of pairs of blocks: the lines within the edits of an earlier one."""
     data, at = raw(table["line_text"])
     chars, at = code_points(data, at)
     a, b = block_pairs(chars, at[:-1], np.diff(at), edits, table["block"].to_numpy())
     doc, number = table["first_doc"].to_numpy(), table["first_number"].to_numpy()
-    a, b = np.concatenate([a, b]), np.concatenate([b, a])
-    earlier = (doc[b] < doc[a]) | ((doc[b] == doc[a]) & (number[b] < number[a]))
-    a, b = a[earlier], b[earlier]
-    order = np.lexsort((number[b], doc[b], a))
-    a, b = a[order], b[order]
-    first = np.ones(len(a), bool)
-    first[1:] = a[1:] != a[:-1]
-    return pa.table({"line": table["line"].combine_chunks().take(pa.array(a[first])), "doc": pa.array(doc[b[first]]), "number": pa.array(number[b[first]])})
+    later = np.where((doc[b] < doc[a]) | ((doc[b] == doc[a]) & (number[b] < number[a])), a, b)
+    differ = (doc[a] != doc[b]) | (number[a] != number[b])  # rows of one id may hold both at one place
+    return pa.table({"line": pa.array(np.unique(table["line"].to_numpy()[later[differ]]))})
 
 
-def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
-    """doc_id, text_key (xxhash64 of the text) and ``drop``, the numbers of its lines that go."""
+def staying_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
+    """doc_id and ``stay``: number and hash of its lines that take part and stay."""
     if min_chars <= 2 * edits:
         raise ValueError("lines must be longer than twice the edits")
     arrow_session(df.sparkSession)
-    docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
+    docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, size // exchange.CHUNK_BYTES)
-    lines = kept(_lines(docs, min_chars, exact_chars))
-    place: Column = F.struct(F.col("doc_id").alias("doc"), F.col("number").alias("number"))
-    firsts = lines.groupBy("line").agg(F.min(place).alias("first"), F.first("length").alias("length"))
-
-    tied = components(_sent_keys(docs, buckets, edits, min_chars).groupBy("bucket").applyInArrow(_ties, "a long, b long"))
-    blocks = in_blocks(tied, BLOCK).withColumnRenamed("node", "line")
-    block = F.xxhash64("root", "i", "j").alias("block")
-    wanted = kept(blocks.join(firsts, "line").select("line", block, "length", F.col("first.doc").alias("first_doc"), F.col("first.number").alias("first_number")))
+    place = F.struct(F.col("doc_id").alias("doc"), F.col("number").alias("number"))
+    firsts = kept(_lines(docs, min_chars, exact_chars).groupBy("line").agg(F.min(place).alias("first"), F.first("length").alias("length")))
+
+    def ties(table: pa.Table) -> pa.Table:
+        return _ties(table, edits)
+
+    tied = components(_sent_keys(docs, buckets, edits, min_chars).groupBy("bucket").applyInArrow(ties, "a long, b long"))
+    known = kept(tied.withColumnRenamed("node", "line").join(firsts, "line").select("line", "root", "length", F.col("first.doc").alias("first_doc"), F.col("first.number").alias("first_number")))
+    texts = _texts(docs, known, min_chars).dropDuplicates(["line"])
+    # Lines of a component are near only if their lengths are.
+    nodes = known.select(F.col("line").alias("node"), "root", F.floor(F.col("length") / max(edits, 1)).alias("step"), F.lit(None).cast("long").alias("owner"), F.col("length").alias("weight"))
+    wanted = kept(in_blocks(nodes, BLOCK, BLOCK_CHARS).withColumnRenamed("node", "line").join(known, "line"))
     # Blocks are piled up to fill a worker's arrays; a pile holds whole blocks.
     piles = max(1, (wanted.agg(F.sum("length")).first()[0] or 0) // PILE_CHARS)
-    wanted = wanted.withColumn("pile", F.pmod("block", F.lit(piles)))
+    shipped = wanted.join(texts, "line").withColumn("pile", F.pmod("block", F.lit(piles)))
+
+    def later(table: pa.Table) -> pa.Table:
+        return _later(table, edits)
 
-    def earliest(table: pa.Table) -> pa.Table:
-        return _earliest(table, edits)
+    near = shipped.groupBy("pile").applyInArrow(later, "line long").distinct()
+    stay = firsts.join(small(kept(near)), "line", "left_anti").select(F.col("first.doc").alias("doc_id"), F.struct(F.col("first.number").alias("number"), "line").alias("stay"))
+    return stay.groupBy("doc_id").agg(F.sort_array(F.collect_list("stay")).alias("stay"))
 
-    near = _texts(docs, wanted, min_chars).groupBy("pile").applyInArrow(earliest, "line long, doc long, number long")
-    near = near.groupBy("line").agg(F.min(F.struct("doc", "number")).alias("near"))
-    known = firsts.join(near, "line", "left").select("line", F.least("first", F.coalesce("near", "first")).alias("earliest"))
-    gone = lines.join(known, "line").filter(F.col("earliest") < place)
-    return gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("number")).alias("drop"))
 
+def _staying(x: Lines, stay: pa.Array) -> np.ndarray:
+    """Whether each line that takes part is on its row's list."""
+    flat = stay.flatten()
+    row = np.repeat(np.arange(len(stay)), stay.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    number, line = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
+    listed, own = row * 2**40 + number, x.row * 2**40 + x.number
+    ok, at = np.zeros(len(own), bool), np.searchsorted(listed, own)
+    while True:  # rows of one id may have several lines of one number
+        inside = np.flatnonzero(at < len(listed))
+        inside = inside[listed[at[inside]] == own[inside]]
+        if not len(inside):
+            return ok
+        ok[inside] |= line[at[inside]] == x.line[inside]
+        at[inside] += 1
 
-def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, report: bool = False, exact_chars: int | None = None) -> DataFrame:
+
+def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, report: bool = False, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """``df`` without its repeated lines; with ``report`` n_lines and n_removed are
     appended, in place of columns of these names."""
-    own_id, own_key, own_drop = spare(df, "_id", "_key", "_drop")
-    gone = repeated_lines(df, doc_id, text, edits, min_chars, exact_chars).select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key), F.col("drop").alias(own_drop))
+    own_id, own_stay = spare(df, "_id", "_stay")
+    stay = staying_lines(df, doc_id, text, edits, min_chars, exact_chars).select(F.col("doc_id").alias(own_id), F.col("stay").alias(own_stay))
     counts = ["n_lines", "n_removed"] if report else []
     carried = [c for c in df.columns if c.lower() not in counts]
-    keyed = df.withColumn(own_id, F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))).withColumn(own_key, F.xxhash64(text))
-    joined = keyed.join(gone, [own_id, own_key], "left")
-    order = [*carried, own_drop]
+    keyed = df.withColumn(own_id, F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)))
+    joined = keyed.join(stay, own_id, "left")
     schema = T.StructType([*(df.schema[c] for c in carried), *(T.StructField(c, T.LongType()) for c in counts)])
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.names.index(text)
-            whole, drops = batch.column(at).to_pylist(), batch.column(own_drop).to_pylist()
-            out, counts = [], []
-            for t, drop in zip(whole, drops):
-                if drop:
-                    gone = set(drop)
-                    t = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
-                out.append(t)
-                counts.append(len(drop or ()))
-            columns = [c for c, name in zip(batch.columns, batch.schema.names) if name != own_drop]
-            columns[at] = pa.array(out, pa.string())
-            names = [x for x in batch.schema.names if x != own_drop]
-            if report:
-                columns += [pa.array([0 if t is None else t.count("\n") + 1 for t in whole], pa.int64()), pa.array(counts, pa.int64())]
-                names += ["n_lines", "n_removed"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return joined.select(*order).mapInArrow(run, schema)
+            for part in slices(batch, text):
+                column = part.column(text)
+                x = lines_of(column, min_chars, exact_chars)
+                start, end, row, number = split_lines(*raw(column))
+                gone = ~_staying(x, part.column(own_stay))
+                left = np.ones(len(start), bool)
+                left[np.searchsorted(row, x.row[gone]) + x.number[gone]] = False
+                n_lines, n_left = (np.bincount(r, minlength=len(column)) for r in (row, row[left]))
+                null = column.is_null().to_numpy(zero_copy_only=False)
+                new = joined_spans(x.data, start[left], end[left], n_left, 10)
+                columns = [pc.if_else(pa.array(null), pa.scalar(None, pa.string()), new) if c == text else part.column(c) for c in carried]
+                if report:
+                    columns += [pa.array(np.where(null, 0, n_lines)), pa.array(n_lines - n_left)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*carried, *counts])
+        release()
+
+    return joined.select(*carried, own_stay).mapInArrow(run, schema)
 
 
 def lines_digest(df: DataFrame) -> DataFrame:

@@ -113,6 +113,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def joined_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, counts: np.ndarray, separator: int) -> pa.Array:
+    """A text for each row: ``counts`` of the byte spans, with the separator between them."""
+    cut = np.concatenate([[0], np.cumsum(counts)])
+    last = np.zeros(len(starts), bool)
+    last[cut[1:][counts > 0] - 1] = True
+    size = ends - starts
+    to = np.concatenate([[0], np.cumsum(size + ~last)])
+    text = np.full(int(to[-1]), separator, np.uint8)
+    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    text[place + np.repeat(to[:-1], size)] = data[place + np.repeat(starts, size)]
+    return pa.Array.from_buffers(pa.string(), len(counts), [None, pa.py_buffer(to[cut].astype(np.int32)), pa.py_buffer(text)])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (xor-shift and odd multipliers)."""
     x = x ^ (x >> np.uint64(32))
