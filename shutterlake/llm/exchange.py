@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from shutterlake.llm.text_arrays import arrow_session
 
-CHUNK_BYTES = 4 << 20
+#: Text of a chunk, and of the chunks whose tokens one bucket could hold: a (chunk, bucket)
+#: row holds about CHUNK_BYTES * BUCKET_BYTES / input of them. Both grow with the executors.
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 REST = np.uint64((1 << 40) - 1)
 
 SENT = "bucket long, chunk long, rest binary, n binary"
@@ -34,6 +36,10 @@ def in_chunks(df: DataFrame, text: str, *keys: str) -> tuple[DataFrame, int]:
     return df.select(key.alias("chunk"), *keys, F.col(text).alias("text")), chunks
 
 
+def buckets_for(chunks: int) -> int:
+    return max(1, chunks * CHUNK_BYTES // BUCKET_BYTES)
+
+
 def planes(values: np.ndarray, width: int = 5) -> bytes:
     """The low bytes of integers, byte by byte, so that compression finds equal bytes together."""
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()

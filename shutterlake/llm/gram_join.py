@@ -6,10 +6,13 @@
    shingle among the rarest n - ceil(t n) + 1 of each; these are the document's keys, and
    keys of one document go. Equal sets are one node from here on.
 3. Documents that share a key and whose sizes allow a link are tied into components
-   (a superset of the linked ones), each cut into blocks of documents.
-4. Each pair of blocks multiplies its incidence matrices slab by slab of shingles,
-   accumulating the overlap of every pair; pairs below the bound that their sizes set are
-   dropped. A task returns a spanning forest of its links.
+   (a superset of the linked ones).
+4. Blocks of documents multiply their sparse incidence matrices row by row, accumulating the
+   overlap of every pair; pairs below the bound that their sizes set are dropped. A task
+   returns a spanning forest of its links. A first round takes each document with one that it
+   is tied to, which links most near copies; a second one takes the pairs that are left,
+   cutting large components into blocks by size: documents that the first round linked, or
+   whose sizes are too far apart, need no block in common.
 5. Components of these links give each document its class.
 
 Edge cases: a null text, or one without words, has an empty set, links with nothing and
@@ -33,7 +36,11 @@ from shutterlake.llm.store import kept
 from shutterlake.llm.text_arrays import LOWER_ASCII, gram_hashes, hash_spans, mix, raw, words
 
 SHINGLE, PERCENT = 5, 75
-BLOCK, SLAB = 200, 8192
+NULL_ID = -(2**63)
+#: Documents and shingles of a block.
+BLOCK, BLOCK_SHINGLES = 200, 1_000_000
+#: Copies of one set from which on they are joined apart, by broadcast.
+HOT = 5000
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -130,22 +137,29 @@ def _ties(table: pa.Table, percent: int) -> pa.Table:
 
 
 def overlaps(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Overlap of every pair of a block's sets: the incidence matrix times its transpose,
-    accumulated over slabs of shingles. Shingles of one set add nothing and are left out."""
+    """Overlap of every pair of a block's sets: the sparse incidence matrix times its
+    transpose, row by row. Shingles of one set add nothing and are left out; those of the
+    same sets are one column with their number as its weight."""
     rows = len(at) - 1
     row = np.repeat(np.arange(rows), np.diff(at))
     _, column, count = np.unique(grams, return_inverse=True, return_counts=True)
-    shared = count[column] > 1
-    row, column = row[shared], (np.cumsum(count > 1) - 1)[column[shared]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    out = np.zeros((rows, rows), np.float32)
-    last = int(column[-1]) + 1 if len(column) else 0
-    for start in range(0, last, SLAB):
-        i, j = np.searchsorted(column, [start, start + SLAB])
-        slab = np.zeros((rows, min(SLAB, last - start)), np.float32)
-        slab[row[i:j], column[i:j] - start] = 1
-        out += slab @ slab.T
+    # Columns of equal rows, told by the sum of the rows' fingerprints.
+    sums = np.zeros(len(count), np.uint64)
+    np.add.at(sums, column, mix(row.astype(np.uint64) + np.uint64(1)))
+    _, first, merged, weight = np.unique(np.where(count > 1, sums, np.uint64(0)), return_index=True, return_inverse=True, return_counts=True)
+    use = (count[column] > 1) & (first[merged[column]] == column)
+    row, column = row[use], merged[column[use]]
+    by_column = np.argsort(column, kind="stable")
+    holders, start = row[by_column], np.searchsorted(column[by_column], np.arange(len(first) + 1))
+    size = np.diff(start)
+    by_row = np.argsort(row, kind="stable")
+    own, begin = column[by_row], np.searchsorted(row[by_row], np.arange(rows + 1))
+    out = np.zeros((rows, rows), np.int64)
+    for i in range(rows):
+        mine = own[begin[i] : begin[i + 1]]
+        n = size[mine]
+        place = np.repeat(start[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        out[i] = np.bincount(holders[place], np.repeat(weight[mine], n), rows)
     return out
 
 
@@ -164,39 +178,67 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """doc_id, n_shingles, component_id: a row for each row of ``df``."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     chunked, chunks = exchange.in_chunks(docs, "text", "doc_id")
-    key_buckets = max(1, chunks // 8)
+    buckets, key_buckets = exchange.buckets_for(chunks), max(1, chunks // 8)
 
     def tokens(table: pa.Table) -> np.ndarray:
         return shingle_sets(table["text"], size)[0]
 
     def nodes_and_keys(table: pa.Table, answers: pa.Table) -> pa.Table:
-        return _nodes_and_keys(table, answers, chunks, key_buckets, size, percent)
+        return _nodes_and_keys(table, answers, buckets, key_buckets, size, percent)
 
-    answers = exchange.shared_tokens(chunked, tokens, chunks)
+    answers = exchange.shared_tokens(chunked, tokens, buckets)
     found = kept(chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(nodes_and_keys, _NODES))
     members = found.filter("kind = 0").select("doc_id", "n", "node")
 
     def ties(table: pa.Table) -> pa.Table:
         return _ties(table, percent)
 
-    tied = components(found.filter("kind = 1").groupBy("bucket").applyInArrow(ties, "a long, b long"))
-    blocks = kept(in_blocks(tied, BLOCK))
-    # One text of each node to its blocks. Nodes whose ids are all null use the null id.
-    chosen = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = kept(blocks.join(chosen, "node"))
-    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63))))
-    shipped = rows.join(small(wanted.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63)))).drop("doc_id")), "_id").select("root", "i", "j", "node", "text")
+    tied_pairs = kept(found.filter("kind = 1").groupBy("bucket").applyInArrow(ties, "a long, b long").distinct())
+    tied = components(tied_pairs)
+    # One text of each node stands for all. Nodes whose ids are all null use the null id.
+    nodes = kept(members.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies")))
+    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NULL_ID)))
 
     def links(table: pa.Table) -> pa.Table:
         return _links(table, size, percent)
 
-    linked = components(shipped.groupBy("root", "i", "j").applyInArrow(links, "a long, b long"))
-    classes = members.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    # Documents without links have no row in ``linked``; equal sets share a node all the same.
+    def linked(blocks: DataFrame) -> DataFrame:
+        wanted = kept(blocks.join(nodes, "node").select("block", "node", F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id")))
+        return rows.join(small(wanted), "_id").select("block", "node", "text").groupBy("block").applyInArrow(links, "a long, b long")
+
+    # First round: a document tied to more than one goes with the smallest of them.
+    hubs = kept(tied_pairs.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("hub")).join(nodes.select("node", "n"), "node"))
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    groups = hubs.join(hubs.groupBy("hub").agg(parts.alias("parts")), "hub")
+    block = F.xxhash64("hub", "part").alias("block")
+    stars = groups.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).select("node", block)
+    centers = groups.select("hub", "parts").distinct().select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("hub").alias("node"), F.xxhash64("hub", F.col("part").cast("long")).alias("block"))
+    near = kept(linked(stars.union(centers)))
+    classes = kept(components(near))
+
+    # Second round: components that are not linked yet throughout.
+    owned = tied.join(classes.withColumnRenamed("root", "owner"), "node", "left").withColumn("owner", F.coalesce("owner", "node"))
+    owners = kept(owned.groupBy("root", "owner").agg(F.count("*").alias("held")))
+    open_roots = owners.groupBy("root").agg(F.count("*").alias("owners")).filter("owners > 1").select("root")
+    big = owners.filter(F.col("held") > BLOCK).select("root", "owner", F.lit(True).alias("big"))
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / min(percent, 99))))
+    left = owned.join(open_roots, "root").join(big, ["root", "owner"], "left").join(nodes.select("node", "n"), "node")
+    left = kept(left.select("node", "root", step.alias("step"), F.when(F.col("big"), F.col("owner")).alias("owner"), F.col("n").alias("weight")))
+    found_links = linked(in_blocks(left, BLOCK, BLOCK_SHINGLES))
+    return _classes(members, nodes, kept(components(near.union(found_links))))
+
+
+def _classes(members: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every member; a node without links is its own class."""
+    known = nodes.filter("n > 0").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = small(kept(known.groupBy("root").agg(F.min("doc_id").alias("component_id"))))
+    known = kept(known.join(lowest, "root").select("node", "component_id", "copies"))
+    hot, cool = (known.filter(f"copies {sign} {HOT}").select("node", "component_id") for sign in (">=", "<"))
+    hot = small(hot)  # a row for each HOT members at most
+    named = members.filter("n > 0").join(hot, "node").union(members.filter("n > 0").join(hot, "node", "left_anti").join(cool, "node").select("node", "doc_id", "n", "component_id"))
     return (
-        classes.filter("n > 0").join(lowest, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        .union(classes.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        named.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        .union(members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     )
 
 

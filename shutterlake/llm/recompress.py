@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.llm import exchange
-from shutterlake.llm.text_arrays import gram_hashes, hash_spans, mix, raw, words
+from shutterlake.llm.text_arrays import gram_hashes, hash_spans, joined_spans, mix, raw, words
 
 WINDOW = 20
 ROUNDS, RUN_ROUNDS, GROWN, SENT_WORDS = 6, 1, 4, 3
@@ -118,7 +118,7 @@ _SPANS = "bucket long, chunk long, hash binary, more binary, doc binary, row bin
 _SPAN_SCHEMA = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in ("hash", "more", "doc", "row", "start")]])
 
 
-def _first_windows(table: pa.Table, answers: pa.Table, chunks: int, window: int) -> pa.Table:
+def _first_windows(table: pa.Table, answers: pa.Table, buckets: int, chunks: int, window: int) -> pa.Table:
     """The chunk's first window of each content, for the buckets; repeats within the chunk
     travel as spans (without a hash) that a bucket passes on."""
     if not table.num_rows:
@@ -130,7 +130,7 @@ def _first_windows(table: pa.Table, answers: pa.Table, chunks: int, window: int)
     use = _sendable(start, end, low, high, window)
     name, low, high = name[use], low[use], high[use]
     grams, whole = gram_hashes(h, of, window)
-    at = candidates(name, low, high, exchange.counts_of(name, answers, chunks) == 1, whole, window)
+    at = candidates(name, low, high, exchange.counts_of(name, answers, buckets) == 1, whole, window)
     more = gram_hashes(hash_spans(data, starts, ends, 1), of, window)[0][at] & np.uint64(0xFFFFFFFF)
     row = np.repeat(np.arange(len(of) - 1), np.diff(of))[at]
     doc = table["doc_id"].fill_null(NULL_ID).to_numpy()[row]
@@ -205,17 +205,7 @@ def _without(table: pa.Table, repeats: pa.Table, window: int) -> pa.Table:
         np.add.at(edge, of[row] + start + window, -1)
     stay = np.cumsum(edge)[:-1] == 0
     n_kept = np.diff(np.concatenate([[0], np.cumsum(stay)])[of])
-    # Kept words, each but a row's last followed by one space.
-    a, b = starts[stay], ends[stay]
-    cut = np.concatenate([[0], np.cumsum(n_kept)])
-    last = np.zeros(len(a), bool)
-    last[cut[1:][n_kept > 0] - 1] = True
-    length = b - a + ~last
-    to = np.concatenate([[0], np.cumsum(length)])
-    text = np.full(int(to[-1]), 32, np.uint8)
-    place = np.arange(int((b - a).sum())) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
-    text[place + np.repeat(to[:-1], b - a)] = data[place + np.repeat(a, b - a)]
-    kept = pa.Array.from_buffers(pa.string(), len(n_kept), [None, pa.py_buffer(to[cut].astype(np.int32)), pa.py_buffer(text)])
+    kept = joined_spans(data, starts[stay], ends[stay], n_kept, 32)
     n_words = np.diff(of)
     return pa.Table.from_arrays([table["doc_id"].combine_chunks(), pa.array(n_words), pa.array(n_words - n_kept), kept], schema=schema)
 
@@ -224,6 +214,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     """doc_id, n_words, n_removed and ``kept``, the words that stay joined by spaces."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     chunked, chunks = exchange.in_chunks(docs, "text", "doc_id")
+    buckets = exchange.buckets_for(chunks)
 
     def tokens(table: pa.Table) -> np.ndarray:
         *_, of, h = _hashes(table["text"])
@@ -231,12 +222,12 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         return name[_sendable(start, end, low, high, window)]
 
     def first_windows(table: pa.Table, answers: pa.Table) -> pa.Table:
-        return _first_windows(table, answers, chunks, window)
+        return _first_windows(table, answers, buckets, chunks, window)
 
     def without(table: pa.Table, repeats: pa.Table) -> pa.Table:
         return _without(table, repeats, window)
 
-    answers = exchange.shared_tokens(chunked, tokens, chunks)
+    answers = exchange.shared_tokens(chunked, tokens, buckets)
     groups = chunked.groupBy("chunk")
     sent = groups.cogroup(answers.groupBy("chunk")).applyInArrow(first_windows, _SPANS)
     repeats = sent.groupBy("bucket").applyInArrow(_repeats, "chunk long, row binary, start binary")
