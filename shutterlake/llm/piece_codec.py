@@ -17,6 +17,8 @@ output's name is replaced.
 
 from __future__ import annotations
 
+import itertools
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -26,23 +28,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shutterlake.llm.text_arrays import map_slices, raw
+from shutterlake.llm.text_arrays import map_slices, mix, raw
 
 SPACE = "▁"
-CACHE_SIZE = 1 << 17
+#: Between segments that are matched in one pass; no piece may hold it.
+GAP = "\U0010fffd"
+#: Slots of the table of known pairs, which is emptied when half full: relearning the common
+#: ones is little against the pairs that filled it.
+SLOTS = 1 << 21
+#: Segments that a worker keeps with their ids, none longer than so many bytes.
+CACHED, CACHED_BYTES = 1 << 18, 64
+#: Segments that are backtracked together; the few that take longer end one by one.
+TOGETHER = 32
+
+
+class PairTable:
+    """What is known of numbered pairs: an open-addressing table in one array."""
+
+    EMPTY = np.uint64(2**64 - 1)
+
+    def __init__(self):
+        self.slots, self.held = np.full(SLOTS, self.EMPTY), 0
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """1: fits, 0: doesn't, -1: unknown."""
+        out, at = np.full(len(keys), -1, np.int8), self._first(keys)
+        open_ = np.arange(len(keys))
+        while len(open_):
+            seen = self.slots[at[open_]]
+            mine = seen >> np.uint64(1) == keys[open_]
+            out[open_[mine]] = (seen[mine] & np.uint64(1)).astype(np.int8)
+            open_ = open_[~mine & (seen != self.EMPTY)]
+            at[open_] = (at[open_] + 1) & (SLOTS - 1)
+        return out
+
+    def put(self, keys: np.ndarray, fits: np.ndarray) -> None:
+        """Distinct keys that are not held yet."""
+        if self.held + len(keys) > SLOTS // 2:
+            self.slots[:], self.held = self.EMPTY, 0
+        entry, at, open_ = keys << np.uint64(1) | fits.astype(np.uint64), self._first(keys), np.arange(len(keys))
+        while len(open_):
+            free = open_[self.slots[at[open_]] == self.EMPTY]
+            self.slots[at[free]] = entry[free]  # of those that meet in a slot one stays
+            open_ = open_[self.slots[at[open_]] != entry[open_]]
+            at[open_] = (at[open_] + 1) & (SLOTS - 1)
+        self.held += len(keys)
 
 
 class PieceModel:
-    """Lookup tables of one serialized model."""
+    """Lookup tables of one serialized model. Pieces are kept with plain spaces."""
 
     def __init__(self, proto: bytes):
         lib = sentencepiece.SentencePieceProcessor(model_proto=proto)
         self.bos, self.eos = lib.bos_id(), lib.eos_id()
         self.score, self.ids, self.surface = {}, {}, []
         self.byte_ids = [0] * 256
+        self.size = np.zeros(lib.vocab_size(), np.int64)
         self.is_byte = np.zeros(lib.vocab_size(), bool)
         self.spaced = np.zeros(lib.vocab_size(), bool)
         self.silent = np.zeros(lib.vocab_size(), bool)
+        self.piece = [""] * lib.vocab_size()
         self.matches = ahocorasick.Automaton()
         for i in range(lib.vocab_size()):
             piece = lib.id_to_piece(i)
@@ -57,11 +105,15 @@ class PieceModel:
             elif lib.is_unknown(i):
                 self.surface.append(lib.decode([i]).encode())
             else:
-                self.score[piece], self.ids[piece] = lib.get_score(i), i
                 self.spaced[i] = piece.startswith(SPACE)
-                self.surface.append(piece.replace(SPACE, " ").encode())
-                self.matches.add_word(piece, len(piece))
+                piece = piece.replace(SPACE, " ")
+                self.score[piece], self.ids[piece] = lib.get_score(i), i
+                self.piece[i], self.size[i] = piece, len(piece)
+                self.surface.append(piece.encode())
+                self.matches.add_word(piece, i)
         self.matches.make_automaton()
+        if any(GAP in piece for piece in self.ids):
+            raise ValueError("a piece holds the separator of segments")
         # A second row of surfaces, without the space that a text's first piece loses.
         bare = [s[1:] if spaced else s for s, spaced in zip(self.surface, self.spaced, strict=True)]
         self.surface = pa.array(self.surface + bare, pa.binary())
@@ -70,12 +122,13 @@ class PieceModel:
         self.cut[:128, :128] = True
         self.cut[128:, 32] = True
         for piece in self.ids:
-            for x, y in zip(piece.replace(SPACE, " "), piece.replace(SPACE, " ")[1:]):
+            for x, y in zip(piece, piece[1:]):
                 self.cut[min(ord(x), 128), min(ord(y), 128)] = False
                 if ord(x) > 127 and y == " ":
                     self.cut[128:, 32] = False
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.cache: dict[bytes, bytes] = {}
+        self.pairs = PairTable()
+        self.known = self.known_ids = pa.array([], pa.binary())
+        self.used = np.zeros(0, bool)
 
     def merged(self, text: str) -> list[str]:
         """The plain merges over a short text: best score first, then the leftmost."""
@@ -91,20 +144,32 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, left: str, right: str) -> bool:
+    def remerged(self, left: str, right: str) -> bool:
         """Whether the tokens stay as they are when their joined text is merged anew."""
-        if len(self.pairs) >= CACHE_SIZE:
-            self.pairs.clear()
-        known = self.pairs[left, right] = self.merged(left + right) == [x for x in (left, right) if x]
-        return known
+        return self.merged(left + right) == [x for x in (left, right) if x]
+
+    def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The same for arrays of ids; a left id 0, which is no piece's, stands for nothing."""
+        keys = left.astype(np.uint64) * np.uint64(len(self.size)) + right.astype(np.uint64)
+        fits = self.pairs.get(keys)
+        unknown = np.flatnonzero(fits < 0)
+        if len(unknown):
+            fresh, place = np.unique(keys[unknown], return_inverse=True)
+            pairs = [divmod(k, len(self.size)) for k in fresh.tolist()]
+            told = np.array([self.remerged(self.piece[x], self.piece[y]) for x, y in pairs], bool)
+            fits[unknown] = told[place]
+            for i in range(0, len(fresh), SLOTS // 4):
+                self.pairs.put(fresh[i : i + SLOTS // 4], told[i : i + SLOTS // 4])
+        return fits == 1
 
     def tokens(self, text: str) -> list[str]:
         """Tokens of one segment, by backtracking from the longest matches."""
-        n, pairs = len(text), self.pairs
+        n, piece = len(text), self.piece
+        known: dict[tuple[str, str], bool] = {}
         ends: list[list[int]] = [[] for _ in range(n)]
-        for last, length in self.matches.iter(text):
-            ends[last + 1 - length].append(last + 1)
-        open_at = (1 << (n + 1)) - 1
+        for last, i in self.matches.iter(text):
+            ends[last + 1 - len(piece[i])].append(last + 1)
+        failed = bytearray((n >> 3) + 1)
         chosen: list[tuple[int, int, str]] = []
         at, before, option, token = 0, "", None, ""
         while at < n:
@@ -115,32 +180,140 @@ class PieceModel:
                 option = len(here) - 1
             while option >= 0:
                 end = here[option]
-                if open_at >> end & 1:
+                if not failed[end >> 3] >> (end & 7) & 1:
                     token = text[at:end]
-                    fits = pairs.get((before, token))
-                    if self.compatible(before, token) if fits is None else fits:
+                    fits = known.get((before, token))
+                    if fits is None:
+                        fits = known[before, token] = self.remerged(before, token)
+                    if fits:
                         break
                 option -= 1
             if option >= 0:
                 chosen.append((at, option, token))
                 before, at, option = token, end, None
             else:
-                open_at &= ~(1 << at)
+                failed[at >> 3] |= 1 << (at & 7)
                 at, option, _ = chosen.pop()
                 option -= 1
                 before = chosen[-1][2] if chosen else ""
         return [x[2] for x in chosen]
 
-    def segment_ids(self, segment: bytes) -> bytes:
-        """Packed ids of one segment (spaces still plain)."""
+    def token_ids(self, segment: str) -> list[int]:
         out: list[int] = []
-        for token in self.tokens(segment.decode().replace(" ", SPACE)):
+        for token in self.tokens(segment):
             i = self.ids.get(token)
             if i is None:
                 out.extend(self.byte_ids[b] for b in token.encode())
             else:
                 out.append(i)
-        return np.array(out, "<u4").tobytes()
+        return out
+
+    def descend(self, text: str, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The backtracking's first descent for all segments at once: ids of the longest
+        matches from the left, how many each segment has, and whether they are its tokens,
+        which is so if they cover it and all neighbours are compatible."""
+        found = np.fromiter(itertools.chain.from_iterable(self.matches.iter_long(text)), np.int64).reshape(-1, 2)
+        ids = found[:, 1]
+        of = np.searchsorted(start, found[:, 0], side="right") - 1
+        whole = np.bincount(of, self.size[ids], len(start)) == size
+        fits = self.compatible(np.where(np.diff(of, prepend=-1) == 0, np.roll(ids, 1), 0), ids)
+        return ids, np.bincount(of, minlength=len(start)), whole & (np.bincount(of[~fits], minlength=len(start)) == 0)
+
+    def backtrack(self, text: str, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and their number for each segment, and whether it came to its end: the steps
+        of ``tokens`` for all segments at once. The tokens before a place are the encoding
+        of what is before it, so a place has one token before it at most, and its options
+        are tried once."""
+        found = np.fromiter(itertools.chain.from_iterable(self.matches.iter(text)), np.int64).reshape(-1, 2)
+        found = found[np.lexsort((self.size[found[:, 1]], found[:, 0] + 1 - self.size[found[:, 1]]))]
+        ids, end = found[:, 1], found[:, 0] + 1
+        begin = end - self.size[ids]
+        first = np.searchsorted(begin, np.arange(len(text) + 1))
+        option = np.append(first[1:], len(ids)) - 1  # the next match to try at each place, from the longest
+        single = np.zeros(len(text) + 1, bool)
+        single[begin[self.size[ids] == 1]] = True
+        of_place = np.repeat(np.arange(len(start)), size)
+        inside = start[of_place] + np.arange(len(of_place)) - np.repeat(np.cumsum(size) - size, size)
+        odd = np.bincount(of_place[~single[inside]], minlength=len(start)) > 0  # characters outside the vocabulary
+        failed = np.zeros(len(text) + 1, bool)
+        behind = np.full(len(text) + 1, -1)  # the match that ends at a place
+        live, stop, done = np.flatnonzero(~odd), start + size, np.zeros(len(start), bool)
+        at = start.copy()
+        while len(live) > TOGETHER:
+            here = at[live]
+            tried = option[here]
+            has = tried >= first[here]
+            ok = has.copy()
+            ok[has] = ~failed[end[tried[has]]]
+            last = behind[here[ok]]
+            ok[ok] = self.compatible(np.where(last < 0, 0, ids[last]), ids[tried[ok]])
+            behind[end[tried[ok]]] = tried[ok]
+            at[live[ok]] = end[tried[ok]]
+            option[here[has & ~ok]] -= 1
+            lost = here[~has]
+            failed[lost] = True
+            back = begin[behind[lost]]
+            at[live[~has]] = back
+            option[back] -= 1
+            over = at[live] == stop[live]
+            done[live[over]] = True
+            live = live[~over]
+        # The chosen matches, from the ends.
+        chosen, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        live, at = np.flatnonzero(done), stop.copy()
+        while len(live):
+            last = behind[at[live]]
+            chosen.append(last)
+            owner.append(live)
+            at[live] = begin[last]
+            live = live[at[live] > start[live]]
+        chosen, owner = np.concatenate(chosen), np.concatenate(owner)
+        order = np.lexsort((begin[chosen], owner))
+        return ids[chosen[order]], np.bincount(owner, minlength=len(start)), done
+
+    def fresh_ids(self, segments: pa.Array) -> pa.Array:
+        """Packed ids of distinct segments."""
+        size = pc.utf8_length(segments.cast(pa.string())).to_numpy().astype(np.int64)
+        ids = [np.zeros(0, np.int64)]
+        owner = [np.zeros(0, np.int64)]
+        left = np.arange(len(size))
+        for attempt in (self.descend, self.backtrack):
+            if len(left):
+                text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(left)], pa.int32()), segments.take(pa.array(left))), GAP.encode())[0].as_py().decode()
+                own, count, done = attempt(text, np.cumsum(size[left] + 1) - size[left] - 1, size[left])
+                ids.append(own[np.repeat(done, count)])
+                owner.append(np.repeat(left[done], count[done]))
+                left = left[~done]
+        for k in left.tolist():
+            own = self.token_ids(segments[k].as_py().decode())
+            ids.append(np.array(own))
+            owner.append(np.full(len(own), k))
+        owner = np.concatenate(owner)
+        n = np.bincount(owner, minlength=len(size))
+        order = np.argsort(owner, kind="stable")
+        return _binary(np.concatenate(ids)[order].astype("<u4"), np.concatenate([[0], np.cumsum(n)]))
+
+    def segment_ids(self, segments: pa.Array) -> pa.Array:
+        """Packed ids of distinct segments, known ones from the cache. A full cache keeps
+        what was asked for since it last was full."""
+        place = pc.index_in(segments, value_set=self.known)
+        miss = place.is_null().to_numpy(zero_copy_only=False)
+        at = place.fill_null(0).to_numpy().astype(np.int64)
+        self.used[at[~miss]] = True
+        fresh = segments.filter(pa.array(miss))
+        ids = pa.concat_arrays([self.known_ids, self.fresh_ids(fresh)])
+        at[miss] = len(self.known) + np.arange(len(fresh))
+        out = ids.take(pa.array(at))
+        short = np.diff(raw(fresh)[1]) <= CACHED_BYTES
+        keep = np.concatenate([np.ones(len(self.known), bool), short])
+        used = np.concatenate([self.used, np.zeros(len(fresh), bool)])
+        if keep.sum() > CACHED:
+            keep[: len(self.known)] = self.used if 2 * self.used.sum() <= CACHED else False
+            used[:] = False
+        chosen = pa.array(keep)
+        self.known, self.known_ids, self.used = pa.concat_arrays([self.known, fresh]).filter(chosen), ids.filter(chosen), used[keep]
+        return out
+
 
     def encode(self, column: pa.Array, ends: bool) -> pa.Array:
         """Packed ids (little-endian unsigned 32-bit) of each text."""
@@ -160,28 +333,18 @@ class PieceModel:
         cuts = np.flatnonzero(begin).astype(np.int32)
         segments = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
         coded = segments.dictionary_encode()
-        packed = []
-        for s in coded.dictionary.to_pylist():
-            ids = self.cache.get(s)
-            if ids is None:
-                if len(self.cache) >= CACHE_SIZE:
-                    self.cache.clear()
-                ids = self.segment_ids(s)
-                if len(s) <= 64:
-                    self.cache[s] = ids
-            packed.append(ids)
-        out = pa.array(packed, pa.binary()).take(coded.indices)
+        out = self.segment_ids(coded.dictionary).take(coded.indices)
         ids, where = raw(out)
-        where = where[np.searchsorted(cuts, moved)]
+        ids, where = np.frombuffer(ids.tobytes(), "<u4"), where[np.searchsorted(cuts, moved)] // 4
         if not ends:
             return _binary(ids, where)
-        held = np.empty(len(ids) // 4 + 2 * rows, "<u4")
-        begin_at = where // 4 + 2 * np.arange(rows + 1)
+        held = np.empty(len(ids) + 2 * rows, "<u4")
+        begin_at = where + 2 * np.arange(rows + 1)
         mark = np.ones(len(held), bool)
         mark[begin_at[:-1]] = mark[begin_at[1:] - 1] = False
-        held[mark] = np.frombuffer(ids.tobytes(), "<u4")
+        held[mark] = ids
         held[begin_at[:-1]], held[begin_at[1:] - 1] = self.bos, self.eos
-        return _binary(held.view(np.uint8), begin_at * 4)
+        return _binary(held, begin_at)
 
     def decode(self, column: pa.Array) -> pa.Array:
         """Texts of packed ids, as the library's decode gives them."""
@@ -223,8 +386,9 @@ class PieceModel:
         return "".join(out)
 
 
-def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+def _binary(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Packed ids, whose rows' offsets count ids."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
 
 
 _MODELS: dict[int, PieceModel] = {}
