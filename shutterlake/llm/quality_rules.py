@@ -3,16 +3,20 @@
 Each text gives counts and four rates in parts per million. Their distribution in each
 (language, source) group is sketched by counters over buckets whose width is a 16th of
 their value: sketches merge by adding counters, have some hundred buckets at most however
-many rows they hold, and don't depend on the order of the rows. A rate fails the document
-if it is above the group's HIGH quantile and above its upper quartile plus REACH quartile
-distances (FLOOR, or a 16th of the quartile, at least). Where more than the rest above HIGH
-is junk, the upper quartile plus REACH distances of SLACK at least is the limit. The limit
-of repeats is one bucket below the base rule's at most, so that it can reject documents.
+many rows they hold, and don't depend on the order of the rows. A group's limit is its
+HIGH quantile plus REACH times that quantile's distance from the median. Where a group's
+tail is so heavy that its limit lies beyond the fixed cutoff that it replaces (CEILING), the
+cutoff takes its place. Limits are then drawn to those of all groups of the language, and
+these to those of all rows, as if PRIOR documents of the wider group stood in each: small
+groups have their parent's limits, large ones their own, without a switch between them.
+
+A document fails if one of its rates is surely above the limit: the rate of its count less
+DOUBT standard errors, as a single odd line or symbol says little in a short text. Counts
+are of independent events, so words in repeated windows count by the window.
 
 Edge cases: a null or empty text has no words and fails the base rule; a null language
-or source is a group of its own; with fewer than MIN_ROWS documents in all that pass the base rule there are no
-thresholds; repeated rows count each; an empty table gives an empty
-result; further columns are carried over, and columns of an output's name replaced.
+or source is a group of its own; where no document passes the base rule there are no limits
+and nothing is kept; repeated rows count each; an empty table gives an empty result; further columns are carried over, and columns of an output's name replaced.
 """
 
 from __future__ import annotations
@@ -27,11 +31,16 @@ from shutterlake.llm.store import kept
 from shutterlake.llm.text_arrays import gram_hashes, hash_spans, map_slices, mix, raw, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-REACH, MIN_ROWS, HIGH = 3, 40, 0.97
-#: Least quartile distance taken, in parts per million.
-FLOOR = {"symbols": 10_000, "dup_lines": 20_000, "repeats": 10_000, "word_length": 0}
-#: The same where the HIGH quantile lies higher.
-SLACK = {"symbols": 20_000, "dup_lines": 120_000, "repeats": 100_000, "word_length": 1_000_000}
+REACH, HIGH, PRIOR, DOUBT = 3, 0.9, 100, 1.64
+#: The fixed cutoffs in parts per million: a tenth of the characters are symbols, three tenths
+#: of the lines are duplicates, ten characters a word; for repeats a bucket below the base
+#: rule's, so that the limit can reject what the base rule doesn't.
+BASE_REPEATS = 10_000 * MAX_REPEAT_PERCENT
+CEILING = {"symbols": 100_000, "dup_lines": 300_000, "repeats": BASE_REPEATS - (1 << BASE_REPEATS.bit_length() - 5), "word_length": 10_000_000}
+#: Count, size of one event and base of each rate.
+RATES = {"symbols": ("n_symbols", 1, "word_chars"), "dup_lines": ("n_dup_lines", 1, "n_lines"), "repeats": ("n_repeat_words", WINDOW, "n_words"), "word_length": ("word_chars", 1, "n_words")}
+#: Groups whose limits may be broadcast (about 100 bytes each).
+BROADCAST_GROUPS = 200_000
 
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -84,8 +93,13 @@ def measured(df: DataFrame, text: str = "text", keep: list[str] | None = None) -
 
 
 def _rates() -> dict:
-    per = lambda a, b: F.floor(1_000_000 * F.col(a) / F.greatest(F.col(b), F.lit(1)))
-    return {"symbols": per("n_symbols", "word_chars"), "dup_lines": per("n_dup_lines", "n_lines"), "repeats": per("n_repeat_words", "n_words"), "word_length": per("word_chars", "n_words")}
+    return {r: F.floor(1_000_000 * F.col(count) / F.greatest(F.col(base), F.lit(1))) for r, (count, _, base) in RATES.items()}
+
+
+def _sure_rates() -> dict:
+    """Rates of the counts less DOUBT standard errors."""
+    less = lambda count, event: F.col(count) - DOUBT * event * F.sqrt(F.col(count) / event)
+    return {r: 1_000_000 * less(count, event) / F.greatest(F.col(base), F.lit(1)) for r, (count, event, base) in RATES.items()}
 
 
 def sketches(counted: DataFrame) -> DataFrame:
@@ -99,46 +113,35 @@ def sketches(counted: DataFrame) -> DataFrame:
 
 
 def thresholds(counters: DataFrame) -> DataFrame:
-    """lang, source and a limit for each rate: from the group's own sketch, or where that
-    has under MIN_ROWS rows from the merged one of its language, or of all (null: none)."""
-    levels = [["lang", "source"], ["lang"], []]
-    limits = [_limits(counters.groupBy(*level, "rate", "bucket").agg(F.sum("n").alias("n")), level) for level in levels]
-    out = counters.select("lang", "source").distinct()
-    for k, (level, found) in enumerate(zip(levels, limits)):
-        o, f = out.alias("o"), found.alias("f")
-        same = F.lit(True)
-        for c in level:
-            same = same & F.col(f"o.{c}").eqNullSafe(F.col(f"f.{c}"))
-        if level:
-            out = o.join(f, same, "left").select("o.*", *[F.col(f"f.max_{r}").alias(f"_{k}_{r}") for r in SLACK])
-        else:
-            one = found.first()  # a single row
-            out = out.select("*", *[F.lit(one and one[f"max_{r}"]).cast("double").alias(f"_{k}_{r}") for r in SLACK])
-    return out.select("lang", "source", *[F.coalesce(*[F.col(f"_{k}_{r}") for k in range(len(levels))]).alias(f"max_{r}") for r in SLACK])
+    """lang, source and max_<rate>, the limit of each rate."""
+    own, language, every = [_limits(counters, level).alias(k) for k, level in (("g", ["lang", "source"]), ("l", ["lang"]), ("a", []))]
+    joined = own.join(language, F.col("g.lang").eqNullSafe(F.col("l.lang")) & (F.col("g.rate") == F.col("l.rate"))).join(every, F.col("g.rate") == F.col("a.rate"))
+    drawn = lambda one, limit: (F.col(f"{one}.n") * F.col(f"{one}.limit") + PRIOR * limit) / (F.col(f"{one}.n") + PRIOR)
+    limits = joined.select("g.lang", "g.source", "g.rate", drawn("g", drawn("l", F.col("a.limit"))).alias("limit"))
+    return limits.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rate") == r, F.col("limit"))).alias(f"max_{r}") for r in RATES])
 
 
 def _limits(counters: DataFrame, level: list[str]) -> DataFrame:
-    group = Window.partitionBy(*level, "rate")
-    run = counters.withColumn("_upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("_all", F.sum("n").over(group))
-    at = lambda q: F.min(F.when(F.col("_upto") >= q * F.col("_all"), F.col("bucket")))
-    quartiles = run.groupBy(*level, "rate").agg(at(0.25).alias("_low"), at(0.75).alias("_high"), at(HIGH).alias("_top"), F.max("_all").alias("_all"))
-    of = lambda least: F.create_map(*[F.lit(x) for kv in least.items() for x in kv])[F.col("rate")]
-    fence = lambda *least: F.col("_high") + REACH * F.greatest(F.col("_high") - F.col("_low"), *least)
-    end = F.expr("_top + shiftleft(1L, greatest(length(bin(_top)) - 5, 0)) - 1")  # the last value of the bucket
-    below_base = F.when(F.col("rate") == "repeats", F.lit(10_000 * MAX_REPEAT_PERCENT - (1 << (10_000 * MAX_REPEAT_PERCENT).bit_length() - 5)))
-    bounded = F.least(F.greatest(end, fence(of(FLOOR), F.expr("_high div 16"))), fence(of(SLACK)), below_base)
-    limit = F.when(F.col("_all") >= MIN_ROWS, bounded.cast("double"))
-    return quartiles.groupBy(*level).agg(*[F.max(F.when(F.col("rate") == r, limit)).alias(f"max_{r}") for r in SLACK])
+    """level, rate, limit and n (documents) from the merged sketches of each group."""
+    group = Window.partitionBy(*level, "rate")  # as many rows as a sketch has buckets
+    merged = counters.groupBy(*level, "rate", "bucket").agg(F.sum("n").alias("n"))
+    run = merged.withColumn("_upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("_all", F.sum("n").over(group))
+    at = lambda q: F.min(F.when(F.col("_upto") > q * F.col("_all"), F.col("bucket")))
+    known = run.groupBy(*level, "rate").agg(at(0.5).alias("_middle"), at(HIGH).alias("_high"), F.max("_all").alias("n"))
+    end = F.expr("_high + shiftleft(1L, greatest(length(bin(_high)) - 5, 0)) - 1")  # the last value of the bucket
+    ceiling = F.create_map(*[F.lit(x) for kv in CEILING.items() for x in kv])[F.col("rate")]
+    return known.select(*level, "rate", F.least(end + REACH * (F.col("_high") - F.col("_middle")), ceiling).cast("double").alias("limit"), "n")
 
 
 def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append COUNTS, ``base_failed`` and ``kept``; the frame needs lang and source.
     Without ``keep`` the texts are carried through the intermediate table as well."""
     counted = kept(measured(df, text, keep))
-    limits = thresholds(kept(sketches(counted)))
+    limits = kept(thresholds(sketches(counted)))
+    limits = F.broadcast(limits) if limits.count() <= BROADCAST_GROUPS else limits
     c, t = counted.alias("c"), limits.alias("t")
     joined = c.join(t, F.col("c.lang").eqNullSafe(F.col("t.lang")) & F.col("c.source").eqNullSafe(F.col("t.source")), "left")
-    over = [F.coalesce(v > F.col(f"t.max_{k}"), F.lit(False)) for k, v in _rates().items()]
+    over = [F.coalesce(v > F.col(f"t.max_{r}"), F.lit(False)) for r, v in _sure_rates().items()]
     verdict = ~F.col("base_failed") & ~(over[0] | over[1] | over[2] | over[3])
     return joined.select(*[F.col(f"c.`{x}`") for x in counted.columns if x.lower() != "kept"], verdict.alias("kept"))
 
