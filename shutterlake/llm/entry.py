@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,8 +13,9 @@ from shutterlake.llm import fair_mix, gram_join, line_join, matroska, oracles, p
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
-#: The key of surrogates; a deployment sets its own.
-SURROGATE_KEY = os.environ.get("SURROGATE_KEY", "change-me").encode()
+#: The key of surrogates. Where none is set, one is drawn that nobody knows: surrogates then
+#: agree within a session and differ between sessions.
+SURROGATE_KEY = os.environ.get("SURROGATE_KEY", "").encode() or secrets.token_bytes(32)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

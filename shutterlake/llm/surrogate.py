@@ -1,20 +1,26 @@
 """PII: keyed surrogates for detected entities.
 
 Mentions of emails, addresses (IPv4), phone, card, account and social numbers and of
-titled persons are found by patterns. Each distinct entity gets one surrogate derived from
-a secret key: digits for digits and letters for letters of the same script and case,
-valid checksums for valid ones, given names of the title's gender. Equal entities get
-equal surrogates in every document whatever their separators or case (coreference).
-Surrogates of all entities are compared: one that two entities share, or that is a real
-entity's own, is drawn again, so that different entities stay different.
-
-Edge cases: a null or empty text stays as it is and has no mentions; rows of equal ids and
-texts give equal results; an empty table gives an empty result; further columns are
-carried over, and columns of an output's name replaced.
+titled persons are found by patterns; a person's names are found again anywhere in the same
+text, with a title or without. Names may hold apostrophes and hyphens. In scripts without
+capitals a title is followed by one name: a word, or HAN_NAME characters at most where words
+aren't spaced. Each distinct entity gets one surrogate derived from a secret key: digits for
+digits and letters for letters of the same script and case, valid checksums for valid ones,
+given names of the title's gender. A phone number's first digit and an email's last domain
+stay. Equal entities get equal surrogates in every document whatever their separators or
+case (coreference). Surrogates of all entities are compared: one that two entities share, or
+that is a real entity's own, is drawn again, so that different entities stay different;
+every GROW draws a surrogate grows by a character (an address by a port), so that no form
+is ever used up.
+
+Edge cases: a null or empty text stays as it is and has no mentions; an empty key is
+refused; rows of equal ids and texts give equal results; an empty table gives an empty
+result; further columns are carried over, and columns of an output's name replaced.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import re
@@ -29,30 +35,42 @@ from pyspark.sql import types as T
 from shutterlake.llm.store import kept, spare
 from shutterlake.llm.text_arrays import map_slices
 
-EMAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
+#: Starts at the head of a run only, so a long run is read once.
+EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]++@[\w-]++(?:\.[\w-]+)+")
 NUMBERS = re.compile(
     r"(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9]))"
     r"|(?P<social>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<phone>(?:\+[0-9]{1,3}[ .-]?|(?<![\w.+-]))(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w))"
     r"|(?P<card>(?<![\w.])[0-9](?:[ -]?[0-9]){12,18}(?!\w))"
 )
-TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Господин": "m"}
-TITLES |= {"Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Госпожа": "f", "Dr": "n", "Prof": "n"}
-PERSON = re.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.?\x20([^\W\d_][^\W\d_'’-]+)(?:\x20([^\W\d_][^\W\d_'’-]+))?")
-TITLE_HINT = re.compile("M[rs]|Mis|Herr|Frau|Mon|Mad|Mme|Se|Sr|Dr|Prof|Госп")
-
-#: (consonants, vowels, endings of female given names) of each script.
+TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Господин": "m", "السيد": "m"}
+TITLES |= {"Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Госпожа": "f", "السيدة": "f"}
+TITLES |= {"Dr": "n", "Prof": "n", "Доктор": "n", "الدكتور": "n"}
+#: Titles that follow the name.
+AFTER = {"先生": "m", "女士": "f", "小姐": "f"}
+HAN_NAME = 3
+_HAN = f"[\u3400-\u9fff]{{1,{HAN_NAME}}}"
+_WORD = r"[^\W\d_\u3400-\u9fff]++(?:['’-][^\W\d_\u3400-\u9fff]++)*+"
+PERSON = re.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + rf")\b\.?\x20({_HAN}|{_WORD}(?:\x20{_WORD}){{0,2}})")
+NAMED = re.compile(r"([\u3400-\u9fff]{2,%d}?)(%s)" % (HAN_NAME, "|".join(AFTER)))
+TITLE_HINT = re.compile("M[rs]|Mis|Herr|Frau|Mon|Mad|Mme|Se|Sr|Dr|Prof|Госп|Докт|الس|الد|先生|女士|小姐")
+
+#: (consonants, vowels, endings of female given names) of scripts whose words can be read out.
 ALPHABETS = {
     "LATIN": ("bcdfghjklmnprstvwz", "aeiou", "a"),
     "CYRILLIC": ("бвгджзклмнпрстфхц", "аеиоу", "а"),
     "GREEK": ("βγδζθκλμνπρστφχ", "αειου", "α"),
+    "ARABIC": ("بتجدرسفكلمنه", "اوي", "ة"),
+    "HEBREW": ("בגדהזחטכלמנספצקרשת", "אוי", "ה"),
+    "CJK": ("伟强磊军勇杰涛明超刚平林海山川文", "伟强磊军勇杰涛明超刚平林海山川文", "芳"),
 }
-ROUNDS = 60
+#: Draws of a surrogate before it grows.
+GROW = 8
 MENTION = T.ArrayType(
     T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("entity", T.StringType())])
 )
-#: Documents with mentions up to which their lists may be broadcast.
-BROADCAST_LISTS = 100_000
+#: Mentions up to which the documents' lists may be broadcast (about 100 bytes each).
+BROADCAST_MENTIONS = 300_000
 
 
 def luhn(digits: str) -> bool:
@@ -75,14 +93,7 @@ def mentions(text: str) -> list[dict]:
             kind = "account"
         out.append((kind, *m.span(), digits))
     if TITLE_HINT.search(text):
-        for m in PERSON.finditer(text):
-            words = [g for g in (2, 3) if m.group(g) and m.group(g)[0].isupper()]
-            if not words or words[0] != 2:
-                continue
-            gender = TITLES[m.group(1)]
-            for g in words:
-                kind = "surname" if g == words[-1] else f"given_{gender}"
-                out.append((kind, *m.span(g), m.group(g).casefold()))
+        out += persons(text)
     out.sort(key=lambda x: (x[1], -x[2]))
     clear, end = [], 0
     for kind, a, b, entity in out:
@@ -92,6 +103,33 @@ def mentions(text: str) -> list[dict]:
     return clear
 
 
+def persons(text: str) -> list[tuple]:
+    """Names of titled persons, and where the same names stand alone."""
+    out, names = [], {}
+
+    def put(a: int, b: int, kind: str) -> None:
+        out.append((kind, a, b, text[a:b].casefold()))
+        names.setdefault(text[a:b], kind)
+
+    for m in PERSON.finditer(text):
+        parts, at = [], m.start(2)
+        for word in m.group(2).split(" "):
+            # Further words are names if they begin with a capital; scripts without capitals give one.
+            if word[0].islower() or (parts and not word[0].isupper()):
+                break
+            parts.append((at, at + len(word)))
+            at += len(word) + 1
+        for k, (a, b) in enumerate(parts, 1):
+            put(a, b, "surname" if k == len(parts) else f"given_{TITLES[m.group(1)]}")
+    for m in NAMED.finditer(text):
+        put(*m.span(1), f"given_{AFTER[m.group(2)]}")
+    alone = sorted((n for n in names if len(n) > 2 or script(n) == "CJK" and len(n) > 1), key=len, reverse=True)
+    if alone:
+        word = [re.escape(n) if script(n) == "CJK" else rf"(?<!\w){re.escape(n)}(?!\w)" for n in alone]
+        out += [(names[m.group()], *m.span(), m.group().casefold()) for m in re.finditer("|".join(word), text)]
+    return out
+
+
 class Stream:
     """Keyed numbers of one entity."""
 
@@ -110,14 +148,23 @@ class Stream:
 
 
 def script(word: str) -> str:
-    names = [unicodedata.name(c, "").split(" ")[0] for c in word if c.isalpha()]
-    return next((n for n in names if n in ALPHABETS), "LATIN")
+    """The script of the first letter."""
+    return next((unicodedata.name(c, "LATIN").split(" ")[0] for c in word if c.isalpha()), "LATIN")
+
+
+@functools.cache
+def letters(of: str) -> tuple[str, str, str]:
+    """Consonants, vowels and female endings; for scripts without a table their letters."""
+    if of in ALPHABETS:
+        return ALPHABETS[of]
+    found = "".join(c for c in map(chr, range(0x100, 0xD7A4)) if unicodedata.category(c) in ("Lo", "Ll") and unicodedata.name(c, "").startswith(of + " "))[:2000]
+    return (found, found, found) if found else ALPHABETS["LATIN"]
 
 
 def _alike(text: str, stream: Stream) -> str:
     """Digits for digits, and pronounceable letters of the same script for letters."""
     out, vowel = [], False
-    consonants, vowels, _ = ALPHABETS[script(text)]
+    consonants, vowels, _ = letters(script(text))
     for c in text:
         if c.isdigit():
             out.append(stream.of("0123456789"))
@@ -133,36 +180,44 @@ def _alike(text: str, stream: Stream) -> str:
 def surrogate(kind: str, entity: str, attempt: int, key: bytes) -> str:
     """One canonical surrogate; later attempts draw anew, and grow where the form allows it."""
     stream = Stream(key, kind, entity, attempt)
-    more = attempt // 8
+    more = attempt // GROW
     if kind == "email":
         local, _, domain = entity.partition("@")
         head, _, last = domain.rpartition(".")
         return f"{_alike(local, stream)}{''.join(stream.of('0123456789') for _ in range(more))}@{_alike(head, stream)}.{last}"
     if kind == "ip":
-        return ".".join(str(1 + stream.below(254)) for _ in range(4))
+        return ".".join(str(1 + stream.below(254)) for _ in range(4)) + (f":{1024 + stream.below(64_512)}" if more else "")
     if kind in ("phone", "social", "card", "account"):
-        digits = entity[:1] + "".join(stream.of("0123456789") for _ in entity[1:])
+        first = entity[0] if kind == "phone" or entity[0] == "0" else stream.of("123456789")
+        digits = first + "".join(stream.of("0123456789") for _ in range(len(entity) - 1 + more))
         if kind in ("card", "account"):
             valid = next(d for d in "0123456789" if luhn(digits[:-1] + d))
             digits = digits[:-1] + (valid if kind == "card" else stream.of("0123456789".replace(valid, "")))
         return digits
-    word = _alike("".join(c for c in entity if c.isalpha()) + "x" * more if script(entity) == "LATIN" else entity + entity[-1:] * more, stream)
-    consonants, _, female = ALPHABETS[script(entity)]
-    if kind == "given_f":
-        word = word[:-1] + female if len(word) > 2 else word + female
-    elif kind == "given_m" and word[-1] not in consonants:
+    own = script(entity)
+    word = _alike(entity + next((c for c in entity if c.isalpha()), "x") * more, stream)
+    consonants, _, female = letters(own)
+    if own in ALPHABETS and kind == "given_f":
+        word = word[:-1] + stream.of(female) if len(word) > 2 else word + stream.of(female)
+    elif own in ALPHABETS and kind == "given_m" and word[-1] not in consonants:
         word = word[:-1] + stream.of(consonants)
     return word
 
 
 def rendered(mention: str, kind: str, value: str) -> str:
-    """The surrogate in the mention's own form: its separators, or its case."""
+    """The surrogate in the mention's own form: its separators, or the case of its parts;
+    digits beyond the mention's own follow at the end."""
     if kind in ("phone", "social", "card", "account"):
         digits = iter(value)
-        return "".join(next(digits) if c.isdigit() else c for c in mention)
-    if mention.isupper():
+        return "".join(next(digits) if c.isdigit() else c for c in mention) + "".join(digits)
+    if kind in ("email", "ip"):
+        return value.upper() if mention.isupper() else value
+    if mention.isupper() and len(mention) > 1:
         return value.upper()
-    return value.capitalize() if kind not in ("email", "ip") and mention[:1].isupper() else value
+    if not mention[:1].isupper():
+        return value
+    parts, own = re.split("(['’-])", value), re.split("(['’-])", mention)
+    return "".join(x[:1].upper() + x[1:] if k >= len(own) or own[k][:1].isupper() else x for k, x in enumerate(parts))
 
 
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
@@ -173,26 +228,28 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
 
     @F.pandas_udf("string")
     def draw(kind: pd.Series, entity: pd.Series, attempt: pd.Series) -> pd.Series:
-        return pd.Series([surrogate(k, e, int(n), key) for k, e, n in zip(kind, entity, attempt)], dtype=object)
+        return pd.Series([None if pd.isna(n) else surrogate(k, e, int(n), key) for k, e, n in zip(kind, entity, attempt)], dtype=object)
 
     # Kinds of one form are told apart by form alone, so names share one space.
     space = F.when(F.col("kind").rlike("^(given|surname)"), "name").otherwise(F.col("kind"))
     now = kept(entities.withColumn("space", space).withColumn("attempt", F.lit(0)).withColumn("surrogate", draw("kind", "entity", "attempt")))
     real = now.select("space", F.col("entity").alias("surrogate"), F.lit(True).alias("real")).distinct()
-    for _ in range(ROUNDS):
+    while True:
         owner = now.groupBy("space", "surrogate").agg(F.min(F.struct("attempt", "kind", "entity")).alias("owner"))
         judged = now.join(owner, ["space", "surrogate"]).join(real, ["space", "surrogate"], "left")
         mine = (F.col("owner.kind") == F.col("kind")) & (F.col("owner.entity") == F.col("entity"))
-        judged = judged.withColumn("again", ~mine | F.coalesce("real", F.lit(False)))
-        if not judged.filter("again").limit(1).count():
+        again = ~mine | F.coalesce("real", F.lit(False))
+        moved = judged.select("kind", "entity", "space", (F.col("attempt") + again.cast("int")).alias("attempt"), F.col("surrogate").alias("_old"), again.alias("again"))
+        drawn = F.coalesce(draw("kind", "entity", F.when(F.col("again"), F.col("attempt"))), "_old")
+        now = kept(moved.select("kind", "entity", "space", "attempt", "again", drawn.alias("surrogate")))
+        if not now.filter("again").limit(1).count():
             return now.select("kind", "entity", "surrogate")
-        moved = judged.select("kind", "entity", "space", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"), F.col("surrogate").alias("_old"), "again")
-        now = kept(moved.select("kind", "entity", "space", "attempt", F.when(F.col("again"), draw("kind", "entity", "attempt")).otherwise(F.col("_old")).alias("surrogate")))
-    raise RuntimeError("surrogates of some form are used up")
 
 
 def pseudonymize(df: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with surrogates in its text, and ``mentions``: kind, start, end in the old text."""
+    if not key:
+        raise ValueError("surrogates need a secret key")
 
     def work(column: pa.Array) -> list[pa.Array]:
         kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("entity", pa.string())]))
@@ -207,7 +264,7 @@ def pseudonymize(df: DataFrame, key: bytes, doc_id: str = "doc_id", text: str =
     names = assign(found.select("kind", "entity").distinct(), key)
     told = found.join(names, ["kind", "entity"]).groupBy("_id", "_key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "surrogate"))).alias("_m"))
     told = kept(told.select(F.col("_id").alias(own_id), F.col("_key").alias(own_key), F.col("_m").alias(own_list)))
-    told = F.broadcast(told) if told.count() <= BROADCAST_LISTS else told
+    told = F.broadcast(told) if (told.agg(F.sum(F.size(own_list))).first()[0] or 0) <= BROADCAST_MENTIONS else told
     joined = keyed.join(told, [own_id, own_key], "left")
     columns = [c for c in df.columns if c.lower() != "mentions"]
     parts = T.ArrayType(T.StructType(MENTION.elementType.fields[:3]))
