@@ -5,16 +5,22 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shutterlake.llm.store import kept
 
-#: Rows up to which the smaller side of a join may be broadcast (16 bytes each or so).
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which the smaller side of a join may be broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Marks a stored table for broadcasting if it is small; else joins shuffle it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Marks a stored table for broadcasting if it is small; else joins shuffle it. Numbers
+    and flags count 8 bytes, an array 8 for each of its elements."""
+    lists = [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType)]
+    size = F.lit(8 * len(df.columns) + 8)
+    for name in lists:
+        size = size + 8 * F.greatest(F.size(name), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -23,8 +23,6 @@ empty table gives an empty result; further columns are carried over by ``join_co
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame

@@ -5,17 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def kept(df: DataFrame) -> DataFrame:
     """The frame, written to the folder in ``spark.checkpoint.dir``: computed once, and
-    safe when executors are lost. A folder is made up only where none is set (tests)."""
-    spark = df.sparkSession
+    safe when executors are lost."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Where none is set a folder is made up, but only
+    if all executors are threads of this machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def spare(df: DataFrame, *names: str) -> list[str]:
@@ -31,9 +42,6 @@ def spare(df: DataFrame, *names: str) -> list[str]:
 
 def stored(df: DataFrame) -> DataFrame:
     """The frame, written as Parquet below the shared folder and read again."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        kept(spark.range(1))  # sets the folder
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
