@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from shutterlake.functions.geometry import BLEND, GAIN
 
 IMAGE = "width int, height int, rgba binary"
+#: Little-endian float32 values: one for each place, or red, green and blue.
 PLANE = "width int, height int, values binary"
 
 #: Places of red, both greens and blue in a 2x2 quad.
@@ -119,6 +121,60 @@ def normalize_cfa(image: Column, black: Column, white: Column) -> Column:
     return run(image, black, white)
 
 
+def _plane(image: np.ndarray | None) -> tuple:
+    return (None, None, None) if image is None else (image.shape[1], image.shape[0], np.ascontiguousarray(image, "<f4").tobytes())
+
+
+def _planes(images: list[np.ndarray | None]) -> pd.DataFrame:
+    return pd.DataFrame([_plane(i) for i in images], columns=["width", "height", "values"]).astype({"width": "Int32", "height": "Int32"})
+
+
+def _floats(row: dict, *shape: int) -> np.ndarray:
+    return np.frombuffer(row["values"], "<f4").reshape(int(row["height"]), int(row["width"]), *shape)
+
+
+def plane_values(plane: Column) -> Column:
+    """ARRAY<FLOAT> of a plane's values, row by row."""
+
+    @F.pandas_udf("array<float>")
+    def run(p: pd.DataFrame) -> pd.Series:
+        return pd.Series([None if r["values"] is None else np.frombuffer(r["values"], "<f4") for r in _rows(p)], dtype=object)
+
+    return run(plane)
+
+
+def superpixels(plane: Column, cfa: Column, area: Column) -> Column:
+    """Half-size RGB plane of a scaled Bayer plane: a pixel for each 2x2 quad of ``area``
+    (ARRAY(x, y, w, h)), its green the mean of both; an unknown pattern gives null."""
+
+    @F.pandas_udf(PLANE)
+    def run(p: pd.DataFrame, c: pd.Series, a: pd.Series) -> pd.DataFrame:
+        known = lambda name, at: shifted(name, int(at[0]), int(at[1])) in QUADS
+        return _planes([superpixel(_floats(r), name, tuple(map(int, at))) if known(name, at) else None for r, name, at in zip(_rows(p), c, a)])
+
+    return run(plane, cfa, area)
+
+
+def calibrate(rgb: Column, gains: Column, matrix: Column) -> Column:
+    """RGB plane from camera colours to linear sRGB (see ``calibrated``)."""
+
+    @F.pandas_udf(PLANE)
+    def run(p: pd.DataFrame, g: pd.Series, m: pd.Series) -> pd.DataFrame:
+        return _planes([calibrated(_floats(r, 3), list(gain), list(mat)) for r, gain, mat in zip(_rows(p), g, m)])
+
+    return run(rgb, gains, matrix)
+
+
+def pack_rgba(rgb: Column) -> Column:
+    """Opaque 8-bit image of a linear RGB plane, by the tone curve."""
+
+    @F.pandas_udf(IMAGE)
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        return _frame([packed(_floats(r, 3)) for r in _rows(p)])
+
+    return run(rgb)
+
+
 def develop_browse(image: Column, cfa: Column, area: Column, black: Column, white: Column, gains: Column, matrix: Column) -> Column:
     """Half-size opaque RGBA of a Bayer mosaic: scale, join quads, calibrate, tone.
     ``area`` is ARRAY(x, y, w, h); an unknown pattern gives null."""
@@ -199,35 +255,42 @@ def neighbor_delta_mae(source: Column, decoded: Column) -> Column:
 #: Fixed values of the format: start-of-frame markers, and markers without a length.
 FRAMES = {0xC0, 0xC1, 0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF}
 BARE = {0x01, *range(0xD0, 0xD8)}
+#: A marker: any number of fill bytes, and its code.
+MARKER = re.compile(rb"\xff+([^\xff])", re.DOTALL)
+
+
+def jpeg_segments(data: bytes) -> dict[int, bytes]:
+    """The first payload of each marker in a JPEG's header, up to the picture's data."""
+    found: dict[int, bytes] = {}
+    if not data.startswith(b"\xff\xd8"):
+        raise ValueError("no start of image")
+    at = 2
+    while m := MARKER.match(data, at):
+        code, at = m[1][0], m.end()
+        if code in (0xD9, 0xDA):
+            return found
+        if code not in BARE:
+            payload = data[at + 2 : at + int.from_bytes(data[at : at + 2], "big")]
+            at += 2 + len(payload)
+            if int.from_bytes(data[at - 2 - len(payload) : at - len(payload)], "big") != 2 + len(payload):
+                raise ValueError("a segment's length doesn't fit")
+            found.setdefault(code, payload)
+            if code in FRAMES:
+                return found
+    raise ValueError("the header is cut")
 
 
 def sampling_of(data: bytes) -> tuple[str | None, str | None]:
     """('4:4:4' or 'other', None) from a JPEG's frame header, or (None, what is wrong)."""
-    if len(data) < 4 or data[:2] != b"\xff\xd8":
-        return None, "not a JPEG stream"
-    at = 2
-    while at + 4 <= len(data):
-        if data[at] != 0xFF:
-            return None, f"no marker at byte {at}"
-        marker_at = at + len(data[at:]) - len(data[at:].lstrip(b"\xff"))
-        if marker_at >= len(data):
-            return None, "cut marker"
-        marker, at = data[marker_at], marker_at + 1
-        if marker in (0xD9, 0xDA):
-            break
-        if marker in BARE:
-            continue
-        size = int.from_bytes(data[at : at + 2], "big")
-        if len(data) < at + 2 or size < 2 or at + size > len(data):
-            return None, "wrong segment length"
-        if marker in FRAMES:
-            head = data[at + 2 : at + size]
-            if len(head) < 9:
-                return None, "cut frame header"
-            full = head[5] == 3 and len(head) >= 15 and head[7] == head[10] == head[13] == 0x11
-            return ("4:4:4" if full else "other"), None
-        at += size
-    return None, "no frame header"
+    try:
+        frames = [payload for code, payload in jpeg_segments(data).items() if code in FRAMES]
+    except ValueError as error:
+        return None, str(error)
+    if not frames or len(frames[0]) < 9:
+        return None, "no whole frame header"
+    # Six bytes, the last one the number of components, then three bytes for each: its id, factors and table.
+    count, factors = frames[0][5], frames[0][7::3]
+    return ("4:4:4" if count == 3 and factors[:3] == b"\x11" * 3 else "other"), None
 
 
 def jpeg_sampling(data: Column) -> Column:

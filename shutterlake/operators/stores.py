@@ -13,6 +13,8 @@ DAY_NS = 24 * 3600 * 1_000_000_000
 FULL_DEFAULT, BROWSE_DEFAULT, FULL_OF_BROWSE = 256 << 20, 64 << 20, 5
 #: Rows that one range of a running sum holds on average.
 RANGE_ROWS = 50_000
+#: Ranges that are cut at quantiles; more rows take even steps within them.
+FIRST = 200
 
 
 def wanted_keys(catalog: DataFrame, quality: int, tiers: tuple[str, ...] = TIERS) -> DataFrame:
@@ -21,9 +23,13 @@ def wanted_keys(catalog: DataFrame, quality: int, tiers: tuple[str, ...] = TIERS
     return each.select("path", "tier", cache_key(F.col("path"), F.col("size"), F.col("mtime_ns"), F.col("tier"), F.lit(quality)).alias("key"))
 
 
-def cache_coverage(wanted: DataFrame, objects: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(present, missing, stale): wanted keys with and without an object, objects nobody wants."""
-    return wanted.join(objects, "key", "left_semi"), wanted.join(objects, "key", "left_anti"), objects.join(wanted, "key", "left_anti")
+def cache_coverage(wanted: DataFrame, objects: DataFrame) -> DataFrame:
+    """The columns of ``wanted`` with ``state``: present or missing, and stale for objects
+    that nobody wants (key alone). Objects have distinct keys, as files do."""
+    mine = objects.select("key", F.lit(True).alias("_stored"))
+    both = wanted.withColumn("_wanted", F.lit(True)).join(mine, "key", "full")
+    state = F.when(F.col("_wanted").isNull(), "stale").when(F.col("_stored"), "present").otherwise("missing")
+    return both.select(*wanted.columns, state.alias("state"))
 
 
 def store_bytes_by_tier(entries: DataFrame) -> DataFrame:
@@ -54,28 +60,34 @@ def size_estimates(photos: DataFrame, observed: DataFrame) -> DataFrame:
 def running_sum(df: DataFrame, value: str, order: str, tie: str, out: str) -> DataFrame:
     """``out``: the sum of ``value`` over all rows before, by (order, tie); order is BIGINT.
 
-    No task sees all rows: rows fall into ranges of ``order``, split again by ``tie`` where
-    many rows share one value, ranges are summed, and only a range's rows are ordered."""
-    n = df.count()
+    No task sees all rows: rows fall into FIRST ranges of ``order`` by its quantiles, these
+    into even steps, and steps again by ``tie`` where many rows share one value. Sums are
+    ordered range by range, then step by step within a range, then within a step; so a
+    window holds about RANGE_ROWS rows or sums however many rows there are."""
+    n, low, high = df.agg(F.count("*"), F.min(order), F.max(order)).first()
     ranges = max(1, math.ceil(n / RANGE_ROWS))
-    if ranges == 1:
-        cut = df.withColumn("_part", F.lit(0))
-    else:
-        qs = df.approxQuantile(order, [k / ranges for k in range(1, min(ranges, 1000))], 0.5 / min(ranges, 1000))
-        bounds = sorted({int(q) for q in qs})
-        array = F.array(*[F.lit(b).cast("bigint") for b in bounds])
-        part = F.size(F.filter(array, lambda b: b < F.col(order)))
-        cut = df.withColumn("_part", part)
-    # Within a range, equal values of a hot ``order`` are spread by the tie's first letters.
-    cut = cut.withColumn("_sub", F.struct(F.col(order).alias("o"), F.substring(F.col(tie), 1, 2).alias("t")))
-    sums = cut.groupBy("_part", "_sub").agg(F.sum(value).alias("_s"))
-    per = sums.groupBy("_part").agg(F.sum("_s").alias("_p"))
-    before_part = per.select("_part", (F.sum("_p").over(Window.orderBy("_part")) - F.col("_p")).alias("_ahead"))
-    inner = sums.select("_part", "_sub", (F.sum("_s").over(Window.partitionBy("_part").orderBy("_sub")) - F.col("_s")).alias("_in"))
-    offsets = inner.join(before_part, "_part")
-    within = Window.partitionBy("_part", "_sub").orderBy(tie)
+    first = min(ranges, FIRST)
+    bounds = sorted({int(q) for q in df.approxQuantile(order, [k / first for k in range(1, first)], 0.5 / first)}) if first > 1 else []
+    edges = F.array(*[F.lit(b).cast("bigint") for b in [low or 0, *bounds, high or 0]])
+    part = F.size(F.filter(F.slice(edges, 2, len(bounds)), lambda b: b < F.col(order)))
+    steps = math.ceil(ranges / first)
+    at, end = F.element_at(edges, F.col("_part") + 1).cast("double"), F.element_at(edges, F.col("_part") + 2).cast("double")
+    step = F.floor((F.col(order).cast("double") - at) / (end - at + 1) * steps) if steps > 1 else F.lit(0)
+    # Equal values of a hot ``order`` are spread by the tie's first letters.
+    sub = F.struct(F.col(order).alias("o"), F.substring(F.col(tie), 1, 2).alias("t"))
+    cut = df.withColumn("_part", part).withColumn("_step", step).withColumn("_sub", sub)
+    levels = ["_part", "_step", "_sub"]
+    sums = cut.groupBy(*levels).agg(F.sum(value).alias("_2"))
+    offsets = sums
+    for k in (1, 0):
+        total = sums.groupBy(*levels[: k + 1]).agg(F.sum("_2").alias(f"_{k}"))
+        ahead = F.sum(f"_{k}").over(Window.partitionBy(*levels[:k]).orderBy(levels[k])) - F.col(f"_{k}")
+        offsets = offsets.join(total.select(*levels[: k + 1], ahead.alias(f"_ahead{k}")), levels[: k + 1])
+    inside = F.sum("_2").over(Window.partitionBy("_part", "_step").orderBy("_sub")) - F.col("_2")
+    offsets = offsets.select(*levels, (F.col("_ahead0") + F.col("_ahead1") + inside).alias("_ahead"))
+    within = Window.partitionBy(*levels).orderBy(tie)
     ran = cut.withColumn("_run", F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col(value))
-    return ran.join(offsets, ["_part", "_sub"]).withColumn(out, F.col("_ahead") + F.col("_in") + F.col("_run")).drop("_part", "_sub", "_ahead", "_in", "_run")
+    return ran.join(offsets, levels).withColumn(out, F.col("_ahead") + F.col("_run")).drop(*levels, "_ahead", "_run")
 
 
 def retention_to_budget(objects: DataFrame, budget: int) -> DataFrame:

@@ -46,6 +46,16 @@ def around(requests: DataFrame, visible: DataFrame) -> DataFrame:
     return r.join(visible, "folder").select("*", ahead.alias("ahead"), steps.alias("steps"), weight.alias("weight"))
 
 
+def near_places(requests: DataFrame, visible: DataFrame, reach: int = BROWSE_REACH) -> DataFrame:
+    """What ``around`` gives up to a weighted distance of ``reach``: the places in question
+    are known from the current one, so only they are joined, not the whole folder."""
+    r = requests.join(visible.select("folder", F.col("idx").alias("current"), F.col("pos").alias("at")), ["folder", "current"], "left").withColumn("at", F.coalesce("at", F.lit(0)))
+    placed = r.withColumn("pos", F.explode(F.sequence(F.col("at") - reach, F.col("at") + reach)))
+    ahead, steps, weight = weighted_distance(F.col("pos"), F.col("at"), F.col("direction"))
+    placed = placed.select("*", ahead.alias("ahead"), steps.alias("steps"), weight.alias("weight")).filter(F.col("weight") <= reach)
+    return placed.join(visible, ["folder", "pos"])
+
+
 def budget_prefix(candidates: DataFrame, budget: str, base: str, size: str = "bytes") -> DataFrame:
     """Candidates from the nearest on (ahead before behind), up to the first that the
     budget doesn't hold beside ``base`` and those before it; none is passed over. Sizes are
@@ -83,9 +93,9 @@ def _warm(requests: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def fixed_plan(requests: DataFrame, visible: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """The plan without budgets; with ``sizes`` (folder, len) warm work is added."""
-    near = around(requests, visible).filter("idx <> current")
+    near = near_places(requests, visible).filter("idx <> current")
     beside = near.filter(F.col("steps") <= FULL_REACH)
-    wide = near.filter((F.col("steps") > FULL_REACH) & (F.col("weight") <= BROWSE_REACH))
+    wide = near.filter(F.col("steps") > FULL_REACH)
     place = 2 * F.col("pos") + 2
     parts = [
         *_current(requests), _target(beside, "browse", 2, F.col("weight"), "display", place),
@@ -100,17 +110,17 @@ def prewarm_plan(requests: DataFrame, visible: DataFrame, estimates: DataFrame,
     longest run of nearest photos that its budget holds. While zoomed, the photo ahead gets
     its full render before its browse render."""
     known = around(requests, visible).join(estimates, ["folder", "idx"])
+    near = near_places(requests, visible).join(estimates, ["folder", "idx"])
     # Full work first holds the current photo and its neighbours, whatever the budget.
     must = F.when((F.col("idx") == F.col("current")) | (F.col("steps") <= 1), True).otherwise(False)
     own = estimates.select("folder", F.col("idx").alias("current"), F.col("full_bytes").alias("_cf"), F.col("browse_bytes").alias("_cb"))
-    beside = known.filter((F.col("steps") <= 1) & (F.col("idx") != F.col("current")))
+    beside = near.filter((F.col("steps") <= 1) & (F.col("idx") != F.col("current")))
     held = beside.groupBy("session").agg(F.sum("full_bytes").alias("_nf"), F.sum("browse_bytes").alias("_nb"))
     base = requests.join(own, ["folder", "current"], "left").join(held, "session", "left").select(
         "session", (F.coalesce("_cf", F.lit(0)) + F.coalesce("_nf", F.lit(0))).alias("_full"), (F.coalesce("_cb", F.lit(0)) + F.coalesce("_nb", F.lit(0))).alias("_browse")
     )
-    far = known.filter(~must).join(base, "session")
-    full = budget_prefix(far, "full_budget", "_full", "full_bytes")
-    browse = budget_prefix(far.filter(F.col("weight") <= BROWSE_REACH), "browse_budget", "_browse", "browse_bytes")
+    full = budget_prefix(known.filter(~must).join(base, "session"), "full_budget", "_full", "full_bytes")
+    browse = budget_prefix(near.filter(~must).join(base, "session"), "browse_budget", "_browse", "browse_bytes")
     swap = F.when(F.col("zoomed") & F.col("ahead"), 1).otherwise(0)
     place = 2 * F.col("pos") + 2
     wave = 1_000_000_000 + 2 * F.col("weight") + F.when(F.col("ahead"), 0).otherwise(1)

@@ -7,6 +7,8 @@ rows, accepted and late commands). No query leaves rows out to be cheap.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -107,6 +109,27 @@ def s4_f2_write_sidecars(spark, sf):
     return done.select("owner", "status", xmp.xmp_parse_rating(F.col("xml")).alias("again"))
 
 
+def _folder(spark):
+    """A new folder that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+@query(SQL["s4_f2_write_sidecars"])
+def s4_sidecar_table(spark, sf):
+    """The published documents, read again."""
+    folder = _folder(spark)
+    sources.write_sidecars(d.derived(spark, sf, d.SIDECARS).selectExpr("owner", f"{d.xml_of()} AS xml", "(true_rating + 1) % 6 AS rating"), folder)
+    return spark.read.parquet(folder).select("owner", "status", xmp.xmp_parse_rating(F.col("xml")).alias("again"))
+
+
+@query(f"SELECT path, size, mtime_ns, rating, sidecar_dirty FROM ({IMG_SQL}) i")
+def s7_state_snapshot(spark, sf):
+    """A snapshot of the state, written and read again."""
+    folder = sources.write_state({"images": img(spark, sf)}, _folder(spark))
+    return sources.read_state(spark, folder, "images")["images"].select("path", "size", "mtime_ns", "rating", "sidecar_dirty")
+
+
 @query(f"SELECT owner, true_rating AS again FROM ({d.SIDECARS}) s")
 def f3_new_sidecar(spark, sf):
     return d.derived(spark, sf, d.SIDECARS).select("owner", xmp.xmp_parse_rating(xmp.xmp_new_sidecar(F.col("true_rating"))).alias("again"))
@@ -358,15 +381,12 @@ def j10_sync_outcomes(spark, sf):
 
 def _stored(spark, sf):
     wanted = stores.wanted_keys(cat(spark, sf), 90)
-    stray = d.derived(spark, sf, d.OBJECTS).filter("bytes % 50 = 0").select("key")
-    return wanted, wanted.filter("tier <> 'full'").select("key").union(stray)
+    return wanted, wanted.filter("tier <> 'full'").select("key").union(d.derived(spark, sf, d.OBJECTS).select("key"))
 
 
-@query(f"SELECT key, 'missing' AS state FROM ({WANTED_SQL}) w WHERE tier = 'full' UNION ALL SELECT key, 'present' AS state FROM ({WANTED_SQL}) w WHERE tier <> 'full' UNION ALL SELECT key, 'stale' AS state FROM ({d.OBJECTS_DUCKDB}) o WHERE bytes % 50 = 0")
+@query(f"SELECT key, 'missing' AS state FROM ({WANTED_SQL}) w WHERE tier = 'full' UNION ALL SELECT key, 'present' AS state FROM ({WANTED_SQL}) w WHERE tier <> 'full' UNION ALL SELECT key, 'stale' AS state FROM ({d.OBJECTS_DUCKDB}) o")
 def j11_cache_coverage(spark, sf):
-    parts = stores.cache_coverage(*_stored(spark, sf))
-    named = [p.select("key", F.lit(n).alias("state")) for p, n in zip(parts, ("present", "missing", "stale"))]
-    return named[0].union(named[1]).union(named[2])
+    return stores.cache_coverage(*_stored(spark, sf)).select("key", "state")
 
 
 @query(
@@ -490,9 +510,9 @@ def w13_revision_counters(spark, sf):
     return journal.revision_counters(e, spark.createDataFrame([], "path string, revision bigint"))
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS owner, count(*) AS revision, max(g) AS global_revision FROM (SELECT user_id, row_number() OVER (ORDER BY event_id) AS g FROM events WHERE event_id % 2 = 0) q GROUP BY user_id")
+@query("SELECT CAST(user_id AS VARCHAR) AS owner, count(*) AS revision, max(g) AS global_revision FROM (SELECT user_id, row_number() OVER (ORDER BY event_id) AS g FROM events) q GROUP BY user_id")
 def w13_owner_revisions(spark, sf):
-    accepted = spark.read.parquet(f"{sf}/events.parquet").filter("event_id % 2 = 0").selectExpr("event_id AS seq", "CAST(user_id AS STRING) AS owner", "md5(CAST(event_id AS STRING)) AS key")
+    accepted = spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_id AS seq", "CAST(user_id AS STRING) AS owner", "md5(CAST(event_id AS STRING)) AS key")
     return journal.owner_revisions(accepted, spark.createDataFrame([], "owner string, revision bigint, global_revision bigint"))
 
 
@@ -731,6 +751,55 @@ def x1_normalize_cfa(spark, sf):
     return out.select("vec_id", "n.width", "n.height", F.sha2("n.values", 256).alias("values_sha256"))
 
 
+# Scaled sites of the mosaic in steps of 1/256: whole numbers, so every later product is exact.
+LEVEL_SQL = f"SELECT vec_id, i, i // 8 % 2 * 2 + i % 2 AS c, i // 16 * 4 + i % 8 // 2 AS quad, greatest(v - (i // 8 % 2 * 2 + i % 2), 0) AS level FROM (SELECT vec_id, unnest({PV}) AS v, unnest(range(0, 64)) AS i FROM embeddings) q"
+SITES_SQL = f"SELECT vec_id, quad, max(CASE WHEN c = 0 THEN level END) AS a, max(CASE WHEN c = 1 THEN level END) AS b, max(CASE WHEN c = 2 THEN level END) AS c, max(CASE WHEN c = 3 THEN level END) AS d FROM ({LEVEL_SQL}) l GROUP BY vec_id, quad"
+RGB_SQL = f"SELECT vec_id, quad, CASE vec_id % 4 WHEN 0 THEN a WHEN 1 THEN d WHEN 2 THEN c ELSE b END / 256.0 AS r, CASE WHEN vec_id % 4 < 2 THEN b + c ELSE a + d END / 512.0 AS g, CASE vec_id % 4 WHEN 0 THEN d WHEN 1 THEN a WHEN 2 THEN b ELSE c END / 256.0 AS b FROM ({SITES_SQL}) s"
+LINEAR_SQL = f"SELECT vec_id, quad, unnest([least(greatest(3.0 * r - 0.25 * g - 0.375 * b, 0), 1), least(greatest(1.75 * g - r - 0.375 * b, 0), 1), least(greatest(2.25 * b - 0.5 * g, 0), 1)]) AS x, unnest([0, 1, 2]) AS k FROM ({RGB_SQL}) p"
+LIFT_SQL = f"SELECT vec_id, quad, k, {geometry.GAIN} * v / (1 + ({geometry.GAIN} - 1) * v) AS l FROM (SELECT vec_id, quad, k, floor(CAST(x AS FLOAT) * CAST(65535 AS FLOAT) + CAST(0.5 AS FLOAT)) / CAST(65535 AS DOUBLE) AS v FROM ({LINEAR_SQL}) x) y"
+GAMMA_SQL = f"SELECT vec_id, quad, k, CASE WHEN l <= 0.0031308 THEN 12.92 * l ELSE 1.055 * pow(l, 1 / CAST(2.4 AS DOUBLE)) - 0.055 END AS g FROM ({LIFT_SQL}) l"
+
+
+def _scaled(spark, sf):
+    four = lambda x: F.array(*[F.lit(float(x + i)) for i in range(4)])
+    return _images(spark, sf).select("vec_id", pixels.normalize_cfa(F.col("m"), four(4096), four(4352)).alias("n"))
+
+
+def _developed(spark, sf, upto):
+    """RGB planes after quads are joined, and after calibration."""
+    pattern = F.element_at(F.array(*map(F.lit, pixels.QUADS)), (F.col("vec_id") % 4 + 1).cast("int"))
+    rgb = _scaled(spark, sf).select("vec_id", pixels.superpixels(F.col("n"), pattern, F.array(*map(F.lit, (0, 0, 8, 8)))).alias("p"))
+    if upto == "quads":
+        return rgb
+    gains, matrix = (F.array(*map(F.lit, x)) for x in ((2.0, 1.0, 1.5), (1.5, -0.25, -0.25, -0.5, 1.75, -0.25, 0.0, -0.5, 1.5)))
+    return rgb.select("vec_id", pixels.calibrate(F.col("p"), gains, matrix).alias("p"))
+
+
+def _steps(plane, scale):
+    return F.array_join(F.transform(pixels.plane_values(plane), lambda x: (x * scale).cast("bigint")), ",")
+
+
+@query(f"SELECT vec_id, string_agg(level, ',' ORDER BY i) AS levels FROM ({LEVEL_SQL}) l GROUP BY vec_id")
+def x1_levels(spark, sf):
+    return _scaled(spark, sf).select("vec_id", _steps(F.col("n"), 256).alias("levels"))
+
+
+@query(f"SELECT vec_id, string_agg(CAST(512 * x AS BIGINT), ',' ORDER BY quad, k) AS rgb FROM (SELECT vec_id, quad, unnest([r, g, b]) AS x, unnest([0, 1, 2]) AS k FROM ({RGB_SQL}) p) q GROUP BY vec_id")
+def x2_superpixels(spark, sf):
+    return _developed(spark, sf, "quads").select("vec_id", _steps(F.col("p"), 512).alias("rgb"))
+
+
+@query(f"SELECT vec_id, string_agg(CAST(8192 * x AS BIGINT), ',' ORDER BY quad, k) AS rgb FROM ({LINEAR_SQL}) q GROUP BY vec_id")
+def x3_calibrate(spark, sf):
+    return _developed(spark, sf, "calibrated").select("vec_id", _steps(F.col("p"), 8192).alias("rgb"))
+
+
+@query(f"SELECT vec_id, string_agg(upper(lpad(to_hex(CAST(floor((g + {geometry.BLEND} * (g * g * (3 - 2 * g) - g)) * 255 + 0.5) AS BIGINT)), 2, '0')) || CASE WHEN k = 2 THEN 'FF' ELSE '' END, '' ORDER BY quad, k) AS rgba FROM ({GAMMA_SQL}) q GROUP BY vec_id")
+def x4_pack_rgba(spark, sf):
+    packed = _developed(spark, sf, "calibrated").select("vec_id", pixels.pack_rgba(F.col("p")).alias("i"))
+    return packed.select("vec_id", _bytes(F.col("i")).alias("rgba"))
+
+
 @query()
 def x2_x8_develop_browse(spark, sf):
     four = lambda x: F.array(*[F.lit(float(x)) for _ in range(4)])
@@ -746,7 +815,11 @@ def x5_rotate(spark, sf):
     return _images(spark, sf).select("vec_id", turned.alias("r")).select("vec_id", F.array_join(shown, ",").alias("rgba"))
 
 
-@query()
+@query(
+    f"""SELECT vec_id, 2 AS width, 2 AS height, string_agg(upper(lpad(to_hex(value), 2, '0')), '' ORDER BY r, c, k) AS rgba FROM (
+ SELECT vec_id, r, c, k, greatest(least((2 * n + 58564) // 117128, 255), 0) AS value FROM (SELECT vec_id, o.r, o.c, i % 4 AS k, CAST(sum(v * (CASE WHEN o.r = 0 THEN [111, 111, 29, -9] ELSE [-9, 29, 111, 111] END)[i // 16 + 1] * (CASE WHEN o.c = 0 THEN [111, 111, 29, -9] ELSE [-9, 29, 111, 111] END)[i // 4 % 4 + 1]) AS BIGINT) AS n
+ FROM (SELECT vec_id, unnest({PV}) AS v, unnest(range(0, 64)) AS i FROM embeddings) q CROSS JOIN (SELECT unnest([0, 0, 1, 1]) AS r, unnest([0, 1, 0, 1]) AS c) o GROUP BY vec_id, o.r, o.c, i % 4) s) z GROUP BY vec_id"""
+)
 def x6_downscale(spark, sf):
     return _images(spark, sf).select("vec_id", pixels.downscale(F.col("a"), 2).alias("i")).select("vec_id", "i.width", "i.height", _bytes(F.col("i")).alias("rgba"))
 

@@ -19,6 +19,8 @@ from shutterlake.operators.ratings import merge_rating_layers
 from shutterlake.sources.catalog import read_state, write_state
 
 DEBOUNCE = "400 milliseconds"
+#: Commands that one range of sequence numbers holds on average.
+RANGE_ROWS = 50_000
 
 
 def debounce_ratings(commands: DataFrame, gap: str = DEBOUNCE, delay: str | None = None) -> DataFrame:
@@ -32,9 +34,17 @@ def debounce_ratings(commands: DataFrame, gap: str = DEBOUNCE, delay: str | None
 
 def debounce_with_flush(commands: DataFrame, gap_ms: int = 400) -> DataFrame:
     """The same over a table where rows of kind ``flush`` make everything pending of their
-    library due at once: library, owner, seq, rating, due."""
-    flushes = F.sum(F.when(F.col("kind") == "flush", 1).otherwise(0))
-    counted = commands.withColumn("_f", flushes.over(Window.partitionBy("library").orderBy("seq")))
+    library due at once: library, owner, seq, rating, due.
+
+    A library's flushes are counted in ranges of ``seq`` first, so no task sees all of a
+    library's commands."""
+    n, low, high = commands.agg(F.count("*"), F.min("seq"), F.max("seq")).first()
+    width = max(1, ((high or 0) - (low or 0) + 1) * RANGE_ROWS // max(n, 1))
+    ranged = commands.withColumn("_r", F.floor((F.col("seq") - F.lit(low or 0)) / width)).withColumn("_one", (F.col("kind") == "flush").cast("bigint"))
+    sums = ranged.groupBy("library", "_r").agg(F.sum("_one").alias("_n"))
+    before = sums.select("library", "_r", (F.sum("_n").over(Window.partitionBy("library").orderBy("_r")) - F.col("_n")).alias("_before"))
+    inside = F.sum("_one").over(Window.partitionBy("library", "_r").orderBy("seq"))
+    counted = ranged.withColumn("_in", inside).join(before, ["library", "_r"]).withColumn("_f", F.col("_before") + F.col("_in")).drop("_r", "_one", "_in", "_before")
     marks = counted.filter("kind = 'flush'").select("library", (F.col("_f") - 1).alias("_f"), F.col("ts").alias("_flush"))
     ratings = counted.filter("kind = 'rate'")
     order = Window.partitionBy("library", "owner").orderBy("seq")
@@ -131,8 +141,8 @@ def metadata_failures(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events.filter("event_type <> 'failed'"), events.filter("event_type = 'failed'")
 
 
-def journal_stream(commands: DataFrame, images: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Journals each micro-batch into a new snapshot of ``images`` below ``root``; the name
+def journal_stream(commands: DataFrame, images: DataFrame, root: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Journals what has arrived and ends, or goes on each ``interval``. Journals each micro-batch into a new snapshot of ``images`` below ``root``; the name
     of the snapshot after batch n is stored under ``root/after/n``, so that a batch that
     runs again starts from the same snapshot and gives the same result."""
     spark = commands.sparkSession
@@ -145,4 +155,5 @@ def journal_stream(commands: DataFrame, images: DataFrame, root: str, checkpoint
         folder = write_state({"images": journal_ratings(before, batch)}, root)
         spark.createDataFrame([(folder,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/after/{n}")
 
-    return commands.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = commands.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

@@ -288,3 +288,33 @@ def test_navigate(spark):
     out = views.navigate(shown, spark.createDataFrame([("f", c, d) for c, d in steps], "folder string, current int, delta int"))
     got = {(r["current"], r["delta"]): r["target"] for r in out.collect()}
     assert [got[s] for s in steps] == [7, 2, 7, 5, 2, 7, 2, 5]
+
+
+def test_running_sum_over_many_ranges(spark, monkeypatch):
+    """Quantile ranges, even steps within them, and one value that holds a third of all rows."""
+    monkeypatch.setattr(stores, "RANGE_ROWS", 7)
+    monkeypatch.setattr(stores, "FIRST", 5)
+    rng = random.Random(4)
+    rows = [(500 if i % 3 == 0 else rng.choice([rng.randint(-9, 9), 10**15 + i, rng.randint(0, 1000)]), f"{rng.randrange(16**4):04x}{i:04d}", rng.randint(0, 50)) for i in range(400)]
+    for part in (rows, rows[:3], []):
+        got = {r["key"]: r["before"] for r in stores.running_sum(spark.createDataFrame(part, "at bigint, key string, n bigint"), "n", "at", "key", "before").collect()}
+        total, want = 0, {}
+        for _, key, n in sorted(part):
+            want[key] = total
+            total += n
+        assert got == want
+
+
+def test_flushes_in_ranges(spark, monkeypatch):
+    from shutterlake.streaming import ratings as streams
+
+    rng = random.Random(5)
+    rows, at = [], 0
+    for seq in range(300):
+        at += rng.choice([1, 100, 500])
+        flush = rng.random() < 0.1
+        rows.append((seq * 3, at, rng.choice("xy") if seq % 2 else "hot", None if flush else rng.choice("abc"), "flush" if flush else "rate", rng.randint(0, 5)))
+    frame = spark.createDataFrame(rows, "seq bigint, ms bigint, library string, owner string, kind string, rating int").withColumn("ts", F.timestamp_millis("ms"))
+    once = sorted(map(tuple, streams.debounce_with_flush(frame).collect()))
+    monkeypatch.setattr(streams, "RANGE_ROWS", 10)
+    assert sorted(map(tuple, streams.debounce_with_flush(frame).collect())) == once and len(once) > 50
