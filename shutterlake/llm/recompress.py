@@ -10,9 +10,10 @@ it is known which windows imply it.
 
 1. Spark counts the names of all documents (exchange.py). A window that implies a symbol
    which stands nowhere else can't be a repeat.
-2. What is left of the windows, the insides of long repeats, is verified: a chunk keeps the
-   first of each of its equal windows and sends its 96-bit fingerprint to the buckets,
-   where the earliest document and start wins; the others are answered as repeats.
+2. What is left of the windows, the insides of long repeats, is named by the symbols that it
+   implies and the words between them. A chunk keeps the first of each of its windows of one
+   name and sends the name, with 32 bits of a second hash of the words, to the buckets, where
+   the earliest document and start wins; the others are answered as repeats.
 3. Words that repeats cover are removed from their documents.
 
 Edge cases: a null text has no words; windows never cross documents; a text shorter than
@@ -109,6 +110,28 @@ def candidates(name: np.ndarray, low: np.ndarray, high: np.ndarray, lone: np.nda
     return np.flatnonzero(whole & (np.cumsum(edge)[:n] == 0))
 
 
+_PLACES = mix(np.arange(1, 1 << 12, dtype=np.uint64)) | np.uint64(1)
+
+
+def window_names(table: tuple[np.ndarray, ...], word: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """A name for the window at each start, put together from the symbols that the window
+    implies and the words between them. Equal windows imply the same symbols at the same
+    places, so they have the same name."""
+    name, start, end, low, high = table
+    symbol = np.full(len(word), -1)
+    symbol[start] = np.arange(len(start))
+    inside = mix(name ^ np.uint64(0xD1B54A32D192ED03))
+    total, until = np.zeros(len(at), np.uint64), at.copy()
+    for k in range(window):
+        place = at + k
+        own = symbol[place]
+        free = place >= until
+        implied = free & (own >= 0) & (low[own] >= at) & (high[own] <= at + window)
+        total += np.where(free, np.where(implied, inside[own], word[place]), np.uint64(0)) * _PLACES[k]
+        until = np.where(implied, end[own], until)
+    return mix(total)
+
+
 def _ordered(table: pa.Table) -> pa.Table:
     """A chunk's rows by id, then by text, so that every pass numbers them alike."""
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if table.num_rows > 1 else table
@@ -126,15 +149,16 @@ def _first_windows(table: pa.Table, answers: pa.Table, buckets: int, chunks: int
     chunk = table["chunk"][0].as_py()
     table = _ordered(table)
     data, _, starts, ends, of, h = _hashes(table["text"])
-    name, start, end, low, high = symbols(h, of)
+    table_of = symbols(h, of)
+    name, start, end, low, high = table_of
     use = _sendable(start, end, low, high, window)
     name, low, high = name[use], low[use], high[use]
-    grams, whole = gram_hashes(h, of, window)
+    other, whole = gram_hashes(hash_spans(data, starts, ends, 1), of, window)
     at = candidates(name, low, high, exchange.counts_of(name, answers, buckets) == 1, whole, window)
-    more = gram_hashes(hash_spans(data, starts, ends, 1), of, window)[0][at] & np.uint64(0xFFFFFFFF)
+    more = other[at] & np.uint64(0xFFFFFFFF)
     row = np.repeat(np.arange(len(of) - 1), np.diff(of))[at]
     doc = table["doc_id"].fill_null(NULL_ID).to_numpy()[row]
-    where, hashed = at - of[row], grams[at]
+    where, hashed = at - of[row], window_names(table_of, h, at, window)
     order = np.lexsort((where, doc, more, hashed))
     row, doc, where, hashed, more = row[order], doc[order], where[order], hashed[order], more[order]
     new = np.ones(len(order), bool)
@@ -212,6 +236,8 @@ def _without(table: pa.Table, repeats: pa.Table, window: int) -> pa.Table:
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and ``kept``, the words that stay joined by spaces."""
+    if not 0 < window < len(_PLACES):
+        raise ValueError("windows have 1 to 4,094 words")
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     chunked, chunks = exchange.in_chunks(docs, "text", "doc_id")
     buckets = exchange.buckets_for(chunks)

@@ -740,3 +740,19 @@ def test_surrogates_over_a_table(spark):
             at, shift = m["end"], stop - m["end"]
     assert len(drawn) > 50 and all(len(v) == 1 for v in drawn.values()) and all(len(v) == 1 for v in shown.values())
     assert not {(s, e) for s, e in shown} & {("name" if k.startswith(("given", "surname")) else k, e) for k, e in drawn}
+
+
+def test_windows_named_by_symbols():
+    """Equal windows have equal names in any surroundings, different ones don't; symbols take part."""
+    rng = random.Random(17)
+    for size, alphabet in ((20, 2), (20, 50), (7, 3)):
+        words_of = [np.array([rng.randrange(alphabet) for _ in range(rng.randint(0, 120))]) for _ in range(60)]
+        shared = np.array([rng.randrange(alphabet) for _ in range(40)])
+        rows = [np.concatenate([w[: len(w) // 2], shared, w[len(w) // 2 :]]) if k % 2 else w for k, w in enumerate(words_of)]
+        of = np.cumsum([0, *map(len, rows)])
+        word = recompress.mix(np.concatenate(rows).astype(np.uint64) + np.uint64(7))
+        at = np.array([i + of[r] for r, w in enumerate(rows) for i in range(len(w) - size + 1)])
+        names = recompress.window_names(recompress.symbols(word, of), word, at, size)
+        content = [word[i : i + size].tobytes() for i in at]
+        assert len(set(zip(names.tolist(), content))) == len(set(names.tolist())) == len(set(content)) < len(at)
+
