@@ -182,8 +182,8 @@ def near(a, b, most=2):
     return row[len(b)] <= most
 
 
-def lines_left(rows, most=2, least=20):
-    """Equal lines of any length, and near ones from ``least`` code points on."""
+def early_lines(rows, most=2, least=20):
+    """Where each line with a word, or one near it, stands first; near ones from ``least`` code points on."""
     key = lambda i: (i is not None, i)
     first = {}
     for i, t, *_ in rows:
@@ -191,8 +191,11 @@ def lines_left(rows, most=2, least=20):
             if WORD.search(x):
                 first[x] = min(first.get(x, (key(i), n)), (key(i), n))
     long = sorted((x for x in first if len(x) >= least), key=len)
-    early = {x: min([first[x], *(first[y] for y in long if len(x) >= least and near(x, y, most))]) for x in first}
-    out = collections.Counter()
+    return {x: min([first[x], *(first[y] for y in long if len(x) >= least and near(x, y, most))]) for x in first}
+
+
+def lines_left(rows, most=2, least=20):
+    key, early, out = (lambda i: (i is not None, i)), early_lines(rows, most, least), collections.Counter()
     for i, t, *_ in rows:
         parts = [] if t is None else t.split("\n")
         left = [x for n, x in enumerate(parts) if not (WORD.search(x) and early[x] < (key(i), n))]

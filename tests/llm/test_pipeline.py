@@ -1,13 +1,16 @@
 """The pipeline's stages, each on what its predecessor kept."""
 
+import collections
+
 import corpus_pipeline
+import duckdb
 import numpy as np
 import sentencepiece
 
-from shutterlake.llm import entry
+from shutterlake.llm import entry, oracles, pair_rank
 from shutterlake.llm.store import stored
 
-from .test_llm_operators import ROWS, SCHEMA
+from .test_llm_operators import ROWS, SCHEMA, WORD, classes, early_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,3 +67,35 @@ def test_short_repeated_lines_go(spark):
     left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()}
     want = {0: texts[0], 1: "\nfirst two\n \t\nß ", 2: "Ietzte!", 4: "\n \t"}
     assert left == {i: (t, len(t)) for i, t in want.items()}
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """The rows of every stage from those of the one before it, by plain means."""
+    docs = entry.documents(spark, SF)
+    stages = dict(corpus_pipeline.STAGES)
+    rows = [tuple(r) for r in docs.collect()]
+    for name in ("quality", "line_dedup", "near_duplicates", "mixing"):
+        before, docs = docs, stored(stages[name](spark, docs, SF))
+        got = collections.Counter(tuple(r) for r in docs.collect())
+        if name == "quality":
+            good = {r["doc_id"] for r in pair_rank.score_digest(before, entry.table(spark, SF, "labels")).filter("score >= 0.3").collect()}
+            want = collections.Counter(r for r in rows if r[0] in good)
+        if name == "line_dedup":
+            early, want = early_lines(rows), collections.Counter()
+            for i, t, *rest in rows:
+                left = "\n".join(x for n, x in enumerate(t.split("\n")) if not (WORD.search(x) and early[x] < ((True, i), n)))
+                if left == t or WORD.search(left):
+                    want[(i, left, *rest[:-1], len(left))] += 1
+        if name == "near_duplicates":
+            first = {c for _, _, c in classes(rows)}
+            want = collections.Counter(r for r in rows if r[0] in first)
+        if name == "mixing":
+            before.write.parquet(f"{tmp_path}/documents")
+            con = duckdb.connect()
+            con.execute(f"create view documents as select * from '{tmp_path}/documents/*.parquet'")
+            out = con.execute(oracles.MIX)
+            at = {c[0]: k for k, c in enumerate(out.description)}
+            copies = {r[at["doc_id"]]: r[at["taken"]] // max(r[at["size"]], 1) for r in out.fetchall()}
+            want = collections.Counter({r: copies[r[0]] for r in rows if copies[r[0]]})
+        assert got == want, name
+        rows = list(got.elements())
