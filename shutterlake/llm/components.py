@@ -11,6 +11,8 @@ from shutterlake.llm.store import kept
 
 #: Bytes up to which the smaller side of a join may be broadcast.
 BROADCAST_BYTES = 16 << 20
+#: Links or nodes (some 50 bytes each) up to which one task holds them.
+ONE_TASK = 200_000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -23,28 +25,34 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """The frame, stored; one partition up to ONE_TASK rows, whose joins don't shuffle then."""
+    df = kept(df)
+    return df.coalesce(1) if df.count() <= ONE_TASK else df
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (smallest node that links reach) for all nodes of ``links`` (a, b).
 
     Alternating star contraction: each round ties larger neighbours to the smallest one,
-    then smaller ones; the number of rounds grows with the logarithm of the longest path."""
-    edges = kept(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    then smaller ones; the number of rounds grows with the logarithm of the longest path.
+    Up to ONE_TASK links, whose number never grows, are one partition and don't shuffle."""
+    pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+    both_ways = lambda df, *pairs: df.select(F.explode(F.array(*pairs)).alias("e")).select("e.*")
+    edges = gathered(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
-        both = edges.union(edges.select("b", "a"))
+        both = both_ways(edges, pair("a", "b"), pair("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Smaller neighbours: each a of ``large`` has only smaller b.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        ties = large.join(least, "a")
-        edges = kept(
-            ties.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        )
+        ties = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        edges = kept(both_ways(ties, pair("b", "m"), pair("a", "m")).filter("a <> b").distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+    return both_ways(edges, F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.llm import exchange
-from shutterlake.llm.components import components, forest, in_blocks, small
+from shutterlake.llm.components import components, forest, gathered, in_blocks, small
 from shutterlake.llm.store import kept
 from shutterlake.llm.text_arrays import LOWER_ASCII, gram_hashes, hash_spans, mix, raw, words
 
@@ -191,21 +191,22 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     def ties(table: pa.Table) -> pa.Table:
         return _ties(table, percent)
 
-    tied_pairs = kept(found.filter("kind = 1").groupBy("bucket").applyInArrow(ties, "a long, b long").distinct())
+    tied_pairs = gathered(found.filter("kind = 1").groupBy("bucket").applyInArrow(ties, "a long, b long").distinct())
     tied = components(tied_pairs)
     # One text of each node stands for all. Nodes whose ids are all null use the null id.
     nodes = kept(members.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies")))
+    known = gathered(nodes.join(tied, "node").select("node", "doc_id", "n", "root"))
     rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NULL_ID)))
 
     def links(table: pa.Table) -> pa.Table:
         return _links(table, size, percent)
 
     def linked(blocks: DataFrame) -> DataFrame:
-        wanted = kept(blocks.join(nodes, "node").select("block", "node", F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id")))
+        wanted = kept(blocks.join(known, "node").select("block", "node", F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id")))
         return rows.join(small(wanted), "_id").select("block", "node", "text").groupBy("block").applyInArrow(links, "a long, b long")
 
     # First round: a document tied to more than one goes with the smallest of them.
-    hubs = kept(tied_pairs.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("hub")).join(nodes.select("node", "n"), "node"))
+    hubs = kept(tied_pairs.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("hub")).join(known.select("node", "n"), "node"))
     parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     groups = hubs.join(hubs.groupBy("hub").agg(parts.alias("parts")), "hub")
     block = F.xxhash64("hub", "part").alias("block")
@@ -215,12 +216,12 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     classes = kept(components(near))
 
     # Second round: components that are not linked yet throughout.
-    owned = tied.join(classes.withColumnRenamed("root", "owner"), "node", "left").withColumn("owner", F.coalesce("owner", "node"))
+    owned = known.join(classes.withColumnRenamed("root", "owner"), "node", "left").withColumn("owner", F.coalesce("owner", "node"))
     owners = kept(owned.groupBy("root", "owner").agg(F.count("*").alias("held")))
     open_roots = owners.groupBy("root").agg(F.count("*").alias("owners")).filter("owners > 1").select("root")
     big = owners.filter(F.col("held") > BLOCK).select("root", "owner", F.lit(True).alias("big"))
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / min(percent, 99))))
-    left = owned.join(open_roots, "root").join(big, ["root", "owner"], "left").join(nodes.select("node", "n"), "node")
+    left = owned.join(open_roots, "root").join(big, ["root", "owner"], "left")
     left = kept(left.select("node", "root", step.alias("step"), F.when(F.col("big"), F.col("owner")).alias("owner"), F.col("n").alias("weight")))
     found_links = linked(in_blocks(left, BLOCK, BLOCK_SHINGLES))
     return _classes(members, nodes, kept(components(near.union(found_links))))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shutterlake.llm import exchange
-from shutterlake.llm.components import components, forest, in_blocks, small
+from shutterlake.llm.components import components, forest, gathered, in_blocks, small
 from shutterlake.llm.store import kept, spare
 from shutterlake.llm.text_arrays import arrow_session, joined_spans, mix, raw, release, slices
 
@@ -390,7 +390,7 @@ def staying_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
         return _ties(table, edits)
 
     tied = components(_sent_keys(docs, buckets, edits, min_chars).groupBy("bucket").applyInArrow(ties, "a long, b long"))
-    known = kept(tied.withColumnRenamed("node", "line").join(firsts, "line").select("line", "root", "length", F.col("first.doc").alias("first_doc"), F.col("first.number").alias("first_number")))
+    known = gathered(tied.withColumnRenamed("node", "line").join(firsts, "line").select("line", "root", "length", F.col("first.doc").alias("first_doc"), F.col("first.number").alias("first_number")))
     texts = _texts(docs, known, min_chars).dropDuplicates(["line"])
     # Lines of a component are near only if their lengths are.
     nodes = known.select(F.col("line").alias("node"), "root", F.floor(F.col("length") / max(edits, 1)).alias("step"), F.lit(None).cast("long").alias("owner"), F.col("length").alias("weight"))
