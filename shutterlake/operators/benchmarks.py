@@ -62,9 +62,9 @@ def probe_summary(probe: DataFrame) -> DataFrame:
 def compare_records(records: DataFrame, least_runs: int = 3) -> DataFrame:
     """input_sha256, control_ms, candidate_ms where both variants ran often enough and all
     their outputs for the input agree."""
-    by = records.groupBy("input_sha256").agg(
-        F.count_distinct("output_sha256").alias("outputs"),
-        *[F.count(F.when(F.col("variant") == v, 1)).alias(f"n_{v}") for v in ("control", "candidate")],
-        *[upper_median(F.when(F.col("variant") == v, F.col("total_ms"))).alias(f"{v}_ms") for v in ("control", "candidate")],
-    )
-    return by.filter((F.col("outputs") == 1) & (F.col("n_control") >= least_runs) & (F.col("n_candidate") >= least_runs)).select("input_sha256", "control_ms", "candidate_ms")
+    ran = lambda v: F.count(F.when(F.col("variant") == v, 1)) >= least_runs
+    fit = records.groupBy("input_sha256").agg(F.count_distinct("output_sha256").alias("_outputs"), (ran("control") & ran("candidate")).alias("_ran")).filter("_outputs = 1 and _ran")
+    times = upper_medians(records.filter(F.col("variant").isin("control", "candidate")), ["input_sha256", "variant"], F.col("total_ms"), "_ms")
+    both = times.groupBy("input_sha256").agg(*[F.max(F.when(F.col("variant") == v, F.col("_ms"))).alias(f"{v}_ms") for v in ("control", "candidate")])
+    f, b = fit.alias("f"), both.alias("b")
+    return f.join(b, F.col("f.input_sha256").eqNullSafe(F.col("b.input_sha256")), "left").select("f.input_sha256", "control_ms", "candidate_ms")

@@ -15,9 +15,9 @@ def folder_index(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("idx", F.row_number().over(Window.partitionBy("folder").orderBy("file_name")) - 1)
 
 
-def visible_positions(photos: DataFrame) -> DataFrame:
-    """folder, idx, pos of the photos that are shown."""
-    return photos.select("folder", "idx", (F.row_number().over(Window.partitionBy("folder").orderBy("idx")) - 1).alias("pos"))
+def visible_positions(photos: DataFrame, *keep: str) -> DataFrame:
+    """folder, idx, pos, and the columns of ``keep``, of the photos that are shown."""
+    return photos.select("folder", "idx", *keep, (F.row_number().over(Window.partitionBy("folder").orderBy("idx")) - 1).alias("pos"))
 
 
 def current_position(visible: DataFrame, current: DataFrame) -> DataFrame:

@@ -130,6 +130,41 @@ def s7_state_snapshot(spark, sf):
     return sources.read_state(spark, folder, "images")["images"].select("path", "size", "mtime_ns", "rating", "sidecar_dirty")
 
 
+def _files(frame, kind, by):
+    """Writes lines as files with an extension of three letters, in a folder for each ``by``."""
+    folder = _folder(frame.sparkSession)
+    frame.write.partitionBy(by).option("extension", kind).option("quote", "\u0000").option("sep", "\u0001").csv(folder)
+    return folder
+
+
+@query("SELECT printf('d%02d', doc_id % 37) AS folder, CAST(sum(2 * coalesce(strlen(text), 0) + 2) AS BIGINT) AS size FROM documents GROUP BY doc_id % 37")
+def s1_scan_catalog(spark, sf):
+    """Photos written in folders and found again: a line of hexadecimal digits for each text."""
+    lines = spark.read.parquet(f"{sf}/documents.parquet").select(F.format_string("d%02d", F.col("doc_id") % 37).alias("folder"), F.concat(F.lit("x"), F.coalesce(F.hex("text"), F.lit(""))).alias("line"))
+    found = sources.scan_catalog(spark, _files(lines, "arw", "folder"))
+    return found.groupBy(F.regexp_extract("folder", "folder=([^/]*)$", 1).alias("folder")).agg(F.sum("size").alias("size"))
+
+
+@query(f"SELECT owner, rating FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY seq DESC) AS n FROM (SELECT event_id AS seq, printf('P%06d', user_id) AS owner, CAST(floor(value) AS INT) % 6 AS rating FROM events) c) q WHERE n = 1")
+def s3_s4_sidecar_files(spark, sf):
+    """Sidecars updated with the last command of each owner, as files, and their ratings read again."""
+    last = journal.latest_command(commands(spark, sf)).selectExpr("regexp_extract(owner, '([^/]*)[.]xmp$', 1) AS owner", f"{d.xml_of('seq % 2', '0')} AS xml", "rating")
+    found = sources.read_sidecars(spark, _files(sources.sidecar_documents(last).select("owner", "xml"), "xmp", "owner"))
+    return found.select(F.regexp_extract("owner", "owner=([^/]*)/", 1).alias("owner"), "rating")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS input_sha256, event_type AS variant, value AS total_ms, event_id AS seq FROM events WHERE event_id % 3 <> 0")
+def s6_develop_records(spark, sf):
+    """Records of two schemas, written as JSON; those of the first are read."""
+    folder = _folder(spark)
+    records = spark.read.parquet(f"{sf}/events.parquet").selectExpr(
+        "CAST(user_id AS STRING) AS input_sha256", "event_type AS variant", "'' AS output_sha256", "CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS schema_version", "value AS total_ms",
+        "array(named_struct('name', 'decode', 'ms', CAST(event_id AS DOUBLE))) AS stages",
+    )
+    records.write.json(folder)
+    return sources.read_develop_records(spark, folder).select("input_sha256", "variant", "total_ms", F.col("stages")[0]["ms"].cast("bigint").alias("seq"))
+
+
 @query(f"SELECT owner, true_rating AS again FROM ({d.SIDECARS}) s")
 def f3_new_sidecar(spark, sf):
     return d.derived(spark, sf, d.SIDECARS).select("owner", xmp.xmp_parse_rating(xmp.xmp_new_sidecar(F.col("true_rating"))).alias("again"))
@@ -302,7 +337,7 @@ def flagship_open_library(spark, sf):
     photos = cat(spark, sf)
     resolved = ratings.resolve_ratings(photos, img(spark, sf), notes(spark, sf))
     shown = ratings.rating_filter(photos.join(resolved, "path", "left"), 3)
-    return views.visible_positions(shown).join(photos, ["folder", "idx"]).select("path", "pos")
+    return views.visible_positions(shown, "path").select("path", "pos")
 
 
 @query(f"SELECT folder, idx, coalesce(CASE WHEN doc_id % 8 = 0 THEN doc_id % 6 END, CASE WHEN doc_id % 3 = 0 THEN doc_id % 5 END, CASE WHEN doc_id % 4 > 0 THEN least(doc_id % 9, 5) END) AS rating FROM ({CAT_SQL}) c WHERE doc_id % 8 = 0 OR doc_id % 3 = 0 OR (doc_id % 4 > 0 AND doc_id % 9 > 0)".replace("CASE WHEN doc_id % 4 > 0 THEN", "CASE WHEN doc_id % 4 > 0 AND doc_id % 9 > 0 THEN"))
@@ -379,6 +414,17 @@ def j10_sync_outcomes(spark, sf):
     return _due(spark, sf).select("path", "outcome")
 
 
+@query(
+    f"""SELECT i.path, i.rating, i.sidecar_dirty AND coalesce(o.outcome <> 'written', TRUE) AS sidecar_dirty, CASE WHEN o.outcome = 'written' THEN i.mtime_ns + 5 ELSE i.sidecar_mtime_ns END AS sidecar_mtime_ns, coalesce(o.outcome = 'owner_changed', FALSE) AS archived
+ FROM ({IMG_SQL}) i LEFT JOIN ({OUTCOME_SQL}) o ON o.path = i.path WHERE coalesce(o.outcome <> 'discarded', TRUE)"""
+)
+def j10_apply_outcomes(spark, sf):
+    images = img(spark, sf)
+    left, archived = journal.apply_outcomes(images, images.limit(0), _due(spark, sf))
+    both = left.withColumn("archived", F.lit(False)).unionByName(archived.withColumn("archived", F.lit(True)))
+    return both.select("path", "rating", "sidecar_dirty", "sidecar_mtime_ns", "archived")
+
+
 def _stored(spark, sf):
     wanted = stores.wanted_keys(cat(spark, sf), 90)
     return wanted, wanted.filter("tier <> 'full'").select("key").union(d.derived(spark, sf, d.OBJECTS).select("key"))
@@ -397,6 +443,12 @@ def j12_rate_with_members(spark, sf):
     return ratings.rate_with_members(r.drop("rating"), r, r.filter("doc_id % 13 = 0").selectExpr("path", "5 AS rating"), 3)[0]
 
 
+@query(f"SELECT folder, max(CASE WHEN coalesce(rating, 0) < 3 THEN 1 ELSE 0 END) = 1 AS crossed FROM (SELECT c.*, max(CASE WHEN doc_id % 13 = 0 THEN 1 END) OVER (PARTITION BY c.owner) AS hit FROM ({RATED_SQL}) c) q WHERE hit = 1 GROUP BY folder")
+def j12_crossed_folders(spark, sf):
+    r = rated(spark, sf)
+    return ratings.rate_with_members(r.drop("rating"), r, r.filter("doc_id % 13 = 0").selectExpr("path", "5 AS rating"), 3)[1]
+
+
 @query(f"SELECT derived_owner AS owner, CASE WHEN count(*) = count(rating) AND min(rating) = max(rating) THEN min(rating) END AS rating, coalesce(max(CASE WHEN NOT sidecar_dirty THEN sidecar_mtime_ns END), 0) AS newest FROM ({IMG_SQL}) i WHERE derived_owner IS NOT NULL GROUP BY derived_owner")
 def a2_a3_owner_aggregates(spark, sf):
     rows = img(spark, sf).filter("derived_owner is not null")
@@ -456,7 +508,7 @@ def w7_budget_prefix(spark, sf):
 
 SIZED_SQL = f"SELECT a.*, c.size AS bytes FROM ({AROUND_SQL}) a JOIN ({CAT_SQL}) c ON a.folder = c.folder AND a.idx = c.idx"
 HELD_SQL = f"SELECT r.session, coalesce(max(c.size), 0) + coalesce(sum(b.bytes), 0) AS held FROM ({REQ_SQL}) r LEFT JOIN ({CAT_SQL}) c ON c.folder = r.folder AND c.idx = r.current LEFT JOIN (SELECT * FROM ({SIZED_SQL}) z WHERE steps <= 1 AND idx <> current) b ON b.session = r.session GROUP BY r.session"
-WAVE_SQL = f"SELECT f.session, f.idx, f.weight, (h.held + sum(f.bytes) OVER (PARTITION BY f.session ORDER BY f.weight, CASE WHEN f.ahead THEN 0 ELSE 1 END ROWS UNBOUNDED PRECEDING)) AS used FROM ({SIZED_SQL}) f JOIN ({HELD_SQL}) h ON h.session = f.session WHERE f.steps >= 2 AND f.idx <> f.current"
+WAVE_SQL = f"SELECT f.session, f.idx, f.weight, f.ahead, (h.held + sum(f.bytes) OVER (PARTITION BY f.session ORDER BY f.weight, CASE WHEN f.ahead THEN 0 ELSE 1 END ROWS UNBOUNDED PRECEDING)) AS used FROM ({SIZED_SQL}) f JOIN ({HELD_SQL}) h ON h.session = f.session WHERE f.steps >= 2 AND f.idx <> f.current"
 
 
 @query(
@@ -466,8 +518,26 @@ WAVE_SQL = f"SELECT f.session, f.idx, f.weight, (h.held + sum(f.bytes) OVER (PAR
  UNION ALL SELECT session, idx, 'browse', 4, weight, 'display' FROM ({WAVE_SQL}) w WHERE weight <= 24 AND used <= 60000 UNION ALL SELECT session, idx, 'full', 5, weight, 'prefetch' FROM ({WAVE_SQL}) w WHERE 5 * used <= 400000) q"""
 )
 def w8_prewarm_plan(spark, sf):
+    return _adaptive(spark, sf).drop("rank")
+
+
+def _adaptive(spark, sf):
     estimates = cat(spark, sf).select("folder", "idx", (F.col("size") * 5).alias("full_bytes"), F.col("size").alias("browse_bytes"))
-    return prewarm.prewarm_plan(requests(spark, sf), visible(spark, sf), estimates).drop("rank")
+    return prewarm.prewarm_plan(requests(spark, sf), visible(spark, sf), estimates)
+
+
+PLACE_SQL = f"SELECT session, idx, weight, 2 * pos + 2 AS place, CASE WHEN zoomed AND ahead THEN 1 ELSE 0 END AS swap FROM ({AROUND_SQL}) a WHERE steps <= 1 AND idx <> current"
+QUEUE_SQL = f"SELECT session, idx, weight, used, 1000000000 + 2 * weight + CASE WHEN ahead THEN 0 ELSE 1 END AS place FROM ({WAVE_SQL}) w"
+
+
+@query(
+    f"""SELECT session, idx, tier, row_number() OVER (PARTITION BY session ORDER BY class, distance, place) - 1 AS rank FROM (
+ SELECT session, current AS idx, 'browse' AS tier, 0 AS class, 0 AS distance, 0 AS place FROM ({REQ_SQL}) r UNION ALL SELECT session, current, 'full', CASE WHEN zoomed THEN 0 ELSE 1 END, 0, 1 FROM ({REQ_SQL}) r
+ UNION ALL SELECT session, idx, 'browse', 2, weight, place + swap FROM ({PLACE_SQL}) p UNION ALL SELECT session, idx, 'full', 2, weight, place + 1 - swap FROM ({PLACE_SQL}) p
+ UNION ALL SELECT session, idx, 'browse', 4, weight, place FROM ({QUEUE_SQL}) w WHERE weight <= 24 AND used <= 60000 UNION ALL SELECT session, idx, 'full', 5, weight, place FROM ({QUEUE_SQL}) w WHERE 5 * used <= 400000) q"""
+)
+def w8_plan_ranks(spark, sf):
+    return _adaptive(spark, sf).select("session", "idx", "tier", "rank")
 
 
 @query(f"SELECT session, idx, tier, row_number() OVER (PARTITION BY session ORDER BY class, distance, place) - 1 AS rank FROM (SELECT session, idx, 'browse' AS tier, CASE WHEN steps <= 1 THEN 2 ELSE 4 END AS class, weight AS distance, 2 * pos + 2 AS place FROM ({AROUND_SQL}) a WHERE weight <= 24 AND idx <> current) q")
@@ -602,6 +672,14 @@ def a8_probe_summary(spark, sf):
     return benchmarks.probe_summary(_records(spark, sf)).drop("mp_per_s")
 
 
+@query(
+    """SELECT codec, fixture, max(CASE WHEN n = c // 2 + 1 THEN speed END) AS mp_per_s FROM (SELECT *, row_number() OVER (PARTITION BY codec, fixture ORDER BY speed) AS n, count(*) OVER (PARTITION BY codec, fixture) AS c
+ FROM (SELECT event_type AS codec, user_id % 3 AS fixture, 5000 / CAST(1e6 AS DOUBLE) / ((floor(value) + 1) / CAST(1e3 AS DOUBLE)) AS speed FROM events) e) q GROUP BY codec, fixture"""
+)
+def a8_probe_speeds(spark, sf):
+    return benchmarks.probe_summary(_records(spark, sf)).select("codec", "fixture", "mp_per_s")
+
+
 @query(
     """SELECT CAST(user_id AS VARCHAR) AS input_sha256, max(CASE WHEN v = 0 AND n = c // 2 + 1 THEN value END) AS control_ms, max(CASE WHEN v = 1 AND n = c // 2 + 1 THEN value END) AS candidate_ms FROM (SELECT user_id, value, event_id % 2 AS v,
  row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY value) AS n, count(*) OVER (PARTITION BY user_id, event_id % 2) AS c FROM events) q GROUP BY user_id
@@ -835,3 +913,15 @@ def f23_jpeg_sampling(spark, sf):
     head = lambda s: f"FFD8FFE00004AAAAFFC0001108001000100301{s}00021100031100FFD9"
     data = F.unhex(F.when(F.col("doc_id") % 3 == 0, head("11")).when(F.col("doc_id") % 3 == 1, head("22")).otherwise("FFD8FFE0FFFF"))
     return docs.select("doc_id", pixels.jpeg_sampling(data).alias("j")).select("doc_id", "j.sampling")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 2 THEN CASE WHEN doc_id % 2 = 0 THEN '4:4:4' ELSE 'other' END END AS sampling FROM documents")
+def f23_jpeg_comments(spark, sf):
+    """Headers that carry the whole text in comments before the frame; every third is cut in the last comment."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("_t", F.coalesce(F.hex("text"), F.lit("")))
+    starts = F.sequence(F.lit(0), F.call_function("div", F.length("_t"), F.lit(120_000)))
+    part = lambda i: F.substring(F.col("_t"), i * 120_000 + 1, F.lit(120_000))
+    comment = F.transform(starts, lambda i: F.concat(F.lit("FFFE"), F.lpad(F.hex(F.call_function("div", F.length(part(i)), F.lit(2)) + 2), 4, "0"), part(i)))
+    frame = F.concat(F.lit("FFC000110800100010030111"), F.when(F.col("doc_id") % 2 == 0, "00021100").otherwise("00022200"), F.lit("031100FFD9"))
+    data = F.unhex(F.concat(F.lit("FFD8"), F.array_join(comment, ""), F.when(F.col("doc_id") % 3 == 2, "FFFE0009AA").otherwise(frame)))
+    return docs.select("doc_id", pixels.jpeg_sampling(data).alias("j")).select("doc_id", "j.sampling")
