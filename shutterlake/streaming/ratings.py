@@ -142,9 +142,10 @@ def metadata_failures(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def journal_stream(commands: DataFrame, images: DataFrame, root: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Journals what has arrived and ends, or goes on each ``interval``. Journals each micro-batch into a new snapshot of ``images`` below ``root``; the name
-    of the snapshot after batch n is stored under ``root/after/n``, so that a batch that
-    runs again starts from the same snapshot and gives the same result."""
+    """Journals each micro-batch into a new snapshot of ``images`` below ``root``: what has
+    arrived, and then it ends, or it goes on each ``interval``. The name of the snapshot
+    after batch n is stored under ``root/after/n``, so that a batch that runs again starts
+    from the same snapshot and gives the same result."""
     spark = commands.sparkSession
 
     def step(batch: DataFrame, n: int) -> None:
