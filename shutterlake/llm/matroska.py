@@ -1,13 +1,19 @@
 """Media columns: Matroska files written from payloads and parsed into packet tables.
 
 ``store`` writes each payload as one 8-bit PCM track: frames of up to ``PACKET`` bytes,
-laced into SimpleBlocks, grouped into clusters, with a cue for each cluster. ``parse``
-reads any Matroska file's structure: variable-length ids and sizes (unknown sizes of the
-segment and of clusters too), SimpleBlocks and BlockGroups, the three lacings, and cues.
+laced into SimpleBlocks, grouped into clusters, with a cue for each cluster and a seek head
+that tells where the cues are. ``parse`` reads any Matroska file's structure:
+variable-length ids and sizes (unknown sizes of the segment and of clusters too),
+SimpleBlocks and BlockGroups, the three lacings, and cues; ``track_table`` reads the track
+entries. ``seek`` follows seek head and cues to the cluster of a time and reads packets from
+there on, without the clusters before it.
+
+A packet's ``timestamp_ns`` is its block's; ``frame_ns`` is its own, later by the track's
+default duration for each frame before it in the lace.
 
 Edge cases: a null or empty text counts as no bytes and is stored as 64 zero bytes; a
-null, empty or damaged media cell gives the packets and cues before the damage and a
-text in ``error``; repeated rows give repeated results; an empty table gives an empty
+null, empty or damaged media cell gives the packets, cues and tracks before the damage and
+a text in ``error``; a file without cues is read from its first cluster; repeated rows give repeated results; an empty table gives an empty
 result; existing columns of an output's name are replaced.
 """
 
@@ -29,7 +35,10 @@ EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966,
 TIMESTAMP_SCALE, DURATION = 0x2AD7B1, 0x4489
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
-TOP_LEVEL = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1043A770, 0x1941A469, 0x1254C367}
+SEEK_HEAD, SEEK, SEEK_ID, SEEK_POSITION = 0x114D9B74, 0x4DBB, 0x53AB, 0x53AC
+TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE_ID, CODEC, NAME, LANGUAGE, FRAME_DURATION = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x536E, 0x22B59C, 0x23E383
+AUDIO, RATE_HZ, CHANNELS, BITS, VIDEO, WIDTH, HEIGHT = 0xE1, 0xB5, 0x9F, 0x6264, 0xE0, 0xB0, 0xBA
+TOP_LEVEL = {INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, 0x1043A770, 0x1941A469, 0x1254C367}
 NO_LACE, XIPH, FIXED, EBML_LACE = 0, 1, 2, 3
 # Our layout: 64 samples are one millisecond.
 RATE, PACKET, LACED, BLOCKS = 64_000, 1024, 8, 64
@@ -37,10 +46,15 @@ RATE, PACKET, LACED, BLOCKS = 64_000, 1024, 8, 64
 PACKET_TYPE = T.ArrayType(
     T.StructType(
         [T.StructField(n, T.LongType()) for n in ("track", "cluster", "block", "timestamp_ns", "start", "length")]
-        + [T.StructField("keyframe", T.BooleanType()), T.StructField("lacing", T.LongType())]
+        + [T.StructField("keyframe", T.BooleanType()), T.StructField("lacing", T.LongType()), T.StructField("frame_ns", T.LongType())]
     )
 )
 CUE_TYPE = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("timestamp_ns", "track", "cluster_start")]))
+TRACK_FIELDS = {
+    "track": T.LongType(), "uid": T.LongType(), "type": T.LongType(), "codec": T.StringType(), "name": T.StringType(), "language": T.StringType(), "frame_ns": T.LongType(),
+    "rate_hz": T.DoubleType(), "channels": T.LongType(), "bits": T.LongType(), "width": T.LongType(), "height": T.LongType(),
+}
+TRACK_TYPE = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in TRACK_FIELDS.items()]))
 
 
 # ---- writing
@@ -85,18 +99,23 @@ HEAD = element(
 TRACK = element(
     TRACKS,
     element(
-        0xAE,
-        uint(0xD7, 1) + uint(0x73C5, 1) + uint(0x83, 2) + uint(0x9C, 1) + element(0x86, b"A_PCM/INT/LIT")
-        + element(0xE1, element(0xB5, struct.pack(">d", RATE)) + uint(0x9F, 1) + uint(0x6264, 8)),
+        TRACK_ENTRY,
+        uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE_ID, 2) + uint(0x9C, 1) + uint(FRAME_DURATION, PACKET * 1_000_000_000 // RATE) + element(CODEC, b"A_PCM/INT/LIT")
+        + element(AUDIO, element(RATE_HZ, struct.pack(">d", RATE)) + uint(CHANNELS, 1) + uint(BITS, 8)),
     ),
 )
 
 
+def seek_head(cues: int) -> bytes:
+    """Where in the segment the cues are; of the same length for all places."""
+    return element(SEEK_HEAD, element(SEEK, element(SEEK_ID, CUES.to_bytes(4, "big")) + element(SEEK_POSITION, cues.to_bytes(8, "big"))))
+
+
 def store(payload: bytes) -> bytes:
     """One Matroska file whose single PCM track holds the payload."""
     info = uint(TIMESTAMP_SCALE, 1_000_000) + element(DURATION, struct.pack(">d", len(payload) * 1000 / RATE))
     body = [element(INFO, info + element(0x4D80, b"shutterlake") + element(0x5741, b"shutterlake")), TRACK]
-    at = sum(map(len, body))
+    at = len(seek_head(0)) + sum(map(len, body))
     cues = []
     for first in range(0, len(payload), PACKET * LACED * BLOCKS):
         base = first * 1000 // RATE
@@ -109,7 +128,7 @@ def store(payload: bytes) -> bytes:
         cues.append(element(CUE_POINT, uint(CUE_TIME, base) + element(CUE_POSITIONS, uint(CUE_TRACK, 1) + uint(CUE_CLUSTER, at))))
         at += len(cluster)
         body.append(cluster)
-    return HEAD + element(SEGMENT, b"".join([*body, element(CUES, b"".join(cues))]))
+    return HEAD + element(SEGMENT, b"".join([seek_head(at), *body, element(CUES, b"".join(cues))]))
 
 
 # ---- parsing
@@ -195,64 +214,174 @@ def unlace(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
     return out
 
 
-def parse(data: bytes | None) -> tuple[list[tuple], list[tuple], str | None]:
-    """Packets (as PACKET_TYPE), cues (as CUE_TYPE) and what is wrong with the file, if anything."""
+def _integer(data: bytes, at: int, end: int) -> int:
+    return int.from_bytes(data[at:end], "big")
+
+
+def _block(data: bytes, at: int, end: int, simple: bool, key: bool, base: int, scale: int, frame_ns: dict[int, int], place: tuple[int, int]) -> list[tuple]:
+    """Packets of one block; ``place`` is its cluster's number and its own."""
+    track, after, _ = _vint(data, at, end, False)
+    if after + 3 > end:
+        raise Damaged(f"cut block at byte {at}")
+    relative, flags = struct.unpack_from(">hB", data, after)
+    kind = flags >> 1 & 3
+    time, step = (base + relative) * scale, frame_ns.get(track) or 0
+    keyframe = bool(flags & 0x80) if simple else key
+    return [(track, *place, time, start, length, keyframe, kind, time + k * step) for k, (start, length) in enumerate(unlace(data, after + 3, end, kind))]
+
+
+def _cluster(data: bytes, at: int, end: int, number_: int, scale: int, frame_ns: dict[int, int], packets: list[tuple]) -> None:
+    """Appends a cluster's packets, as far as they can be read."""
+    base, block = 0, -1
+    for ident, a, b in elements(data, at, end):
+        if ident == TIMESTAMP:
+            base = _integer(data, a, b)
+        elif ident == SIMPLE_BLOCK:
+            block += 1
+            packets += _block(data, a, b, True, True, base, scale, frame_ns, (number_, block))
+        elif ident == BLOCK_GROUP:
+            block += 1
+            inner = list(elements(data, a, b))
+            key = all(x != REFERENCE for x, _, _ in inner)
+            for x, c, d in inner:
+                if x == BLOCK:
+                    packets += _block(data, c, d, False, key, base, scale, frame_ns, (number_, block))
+
+
+def _cues(data: bytes, at: int, end: int, segment: int, scale: int, cues: list[tuple]) -> None:
+    for ident, a, b in elements(data, at, end):
+        if ident != CUE_POINT:
+            continue
+        time, places = 0, []
+        for x, c, d in elements(data, a, b):
+            if x == CUE_TIME:
+                time = _integer(data, c, d)
+            elif x == CUE_POSITIONS:
+                held = {y: _integer(data, e, f) for y, e, f in elements(data, c, d) if y in (CUE_TRACK, CUE_CLUSTER)}
+                places.append((held.get(CUE_TRACK), held.get(CUE_CLUSTER)))
+        cues += [(time * scale, track, None if place is None else segment + place) for track, place in places]
+
+
+#: Element, field and kind of what is read of a track entry.
+_ENTRY = {TRACK_NUMBER: "track", TRACK_UID: "uid", TRACK_TYPE_ID: "type", CODEC: "codec", NAME: "name", LANGUAGE: "language", FRAME_DURATION: "frame_ns"}
+_INNER = {AUDIO: {RATE_HZ: "rate_hz", CHANNELS: "channels", BITS: "bits"}, VIDEO: {WIDTH: "width", HEIGHT: "height"}}
+
+
+def _value(field: str, body: bytes) -> int | float | str:
+    kind = TRACK_FIELDS[field]
+    if isinstance(kind, T.StringType):
+        return body.rstrip(b"\0").decode(errors="replace")
+    if isinstance(kind, T.DoubleType):
+        if len(body) not in (0, 4, 8):
+            raise Damaged(f"a number of {len(body)} bytes")
+        return struct.unpack(">f" if len(body) == 4 else ">d", body or bytes(8))[0]
+    value = int.from_bytes(body, "big")
+    return value - (1 << 64) if value >= 1 << 63 else value  # ids of 64 bits fill a signed column
+
+
+def _track_rows(data: bytes, at: int, end: int, rows: list[dict]) -> None:
+    for ident, a, b in elements(data, at, end):
+        if ident != TRACK_ENTRY:
+            continue
+        row = dict.fromkeys(TRACK_FIELDS)
+        for x, c, d in elements(data, a, b):
+            if x in _ENTRY:
+                row[_ENTRY[x]] = _value(_ENTRY[x], data[c:d])
+            for y, e, f in elements(data, c, d) if x in _INNER else ():
+                if y in _INNER[x]:
+                    row[_INNER[x][y]] = _value(_INNER[x][y], data[e:f])
+        rows.append(row)
+
+
+def _scale(data: bytes, at: int, end: int, scale: int) -> int:
+    for ident, a, b in elements(data, at, end):
+        scale = _integer(data, a, b) if ident == TIMESTAMP_SCALE else scale
+    return scale
+
+
+def read(data: bytes | None) -> tuple[list[tuple], list[tuple], list[dict], str | None]:
+    """Packets (as PACKET_TYPE), cues (as CUE_TYPE), tracks (as TRACK_TYPE) and what is wrong
+    with the file, if anything."""
     packets: list[tuple] = []
     cues: list[tuple] = []
-    scale = 1_000_000
-    integer = lambda a, b: int.from_bytes(data[a:b], "big")
-
-    def block(a: int, b: int, simple: bool, base: int, cluster: int, number_: int, key: bool) -> None:
-        track, at, _ = _vint(data, a, b, False)
-        if at + 3 > b:
-            raise Damaged(f"cut block at byte {a}")
-        relative, flags = struct.unpack_from(">hB", data, at)
-        kind = flags >> 1 & 3
-        for start, length in unlace(data, at + 3, b, kind):
-            packets.append((track, cluster, number_, (base + relative) * scale, start, length, bool(flags & 0x80) if simple else key, kind))
-
+    tracks: list[dict] = []
+    scale, cluster = 1_000_000, -1
     try:
         if not data:
             raise Damaged("no media")
-        cluster = -1
-        for ident, a, b in elements(data, 0, len(data)):
+        for ident, segment, stop in elements(data, 0, len(data)):
             if ident != SEGMENT:
                 continue
-            segment = a
-            for top, c, d in elements(data, a, b, TOP_LEVEL):
+            for top, a, b in elements(data, segment, stop, TOP_LEVEL):
                 if top == INFO:
-                    for x, e, f in elements(data, c, d):
-                        scale = integer(e, f) if x == TIMESTAMP_SCALE else scale
+                    scale = _scale(data, a, b, scale)
+                elif top == TRACKS:
+                    _track_rows(data, a, b, tracks)
                 elif top == CLUSTER:
-                    cluster, base, number_ = cluster + 1, 0, -1
-                    for x, e, f in elements(data, c, d):
-                        if x == TIMESTAMP:
-                            base = integer(e, f)
-                        elif x == SIMPLE_BLOCK:
-                            number_ += 1
-                            block(e, f, True, base, cluster, number_, True)
-                        elif x == BLOCK_GROUP:
-                            number_ += 1
-                            inner = list(elements(data, e, f))
-                            key = all(y != REFERENCE for y, _, _ in inner)
-                            for y, g, h in inner:
-                                if y == BLOCK:
-                                    block(g, h, False, base, cluster, number_, key)
+                    cluster += 1
+                    _cluster(data, a, b, cluster, scale, {t["track"]: t["frame_ns"] for t in tracks}, packets)
                 elif top == CUES:
-                    for x, e, f in elements(data, c, d):
-                        if x != CUE_POINT:
-                            continue
-                        time, places = 0, []
-                        for y, g, h in elements(data, e, f):
-                            if y == CUE_TIME:
-                                time = integer(g, h)
-                            elif y == CUE_POSITIONS:
-                                held = {z: integer(i, j) for z, i, j in elements(data, g, h) if z in (CUE_TRACK, CUE_CLUSTER)}
-                                places.append((held.get(CUE_TRACK), held.get(CUE_CLUSTER)))
-                        cues += [(time * scale, track, None if at is None else segment + at) for track, at in places]
+                    _cues(data, a, b, segment, scale, cues)
     except Damaged as e:
-        return packets, cues, str(e)
-    return packets, cues, None
+        return packets, cues, tracks, str(e)
+    return packets, cues, tracks, None
+
+
+def parse(data: bytes | None) -> tuple[list[tuple], list[tuple], str | None]:
+    """Packets, cues and what is wrong with the file, if anything."""
+    packets, cues, _, error = read(data)
+    return packets, cues, error
+
+
+def seek(data: bytes | None, time_ns: int) -> tuple[list[tuple], str | None]:
+    """Packets from the last cluster on that a cue names at ``time_ns`` or before, and what is
+    wrong with the part that was read. The cues are found by the seek head, or behind the
+    clusters if it names none; clusters are counted from the first one read."""
+    packets: list[tuple] = []
+    cues: list[tuple] = []
+    tracks: list[dict] = []
+    scale, cluster = 1_000_000, -1
+    try:
+        if not data:
+            raise Damaged("no media")
+        for ident, segment, stop in elements(data, 0, len(data)):
+            if ident != SEGMENT:
+                continue
+            first, listed, at = None, None, segment
+            for top, a, b in elements(data, segment, stop, TOP_LEVEL):
+                if top == SEEK_HEAD:
+                    for _, c, d in elements(data, a, b):
+                        entry = {x: _integer(data, e, f) for x, e, f in elements(data, c, d)}
+                        listed = entry.get(SEEK_POSITION) if entry.get(SEEK_ID) == CUES else listed
+                elif top == INFO:
+                    scale = _scale(data, a, b, scale)
+                elif top == TRACKS:
+                    _track_rows(data, a, b, tracks)
+                elif top == CUES:
+                    _cues(data, a, b, segment, scale, cues)
+                elif top == CLUSTER and first is None:
+                    first = at
+                    if listed is not None:
+                        break
+                at = b
+            if listed is not None and not cues:
+                ident, a, b = next(elements(data, segment + listed, stop, TOP_LEVEL), (None, 0, 0))
+                if ident != CUES:
+                    raise Damaged(f"no cues at byte {segment + listed}")
+                _cues(data, a, b, segment, scale, cues)
+            begin = max((place for time, _, place in cues if place is not None and time <= time_ns), default=first)
+            if begin is None:
+                continue
+            frame_ns = {t["track"]: t["frame_ns"] for t in tracks}
+            for top, a, b in elements(data, begin, stop, TOP_LEVEL):
+                if top == CLUSTER:
+                    cluster += 1
+                    _cluster(data, a, b, cluster, scale, frame_ns, packets)
+                elif not cluster + 1:
+                    raise Damaged(f"no cluster at byte {begin}")
+    except Damaged as e:
+        return packets, str(e)
+    return packets, None
 
 
 # ---- columns
@@ -274,40 +403,59 @@ def store_text(df: DataFrame, text: str = "text", out: str = "media", keep: list
     return map_slices(df, text, [("n_bytes", T.LongType()), (out, T.BinaryType())], lambda: work, keep)
 
 
+def _cells(rows: list[list[tuple]], kind: T.ArrayType) -> pa.Array:
+    """Lists of tuples as a column of this type."""
+    fields = kind.elementType
+    arrow = {T.LongType: pa.int64(), T.BooleanType: pa.bool_(), T.DoubleType: pa.float64(), T.StringType: pa.string()}
+    named = [[dict(zip(fields.names, r)) for r in cell] for cell in rows]
+    return pa.array(named, pa.list_(pa.struct([(f.name, arrow[type(f.dataType)]) for f in fields])))
+
+
 def read_structure(df: DataFrame, media: str = "media", keep: list[str] | None = None) -> DataFrame:
-    """Append ``packets`` and ``cues`` (explode them for tables with a row each) and ``error``."""
-    named = lambda rows, kind: [dict(zip(kind.elementType.names, r)) for r in rows]
-    arrow = {"packets": PACKET_TYPE, "cues": CUE_TYPE}
+    """Append ``packets``, ``cues`` and ``tracks`` (explode them for tables with a row each)
+    and ``error``."""
+    kinds = {"packets": PACKET_TYPE, "cues": CUE_TYPE, "tracks": TRACK_TYPE}
+
+    def work(column: pa.Array) -> list[pa.Array]:
+        found = [read(x) for x in column.to_pylist()]
+        parts = [[f[0] for f in found], [f[1] for f in found], [[tuple(t.values()) for t in f[2]] for f in found]]
+        return [*map(_cells, parts, kinds.values()), pa.array([f[3] for f in found], pa.string())]
+
+    return map_slices(df, media, [*kinds.items(), ("error", T.StringType())], lambda: work, keep)
+
 
-    def kind_of(t: T.ArrayType) -> pa.DataType:
-        return pa.list_(pa.struct([(f.name, pa.bool_() if isinstance(f.dataType, T.BooleanType) else pa.int64()) for f in t.elementType]))
+def read_from(df: DataFrame, time_ns: int, media: str = "media", keep: list[str] | None = None) -> DataFrame:
+    """Append ``packets`` from the cluster of this time on, found by the cues, and ``error``."""
 
     def work(column: pa.Array) -> list[pa.Array]:
-        found = [parse(x) for x in column.to_pylist()]
-        cells = [pa.array([named(f[k], t) for f in found], kind_of(t)) for k, t in enumerate(arrow.values())]
-        return [*cells, pa.array([f[2] for f in found], pa.string())]
+        found = [seek(x, time_ns) for x in column.to_pylist()]
+        return [_cells([f[0] for f in found], PACKET_TYPE), pa.array([f[1] for f in found], pa.string())]
 
-    return map_slices(df, media, [*arrow.items(), ("error", T.StringType())], lambda: work, keep)
+    return map_slices(df, media, [("packets", PACKET_TYPE), ("error", T.StringType())], lambda: work, keep)
 
 
 def media_digest(df: DataFrame) -> DataFrame:
     """Store each document's text as media, read it back by the packets' byte ranges, and
-    describe what was read: digests, and packet, cluster, cue and sample figures."""
+    describe what was read: digests, and packet, cluster, cue, track and sample figures. The
+    tail is read from the cluster that the last cue names."""
     stored = store_text(df.select("doc_id", "text"), keep=["doc_id"])
 
     def work(column: pa.Array) -> list[pa.Array]:
         rows = []
         for media in column.to_pylist():
-            packets, cues, error = parse(media)
-            if error:
-                raise ValueError(error)
-            back = b"".join(media[p[4] : p[4] + p[5]] for p in packets)
+            packets, cues, tracks, error = read(media)
+            last, wrong = seek(media, cues[-1][0]) if cues else ([], "no cues")
+            if error or wrong:
+                raise ValueError(error or wrong)
+            back, tail = (b"".join(media[p[4] : p[4] + p[5]] for p in part) for part in (packets, last))
             samples = np.frombuffer(back, np.uint8)
+            sound = tracks[0]
             feature = (
-                f"packets={len(packets)} clusters={packets[-1][1] + 1} cues={len(cues)} laced={sum(p[7] != NO_LACE for p in packets)} "
-                f"end_ms={len(back) * 1000 // RATE} sum={int(samples.sum(dtype=np.int64))} peak={samples.max()} changes={int((samples[1:] != samples[:-1]).sum())}"
+                f"packets={len(packets)} clusters={packets[-1][1] + 1} cues={len(cues)} laced={sum(p[7] != NO_LACE for p in packets)} codec={sound['codec']} "
+                f"rate={sound['rate_hz']:.0f} bits={sound['bits']} end_ms={len(back) * 1000 // RATE} last_frame_ms={packets[-1][8] // 1_000_000} last_cluster_bytes={len(tail)} "
+                f"sum={int(samples.sum(dtype=np.int64))} peak={samples.max()} changes={int((samples[1:] != samples[:-1]).sum())}"
             )
-            rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+            rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(tail[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
         columns = list(zip(*rows))
         return [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
 

@@ -76,6 +76,11 @@ def test_matroska(spark, docs, empty):
     read = matroska.read_structure(matroska.store_text(docs)).filter("doc_id = 11").first()
     assert read["error"] is None and read["n_words"] == "own" and len(read["cues"]) == 1
     assert [p["length"] for p in read["packets"]][:3] == [1024] * 3
+    assert [p["frame_ns"] for p in read["packets"]][:3] == [0, 16_000_000, 32_000_000]
+    (track,) = read["tracks"]
+    assert (track["track"], track["codec"], track["rate_hz"], track["channels"], track["bits"], track["width"]) == (1, "A_PCM/INT/LIT", 64000.0, 1, 8, None)
+    late = matroska.read_from(matroska.store_text(docs), 10**15).filter("doc_id = 11").first()
+    assert late["error"] is None and late["packets"] == read["packets"]
 
 
 def test_matroska_forms():
@@ -104,6 +109,37 @@ def test_matroska_forms():
     assert matroska.parse(None)[2] and matroska.parse(b"")[2]
 
 
+def test_matroska_seek():
+    """Packets from a cue on are those of the whole file, and earlier clusters aren't read."""
+    payload = bytes(range(256)) * 6000
+    media = matroska.store(payload)
+    packets, cues, tracks, error = matroska.read(media)
+    assert error is None and [t["track"] for t in tracks] == [1] and [p[8] for p in packets] == [k * 16_000_000 for k in range(len(packets))]
+    harmed = bytearray(media)
+    harmed[cues[0][2] + 8 : cues[0][2] + 40] = bytes(32)  # only a reader that starts before it stumbles
+    for k, (time, _, _) in enumerate(cues):
+        for at in (time, time + 1):
+            found, wrong = matroska.seek(media, at)
+            assert wrong is None and [p[3:] for p in found] == [p[3:] for p in packets if p[1] >= k]
+            if k:
+                assert matroska.seek(bytes(harmed), at) == (found, None)
+    assert matroska.seek(media, -1)[0] == packets
+    assert matroska.parse(bytes(harmed))[2] and matroska.seek(None, 0)[1] and matroska.seek(media[:200], 0)[1]
+    # Cues without a seek head, and clusters without cues.
+    start = media.index(bytes.fromhex("18538067"))
+    uint, element = matroska.uint, matroska.element
+    clusters = [element(matroska.CLUSTER, uint(0xE7, t) + element(0xA3, b"\x81\x00\x00\x80" + bytes([t]))) for t in (1, 2, 3)]
+    cue = lambda t, at: element(0xBB, uint(0xB3, t) + element(0xB7, uint(0xF7, 1) + uint(0xF1, at)))
+    listed = element(matroska.CUES, cue(1, 0) + cue(2, len(clusters[0])) + cue(3, len(clusters[0] + clusters[1])))
+    video = element(0xAE, uint(0xD7, 1) + uint(0x73C5, 2**64 - 1) + element(0xE0, uint(0xB0, 640) + uint(0xBA, 480)) + element(0x536E, b"main\0"))
+    for tail, want in ((listed, b"\2\3"), (b"", b"\1\2\3")):
+        data = media[:start] + element(matroska.SEGMENT, b"".join(clusters) + tail + element(matroska.TRACKS, video))
+        found, wrong = matroska.seek(data, 2_000_000)
+        assert wrong is None and b"".join(data[p[4] : p[4] + p[5]] for p in found) == want
+    (row,) = matroska.read(data)[2]
+    assert (row["uid"], row["width"], row["height"], row["name"], row["rate_hz"]) == (-1, 640, 480, "main", None)
+
+
 def test_pieces(docs, empty):
     lib = sentencepiece.SentencePieceProcessor(model_file=entry.piece_model())
     want = collections.Counter()
