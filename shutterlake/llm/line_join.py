@@ -4,8 +4,10 @@ A line within EDITS edits of another one, cut into EDITS + 1 segments, leaves at
 of the other's segments whole. So each distinct line is indexed by its segments, and looks
 up those substrings of its own that can match a segment of a line of its length or up to
 EDITS shorter (the places that edits before and behind allow). An edit changes the parity of
-two characters at most: of the lines that meet in a key only those stay a candidate pair
-whose parities differ in 2 * EDITS bits or fewer. Candidate pairs are tied into components,
+two characters and of four pairs of neighbours at most: of the lines that meet in a key only
+those stay a candidate pair whose parities differ in 2 * EDITS bits of characters and
+4 * EDITS of neighbours or fewer. A key of very many lines is dealt to further tasks by parts
+of the parities, one of which such lines have in common. Candidate pairs are tied into components,
 so that each line's text is sent once; components are cut into blocks of lines, and each pair
 of blocks joins its lines by the same keys and verifies the pairs with a banded bit-parallel
 edit distance, for all pairs at once.
@@ -43,6 +45,8 @@ EDITS, MIN_CHARS, EXACT_CHARS = 2, 20, 1
 BLOCK, BLOCK_CHARS = 400, 500_000
 #: Pairs that are compared at once, and from how many on a key's lines are split by parities.
 AT_ONCE = 1 << 21
+#: Pairs of one key from which on its lines are dealt to further tasks by parities.
+HOT_PAIRS = 1 << 30
 PILE_CHARS = 1_000_000
 NULL_ID = -(2**63)
 
@@ -98,9 +102,24 @@ def running(chars: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * powers(len(chars) + 1)[0][:-1], dtype=np.uint64)])
 
 
-def parities(chars: np.ndarray) -> np.ndarray:
-    """Running parities of characters in 32 classes: those of a line are two places' difference."""
-    return np.concatenate([np.zeros(1, np.uint32), np.bitwise_xor.accumulate(np.uint32(1) << (mix(chars.astype(np.uint64)) & np.uint64(31)).astype(np.uint32))])
+def parities(chars: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Parities of each line's characters in 32 classes (low bits; letters of one alphabet
+    have classes of their own) and of its pairs of neighbours in 32 classes (high bits)."""
+    one, low = np.uint64(1), np.uint64(31)
+    code = chars.astype(np.uint64)
+    single, double = (np.zeros(len(code) + 1, np.uint64) for _ in range(2))
+    np.bitwise_xor.accumulate(one << (code & low), out=single[1:])
+    if len(code) > 1:
+        np.bitwise_xor.accumulate(one << (mix(code[:-1] << np.uint64(32) | code[1:]) >> np.uint64(59)) + np.uint64(32), out=double[1:-1])
+    end = start + length
+    # A line of n characters has n - 1 pairs, all between its ends.
+    return (single[end] ^ single[start]) | np.where(length > 1, double[np.maximum(end - 1, 0)] ^ double[start], np.uint64(0))
+
+
+def alike(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
+    """Whether parities differ no more than those of lines within ``edits`` can."""
+    differ = a ^ b
+    return (np.bitwise_count(differ & np.uint64(0xFFFFFFFF)) <= 2 * edits) & (np.bitwise_count(differ >> np.uint64(32)) <= 4 * edits)
 
 
 def line_hashes(run: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -264,14 +283,13 @@ def _sent_keys(docs: DataFrame, buckets: int, edits: int, min_chars: int) -> Dat
                 name, once = np.unique(x.line, return_index=True)
                 if not len(once):
                     continue
-                sums = parities(x.chars)
-                parity = sums[x.at[once] + x.length[once]] ^ sums[x.at[once]]
+                parity = parities(x.chars, x.at[once], x.length[once])
                 line, key, probe = line_keys(x.run, x.at[once], x.length[once], edits)
                 places = exchange.place(key, buckets)
                 order = np.argsort((places >> np.uint64(40)).astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
                 places, line, probe = places[order], line[order], probe[order]
                 rows = [
-                    (b, exchange.planes(places[i:j] & exchange.REST), exchange.planes(name[line[i:j]].view(np.uint64), 8), exchange.planes(parity[line[i:j]], 4), probe[i:j].tobytes())
+                    (b, exchange.planes(places[i:j] & exchange.REST), exchange.planes(name[line[i:j]].view(np.uint64), 8), exchange.planes(parity[line[i:j]], 8), probe[i:j].tobytes())
                     for b, i, j in exchange.by_bucket(places)
                 ]
                 yield from exchange.rows_table(rows, schema).to_batches()
@@ -280,14 +298,28 @@ def _sent_keys(docs: DataFrame, buckets: int, edits: int, min_chars: int) -> Dat
     return docs.select("text").mapInArrow(run, "bucket long, rest binary, line binary, parity binary, probe binary")
 
 
+def _groups(group: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Start, indexed and probing lines of each group, and the group of each line."""
+    cut = np.flatnonzero(np.diff(group, prepend=-1)) if len(group) else np.zeros(0, np.int64)
+    count = np.diff(np.append(cut, len(group)))
+    of = np.repeat(np.arange(len(cut)), count)
+    indexed = np.bincount(of, probe == 0, len(cut)).astype(np.int64)
+    return cut, indexed, count - indexed, of
+
+
+def _by_parts(parity: np.ndarray, edits: int):
+    """(part, its value for each line) of the characters' parities cut in 2 * edits + 1 parts:
+    lines that may be near have the same value of one of them at least."""
+    edges = np.linspace(0, 32, 2 * edits + 2).astype(np.uint64)
+    for part, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
+        yield part, (parity >> lo & ((np.uint64(1) << hi - lo) - np.uint64(1))).astype(np.int64)
+
+
 def _crossed(group: np.ndarray, parity: np.ndarray, probe: np.ndarray, edits: int, split: bool = True):
     """(a, b), part by part: places of indexed and probing lines of one group (sorted, the
     indexed ones first) whose parities differ little enough. Large groups are split by equal
-    parts of the parities: of 2 * edits + 1 parts one is the same in both."""
-    cut = np.flatnonzero(np.diff(group, prepend=-1)) if len(group) else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(group))))
-    indexed = np.bincount(of, probe == 0, len(cut)).astype(np.int64)
-    probing = np.diff(np.append(cut, len(group))) - indexed
+    parts of the parities."""
+    cut, indexed, probing, of = _groups(group, probe)
     large = (indexed * probing > AT_ONCE) if split else np.zeros(len(cut), bool)
     each = np.flatnonzero((probe == 0) & ~large[of] & (probing[of] > 0)) if len(cut) else cut
     upto = np.cumsum(probing[of[each]])
@@ -298,26 +330,27 @@ def _crossed(group: np.ndarray, parity: np.ndarray, probe: np.ndarray, edits: in
         n = probing[of[some]]
         a = np.repeat(some, n)
         b = np.repeat((cut + indexed)[of[some]], n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-        ok = np.bitwise_count(parity[a] ^ parity[b]) <= 2 * edits
+        ok = alike(parity[a], parity[b], edits)
         yield a[ok], b[ok]
         i = j
     if large.any():
         own = np.flatnonzero(large[of])
-        parts = 2 * edits + 1
-        edges = np.linspace(0, 32, parts + 1).astype(np.uint64)
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            value = parity[own].astype(np.uint64) >> lo & ((np.uint64(1) << hi - lo) - np.uint64(1))
-            sub = of[own] * 2**16 + value.astype(np.int64)
-            order = np.lexsort((probe[own], sub))
-            for a, b in _crossed(sub[order], parity[own[order]], probe[own[order]], edits, False):
+        for _, value in _by_parts(parity[own], edits):
+            part = of[own] * 2**16 + value
+            order = np.lexsort((probe[own], part))
+            for a, b in _crossed(part[order], parity[own[order]], probe[own[order]], edits, False):
                 yield own[order[a]], own[order[b]]
 
 
-def _ties(table: pa.Table, edits: int) -> pa.Table:
-    """Ties of one key bucket: pairs of lines of one key that may be near by their parities."""
+TIES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot", pa.int64()), ("line", pa.binary()), ("parity", pa.binary()), ("probe", pa.binary())])
+
+
+def _ties(table: pa.Table, edits: int, hot_pairs: int) -> pa.Table:
+    """For one key bucket: ties of lines of one key that may be near by their parities, and
+    the lines of hot keys for further tasks."""
     rest = np.concatenate([exchange.joined(x) for x in table["rest"].to_pylist()])
     line = np.concatenate([exchange.joined(x, 8) for x in table["line"].to_pylist()]).view(np.int64)
-    parity = np.concatenate([exchange.joined(x, 4) for x in table["parity"].to_pylist()]).astype(np.uint32)
+    parity = np.concatenate([exchange.joined(x, 8) for x in table["parity"].to_pylist()])
     probe = np.concatenate([np.frombuffer(x, np.uint8) for x in table["probe"].to_pylist()])
     order = np.lexsort((line, probe, rest))
     rest, line, parity, probe = rest[order], line[order], parity[order], probe[order]
@@ -325,15 +358,44 @@ def _ties(table: pa.Table, edits: int) -> pa.Table:
     fresh[1:] = (rest[1:] != rest[:-1]) | (line[1:] != line[:-1]) | (probe[1:] != probe[:-1])
     rest, line, parity, probe = rest[fresh], line[fresh], parity[fresh], probe[fresh]
     group = np.cumsum(np.append(True, rest[1:] != rest[:-1])) - 1
+    _, indexed, probing, of = _groups(group, probe)
+    hot = np.flatnonzero((indexed * probing > hot_pairs)[of])
+    rows = []
+    for part, value in _by_parts(parity[hot], edits):
+        bucket = np.uint64(table["bucket"][0].as_py())
+        name = mix(mix(rest[hot] | bucket << np.uint64(40)) + np.uint64(part * 2**16) + value.astype(np.uint64)).view(np.int64)
+        order = np.argsort(name, kind="stable")
+        name = name[order]
+        cut = np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else order
+        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(name)]):
+            own = hot[order[i:j]]
+            rows.append((None, None, int(name[i]), exchange.planes(line[own].view(np.uint64), 8), exchange.planes(parity[own], 8), probe[own].tobytes()))
+    cold = np.ones(len(line), bool)
+    cold[hot] = False
+    pairs = _near_pairs(group[cold], line[cold], parity[cold], probe[cold], edits)
+    found = pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), **{f.name: pa.nulls(len(pairs), f.type) for f in list(TIES)[2:]}})
+    return pa.concat_tables([found, exchange.rows_table(rows, TIES)])
+
+
+def _hot_ties(table: pa.Table, edits: int) -> pa.Table:
+    """Ties among the lines that share a part of a hot key's parities."""
+    line = np.concatenate([exchange.joined(x, 8) for x in table["line"].to_pylist()]).view(np.int64)
+    parity = np.concatenate([exchange.joined(x, 8) for x in table["parity"].to_pylist()])
+    probe = np.concatenate([np.frombuffer(x, np.uint8) for x in table["probe"].to_pylist()])
+    order = np.argsort(probe, kind="stable")
+    pairs = _near_pairs(np.zeros(len(line), np.int64), line[order], parity[order], probe[order], edits, False)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+
+def _near_pairs(group: np.ndarray, line: np.ndarray, parity: np.ndarray, probe: np.ndarray, edits: int, split: bool = True) -> np.ndarray:
+    """Lines whose parities allow that they are near, as many pairs as tie the same lines."""
     found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-    for a, b in _crossed(group, parity, probe, edits):
+    for a, b in _crossed(group, parity, probe, edits, split):
         other = line[a] != line[b]
-        pairs = np.sort(np.stack([line[a[other]], line[b[other]]], axis=1), axis=1)
-        found.append(pairs)
+        found.append(np.sort(np.stack([line[a[other]], line[b[other]]], axis=1), axis=1))
         if sum(map(len, found)) > AT_ONCE:
             found = [_spanning(np.concatenate(found))]
-    pairs = _spanning(np.concatenate(found))
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+    return _spanning(np.concatenate(found))
 
 
 def _spanning(pairs: np.ndarray) -> np.ndarray:
@@ -386,10 +448,17 @@ def staying_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
     place = F.struct(F.col("doc_id").alias("doc"), F.col("number").alias("number"))
     firsts = kept(_lines(docs, min_chars, exact_chars).groupBy("line").agg(F.min(place).alias("first"), F.first("length").alias("length")))
 
+    hot_pairs = HOT_PAIRS
+
     def ties(table: pa.Table) -> pa.Table:
-        return _ties(table, edits)
+        return _ties(table, edits, hot_pairs)
+
+    def hot_ties(table: pa.Table) -> pa.Table:
+        return _hot_ties(table, edits)
 
-    tied = components(_sent_keys(docs, buckets, edits, min_chars).groupBy("bucket").applyInArrow(ties, "a long, b long"))
+    found = kept(_sent_keys(docs, buckets, edits, min_chars).groupBy("bucket").applyInArrow(ties, "a long, b long, hot long, line binary, parity binary, probe binary"))
+    hot = found.filter("hot is not null").select("hot", "line", "parity", "probe").groupBy("hot").applyInArrow(hot_ties, "a long, b long")
+    tied = components(found.filter("hot is null").select("a", "b").unionByName(hot))
     known = gathered(tied.withColumnRenamed("node", "line").join(firsts, "line").select("line", "root", "length", F.col("first.doc").alias("first_doc"), F.col("first.number").alias("first_number")))
     texts = _texts(docs, known, min_chars).dropDuplicates(["line"])
     # Lines of a component are near only if their lengths are.

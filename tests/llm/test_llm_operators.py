@@ -255,8 +255,37 @@ def test_lines(spark, docs, empty, monkeypatch):
             k = rng.randrange(len(x))
             x[k : k + rng.randint(0, 1)] = rng.choice(["", "q", "zé"])
         rows.append((i, "short\n" + "".join(x) + "\n" + "".join(rng.choice("ab ") for _ in range(24))))
-    got = line_join.lines_digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert collections.Counter(map(tuple, got)) == lines_left(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert collections.Counter(map(tuple, line_join.lines_digest(docs).collect())) == lines_left(rows)
+    # Hot keys, dealt to further tasks: the same rows.
+    monkeypatch.setattr(line_join, "HOT_PAIRS", 40)
+    assert collections.Counter(map(tuple, line_join.lines_digest(docs).collect())) == lines_left(rows)
+
+
+def test_line_parities(monkeypatch):
+    """Lines within the edits have parities that differ no more than edits can make them, and
+    lines of one key are paired alike, split by their parities or not."""
+    rng = random.Random(23)
+    texts = ["".join(rng.choice("abcdefgh é世") for _ in range(rng.choice([0, 1, 2, 5, 30]))) for _ in range(150)]
+    for t in texts[:150]:
+        for _ in range(rng.randint(1, 2)):
+            k = rng.randint(0, len(t))
+            t = t[:k] + rng.choice(["", "x", "世"]) + t[k + rng.randint(0, 1) :]
+        texts.append(t)
+    size = np.array([len(t) for t in texts])
+    start = np.cumsum(size) - size
+    parity = line_join.parities(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), start, size)
+    a, b = np.triu_indices(len(texts), 1)
+    ok = line_join.alike(parity[a], parity[b], 2)
+    assert all(ok[k] for k in range(len(a)) if edits(texts[a[k]], texts[b[k]]) <= 2) and not ok.all()
+    assert (parity == [line_join.parities(np.frombuffer(t.encode("utf-32-le"), np.uint32), np.array([0]), np.array([len(t)]))[0] for t in texts]).all()
+    group, probe = np.sort(np.arange(len(texts)) % 3), np.arange(len(texts)) % 2
+    order = np.lexsort((probe, group))
+    group, probe, parity = group[order], probe[order], parity[order]
+    pairs = lambda: {(int(i), int(j)) for a, b in line_join._crossed(group, parity, probe, 2) for i, j in zip(a, b)}
+    whole = pairs()
+    monkeypatch.setattr(line_join, "AT_ONCE", 50)
+    assert pairs() == whole == {(i, j) for i in range(len(group)) for j in range(len(group)) if group[i] == group[j] and probe[i] < probe[j] and line_join.alike(parity[i : i + 1], parity[j : j + 1], 2)[0]}
 
 
 def test_lines_short_long_and_repeated_ids(spark, monkeypatch):
