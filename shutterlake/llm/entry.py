@@ -7,7 +7,7 @@ import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shutterlake.llm import fair_mix, gram_join, line_join, matroska, oracles, pair_rank, piece_codec, quality_rules, recompress, secret_cnn, surrogate
+from shutterlake.llm import fair_mix, filter_audit, golay_simhash, gram_join, line_join, matroska, oracles, pair_rank, piece_codec, prefix_trie, quality_rules, recompress, secret_cnn, surrogate
 
 #: Where the public vocabularies lie; the folder is the same on every machine.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -70,6 +70,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules_digest(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_digest(table(spark, sf_dir, "conversations"))
+
+
+def op12_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golay_simhash.simhash_components(documents(spark, sf_dir))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
 

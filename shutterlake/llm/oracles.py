@@ -35,4 +35,36 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = d.doc_id
 """
 
-SQL = {"op3_recompress": REPEATS, "op7_fair_mix": MIX, "op9_gram_join": NEAR}
+# The checksum of a decimal id, bit by bit.
+CRC = "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)))"
+
+TRIE = f"""
+WITH t AS (SELECT conv_id, turn, md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, CAST(length(coalesce(text, '')) AS BIGINT) AS len FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos FROM t),
+c AS (SELECT *, least(h, lead_size) AS k, least(h, lead_size) + greatest(size - h, 0) AS n FROM (SELECT s.conv_id, s.size, {CRC.replace("conv_id", "s.conv_id")} % 6 AS h, coalesce(l.size, 0) AS lead_size
+  FROM (SELECT conv_id, count(*) AS size FROM o GROUP BY conv_id) s LEFT JOIN (SELECT conv_id, count(*) AS size FROM o GROUP BY conv_id) l ON l.conv_id = s.conv_id - s.conv_id % 100) q),
+r AS (SELECT c.conv_id, c.n, o.pos AS d, o.k, o.len FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 100 AND o.pos <= c.h UNION ALL SELECT c.conv_id, c.n, c.k + o.pos - c.h, o.k, o.len FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > c.h),
+p AS (SELECT conv_id, n, d, len, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM r UNION ALL SELECT conv_id, n, 0, 0, '' FROM c),
+v AS (SELECT path, d, count(*) AS n_convs, min(conv_id) AS conv_id, (count(*) - 1) * max(len) AS own, max(n) = d AS leaf FROM p GROUP BY path, d),
+s AS (SELECT node, sum(own) AS saved, sum(CASE WHEN leaf THEN 1 ELSE 0 END) AS leaves FROM (SELECT left(path, 32 * unnest(range(0, d + 1))) AS node, own, leaf FROM v) a GROUP BY node),
+b AS (SELECT left(path, 32 * (d - 1)) AS node, count(*) AS n FROM v WHERE d > 0 GROUP BY 1),
+e AS (SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM p WHERE d = n GROUP BY path)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs, CAST(coalesce(b.n, 0) AS BIGINT) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM v JOIN s ON s.node = v.path LEFT JOIN b ON b.node = v.path LEFT JOIN e ON e.path = v.path LEFT JOIN v u ON v.d > 0 AND u.path = left(v.path, 32 * (v.d - 1))
+"""
+
+AUDIT = f"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {WORDS} AS ws, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+g AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT w.part, coalesce(g.good, 0) AS good, coalesce(g.toxic, 0) AS toxic, [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > w.first, false)] AS bad FROM w LEFT JOIN g ON g.doc_id = w.doc_id),
+m AS (SELECT part, bad, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, bad),
+l AS (SELECT i, chr(CAST(64 + i AS INTEGER)) AS c FROM range(1, 6) x(i)),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS fs FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT filter_order, fs, unnest(range(1, 6)) AS step FROM o),
+x AS (SELECT m.part, s.filter_order, s.step, s.fs[s.step] AS i, m.n, m.good, m.toxic, m.bad[s.fs[s.step]] AS fails, list_contains(list_transform(s.fs[1:s.step - 1], lambda k: m.bad[k]), true) AS before, len(list_filter(m.bad, lambda k: k)) AS n_bad FROM m, s),
+y AS (SELECT part, filter_order, step, i, sum(CASE WHEN NOT before AND NOT fails THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT before AND fails THEN n ELSE 0 END) AS removed, sum(CASE WHEN before AND fails THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails AND n_bad = 1 THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN NOT before AND fails THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT before AND fails THEN toxic ELSE 0 END) AS toxic_lost FROM x GROUP BY part, filter_order, step, i)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, i) AS BIGINT) AS shapley FROM y
+"""
+
+SQL = {"op3_recompress": REPEATS, "op7_fair_mix": MIX, "op9_gram_join": NEAR, "op11_prefix_trie": TRIE, "op13_filter_audit": AUDIT}
