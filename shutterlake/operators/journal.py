@@ -65,11 +65,11 @@ def revision_counters(events: DataFrame, revisions: DataFrame) -> DataFrame:
     return both.select("path", (F.coalesce("revision", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("revision"))
 
 
-def owner_revisions(accepted: DataFrame, ledger: DataFrame, base: int = 0) -> DataFrame:
+def owner_revisions(accepted: DataFrame, ledger: DataFrame, base: int = 0, tie: str = "key") -> DataFrame:
     """owner, revision, global_revision after accepted journal writes (seq, owner, key):
     each counts one for its owner and one globally, in the order of ``seq``."""
-    one = accepted.withColumn("_one", F.lit(1).cast("bigint"))
-    placed = running_sum(one, "_one", "seq", "key", "_before").withColumn("_global", F.lit(base) + F.col("_before") + 1)
+    one = accepted.select("seq", "owner", tie, F.lit(1).cast("bigint").alias("_one"))
+    placed = running_sum(one, "_one", "seq", tie, "_before").withColumn("_global", F.lit(base) + F.col("_before") + 1)
     new = placed.groupBy("owner").agg(F.count("*").alias("n"), F.max("_global").alias("g"))
     both = ledger.join(new, "owner", "full")
     return both.select("owner", (F.coalesce("revision", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("revision"), F.coalesce("g", "global_revision").alias("global_revision"))

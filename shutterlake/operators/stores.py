@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shutterlake.functions.paths import TIERS, cache_key
+from shutterlake.shared import stored
 
 DAY_NS = 24 * 3600 * 1_000_000_000
 FULL_DEFAULT, BROWSE_DEFAULT, FULL_OF_BROWSE = 256 << 20, 64 << 20, 5
-#: Rows that one range of a running sum holds on average.
+#: Rows that one partition of a running sum holds on average.
 RANGE_ROWS = 50_000
-#: Ranges that are cut at quantiles; more rows take even steps within them.
-FIRST = 200
 
 
 def wanted_keys(catalog: DataFrame, quality: int, tiers: tuple[str, ...] = TIERS) -> DataFrame:
@@ -58,45 +63,43 @@ def size_estimates(photos: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def running_sum(df: DataFrame, value: str, order: str, tie: str, out: str) -> DataFrame:
-    """``out``: the sum of ``value`` over all rows before, by (order, tie); order is BIGINT.
-
-    No task sees all rows: rows fall into FIRST ranges of ``order`` by its quantiles, these
-    into even steps, and steps again by ``tie`` where many rows share one value. Sums are
-    ordered range by range, then step by step within a range, then within a step; so a
-    window holds about RANGE_ROWS rows or sums however many rows there are."""
-    n, low, high = df.agg(F.count("*"), F.min(order), F.max(order)).first()
-    ranges = max(1, math.ceil(n / RANGE_ROWS))
-    first = min(ranges, FIRST)
-    bounds = sorted({int(q) for q in df.approxQuantile(order, [k / first for k in range(1, first)], 0.5 / first)}) if first > 1 else []
-    edges = F.array(*[F.lit(b).cast("bigint") for b in [low or 0, *bounds, high or 0]])
-    part = F.size(F.filter(F.slice(edges, 2, len(bounds)), lambda b: b < F.col(order)))
-    steps = math.ceil(ranges / first)
-    at, end = F.element_at(edges, F.col("_part") + 1).cast("double"), F.element_at(edges, F.col("_part") + 2).cast("double")
-    step = F.floor((F.col(order).cast("double") - at) / (end - at + 1) * steps) if steps > 1 else F.lit(0)
-    # Equal values of a hot ``order`` are spread by the tie's first letters.
-    sub = F.struct(F.col(order).alias("o"), F.substring(F.col(tie), 1, 2).alias("t"))
-    cut = df.withColumn("_part", part).withColumn("_step", step).withColumn("_sub", sub)
-    levels = ["_part", "_step", "_sub"]
-    sums = cut.groupBy(*levels).agg(F.sum(value).alias("_2"))
-    offsets = sums
-    for k in (1, 0):
-        total = sums.groupBy(*levels[: k + 1]).agg(F.sum("_2").alias(f"_{k}"))
-        ahead = F.sum(f"_{k}").over(Window.partitionBy(*levels[:k]).orderBy(levels[k])) - F.col(f"_{k}")
-        offsets = offsets.join(total.select(*levels[: k + 1], ahead.alias(f"_ahead{k}")), levels[: k + 1])
-    inside = F.sum("_2").over(Window.partitionBy("_part", "_step").orderBy("_sub")) - F.col("_2")
-    offsets = offsets.select(*levels, (F.col("_ahead0") + F.col("_ahead1") + inside).alias("_ahead"))
-    within = Window.partitionBy(*levels).orderBy(tie)
-    ran = cut.withColumn("_run", F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col(value))
-    return ran.join(offsets, levels).withColumn(out, F.col("_ahead") + F.col("_run")).drop(*levels, "_ahead", "_run")
+    """``out``: the sum of ``value`` (whole numbers) over all rows before, by (order, tie)."""
+    n = df.count()
+    return _ran(df, value, order, tie, out, n)
+
+
+def _ran(df: DataFrame, value: str, order: str, tie: str, out: str, n: int) -> DataFrame:
+    """No task sees all rows: Spark's range partitioner cuts the order of the pair (order, tie)
+    into partitions of about RANGE_ROWS rows, however many rows share one value of ``order``.
+    Each partition is sorted and summed where it lies and written once; partitions are summed
+    in their order, one row for each, and what lies before a partition is added to its rows."""
+    names = df.columns
+    schema = T.StructType([*df.schema.fields, T.StructField("_run", T.LongType()), T.StructField("_part", T.IntegerType())])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            own = np.asarray(pc.fill_null(batch.column(value).cast(pa.int64()), 0))
+            run = done + np.cumsum(own)
+            done = int(run[-1]) if len(run) else done
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(run - own), pa.array(np.full(len(own), part, np.int32))], schema=pa.schema([*batch.schema, ("_run", pa.int64()), ("_part", pa.int32())]))
+
+    ranged = df.repartitionByRange(max(1, math.ceil(n / RANGE_ROWS)), order, tie).sortWithinPartitions(order, tie)
+    placed = stored(ranged.mapInArrow(sums, schema))
+    parts = placed.groupBy("_part").agg(F.max(F.col("_run") + F.coalesce(value, F.lit(0))).alias("_sum"))
+    before = parts.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
+    # A row for RANGE_ROWS rows: broadcast up to 100,000 partitions.
+    before = F.broadcast(before) if n <= 100_000 * RANGE_ROWS else before
+    return placed.join(before, "_part").select(*names, (F.col("_before") + F.col("_run")).alias(out))
 
 
 def retention_to_budget(objects: DataFrame, budget: int) -> DataFrame:
     """Objects (key, bytes, mtime_ns) to delete: the oldest written, until the rest fits;
     none while all fit. Equal times go by key."""
-    total = objects.agg(F.sum("bytes")).first()[0] or 0
+    n, total = objects.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     if total <= budget:
         return objects.filter(F.lit(False))
-    return running_sum(objects, "bytes", "mtime_ns", "key", "_sum").filter(F.lit(total) - F.col("_sum") > budget).drop("_sum")
+    return _ran(objects, "bytes", "mtime_ns", "key", "_sum", n).filter(F.lit(total) - F.col("_sum") > budget).drop("_sum")
 
 
 def is_object(shard: Column, name: Column) -> Column:

@@ -7,8 +7,6 @@ rows, accepted and late commands). No query leaves rows out to be cheap.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 from shutterlake.functions import exif, geometry, paths, pixels, text, xmp
 from shutterlake.operators import benchmarks, journal, ratings, reconcile, stores, views
 from shutterlake.plans import prewarm
+from shutterlake.shared import new_folder
 from shutterlake.sources import catalog as sources
 from shutterlake.sources import derived as d
 from shutterlake.streaming import ratings as streams
@@ -109,16 +108,10 @@ def s4_f2_write_sidecars(spark, sf):
     return done.select("owner", "status", xmp.xmp_parse_rating(F.col("xml")).alias("again"))
 
 
-def _folder(spark):
-    """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/{uuid.uuid4().hex}"
-
-
 @query(SQL["s4_f2_write_sidecars"])
 def s4_sidecar_table(spark, sf):
     """The published documents, read again."""
-    folder = _folder(spark)
+    folder = new_folder(spark)
     sources.write_sidecars(d.derived(spark, sf, d.SIDECARS).selectExpr("owner", f"{d.xml_of()} AS xml", "(true_rating + 1) % 6 AS rating"), folder)
     return spark.read.parquet(folder).select("owner", "status", xmp.xmp_parse_rating(F.col("xml")).alias("again"))
 
@@ -126,13 +119,13 @@ def s4_sidecar_table(spark, sf):
 @query(f"SELECT path, size, mtime_ns, rating, sidecar_dirty FROM ({IMG_SQL}) i")
 def s7_state_snapshot(spark, sf):
     """A snapshot of the state, written and read again."""
-    folder = sources.write_state({"images": img(spark, sf)}, _folder(spark))
+    folder = sources.write_state({"images": img(spark, sf)}, new_folder(spark))
     return sources.read_state(spark, folder, "images")["images"].select("path", "size", "mtime_ns", "rating", "sidecar_dirty")
 
 
 def _files(frame, kind, by):
     """Writes lines as files with an extension of three letters, in a folder for each ``by``."""
-    folder = _folder(frame.sparkSession)
+    folder = new_folder(frame.sparkSession)
     frame.write.partitionBy(by).option("extension", kind).option("quote", "\u0000").option("sep", "\u0001").csv(folder)
     return folder
 
@@ -156,7 +149,7 @@ def s3_s4_sidecar_files(spark, sf):
 @query("SELECT CAST(user_id AS VARCHAR) AS input_sha256, event_type AS variant, value AS total_ms, event_id AS seq FROM events WHERE event_id % 3 <> 0")
 def s6_develop_records(spark, sf):
     """Records of two schemas, written as JSON; those of the first are read."""
-    folder = _folder(spark)
+    folder = new_folder(spark)
     records = spark.read.parquet(f"{sf}/events.parquet").selectExpr(
         "CAST(user_id AS STRING) AS input_sha256", "event_type AS variant", "'' AS output_sha256", "CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS schema_version", "value AS total_ms",
         "array(named_struct('name', 'decode', 'ms', CAST(event_id AS DOUBLE))) AS stages",

@@ -1,5 +1,6 @@
 """Rules, precedence tables and small models of the operators."""
 
+import pathlib
 import random
 
 import pytest
@@ -291,9 +292,8 @@ def test_navigate(spark):
 
 
 def test_running_sum_over_many_ranges(spark, monkeypatch):
-    """Quantile ranges, even steps within them, and one value that holds a third of all rows."""
+    """Many partitions, and one value that holds a third of all rows."""
     monkeypatch.setattr(stores, "RANGE_ROWS", 7)
-    monkeypatch.setattr(stores, "FIRST", 5)
     rng = random.Random(4)
     rows = [(500 if i % 3 == 0 else rng.choice([rng.randint(-9, 9), 10**15 + i, rng.randint(0, 1000)]), f"{rng.randrange(16**4):04x}{i:04d}", rng.randint(0, 50)) for i in range(400)]
     for part in (rows, rows[:3], []):
@@ -305,6 +305,23 @@ def test_running_sum_over_many_ranges(spark, monkeypatch):
         assert got == want
 
 
+def test_running_sum_of_one_time_and_paths(spark, monkeypatch):
+    """All rows share one value and their keys a long prefix: partitions still share the work."""
+    monkeypatch.setattr(stores, "RANGE_ROWS", 100)
+    frame = spark.range(3000).selectExpr("7L AS at", "'/library/of/one/owner/IMG' || lpad(id * 7919 % 3000, 8, '0') AS key", "id % 9 AS n")
+    out = stores.running_sum(frame, "n", "at", "key", "before")
+    total, want = 0, {}
+    for r in frame.orderBy("key").collect():
+        want[r["key"]] = total
+        total += r["n"]
+    assert {r["key"]: r["before"] for r in out.collect()} == want
+    assert out.columns == ["at", "key", "n", "before"]
+    placed = [d for d in pathlib.Path(spark.conf.get("spark.checkpoint.dir")).iterdir() if d.is_dir()]
+    newest = max(placed, key=lambda d: d.stat().st_mtime)
+    sizes = [r["count"] for r in spark.read.parquet(str(newest)).groupBy("_part").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 400
+
+
 def test_flushes_in_ranges(spark, monkeypatch):
     from shutterlake.streaming import ratings as streams
 
