@@ -646,7 +646,7 @@ def a6_size_estimates(spark, sf):
 @query("SELECT CAST(user_id % 20 AS BIGINT) AS grp, value AS median FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id % 20 ORDER BY value) AS n, count(*) OVER (PARTITION BY user_id % 20) AS c FROM events) q WHERE n = c // 2 + 1")
 def a7_upper_median(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").withColumn("grp", F.col("user_id") % 20)
-    return benchmarks.upper_medians(e, ["grp"], F.col("value"), "median")
+    return benchmarks.upper_medians(e, ["grp"], {"median": F.col("value")})
 
 
 def _records(spark, sf):

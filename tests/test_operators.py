@@ -1,5 +1,6 @@
 """Rules, precedence tables and small models of the operators."""
 
+import math
 import pathlib
 import random
 
@@ -189,6 +190,31 @@ def test_full_targets(spark):
     assert sum(r["kind"] == "warm" for r in rows) == 100 - 1 - 24 - 8
 
 
+def test_budgets_end_within_their_reach(spark):
+    """Requests at all places of folders, with budgets from nothing to more than all."""
+    rng = random.Random(7)
+    shown = [(f"f{n}", p, p * 2) for n in (1, 2, 5, 40) for p in range(n)]
+    sizes = [(f, i, rng.choice([0, 1, 5, 50]), 1) for f, _, i in shown if rng.random() < 0.9]
+    asked = [(f"{f}-{k}", f, rng.choice([i, i + 1]), rng.choice([1, -1]), False, rng.choice([0, 7, 60, 300, 10_000]), 0) for k, (f, _, i) in enumerate(shown)]
+    visible = spark.createDataFrame(shown, "folder string, pos int, idx int")
+    bytes_ = spark.createDataFrame(sizes, "folder string, idx int, full_bytes bigint, browse_bytes bigint")
+    requests = spark.createDataFrame(asked, "session string, folder string, current int, direction int, zoomed boolean, full_budget bigint, browse_budget bigint").withColumn("_full", F.lit(3))
+    every = prewarm.around(requests, visible).join(bytes_, ["folder", "idx"]).filter("idx <> current and steps > 1")
+    want = prewarm.budget_prefix(every, "full_budget", "_full", "full_bytes").groupBy("session").agg(F.max("weight").alias("w"), F.count("*").alias("n"))
+    sized = visible.join(bytes_, ["folder", "idx"], "left")
+    placed = prewarm.placed_requests(requests, visible)
+    reach = prewarm.budget_reach(placed, prewarm.with_sums(sized, "full_bytes"), "full_budget", "_full")
+    near = prewarm._near(placed.join(reach, "session"), sized.filter("full_bytes is not null"), F.col("reach"), F.col("last"))
+    got = prewarm.budget_prefix(near.filter("idx <> current and steps > 1"), "full_budget", "_full", "full_bytes").groupBy("session").agg(F.max("weight").alias("w"), F.count("*").alias("n"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # What is joined follows the plan: a small budget in a large folder joins few places.
+    large = spark.range(20_000).selectExpr("'g' AS folder", "CAST(id AS INT) AS pos", "CAST(id AS INT) AS idx", "10L AS full_bytes")
+    one = prewarm.placed_requests(requests.limit(1).selectExpr("'s' AS session", "'g' AS folder", "9000 AS current", "1 AS direction", "500L AS full_budget", "3 AS _full"), large)
+    reach = prewarm.budget_reach(one, prewarm.with_sums(large, "full_bytes"), "full_budget", "_full")
+    assert 37 <= reach.first()["reach"] <= 80
+    assert prewarm._near(one.join(reach, "session"), large, F.col("reach"), F.col("last")).count() <= 110
+
+
 def test_retention(spark, monkeypatch):
     three = spark.createDataFrame([("a", 1000, 1), ("b", 1000, 2), ("c", 1000, 3)], "key string, bytes bigint, mtime_ns bigint")
     assert [r["key"] for r in stores.retention_to_budget(three, 2500).collect()] == ["a"]
@@ -261,9 +287,9 @@ def test_medians(spark):
 
 def test_medians_of_large_groups(spark, monkeypatch):
     """A hot group is cut into ranges and never held as one array."""
-    monkeypatch.setattr(benchmarks, "RANGE_ROWS", 50)
+    monkeypatch.setattr(benchmarks, "FEW", 50)
     rows = [("hot", 1 + i * 7919 % 1000 // 3) for i in range(3000)] + [("even", x) for x in (4, 1, 3, 2)] + [(None, 5), ("one", 9), ("gaps", None), ("gaps", 8), ("none", None)]
-    got = benchmarks.upper_medians(spark.createDataFrame(rows, "k string, x int"), ["k"], F.col("x"), "m").collect()
+    got = benchmarks.upper_medians(spark.createDataFrame(rows, "k string, x int"), ["k"], {"m": F.col("x")}).collect()
     want = {k: sorted(x for j, x in rows if j == k and x is not None) for k in {k for k, _ in rows}}
     assert len(got) == 5 and {r["k"]: r["m"] for r in got} == {k: v[len(v) // 2] for k, v in want.items() if v}
     probe = [(k, 1, 90, 10, 10, x, x) for k, x in rows]
@@ -273,6 +299,21 @@ def test_medians_of_large_groups(spark, monkeypatch):
     assert "collect_list" not in out._jdf.queryExecution().toString()
 
 
+def test_medians_of_wide_values(spark, monkeypatch):
+    """Sizes from the least to the largest numbers, infinities, NaN and repeated ones."""
+    monkeypatch.setattr(benchmarks, "FEW", 5)
+    monkeypatch.setattr(benchmarks, "DIGITS", 8)
+    rng = random.Random(3)
+    groups = {
+        "wide": [10.0 ** rng.randint(-300, 300) for _ in range(400)], "signs": [rng.choice([-1, 1]) * 10.0 ** rng.randint(-9, 9) for _ in range(301)], "same": [2.5] * 90,
+        "ends": [math.inf] * 40 + [-math.inf] * 20 + [1.7e308, -1.7e308] * 5, "nan": [math.nan] * 30 + [1.0, 2.0], "close": [1e15 + i for i in range(200)],
+    }
+    rows = [(k, x) for k, own in groups.items() for x in own]
+    got = {r["k"]: (r["x"], r["n"]) for r in benchmarks.upper_medians(spark.createDataFrame(rows, "k string, x double"), ["k"], {"x": F.col("x"), "n": F.lit(7)}).collect()}
+    want = {k: sorted(own, key=lambda x: (math.isnan(x), x))[len(own) // 2] for k, own in groups.items()}
+    assert {k: str(x) for k, (x, _) in got.items()} == {k: str(x) for k, x in want.items()} and all(n == 7 for _, n in got.values())
+
+
 def test_markers_and_slices(spark):
     stars = spark.createDataFrame([("f", p) for p in (0, 1, 2, 9)], "folder string, pos int")
     total = spark.createDataFrame([("f", 10)], "folder string, total int")
