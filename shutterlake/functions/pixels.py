@@ -1,12 +1,19 @@
-"""Per-image pixel jobs and metrics: NumPy over Arrow cells, images never leave their row."""
+"""Per-image pixel jobs and metrics: NumPy over Arrow cells, images never leave their row.
+
+Cells are read in place from Arrow's buffers, one image at a time, and Spark bounds a batch by
+bytes (spark.sql.execution.arrow.maxBytesPerBatch). Steps that need more memory than the image
+work in bands of rows, so a frame of 24 million pixels stays under 2 GB with its batch.
+A null image gives null.
+"""
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,15 +22,13 @@ from shutterlake.functions.geometry import BLEND, GAIN
 IMAGE = "width int, height int, rgba binary"
 #: Little-endian float32 values: one for each place, or red, green and blue.
 PLANE = "width int, height int, values binary"
+#: Rows of a result that are worked on at a time.
+BAND = 128
 
 #: Places of red, both greens and blue in a 2x2 quad.
 QUADS = {"RGGB": (0, 1, 2, 3), "BGGR": (3, 1, 2, 0), "GBRG": (2, 0, 3, 1), "GRBG": (1, 0, 3, 2)}
 
 
-def mosaic(cfa: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(cfa, "<u2").reshape(-1, width)
-
-
 def normalized(raw: np.ndarray, black: list[float], white: list[float]) -> np.ndarray:
     """Each site of whole quads scaled from its black to its white level; a last odd row or
     column stays as it is."""
@@ -69,7 +74,24 @@ _TONES = tone_table()
 
 def packed(rgb: np.ndarray) -> np.ndarray:
     out = np.full((*rgb.shape[:2], 4), 255, np.uint8)
-    out[..., :3] = _TONES[(np.clip(rgb, 0, 1) * 65_535 + 0.5).astype(np.int64)]
+    for i in range(0, len(rgb), BAND):
+        out[i : i + BAND, :, :3] = _TONES[(np.clip(rgb[i : i + BAND], 0, 1) * 65_535 + 0.5).astype(np.uint16)]
+    return out
+
+
+def developed(raw: np.ndarray, cfa: str, area: tuple[int, int, int, int], black: list, white: list, gains: list, matrix: list) -> np.ndarray | None:
+    """Half-size opaque RGBA of an area, in bands that begin at even rows; None if the pattern
+    isn't known."""
+    x, y, w, h = area
+    if shifted(cfa, x, y) not in QUADS:
+        return None
+    rows = len(raw[y : y + (h & ~1)]) // 2
+    out = np.empty((rows, len(raw[0, x : x + (w & ~1)]) // 2, 4), np.uint8)
+    for k in range(0, rows, BAND):
+        n = min(BAND, rows - k)
+        top, end = (y + 2 * k) & ~1, y + 2 * (k + n)
+        plane = normalized(raw[top : end + (end & 1)], black, white)
+        out[k : k + n] = packed(calibrated(superpixel(plane, cfa, (x, y + 2 * k - top, w, 2 * n)), gains, matrix))
     return out
 
 
@@ -86,59 +108,118 @@ def catmull_rom(size: int, to: int) -> np.ndarray:
     return w / w.sum(axis=1, keepdims=True)
 
 
+def _along(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """weights @ rows for weights that are zero outside a band, by bands."""
+    out = np.empty((len(weights), rows.shape[1]))
+    for i in range(0, len(weights), BAND):
+        own = weights[i : i + BAND]
+        used = np.flatnonzero(own.any(axis=0))
+        low, high = used[0], used[-1] + 1
+        out[i : i + BAND] = own[:, low:high] @ rows[low:high]
+    return out
+
+
 def shrunk(image: np.ndarray, longest: int) -> np.ndarray:
+    """Bands of rows of the result, each from the rows of the image that its filter reaches."""
     h, w = image.shape[:2]
     if max(h, w) <= longest:
         return image
     scale = longest / max(h, w)
     to = [max(1, math.floor(n * scale + 0.5)) for n in (h, w)]
-    out = np.einsum("ih,hwc->iwc", catmull_rom(h, to[0]), image.astype(np.float64))
-    out = np.einsum("jw,iwc->ijc", catmull_rom(w, to[1]), out)
-    return np.clip(out + 0.5, 0, 255).astype(np.uint8)
+    down, across = catmull_rom(h, to[0]), catmull_rom(w, to[1])
+    out = np.empty((to[0], to[1], 4), np.uint8)
+    step = max(1, int(BAND * to[0] / h))
+    for i in range(0, to[0], step):
+        own = down[i : i + step]
+        used = np.flatnonzero(own.any(axis=0))
+        rows = image[used[0] : used[-1] + 1]
+        part = (own[:, used[0] : used[-1] + 1] @ rows.reshape(len(rows), -1).astype(np.float64)).reshape(len(own), w, 4)
+        part = _along(across, part.transpose(1, 0, 2).reshape(w, -1)).reshape(to[1], len(own), 4).transpose(1, 0, 2)
+        out[i : i + step] = np.clip(part + 0.5, 0, 255)
+    return out
 
 
-def rgba(row: dict) -> np.ndarray:
-    return np.frombuffer(row["rgba"], np.uint8).reshape(row["height"], row["width"], 4)
+# ---- cells
 
 
-def _frame(images: list[np.ndarray | None]) -> pd.DataFrame:
-    rows = [(None, None, None) if i is None else (i.shape[1], i.shape[0], np.ascontiguousarray(i).tobytes()) for i in images]
-    return pd.DataFrame(rows, columns=["width", "height", "rgba"]).astype({"width": "Int32", "height": "Int32"})
+def cells(column: pa.Array) -> list[np.ndarray | None]:
+    """The bytes of each cell of a binary column, where they lie."""
+    wide = pa.types.is_large_binary(column.type)
+    _, where, data = column.buffers()
+    at = np.frombuffer(where, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else []
+    held = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return [held[at[i] : at[i + 1]] if ok else None for i, ok in enumerate(column.is_valid().to_pylist())]
 
 
-def _rows(frame: pd.DataFrame):
-    return frame.to_dict("records")
+def images(column: pa.StructArray) -> list[tuple[int, int, np.ndarray] | None]:
+    """width, height and bytes of each image or plane."""
+    width, height, data = column.flatten()
+    every = zip(width.to_pylist(), height.to_pylist(), cells(data))
+    return [None if None in (w, h) or d is None else (w, h, d) for w, h, d in every]
 
 
-def normalize_cfa(image: Column, black: Column, white: Column) -> Column:
-    """STRUCT(width, height, values: little-endian float32) of STRUCT(width, height, cfa)."""
+def image_array(found: list[np.ndarray | None], name: str) -> pa.StructArray:
+    """A column of images; their bytes are copied once at most."""
+    parts = [np.empty(0, np.uint8) if i is None else np.ascontiguousarray(i).reshape(-1).view(np.uint8) for i in found]
+    at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    data = parts[0] if len(parts) == 1 else np.concatenate([*parts, np.empty(0, np.uint8)])
+    none = pa.array([i is None for i in found], pa.bool_())
+    mask = np.packbits(np.array([i is not None for i in found], bool), bitorder="little").tobytes()
+    column = pa.Array.from_buffers(pa.binary(), len(found), [pa.py_buffer(mask), pa.py_buffer(at), pa.py_buffer(data)])
+    size = [pa.array([None if i is None else i.shape[k] for i in found], pa.int32()) for k in (1, 0)]
+    return pa.StructArray.from_arrays([*size, column], names=["width", "height", name], mask=none)
 
-    @F.pandas_udf(PLANE)
-    def run(im: pd.DataFrame, b: pd.Series, w: pd.Series) -> pd.DataFrame:
-        out = [normalized(mosaic(r["cfa"], r["width"]), list(x), list(y)) for r, x, y in zip(_rows(im), b, w)]
-        return pd.DataFrame([(p.shape[1], p.shape[0], p.astype("<f4").tobytes()) for p in out], columns=["width", "height", "values"])
 
-    return run(image, black, white)
+def floats(cell: tuple, *shape: int) -> np.ndarray:
+    width, height, data = cell
+    return data.view("<f4").reshape(height, width, *shape)
+
+
+def rgba(cell: tuple) -> np.ndarray:
+    width, height, data = cell
+    return data.reshape(height, width, 4)
+
+
+def mosaic(cell: tuple) -> np.ndarray:
+    width, _, data = cell
+    return data.view("<u2").reshape(-1, width)
 
 
-def _plane(image: np.ndarray | None) -> tuple:
-    return (None, None, None) if image is None else (image.shape[1], image.shape[0], np.ascontiguousarray(image, "<f4").tobytes())
+def each(work: Callable, name: str) -> Callable:
+    """A function of Arrow columns that gives the image ``work`` makes of each row's cells."""
 
+    def run(column: pa.Array, *others: pa.Array) -> pa.Array:
+        rest = zip(*(o.to_pylist() for o in others)) if others else [()] * len(column)
+        return image_array([None if cell is None or None in more else work(cell, *more) for cell, more in zip(images(column), rest)], name)
 
-def _planes(images: list[np.ndarray | None]) -> pd.DataFrame:
-    return pd.DataFrame([_plane(i) for i in images], columns=["width", "height", "values"]).astype({"width": "Int32", "height": "Int32"})
+    return run
 
 
-def _floats(row: dict, *shape: int) -> np.ndarray:
-    return np.frombuffer(row["values"], "<f4").reshape(int(row["height"]), int(row["width"]), *shape)
+rotate_cells = each(lambda cell, orientation: turned(rgba(cell), orientation), "rgba")
+develop_cells = each(lambda cell, cfa, area, *levels: developed(mosaic(cell), cfa, tuple(area), *levels), "rgba")
+
+
+def downscale_cells(column: pa.Array, longest: int) -> pa.Array:
+    return each(lambda cell: shrunk(rgba(cell), longest), "rgba")(column)
+
+
+def normalize_cfa(image: Column, black: Column, white: Column) -> Column:
+    """STRUCT(width, height, values: little-endian float32) of STRUCT(width, height, cfa)."""
+    work = each(lambda cell, lo, hi: normalized(mosaic(cell), lo, hi), "values")
+
+    @F.arrow_udf(PLANE)
+    def run(im: pa.Array, b: pa.Array, w: pa.Array) -> pa.Array:
+        return work(im, b, w)
+
+    return run(image, black, white)
 
 
 def plane_values(plane: Column) -> Column:
     """ARRAY<FLOAT> of a plane's values, row by row."""
 
-    @F.pandas_udf("array<float>")
-    def run(p: pd.DataFrame) -> pd.Series:
-        return pd.Series([None if r["values"] is None else np.frombuffer(r["values"], "<f4") for r in _rows(p)], dtype=object)
+    @F.arrow_udf("array<float>")
+    def run(p: pa.Array) -> pa.Array:
+        return pa.array([None if cell is None else cell[2].view("<f4") for cell in images(p)], pa.list_(pa.float32()))
 
     return run(plane)
 
@@ -147,10 +228,12 @@ def superpixels(plane: Column, cfa: Column, area: Column) -> Column:
     """Half-size RGB plane of a scaled Bayer plane: a pixel for each 2x2 quad of ``area``
     (ARRAY(x, y, w, h)), its green the mean of both; an unknown pattern gives null."""
 
-    @F.pandas_udf(PLANE)
-    def run(p: pd.DataFrame, c: pd.Series, a: pd.Series) -> pd.DataFrame:
-        known = lambda name, at: shifted(name, int(at[0]), int(at[1])) in QUADS
-        return _planes([superpixel(_floats(r), name, tuple(map(int, at))) if known(name, at) else None for r, name, at in zip(_rows(p), c, a)])
+    def join(cell: tuple, name: str, at: list) -> np.ndarray | None:
+        return superpixel(floats(cell), name, tuple(at)).astype("<f4", copy=False) if shifted(name, at[0], at[1]) in QUADS else None
+
+    @F.arrow_udf(PLANE)
+    def run(p: pa.Array, c: pa.Array, a: pa.Array) -> pa.Array:
+        return each(join, "values")(p, c, a)
 
     return run(plane, cfa, area)
 
@@ -158,9 +241,9 @@ def superpixels(plane: Column, cfa: Column, area: Column) -> Column:
 def calibrate(rgb: Column, gains: Column, matrix: Column) -> Column:
     """RGB plane from camera colours to linear sRGB (see ``calibrated``)."""
 
-    @F.pandas_udf(PLANE)
-    def run(p: pd.DataFrame, g: pd.Series, m: pd.Series) -> pd.DataFrame:
-        return _planes([calibrated(_floats(r, 3), list(gain), list(mat)) for r, gain, mat in zip(_rows(p), g, m)])
+    @F.arrow_udf(PLANE)
+    def run(p: pa.Array, g: pa.Array, m: pa.Array) -> pa.Array:
+        return each(lambda cell, gain, mat: calibrated(floats(cell, 3), gain, mat).astype("<f4", copy=False), "values")(p, g, m)
 
     return run(rgb, gains, matrix)
 
@@ -168,9 +251,9 @@ def calibrate(rgb: Column, gains: Column, matrix: Column) -> Column:
 def pack_rgba(rgb: Column) -> Column:
     """Opaque 8-bit image of a linear RGB plane, by the tone curve."""
 
-    @F.pandas_udf(IMAGE)
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        return _frame([packed(_floats(r, 3)) for r in _rows(p)])
+    @F.arrow_udf(IMAGE)
+    def run(p: pa.Array) -> pa.Array:
+        return each(lambda cell: packed(floats(cell, 3)), "rgba")(p)
 
     return run(rgb)
 
@@ -179,32 +262,25 @@ def develop_browse(image: Column, cfa: Column, area: Column, black: Column, whit
     """Half-size opaque RGBA of a Bayer mosaic: scale, join quads, calibrate, tone.
     ``area`` is ARRAY(x, y, w, h); an unknown pattern gives null."""
 
-    @F.pandas_udf(IMAGE)
-    def run(im: pd.DataFrame, c: pd.Series, a: pd.Series, b: pd.Series, w: pd.Series, g: pd.Series, m: pd.Series) -> pd.DataFrame:
-        out = []
-        for r, name, at, lo, hi, gain, mat in zip(_rows(im), c, a, b, w, g, m):
-            if shifted(name, int(at[0]), int(at[1])) not in QUADS:
-                out.append(None)
-                continue
-            plane = normalized(mosaic(r["cfa"], r["width"]), list(lo), list(hi))
-            out.append(packed(calibrated(superpixel(plane, name, tuple(map(int, at))), list(gain), list(mat))))
-        return _frame(out)
+    @F.arrow_udf(IMAGE)
+    def run(im: pa.Array, c: pa.Array, a: pa.Array, b: pa.Array, w: pa.Array, g: pa.Array, m: pa.Array) -> pa.Array:
+        return develop_cells(im, c, a, b, w, g, m)
 
     return run(image, cfa, area, black, white, gains, matrix)
 
 
 def rotate(image: Column, orientation: Column) -> Column:
-    @F.pandas_udf(IMAGE)
-    def run(im: pd.DataFrame, o: pd.Series) -> pd.DataFrame:
-        return _frame([turned(rgba(r), x) for r, x in zip(_rows(im), o)])
+    @F.arrow_udf(IMAGE)
+    def run(im: pa.Array, o: pa.Array) -> pa.Array:
+        return rotate_cells(im, o)
 
     return run(image, orientation)
 
 
 def downscale(image: Column, longest: int) -> Column:
-    @F.pandas_udf(IMAGE)
-    def run(im: pd.DataFrame) -> pd.DataFrame:
-        return _frame([shrunk(rgba(r), longest) for r in _rows(im)])
+    @F.arrow_udf(IMAGE)
+    def run(im: pa.Array) -> pa.Array:
+        return downscale_cells(im, longest)
 
     return run(image)
 
@@ -212,28 +288,36 @@ def downscale(image: Column, longest: int) -> Column:
 def validate_pixels(image: Column) -> Column:
     """STRUCT(valid, opaque): the bytes fit the size; every alpha is 255 (null if not valid)."""
 
-    @F.pandas_udf("valid boolean, opaque boolean")
-    def run(im: pd.DataFrame) -> pd.DataFrame:
+    @F.arrow_udf("valid boolean, opaque boolean")
+    def run(im: pa.Array) -> pa.Array:
         out = []
-        for r in _rows(im):
-            valid = len(r["rgba"]) == r["width"] * r["height"] * 4
-            out.append((valid, bool((np.frombuffer(r["rgba"], np.uint8)[3::4] == 255).all()) if valid else None))
-        return pd.DataFrame(out, columns=["valid", "opaque"]).astype("boolean")
+        for cell in images(im):
+            valid = None if cell is None else len(cell[2]) == cell[0] * cell[1] * 4
+            out.append({"valid": valid, "opaque": bool((cell[2][3::4] == 255).all()) if valid else None})
+        return pa.array(out, pa.struct([("valid", pa.bool_()), ("opaque", pa.bool_())]))
 
     return run(image)
 
 
+def _steps(image: np.ndarray) -> np.ndarray:
+    return np.diff(image[..., :3].astype(np.int16), axis=1)
+
+
 def image_error_metrics(source: Column, decoded: Column) -> Column:
     """STRUCT(psnr, max_error) over RGB; equal images have an infinite PSNR."""
 
-    @F.pandas_udf("psnr double, max_error int")
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for x, y in zip(_rows(a), _rows(b)):
-            e = rgba(x)[..., :3].astype(np.int32) - rgba(y)[..., :3]
-            mse = float((e * e).mean())
-            out.append((math.inf if mse == 0 else 10 * math.log10(255**2 / mse), int(np.abs(e).max())))
-        return pd.DataFrame(out, columns=["psnr", "max_error"])
+    def compare(a: np.ndarray, b: np.ndarray) -> dict:
+        squares, most = 0, 0
+        for i in range(0, len(a), BAND):
+            e = a[i : i + BAND, :, :3].astype(np.int32) - b[i : i + BAND, :, :3]
+            squares, most = squares + int((e * e).sum(dtype=np.int64)), max(most, int(np.abs(e).max()))
+        mse = squares / (a.shape[0] * a.shape[1] * 3)
+        return {"psnr": math.inf if mse == 0 else 10 * math.log10(255**2 / mse), "max_error": most}
+
+    @F.arrow_udf("psnr double, max_error int")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = [None if x is None or y is None else compare(rgba(x), rgba(y)) for x, y in zip(images(a), images(b))]
+        return pa.array(out, pa.struct([("psnr", pa.float64()), ("max_error", pa.int32())]))
 
     return run(source, decoded)
 
@@ -241,13 +325,13 @@ def image_error_metrics(source: Column, decoded: Column) -> Column:
 def neighbor_delta_mae(source: Column, decoded: Column) -> Column:
     """Mean absolute difference of both images' steps from pixel to pixel along rows."""
 
-    @F.pandas_udf("double")
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-        out = []
-        for x, y in zip(_rows(a), _rows(b)):
-            steps = [np.diff(rgba(i)[..., :3].astype(np.int32), axis=1) for i in (x, y)]
-            out.append(float(np.abs(steps[0] - steps[1]).sum()) / max(1, steps[0].size))
-        return pd.Series(out)
+    def compare(a: np.ndarray, b: np.ndarray) -> float:
+        total = sum(int(np.abs(_steps(a[i : i + BAND]) - _steps(b[i : i + BAND])).sum(dtype=np.int64)) for i in range(0, len(a), BAND))
+        return total / max(1, a.shape[0] * (a.shape[1] - 1) * 3)
+
+    @F.arrow_udf("double")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else compare(rgba(x), rgba(y)) for x, y in zip(images(a), images(b))], pa.float64())
 
     return run(source, decoded)
 
@@ -294,8 +378,9 @@ def sampling_of(data: bytes) -> tuple[str | None, str | None]:
 
 
 def jpeg_sampling(data: Column) -> Column:
-    @F.pandas_udf("sampling string, error string")
-    def run(x: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, "no data") if v is None else sampling_of(bytes(v)) for v in x], columns=["sampling", "error"])
+    @F.arrow_udf("sampling string, error string")
+    def run(x: pa.Array) -> pa.Array:
+        found = [(None, "no data") if v is None else sampling_of(v.tobytes()) for v in cells(x)]
+        return pa.StructArray.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["sampling", "error"])
 
     return run(data)

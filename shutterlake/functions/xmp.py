@@ -150,9 +150,9 @@ def update_rating(xml: str, rating: int) -> str:
         end, scope = found.target
         prefix, declare = next((p for p, uri in scope.items() if p and uri == XMP), None), b""
         if prefix is None:
-            n = 0
-            while (prefix := "xmp" if not n else f"ratingXmp{n}") in scope:
-                n += 1
+            prefix = "xmp" if "xmp" not in scope else "stars"
+            while prefix in scope:  # taken for something else
+                prefix += "_"
             declare = f' xmlns:{prefix}="{XMP}"'.encode()
         at = end - (2 if found.data[end - 2 : end] == b"/>" else 1)
         edits.append((at, at, f' {prefix}:Rating="'.encode() + value + b'"' + declare))

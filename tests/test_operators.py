@@ -31,10 +31,11 @@ def resolved(spark, names, images, notes=()):
 
 
 def test_listing(spark):
-    names = [("C003.ArW", True, 3), ("A001.DNG", True, 1), ("B002.arw", True, 2), ("notes.txt", True, 9), (".hidden.ARW", True, 9), ("._A001.ARW", True, 9), ("nested.dng", False, 9), ("_x.arw", True, 4)]
-    rows = spark.createDataFrame([("/f", n, ok, s, None) for n, ok, s in names], schemas.LISTING)
-    out = sources.catalog_from_listing(rows).orderBy("name").collect()
-    assert [(r["name"], r["size"], r["mtime_ns"]) for r in out] == [("A001.DNG", 1, 0), ("B002.arw", 2, 0), ("C003.ArW", 3, 0), ("_x.arw", 4, 0)]
+    """Two extensions in any case, regular files, not hidden; order is by bytes."""
+    listed = [("zebra.arw", True, 5), ("Zebra.DnG", True, 6), ("roll 7.ARw", True, 7), ("_cut.dng", True, 8), ("dng", True, 1), ("x.arw.bak", True, 1), ("x.nef", True, 1), (".arw", True, 1), (".trash.dng", True, 1), ("folder.dng", False, 1)]
+    rows = spark.createDataFrame([("/f", n, ok, s, None if s == 5 else s * 11) for n, ok, s in listed], schemas.LISTING)
+    out = sources.order_catalog(sources.catalog_from_listing(rows).withColumnRenamed("name", "file_name")).collect()
+    assert [(r["file_name"], r["size"], r["mtime_ns"]) for r in out] == [("Zebra.DnG", 6, 66), ("_cut.dng", 8, 88), ("roll 7.ARw", 7, 77), ("zebra.arw", 5, 0)]
 
 
 def test_file_sources(spark, tmp_path):
