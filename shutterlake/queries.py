@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shutterlake.functions import exif, geometry, paths, pixels, text, xmp
@@ -18,6 +18,7 @@ from shutterlake.plans import prewarm
 from shutterlake.shared import new_folder
 from shutterlake.sources import catalog as sources
 from shutterlake.sources import derived as d
+from shutterlake.sources import files
 from shutterlake.streaming import ratings as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,12 +139,22 @@ def s1_scan_catalog(spark, sf):
     return found.groupBy(F.regexp_extract("folder", "folder=([^/]*)$", 1).alias("folder")).agg(F.sum("size").alias("size"))
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS name, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size FROM documents")
+def s1_scan_files(spark, sf):
+    """A photo for each text, scanned: every file with its size."""
+    folder = new_folder(spark)
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    written = files.write_files(texts, folder, "ARW").select("name", F.regexp_extract("file", "([^/]*)$", 1).alias("file_name"))
+    return sources.scan_catalog(spark, f"{folder}/files").join(written, "file_name").select("name", "size")
+
+
 @query(f"SELECT owner, rating FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY seq DESC) AS n FROM (SELECT event_id AS seq, printf('P%06d', user_id) AS owner, CAST(floor(value) AS INT) % 6 AS rating FROM events) c) q WHERE n = 1")
 def s3_s4_sidecar_files(spark, sf):
     """Sidecars updated with the last command of each owner, as files, and their ratings read again."""
     last = journal.latest_command(commands(spark, sf)).selectExpr("regexp_extract(owner, '([^/]*)[.]xmp$', 1) AS owner", f"{d.xml_of('seq % 2', '0')} AS xml", "rating")
-    found = sources.read_sidecars(spark, _files(sources.sidecar_documents(last).select("owner", "xml"), "xmp", "owner"))
-    return found.select(F.regexp_extract("owner", "owner=([^/]*)/", 1).alias("owner"), "rating")
+    folder = new_folder(spark)
+    files.publish_sidecars(sources.sidecar_documents(last), folder)
+    return files.published_ratings(spark, folder)
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS input_sha256, event_type AS variant, value AS total_ms, event_id AS seq FROM events WHERE event_id % 3 <> 0")
@@ -620,6 +631,37 @@ def p4_image_info(spark, sf):
     return info.select("doc_id", F.array_join(F.transform("info", lambda x: x["text"]), "|").alias("info"))
 
 
+INFO_SQL = f"""SELECT doc_id, file_name || CASE WHEN doc_id % 4 <> 0 THEN '|Shot ' || strftime(TIMESTAMP '2021-03-04 05:06:07' + INTERVAL 1 SECOND * doc_id, '%Y-%m-%d %H:%M:%S') || '.25 +01:30' ELSE '' END
+ || '|Modified ' || strftime(make_timestamp(mtime_ns // 1000) + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') || ' +02:00' || CASE WHEN doc_id % 3 <> 0 THEN '|Maker ' || doc_id % 7 ELSE '' END || '|Lens ' || doc_id % 5 || '|ISO ' || CAST(doc_id % 900 + 100 AS VARCHAR)
+ || CASE WHEN doc_id % 6 = 0 THEN '' ELSE '|1/' || (doc_id % 50 + 2) END || '|f/' || printf('%.1f', (doc_id % 30 + 10) / 10.0) || '|' || (doc_id % 400 + 1) || CASE WHEN doc_id % 2 = 0 THEN ' mm' ELSE '.5 mm' END
+ || '|' || CASE WHEN size >= 1000 THEN printf('%.1f KB', size / 1000.0) ELSE size || ' B' END AS info FROM ({CAT_SQL}) c"""
+
+
+@query(INFO_SQL)
+def p4_image_info_fields(spark, sf):
+    """Every field, from EXIF values and listing, of which some are blank."""
+    at = F.timestamp_add("SECOND", F.col("doc_id"), F.to_timestamp_ntz(F.lit("2021-03-04 05:06:07")))
+    photos = cat(spark, sf).select(
+        "doc_id", "file_name", "size", "mtime_ns", F.lit(7200).alias("offset_seconds"), F.when(F.col("doc_id") % 4 != 0, F.struct(at.alias("local"), F.lit("25").alias("subsecond"), F.lit(5400).alias("offset_seconds"))).alias("captured"),
+        F.when(F.col("doc_id") % 3 == 0, " \t").otherwise(exif.camera(F.lit(" Maker"), F.concat(F.col("doc_id") % 7, F.lit("\t")))).alias("camera"), exif.lens(F.lit(" "), F.concat(F.lit("Lens "), F.col("doc_id") % 5)).alias("lens"), (F.col("doc_id") % 900 + 100).alias("iso"),
+        exif.format_shutter(F.struct(F.when(F.col("doc_id") % 6 == 0, 0).otherwise(1).alias("n"), (F.col("doc_id") % 50 + 2).alias("d"))).alias("shutter"), exif.format_aperture(F.struct((F.col("doc_id") % 30 + 10).alias("n"), F.lit(10).alias("d"))).alias("aperture"),
+        (F.col("doc_id") % 400 + 1 + F.col("doc_id") % 2 / 2).cast("float").alias("focal_mm"),
+    )
+    info = views.image_info(photos, labels="minimal")
+    return info.select("doc_id", F.array_join(F.transform("info", lambda x: x["text"]), "|").alias("info"))
+
+
+@query(f"SELECT folder, file_name, row_number() OVER (ORDER BY folder, file_name) - 1 AS place FROM ({CAT_SQL}) c")
+def t1_order_catalog(spark, sf):
+    """Each photo's place in the ordered catalogue, as the sorted partitions lie."""
+    ordered = sources.order_catalog(cat(spark, sf).select("folder", "file_name"))
+    # Ids grow with the partition and the row in it; only rows of one partition are numbered together.
+    placed = ordered.withColumn("_id", F.monotonically_increasing_id())
+    placed = placed.withColumn("_part", F.shiftright("_id", 33))
+    before = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
+    return placed.join(F.broadcast(before), "_part").select("folder", "file_name", (F.col("_before") + F.col("_id") - F.shiftleft(F.col("_part"), 33)).alias("place"))
+
+
 # ---- stores, records, reconciliation
 
 SEEN = "SELECT folder, idx, CASE WHEN doc_id % 3 = 0 THEN 'full' ELSE 'browse' END AS tier, size AS bytes, doc_id AS seq FROM ({}) c WHERE doc_id % 4 <> 0"
@@ -761,6 +803,22 @@ def r3_first_metadata_fill(spark, sf):
     return streams.first_metadata_fill(e, none, none)[1].selectExpr("folder AS f", "idx", "rating")
 
 
+LAYERS_SQL = """WITH e AS (SELECT user_id % 10 AS folder, user_id AS idx, event_id AS seq, CAST(floor(value) AS BIGINT) % 8 AS rating FROM events),
+ m AS (SELECT folder, idx, arg_max(seq, seq) AS seq, arg_max(rating, seq) AS own FROM e GROUP BY folder, idx), f AS (SELECT folder, idx, arg_min(rating, seq) AS rating FROM e WHERE rating > 0 GROUP BY folder, idx),
+ p AS (SELECT folder, idx, max(seq) % 6 AS rating FROM e WHERE idx % 3 = 0 GROUP BY folder, idx), x AS (SELECT folder, idx, min(seq) % 6 AS rating FROM e WHERE idx % 5 = 0 GROUP BY folder, idx)
+SELECT m.folder, m.idx, m.seq, m.own, coalesce(x.rating, p.rating, least(f.rating, 5)) AS rating FROM m LEFT JOIN f ON f.folder = m.folder AND f.idx = m.idx LEFT JOIN p ON p.folder = m.folder AND p.idx = m.idx LEFT JOIN x ON x.folder = m.folder AND x.idx = m.idx"""
+
+
+@query(LAYERS_SQL)
+def r3_metadata_layers(spark, sf):
+    """Metadata and ratings of photos of which some have a persisted or an explicit rating, 0 among them."""
+    e = spark.read.parquet(f"{sf}/events.parquet").selectExpr("user_id % 10 AS folder", "user_id AS idx", "event_id AS seq", "CAST(floor(value) AS BIGINT) % 8 AS rating")
+    persisted = e.filter("idx % 3 = 0").groupBy("folder", "idx").agg((F.max("seq") % 6).alias("rating"))
+    explicit = e.filter("idx % 5 = 0").groupBy("folder", "idx").agg((F.min("seq") % 6).alias("rating"))
+    meta, rated_ = streams.first_metadata_fill(e, persisted, explicit)
+    return meta.select("folder", "idx", "seq", F.col("rating").alias("own")).join(rated_, ["folder", "idx"], "left")
+
+
 @query("SELECT event_id FROM events WHERE event_id % 10 = 0")
 def r4_metadata_failures(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").withColumn("event_type", F.when(F.col("event_id") % 10 == 0, "failed").otherwise("ready"))

@@ -1,7 +1,7 @@
 """Streams of rating commands and metadata events.
 
 Event time stands for arrival time. The delay of a watermark is a parameter, and what comes
-later than it is dropped by Spark and counted in the query's progress.
+later than it is dropped by Spark; ``LateCounts`` has the counts as a table.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from shutterlake import schemas
@@ -31,12 +32,50 @@ RANGE_ROWS = 50_000
 def debounce_ratings(commands: DataFrame, gap: str = DEBOUNCE, delay: str | None = None) -> DataFrame:
     """owner, due, seq, rating: the last command before each pause of ``gap`` (every command
     starts the wait anew). Works on tables, and on streams with a watermark ``delay``."""
-    timed = commands.withColumn("ts", F.col("ts").cast("timestamp"))
+    # A cast would take a stream's watermark away.
+    timed = commands if dict(commands.dtypes)["ts"] == "timestamp" else commands.withColumn("ts", F.col("ts").cast("timestamp"))
     timed = timed.withWatermark("ts", delay) if delay else timed
     last = timed.groupBy("owner", F.session_window("ts", gap).alias("w")).agg(F.max_by(F.struct("seq", "rating"), "seq").alias("c"))
     return last.select("owner", F.col("w.end").alias("due"), "c.seq", "c.rating")
 
 
+def commands_in_time(commands: DataFrame, delay: str) -> DataFrame:
+    """A stream's commands without those that come later than ``delay`` behind the newest, and
+    without repeated numbers (``seq``). This step drops late rows one by one, so that their
+    count is exact; nothing is late for what follows, ``debounce_ratings`` without a delay."""
+    timed = commands if dict(commands.dtypes)["ts"] == "timestamp" else commands.withColumn("ts", F.col("ts").cast("timestamp"))
+    return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["seq"])
+
+
+class LateCounts(StreamingQueryListener):
+    """Counts what streams leave out: rows behind the watermark, and observed late commands.
+    Register it with ``spark.streams.addListener``; ``table`` has a row for each batch of a
+    query: query, batch, watermark, dropped, late."""
+
+    SCHEMA = "query string, batch bigint, watermark string, dropped bigint, late bigint"
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        dropped = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+        late = p.observedMetrics.get("late")
+        self.rows.append((str(p.id), p.batchId, p.eventTime.get("watermark"), dropped, late["late"] if late else 0))
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, self.SCHEMA)
+
+
 def debounce_with_flush(commands: DataFrame, gap_ms: int = 400) -> DataFrame:
     """The same over a table where rows of kind ``flush`` make everything pending of their
     library due at once: library, owner, seq, rating, due.
@@ -149,18 +188,20 @@ class LateFilter(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         every = pd.concat(list(rows)).sort_values("seq")
         last = self.last.get()[0] if self.last.exists() else -1
-        fresh = every[every.seq > last].drop_duplicates("seq")
-        if len(fresh):
-            self.last.update((int(fresh.seq.max()),))
-        yield fresh[["owner", "seq", "rating"]]
+        late = ~((every.seq > last) & ~every.seq.duplicated())
+        if not late.all():
+            self.last.update((int(every.seq.max()),))
+        yield every.assign(late=late)[["owner", "seq", "rating", "late"]]
 
     def close(self) -> None:
         pass
 
 
 def late_commands_stream(commands: DataFrame) -> DataFrame:
-    """Commands (owner, seq, rating) that none of an equal or higher number preceded."""
-    return commands.groupBy("owner").transformWithStateInPandas(LateFilter(), "owner string, seq bigint, rating int", "Append", "None")
+    """Commands (owner, seq, rating) that none of an equal or higher number preceded. The others
+    are counted in the observed metric ``late``."""
+    told = commands.groupBy("owner").transformWithStateInPandas(LateFilter(), "owner string, seq bigint, rating int, late boolean", "Append", "None")
+    return told.observe("late", F.count_if("late").alias("late")).filter("NOT late").drop("late")
 
 
 def first_metadata_fill(events: DataFrame, persisted: DataFrame, explicit: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from shutterlake import schemas
 from shutterlake.operators import benchmarks, journal, ratings, reconcile, stores, views
 from shutterlake.plans import prewarm
 from shutterlake.sources import catalog as sources
+from shutterlake.sources import files
 
 IMAGES = schemas.IMAGES
 
@@ -20,6 +21,22 @@ def photos(spark, *names):
     return spark.createDataFrame(rows, schemas.CATALOG + ", idx int")
 
 
+def test_files_through_the_manifest(spark, tmp_path):
+    root = str(tmp_path / "out")
+    due = spark.createDataFrame([(f"/photos of {i}/é {i}.xmp", None if i % 3 else "<cut", i % 6) for i in range(40)], "owner string, xml string, rating int")
+    manifest = files.publish_sidecars(sources.sidecar_documents(due), root).collect()
+    assert len(manifest) == 26 and {r["file"].count("/") for r in manifest} == {2}
+    want = {f"/photos of {i}/é {i}.xmp": i % 6 for i in range(40) if i % 3}
+    assert {r["owner"]: r["rating"] for r in files.published_ratings(spark, root).collect()} == want
+    # Published again the files are the same ones; damaged and missing ones are told.
+    assert sorted(files.publish_sidecars(sources.sidecar_documents(due), root).collect()) == sorted(manifest)
+    assert len([p for p in (tmp_path / "out/files").rglob("*") if p.is_file()]) == 26
+    first, second = sorted(r["file"] for r in manifest)[:2]
+    (tmp_path / "out" / first).write_text("other")
+    (tmp_path / "out" / second).unlink()
+    assert [(r["ok"], r["content"] is None) for r in files.read_files(spark, root).filter("not ok").orderBy(F.col("content").isNull()).collect()] == [(False, False), (False, True)]
+
+
 def image(name, rating, dirty=False, owner=True, mtime=500, size=10, quarantined=False):
     return (f"/f/{name}", size, 100, rating, mtime, dirty, quarantined, f"/f/{name.rsplit('.', 1)[0]}.xmp" if owner else None)
 

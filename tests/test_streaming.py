@@ -3,6 +3,7 @@
 import datetime as dt
 import pathlib
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -191,3 +192,28 @@ def test_flush_of_a_large_library(spark, tmp_path):
     got = {tuple(r) for r in out.selectExpr("owner", "seq", "rating", "due_ms AS due").collect()}
     want = {tuple(r) for r in streams.debounce_with_flush(frame).withColumn("due", F.unix_millis("due")).select(keys).collect()}
     assert got == want
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    """Two owners' commands of one time are two late rows; each is counted once."""
+    counts = streams.LateCounts()
+    spark.streams.addListener(counts)
+    on_time = rows(*[(i * 100, "l", f"o{i % 4}", "rate", i % 6) for i in range(40)])
+    late = [(100 + i, START + dt.timedelta(milliseconds=50), "l", "o1" if i < 3 else "o2", "rate", 1) for i in range(7)] + [on_time[0]]
+    for k, part in enumerate((on_time, on_time[-2:], late, FAR, FAR)):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+    out = run(spark, streams.debounce_ratings(streams.commands_in_time(stream, "1 second")), "counted").filter("owner <> 'z'")
+    want = streams.debounce_ratings(spark.createDataFrame(on_time, SCHEMA))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    kind = "seq bigint, owner string, rating int"
+    for k, part in enumerate([[(3, "a", 1), (5, "a", 2)], [(4, "a", 3), (5, "a", 4), (6, "a", 5), (1, "b", 6)], [(2, "b", 1), (2, "b", 2), (1, "b", 3)]]):
+        spark.createDataFrame(part, kind).coalesce(1).write.parquet(str(tmp_path / f"seq{k}"))
+    run(spark, streams.late_commands_stream(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "seq*"))), "judged")
+    for _ in range(50):  # progress is told a little later
+        table = counts.table(spark).groupBy("query").agg(F.sum("dropped").alias("dropped"), F.sum("late").alias("late")).collect()
+        if sorted((r["dropped"], r["late"]) for r in table) == [(0, 4), (8, 0)]:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(counts)
+    assert sorted((r["dropped"], r["late"]) for r in table) == [(0, 4), (8, 0)]
