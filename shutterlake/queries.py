@@ -937,6 +937,22 @@ def x2_x8_develop_browse(spark, sf):
     return _images(spark, sf).select("vec_id", dev.alias("i")).select("vec_id", "i.width", "i.height", _bytes(F.col("i")).alias("rgba"))
 
 
+# Quads of the area from 1, 1 on, six sites wide and high: each colour lies across in its quad.
+CROP_SQL = f"SELECT vec_id, (i // 8 - 1) // 2 * 3 + (i % 8 - 1) // 2 AS quad, (i // 8 - 1) % 2 * 2 + (i % 8 - 1) % 2 AS c, level FROM ({LEVEL_SQL}) l WHERE i // 8 BETWEEN 1 AND 6 AND i % 8 BETWEEN 1 AND 6"
+CROP_SITES_SQL = f"SELECT vec_id, quad, max(CASE WHEN c = 0 THEN level END) AS a, max(CASE WHEN c = 1 THEN level END) AS b, max(CASE WHEN c = 2 THEN level END) AS c, max(CASE WHEN c = 3 THEN level END) AS d FROM ({CROP_SQL}) l GROUP BY vec_id, quad"
+CROP_RGB_SQL = f"SELECT vec_id, quad, CASE vec_id % 4 WHEN 0 THEN d WHEN 1 THEN a WHEN 2 THEN b ELSE c END / 256.0 AS r, CASE WHEN vec_id % 4 < 2 THEN b + c ELSE a + d END / 512.0 AS g, CASE vec_id % 4 WHEN 0 THEN a WHEN 1 THEN d WHEN 2 THEN c ELSE b END / 256.0 AS b FROM ({CROP_SITES_SQL}) s"
+
+
+@query(SQL["x4_pack_rgba"].replace(RGB_SQL, CROP_RGB_SQL).replace("SELECT vec_id, string_agg", "SELECT vec_id, 3 AS width, 3 AS height, string_agg", 1))
+def x8_develop_crop(spark, sf):
+    """A cropped area from mosaic to opaque image in one step; levels and matrix are exact in binary."""
+    four = lambda x: F.array(*[F.lit(float(x + i)) for i in range(4)])
+    pattern = F.element_at(F.array(*map(F.lit, pixels.QUADS)), (F.col("vec_id") % 4 + 1).cast("int"))
+    area, gains, matrix = (F.array(*map(F.lit, x)) for x in ((1, 1, 6, 6), (2.0, 1.0, 1.5), (1.5, -0.25, -0.25, -0.5, 1.75, -0.25, 0.0, -0.5, 1.5)))
+    made = _images(spark, sf).select("vec_id", pixels.develop_browse(F.col("m"), pattern, area, four(4096), four(4352), gains, matrix).alias("i"))
+    return made.select("vec_id", "i.width", "i.height", _bytes(F.col("i")).alias("rgba"))
+
+
 @query(f"SELECT vec_id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY j) AS rgba FROM (SELECT vec_id, v, CASE vec_id % 2 WHEN 0 THEN (15 - (i - 1) // 4) * 4 + (i - 1) % 4 ELSE ((i - 1) // 4 % 4 * 4 + 3 - (i - 1) // 16) * 4 + (i - 1) % 4 END AS j FROM (SELECT vec_id, unnest({PV}) AS v, unnest(range(1, 65)) AS i FROM embeddings) q) z GROUP BY vec_id")
 def x5_rotate(spark, sf):
     turned = pixels.rotate(F.col("a"), F.when(F.col("vec_id") % 2 == 0, "R180").otherwise("R90"))
