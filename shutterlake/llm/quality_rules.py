@@ -3,16 +3,22 @@
 Each text gives counts and four rates in parts per million. Their distribution in each
 (language, source) group is sketched by counters over buckets whose width is a 16th of
 their value: sketches merge by adding counters, have some hundred buckets at most however
-many rows they hold, and don't depend on the order of the rows. A group's limit is its
-HIGH quantile plus REACH times that quantile's distance from the median. Where a group's
-tail is so heavy that its limit lies beyond the fixed cutoff that it replaces (CEILING), the
-cutoff takes its place. Limits are then drawn to those of all groups of the language, and
-these to those of all rows, as if PRIOR documents of the wider group stood in each: small
-groups have their parent's limits, large ones their own, without a switch between them.
-
-A document fails if one of its rates is surely above the limit: the rate of its count less
-DOUBT standard errors, as a single odd line or symbol says little in a short text. Counts
-are of independent events, so words in repeated windows count by the window.
+many rows they hold, and don't depend on the order of the rows.
+
+A group's limit is its HIGH quantile plus REACH times that quantile's distance from the
+median; for a language, and for all rows, the quantile is WIDE, as a tenth of all rows is no
+style of its own. A quantile of 0 doesn't mean that none is allowed, but that a text of the
+group shows none with this probability: a limit is at least the rate at which a text of the
+group's median length would (-log HIGH events in it, about a tenth of one). A group's limit is at most SPREAD times that of its language, and a
+language's that of all rows; and it is drawn to it as if PRIOR documents of the wider
+group stood in the group (the quartile of 20 values has a standard error of a tenth of
+them), so small groups have their parent's limits and others their own.
+
+A document fails if it has surely more events than its limit lets expect for its length: if
+the square roots of both numbers, whose error is a half at any number of independent
+events, differ by DOUBT / 2. So what one text may have grows with its length. Repeated words
+count by two windows, the least that one repetition covers, and duplicate lines go by the
+words of the text.
 
 Edge cases: a null or empty text has no words and fails the base rule; a null language
 or source is a group of its own; where no document passes the base rule there are no limits
@@ -21,6 +27,8 @@ and nothing is kept; repeated rows count each; an empty table gives an empty res
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,14 +39,11 @@ from shutterlake.llm.store import kept
 from shutterlake.llm.text_arrays import gram_hashes, hash_spans, map_slices, mix, raw, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-REACH, HIGH, PRIOR, DOUBT = 3, 0.9, 100, 1.64
-#: The fixed cutoffs in parts per million: a tenth of the characters are symbols, three tenths
-#: of the lines are duplicates, ten characters a word; for repeats a bucket below the base
-#: rule's, so that the limit can reject what the base rule doesn't.
-BASE_REPEATS = 10_000 * MAX_REPEAT_PERCENT
-CEILING = {"symbols": 100_000, "dup_lines": 300_000, "repeats": BASE_REPEATS - (1 << BASE_REPEATS.bit_length() - 5), "word_length": 10_000_000}
+REACH, HIGH, WIDE, SPREAD, PRIOR, DOUBT = 3, 0.9, 0.75, 4, 20, 1.96
 #: Count, size of one event and base of each rate.
-RATES = {"symbols": ("n_symbols", 1, "word_chars"), "dup_lines": ("n_dup_lines", 1, "n_lines"), "repeats": ("n_repeat_words", WINDOW, "n_words"), "word_length": ("word_chars", 1, "n_words")}
+RATES = {"symbols": ("n_symbols", 1, "word_chars"), "dup_lines": ("n_dup_lines", 1, "n_words"), "repeats": ("n_repeat_words", 2 * WINDOW, "n_words"), "word_length": ("word_chars", 1, "n_words")}
+#: Lengths of texts, sketched beside the rates.
+BASES = ("word_chars", "n_words")
 #: Groups whose limits may be broadcast (about 100 bytes each).
 BROADCAST_GROUPS = 200_000
 
@@ -93,13 +98,14 @@ def measured(df: DataFrame, text: str = "text", keep: list[str] | None = None) -
 
 
 def _rates() -> dict:
-    return {r: F.floor(1_000_000 * F.col(count) / F.greatest(F.col(base), F.lit(1))) for r, (count, _, base) in RATES.items()}
+    rates = {r: F.floor(1_000_000 * F.col(count) / F.greatest(F.col(base), F.lit(1))) for r, (count, _, base) in RATES.items()}
+    return rates | {b: F.col(b) for b in BASES}
 
 
-def _sure_rates() -> dict:
-    """Rates of the counts less DOUBT standard errors."""
-    less = lambda count, event: F.col(count) - DOUBT * event * F.sqrt(F.col(count) / event)
-    return {r: 1_000_000 * less(count, event) / F.greatest(F.col(base), F.lit(1)) for r, (count, event, base) in RATES.items()}
+def _over(limit: dict) -> dict:
+    """Whether a text has surely more events than the limit of each rate allows."""
+    expected = lambda r, event, base: F.sqrt(limit[r] * F.col(base) / (1_000_000 * event))
+    return {r: F.sqrt(F.col(count) / event) > expected(r, event, base) + DOUBT / 2 for r, (count, event, base) in RATES.items()}
 
 
 def sketches(counted: DataFrame) -> DataFrame:
@@ -114,23 +120,28 @@ def sketches(counted: DataFrame) -> DataFrame:
 
 def thresholds(counters: DataFrame) -> DataFrame:
     """lang, source and max_<rate>, the limit of each rate."""
-    own, language, every = [_limits(counters, level).alias(k) for k, level in (("g", ["lang", "source"]), ("l", ["lang"]), ("a", []))]
+    levels = [("g", ["lang", "source"], HIGH), ("l", ["lang"], WIDE), ("a", [], WIDE)]
+    own, language, every = [_limits(counters, level, high).alias(k) for k, level, high in levels]
     joined = own.join(language, F.col("g.lang").eqNullSafe(F.col("l.lang")) & (F.col("g.rate") == F.col("l.rate"))).join(every, F.col("g.rate") == F.col("a.rate"))
-    drawn = lambda one, limit: (F.col(f"{one}.n") * F.col(f"{one}.limit") + PRIOR * limit) / (F.col(f"{one}.n") + PRIOR)
+    drawn = lambda one, wider: (F.col(f"{one}.n") * F.least(F.col(f"{one}.limit"), SPREAD * wider) + PRIOR * wider) / (F.col(f"{one}.n") + PRIOR)
     limits = joined.select("g.lang", "g.source", "g.rate", drawn("g", drawn("l", F.col("a.limit"))).alias("limit"))
     return limits.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rate") == r, F.col("limit"))).alias(f"max_{r}") for r in RATES])
 
 
-def _limits(counters: DataFrame, level: list[str]) -> DataFrame:
+def _limits(counters: DataFrame, level: list[str], high: float) -> DataFrame:
     """level, rate, limit and n (documents) from the merged sketches of each group."""
     group = Window.partitionBy(*level, "rate")  # as many rows as a sketch has buckets
     merged = counters.groupBy(*level, "rate", "bucket").agg(F.sum("n").alias("n"))
     run = merged.withColumn("_upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("_all", F.sum("n").over(group))
     at = lambda q: F.min(F.when(F.col("_upto") > q * F.col("_all"), F.col("bucket")))
-    known = run.groupBy(*level, "rate").agg(at(0.5).alias("_middle"), at(HIGH).alias("_high"), F.max("_all").alias("n"))
+    known = run.groupBy(*level, "rate").agg(at(0.5).alias("_middle"), at(high).alias("_high"), F.max("_all").alias("n"))
     end = F.expr("_high + shiftleft(1L, greatest(length(bin(_high)) - 5, 0)) - 1")  # the last value of the bucket
-    ceiling = F.create_map(*[F.lit(x) for kv in CEILING.items() for x in kv])[F.col("rate")]
-    return known.select(*level, "rate", F.least(end + REACH * (F.col("_high") - F.col("_middle")), ceiling).cast("double").alias("limit"), "n")
+    fence = (end + REACH * (F.col("_high") - F.col("_middle"))).cast("double")
+    of = lambda name, value: F.max(F.when(F.col("rate") == name, value))
+    wide = known.groupBy(*level).agg(F.max("n").alias("n"), *[of(r, fence).alias(r) for r in RATES], *[of(b, F.col("_middle")).alias(f"_{b}") for b in BASES])
+    least = {r: -math.log(high) * 1_000_000 * event / F.greatest(F.col(f"_{base}"), F.lit(1)) for r, (_, event, base) in RATES.items()}
+    pairs = F.array(*[F.struct(F.lit(r).alias("rate"), F.greatest(F.col(r), least[r]).alias("limit")) for r in RATES])
+    return wide.select(*level, "n", F.explode(pairs).alias("e")).select(*level, "e.rate", "e.limit", "n")
 
 
 def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -141,7 +152,7 @@ def judge(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> D
     limits = F.broadcast(limits) if limits.count() <= BROADCAST_GROUPS else limits
     c, t = counted.alias("c"), limits.alias("t")
     joined = c.join(t, F.col("c.lang").eqNullSafe(F.col("t.lang")) & F.col("c.source").eqNullSafe(F.col("t.source")), "left")
-    over = [F.coalesce(v > F.col(f"t.max_{r}"), F.lit(False)) for r, v in _sure_rates().items()]
+    over = [F.coalesce(v, F.lit(False)) for v in _over({r: F.col(f"t.max_{r}") for r in RATES}).values()]
     verdict = ~F.col("base_failed") & ~(over[0] | over[1] | over[2] | over[3])
     return joined.select(*[F.col(f"c.`{x}`") for x in counted.columns if x.lower() != "kept"], verdict.alias("kept"))
 

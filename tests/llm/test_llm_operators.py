@@ -636,38 +636,69 @@ def test_pieces_small_caches(monkeypatch):
 
 def kept_by_brute_force(rows):
     """doc_id of those kept, from plain lists of all values of each group."""
-    counts, values = {}, collections.defaultdict(list)
+    counts, values, lengths = {}, collections.defaultdict(list), collections.defaultdict(list)
     cut = lambda v: v >> max(v.bit_length() - 5, 0) << max(v.bit_length() - 5, 0)
-    names = {"symbols": (1, 1, 2), "dup_lines": (3, 1, 5), "repeats": (4, 8, 0), "word_length": (2, 1, 0)}
+    names = {"symbols": (1, 1, 2), "dup_lines": (3, 1, 0), "repeats": (4, 16, 0), "word_length": (2, 1, 0)}
     for i, t, lang, source in rows:
         n_words, chars, symbols, dup, repeated, lines = (int(x[0]) for x in quality_rules.text_counts(pa.array([t])))
-        c = (n_words, symbols, chars, dup, repeated, lines)
+        c = (n_words, symbols, chars, dup, repeated)
         counts[i] = (c, lang, source, n_words < 20 or 100 * repeated > 30 * n_words)
         if not counts[i][3]:
-            for r, (count, _, base) in names.items():
-                for level in ((lang, source), (lang,), ()):
+            for level in ((lang, source), (lang,), ()):
+                for base in (0, 2):
+                    lengths[base, level].append(cut(c[base]))
+                for r, (count, _, base) in names.items():
                     values[r, level].append(cut(1_000_000 * c[count] // max(c[base], 1)))
 
     def limit(r, level):
-        v = sorted(values[r, level])
-        middle, high = v[len(v) // 2], next(x for k, x in enumerate(v, 1) if k > 0.9 * len(v) and (k == len(v) or v[k] != x))
-        return min(high + (1 << max(high.bit_length() - 5, 0)) - 1 + 3 * (high - middle), quality_rules.CEILING[r]), len(v)
-
-    out = set()
+        v, at = sorted(values[r, level]), 0.9 if len(level) == 2 else 0.75
+        upper = lambda v, q: next(x for k, x in enumerate(v, 1) if k > q * len(v))
+        middle, high = upper(v, 0.5), upper(v, at)
+        event, base = names[r][1:]
+        least = -np.log(at) * 1_000_000 * event / max(upper(sorted(lengths[base, level]), 0.5), 1)
+        return max(high + (1 << max(high.bit_length() - 5, 0)) - 1 + 3 * (high - middle), least), len(v)
+
+    out, known = set(), {}
     for i, (c, lang, source, failed) in counts.items():
         ok = not failed
         for r, (count, event, base) in names.items():
-            if ok:
+            if ok and (r, lang, source) not in known:
                 top = limit(r, ())[0]
                 for level in ((lang,), (lang, source)):
                     own, n = limit(r, level)
-                    top = (n * own + 100 * top) / (n + 100)
-                ok = 1_000_000 * (c[count] - 1.64 * event * (c[count] / event) ** 0.5) / max(c[base], 1) <= top
+                    top = (n * min(own, 4 * top) + 20 * top) / (n + 20)
+                known[r, lang, source] = top
+            ok = ok and (c[count] / event) ** 0.5 <= (known[r, lang, source] * c[base] / 1e6 / event) ** 0.5 + 0.98
         if ok:
             out.add(i)
     return out
 
 
+def test_kept_of_the_given_table(spark):
+    rows = [tuple(r) for r in entry.documents(spark, SF).select("doc_id", "text", "lang", "source").collect()]
+    got = {r["doc_id"] for r in entry.op10_quality_rules(spark, SF).filter("kept").collect()}
+    assert got == kept_by_brute_force(rows) and len(got) > len(rows) / 2
+
+
+@pytest.mark.parametrize("odd", ["symbols", "lines", "passage"])
+def test_a_long_text_may_have_a_few(spark, odd):
+    """3 symbols, 4 equal lines or one passage twice reject a short text but not one of 20,000 words."""
+    rng = random.Random(12)
+    prose = lambda n: ["".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(n)]
+
+    def with_odd(w):
+        if odd == "symbols":
+            return " ".join(x + "#" * (k < 3) for k, x in enumerate(w))
+        if odd == "lines":
+            return " ".join(w) + "\nsame line" * 4
+        return " ".join([*w[:24], *w[-3:], *w])
+
+    rows = [(i, " ".join(prose(rng.randint(100, 200))), "en", "s") for i in range(60)]
+    rows += [(100, with_odd(prose(20_000)), "en", "s"), (101, with_odd(prose(40)) if odd == "symbols" else with_odd(prose(100)), "en", "s")]
+    got = {r["doc_id"] for r in quality_rules.rules_digest(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).filter("not kept").collect()}
+    assert got == {101}
+
+
 def test_kept_documents(spark):
     rng = random.Random(3)
     rows = []
