@@ -1,17 +1,20 @@
 """PII: keyed surrogates for detected entities.
 
-Mentions of emails, addresses (IPv4), phone, card, account and social numbers and of
-titled persons are found by patterns; a person's names are found again anywhere in the same
-text, with a title or without. Names may hold apostrophes and hyphens. In scripts without
-capitals a title is followed by one name: a word, or HAN_NAME characters at most where words
-aren't spaced. Each distinct entity gets one surrogate derived from a secret key: digits for
+Mentions of emails, addresses (IPv4 and IPv6), phone, card, account (IBAN too) and social
+numbers and of titled persons are found by patterns; a person's names are found again anywhere
+in the same text, with a title or without, by one pass over its words. Names that are plain
+words as well (COMMON, or in lower case elsewhere in the text) are replaced behind a title
+only. Names may hold initials, particles, apostrophes and hyphens, and be in capitals like
+their title. In scripts without capitals a title is followed by two words at most, or by a Han
+name of up to three characters, four with a double surname. Each distinct entity gets one surrogate derived from a secret key: digits for
 digits and letters for letters of the same script and case, valid checksums for valid ones,
 given names of the title's gender. A phone number's first digit and an email's last domain
 stay. Equal entities get equal surrogates in every document whatever their separators or
 case (coreference). Surrogates of all entities are compared: one that two entities share, or
 that is a real entity's own, is drawn again, so that different entities stay different;
-every GROW draws a surrogate grows by a character (an address by a port), so that no form
-is ever used up.
+after GROW draws of a short form, 4 * GROW of others, a surrogate grows by a character, so
+that no form is ever used up (a form that is half used up fails 32 draws once in 2**32
+times; addresses never grow).
 
 Edge cases: a null or empty text stays as it is and has no mentions; an empty key is
 refused; rows of equal ids and texts give equal results; an empty table gives an empty
@@ -23,6 +26,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 
@@ -38,7 +42,10 @@ from shutterlake.llm.text_arrays import map_slices
 #: Starts at the head of a run only, so a long run is read once.
 EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]++@[\w-]++(?:\.[\w-]+)+")
 NUMBERS = re.compile(
-    r"(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9]))"
+    r"(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w))"
+    r"|(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{4,39}(?![\w:]))"
+    r"|(?P<intl>(?<![\w+])\+[1-9](?:[ .()-]{0,2}[0-9]){7,14}(?!\w))"
+    r"|(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9]))"
     r"|(?P<social>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<phone>(?:\+[0-9]{1,3}[ .-]?|(?<![\w.+-]))(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w))"
     r"|(?P<card>(?<![\w.])[0-9](?:[ -]?[0-9]){12,18}(?!\w))"
@@ -46,14 +53,30 @@ NUMBERS = re.compile(
 TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Господин": "m", "السيد": "m"}
 TITLES |= {"Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Госпожа": "f", "السيدة": "f"}
 TITLES |= {"Dr": "n", "Prof": "n", "Доктор": "n", "الدكتور": "n"}
+#: Titles that count in lower case too; others are words then.
+LOWER_TITLES = {"mr": "m", "mrs": "f"}
 #: Titles that follow the name.
 AFTER = {"先生": "m", "女士": "f", "小姐": "f"}
-HAN_NAME = 3
-_HAN = f"[\u3400-\u9fff]{{1,{HAN_NAME}}}"
+# Particles of names, Han surnames of two characters, and names that are words.
+PARTICLES = "de|del|della|di|da|do|dos|das|du|des|la|le|las|los|van|von|vom|zu|zum|zur|der|den|ten|ter|af|av|bin|ibn|ben|al|el|y|e|san|st"
+DOUBLE = "欧阳|司马|上官|诸葛|夏侯|东方|皇甫|尉迟|公孙|慕容|令狐|宇文|长孙|司徒|南宫|端木|独孤|百里"
+COMMON = set(
+    "will young may mark rose hope grace bill rich long king green brown white black gray grey hill wood field stone rivers banks page price church cook baker carter mason hunter fisher porter "
+    "day may june april august summer winter frost snow rain love joy faith art bob chase dean drew earl frank gene guy jack john lance miles nick pat pierce ray rob rod sandy sue victor wade ward "
+    "klein gross lang kurz schwarz weiss koch bauer mann stein wolf petit grand blanc noir roi jour reyes flores rojo cruz"
+    .split()
+)
+_HAN = f"(?:(?:{DOUBLE})[\u3400-\u9fff]{{1,2}}|[\u3400-\u9fff]{{1,3}})"
 _WORD = r"[^\W\d_\u3400-\u9fff]++(?:['’-][^\W\d_\u3400-\u9fff]++)*+"
-PERSON = re.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + rf")\b\.?\x20({_HAN}|{_WORD}(?:\x20{_WORD}){{0,2}})")
-NAMED = re.compile(r"([\u3400-\u9fff]{2,%d}?)(%s)" % (HAN_NAME, "|".join(AFTER)))
-TITLE_HINT = re.compile("M[rs]|Mis|Herr|Frau|Mon|Mad|Mme|Se|Sr|Dr|Prof|Госп|Докт|الس|الد|先生|女士|小姐")
+#: A name's further parts: words, initials with their full stop, and particles before a word.
+_NEXT = rf"(?:\x20(?:(?:{PARTICLES})\x20){{0,3}}(?:\w\.|{_WORD}))"
+_TITLE = "|".join(sorted([*TITLES, *(t.upper() for t in TITLES), *LOWER_TITLES], key=len, reverse=True))
+PERSON = re.compile(rf"\b({_TITLE})\b\.?\x20({_HAN}|(?:(?:{PARTICLES})\x20){{0,3}}(?:\w\.|{_WORD}){_NEXT}{{0,5}})")
+NAMED = re.compile(rf"((?:{DOUBLE})[\u3400-\u9fff]{{1,2}}|[\u3400-\u9fff]{{2,3}}?)({'|'.join(AFTER)})")
+WORDS = re.compile(_WORD)
+HAN_RUN = re.compile("[\u3400-\u9fff]{2,}")
+KIND_OF_TITLE = TITLES | {t.upper(): k for t, k in TITLES.items()} | LOWER_TITLES
+TITLE_HINT = re.compile("[Mm][Rrs]|M[IS]|DR|PROF|HERR|FRAU|SE|SR|ГОСП|ДОКТ|MON|MAD|MME|Mis|Herr|Frau|Mon|Mad|Mme|Se|Sr|Dr|Prof|Госп|Докт|الس|الد|先生|女士|小姐")
 
 #: (consonants, vowels, endings of female given names) of scripts whose words can be read out.
 ALPHABETS = {
@@ -89,6 +112,22 @@ def mentions(text: str) -> list[dict]:
             if any(int(x) > 255 for x in m.group().split(".")):
                 continue
             digits = ".".join(str(int(x)) for x in m.group().split("."))
+        elif kind == "ipv6":
+            try:
+                digits = str(ipaddress.IPv6Address(m.group().rstrip(":") if not m.group().endswith("::") else m.group()))
+            except ValueError:
+                continue
+            if len(re.findall("[0-9a-f]+", digits)) < 2:
+                continue
+        elif kind == "iban":
+            whole = m.group()
+            while whole and not iban(whole):  # words in capitals may follow
+                whole = whole.rpartition(" ")[0]
+            if whole:
+                out.append(("iban", m.start(), m.start() + len(whole), whole.replace(" ", "")))
+            continue
+        elif kind == "intl":
+            kind = "phone"
         elif kind == "card" and not luhn(digits):
             kind = "account"
         out.append((kind, *m.span(), digits))
@@ -103,6 +142,12 @@ def mentions(text: str) -> list[dict]:
     return clear
 
 
+def iban(text: str) -> bool:
+    """Whether the check digits of an account number are right."""
+    own = text.replace(" ", "")
+    return 15 <= len(own) <= 34 and int("".join(str(int(c, 36)) for c in own[4:] + own[:4])) % 97 == 1
+
+
 def persons(text: str) -> list[tuple]:
     """Names of titled persons, and where the same names stand alone."""
     out, names = [], {}
@@ -114,19 +159,42 @@ def persons(text: str) -> list[tuple]:
     for m in PERSON.finditer(text):
         parts, at = [], m.start(2)
         for word in m.group(2).split(" "):
-            # Further words are names if they begin with a capital; scripts without capitals give one.
-            if word[0].islower() or (parts and not word[0].isupper()):
+            small = re.fullmatch(PARTICLES, word)
+            cased = word[0].islower() or word[0].isupper()
+            # Words are names if they begin with a capital (the first one behind a title in
+            # lower case in any case); scripts without capitals give two.
+            name = word[0].isupper() or (not parts and (not cased or m.group(1) in LOWER_TITLES)) or (not cased and len(parts) < 2)
+            if name and not (small and parts and not word[0].isupper()):
+                parts.append((at, at + len(word.rstrip("."))))
+            elif not small:
                 break
-            parts.append((at, at + len(word)))
             at += len(word) + 1
         for k, (a, b) in enumerate(parts, 1):
-            put(a, b, "surname" if k == len(parts) else f"given_{TITLES[m.group(1)]}")
+            put(a, b, "surname" if k == len(parts) else f"given_{KIND_OF_TITLE[m.group(1)]}")
     for m in NAMED.finditer(text):
         put(*m.span(1), f"given_{AFTER[m.group(2)]}")
-    alone = sorted((n for n in names if len(n) > 2 or script(n) == "CJK" and len(n) > 1), key=len, reverse=True)
-    if alone:
-        word = [re.escape(n) if script(n) == "CJK" else rf"(?<!\w){re.escape(n)}(?!\w)" for n in alone]
-        out += [(names[m.group()], *m.span(), m.group().casefold()) for m in re.finditer("|".join(word), text)]
+    if not names:
+        return out
+    # Single letters and plain words are names behind their title only.
+    seen = {w for m in WORDS.finditer(text) if (w := m.group())[0].islower()}
+    alone = {n for n in names if len(n) > 2 and script(n) != "CJK" and n.casefold() not in COMMON and n.casefold() not in seen}
+    for m in WORDS.finditer(text):
+        whole, at = m.group(), m.start()
+        if whole in alone:
+            out.append((names[whole], *m.span(), whole.casefold()))
+            continue
+        for part in re.split("['’-]", whole):
+            if part in alone:
+                out.append((names[part], at, at + len(part), part.casefold()))
+            at += len(part) + 1
+    han = {n for n in names if script(n) == "CJK" and len(n) > 1}
+    for run in HAN_RUN.finditer(text) if han else ():
+        own = run.group()
+        for i in range(len(own)):
+            for size in (4, 3, 2):
+                if own[i : i + size] in han and i + size <= len(own):
+                    out.append((names[own[i : i + size]], run.start() + i, run.start() + i + size, own[i : i + size]))
+                    break
     return out
 
 
@@ -180,13 +248,19 @@ def _alike(text: str, stream: Stream) -> str:
 def surrogate(kind: str, entity: str, attempt: int, key: bytes) -> str:
     """One canonical surrogate; later attempts draw anew, and grow where the form allows it."""
     stream = Stream(key, kind, entity, attempt)
-    more = attempt // GROW
+    more = attempt // (GROW if len(entity) < 6 else 4 * GROW)
     if kind == "email":
         local, _, domain = entity.partition("@")
         head, _, last = domain.rpartition(".")
         return f"{_alike(local, stream)}{''.join(stream.of('0123456789') for _ in range(more))}@{_alike(head, stream)}.{last}"
     if kind == "ip":
-        return ".".join(str(1 + stream.below(254)) for _ in range(4)) + (f":{1024 + stream.below(64_512)}" if more else "")
+        return ".".join(str(1 + stream.below(254)) for _ in range(4))
+    if kind == "ipv6":
+        return re.sub("[0-9a-f]+", lambda m: stream.of("123456789abcdef") + "".join(stream.of("0123456789abcdef") for _ in m.group()[1:]), entity)
+    if kind == "iban":
+        own = "".join(stream.of("0123456789") if c.isdigit() else stream.of("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for c in entity[4:])
+        check = 98 - int("".join(str(int(c, 36)) for c in own + entity[:2] + "00")) % 97
+        return f"{entity[:2]}{check:02d}{own}"
     if kind in ("phone", "social", "card", "account"):
         first = entity[0] if kind == "phone" or entity[0] == "0" else stream.of("123456789")
         digits = first + "".join(stream.of("0123456789") for _ in range(len(entity) - 1 + more))
@@ -210,7 +284,10 @@ def rendered(mention: str, kind: str, value: str) -> str:
     if kind in ("phone", "social", "card", "account"):
         digits = iter(value)
         return "".join(next(digits) if c.isdigit() else c for c in mention) + "".join(digits)
-    if kind in ("email", "ip"):
+    if kind == "iban":
+        rest = iter(value)
+        return "".join(c if c == " " else next(rest) for c in mention)
+    if kind in ("email", "ip", "ipv6"):
         return value.upper() if mention.isupper() else value
     if mention.isupper() and len(mention) > 1:
         return value.upper()

