@@ -41,11 +41,12 @@ from shutterlake.llm.text_arrays import map_slices
 
 #: Starts at the head of a run only, so a long run is read once.
 EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]++@[\w-]++(?:\.[\w-]+)+")
+IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)")
+IBAN_HINT = re.compile("[A-Z]{2}[0-9]{2}")
+IPV6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{4,39}(?![\w:])")
+INTERNATIONAL = re.compile(r"(?<![\w+])\+[1-9](?:[ .()-]{0,2}[0-9]){7,14}(?!\w)")
 NUMBERS = re.compile(
-    r"(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{4,39}(?![\w:]))"
-    r"|(?P<intl>(?<![\w+])\+[1-9](?:[ .()-]{0,2}[0-9]){7,14}(?!\w))"
-    r"|(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9]))"
+    r"(?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9]))"
     r"|(?P<social>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<phone>(?:\+[0-9]{1,3}[ .-]?|(?<![\w.+-]))(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w))"
     r"|(?P<card>(?<![\w.])[0-9](?:[ -]?[0-9]){12,18}(?!\w))"
@@ -112,25 +113,20 @@ def mentions(text: str) -> list[dict]:
             if any(int(x) > 255 for x in m.group().split(".")):
                 continue
             digits = ".".join(str(int(x)) for x in m.group().split("."))
-        elif kind == "ipv6":
-            try:
-                digits = str(ipaddress.IPv6Address(m.group().rstrip(":") if not m.group().endswith("::") else m.group()))
-            except ValueError:
-                continue
-            if len(re.findall("[0-9a-f]+", digits)) < 2:
-                continue
-        elif kind == "iban":
+        elif kind == "card" and not luhn(digits):
+            kind = "account"
+        out.append((kind, *m.span(), digits))
+    if "+" in text:
+        out += [("phone", *m.span(), re.sub("[^0-9]", "", m.group())) for m in INTERNATIONAL.finditer(text)]
+    if text.count(":") > 1:
+        out += [("ipv6", *m.span(), own) for m in IPV6.finditer(text) if (own := ipv6(m.group()))]
+    if IBAN_HINT.search(text):
+        for m in IBAN.finditer(text):
             whole = m.group()
             while whole and not iban(whole):  # words in capitals may follow
                 whole = whole.rpartition(" ")[0]
             if whole:
                 out.append(("iban", m.start(), m.start() + len(whole), whole.replace(" ", "")))
-            continue
-        elif kind == "intl":
-            kind = "phone"
-        elif kind == "card" and not luhn(digits):
-            kind = "account"
-        out.append((kind, *m.span(), digits))
     if TITLE_HINT.search(text):
         out += persons(text)
     out.sort(key=lambda x: (x[1], -x[2]))
@@ -142,6 +138,15 @@ def mentions(text: str) -> list[dict]:
     return clear
 
 
+def ipv6(text: str) -> str | None:
+    """The address in its short form; None if it is none, or has fewer than two numbers."""
+    try:
+        own = str(ipaddress.IPv6Address(text if text.endswith("::") else text.rstrip(":")))
+    except ValueError:
+        return None
+    return own if len(re.findall("[0-9a-f]+", own)) > 1 else None
+
+
 def iban(text: str) -> bool:
     """Whether the check digits of an account number are right."""
     own = text.replace(" ", "")
