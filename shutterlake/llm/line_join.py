@@ -6,11 +6,15 @@ up those substrings of its own that can match a segment of a line of its length
 EDITS shorter (the places that edits before and behind allow). An edit changes the parity of
 two characters and of four pairs of neighbours at most: of the lines that meet in a key only
 those stay a candidate pair whose parities differ in 2 * EDITS bits of characters and
-4 * EDITS of neighbours or fewer. A key of very many lines is dealt to further tasks by parts
-of the parities, one of which such lines have in common. Candidate pairs are tied into components,
-so that each line's text is sent once; components are cut into blocks of lines, and each pair
-of blocks joins its lines by the same keys and verifies the pairs with a banded bit-parallel
-edit distance, for all pairs at once.
+4 * EDITS of neighbours or fewer. Each candidate pair gets its two texts and is verified with a
+banded bit-parallel edit distance, for all pairs of a slice at once.
+
+Lines of one template agree in a segment and often in their parities. A key with more than
+ALIKE candidate pairs for each of its entries (more than FEW) is divided instead: its lines are cut again into
+EDITS + 1 segments, now where the places at which they differ are shared out evenly, and
+indexed by those within the key; keys that are still too full are divided again as long as this
+halves the work. What can't be divided (hundreds of lines that are really near each other)
+is cut into blocks of lines, and each pair of blocks joins its lines by the same keys.
 
 A line goes if it, or a line within EDITS edits, occurs earlier (smaller document id, or
 the same document and an earlier line). This is judged on the input, not on what is left.
@@ -26,6 +30,7 @@ other; an empty table gives an empty result; further columns are carried over.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -36,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shutterlake.llm import exchange
-from shutterlake.llm.components import components, forest, gathered, in_blocks, small
+from shutterlake.llm.components import components, gathered, in_blocks, small
 from shutterlake.llm.store import kept, spare
 from shutterlake.llm.text_arrays import arrow_session, joined_spans, mix, raw, release, slices
 
@@ -45,8 +50,11 @@ EDITS, MIN_CHARS, EXACT_CHARS = 2, 20, 1
 BLOCK, BLOCK_CHARS = 400, 500_000
 #: Pairs that are compared at once, and from how many on a key's lines are split by parities.
 AT_ONCE = 1 << 21
-#: Pairs of one key from which on its lines are dealt to further tasks by parities.
-HOT_PAIRS = 1 << 30
+#: Pairs of one key from which on it is divided without comparing their parities, candidate
+#: pairs for each entry of a key from which on it is divided, and entries up to which it isn't.
+HOT_PAIRS, ALIKE, FEW = 1 << 28, 1, 32
+#: Places at which the lines of a divided key are compared; longer lines are cut into as many pieces.
+PLACES = 128
 PILE_CHARS = 1_000_000
 NULL_ID = -(2**63)
 
@@ -127,10 +135,13 @@ def line_hashes(run: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nd
     return mix((run[start + length] - run[start]) * undo[start] + mix(length.astype(np.uint64)))
 
 
-def line_keys(run: np.ndarray, start: np.ndarray, length: np.ndarray, edits: int = EDITS, salt: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def line_keys(
+    run: np.ndarray, start: np.ndarray, length: np.ndarray, edits: int = EDITS, salt: np.ndarray | None = None, cuts: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, key, probe): index keys of each line's segments, and probe keys of the
     substrings that a segment of an indexed line of length - edits .. length can match.
-    Lines of different ``salt`` share no key."""
+    Lines of different ``salt`` share no key. ``cuts`` has for each line the ends of the
+    segments of lines of its length, of one less and so on (-1: there are none)."""
     undo = powers(len(run))[1]
 
     def key(line: np.ndarray, at: np.ndarray, size: np.ndarray, k: int, of: np.ndarray) -> np.ndarray:
@@ -138,6 +149,9 @@ def line_keys(run: np.ndarray, start: np.ndarray, length: np.ndarray, edits: int
         part = (run[a + size] - run[a]) * undo[a] + mix(of.astype(np.uint64) * np.uint64(64) + np.uint64(k))
         return mix(part if salt is None else part + salt[line])
 
+    def segment(k: int, less: int) -> tuple[np.ndarray, np.ndarray]:
+        return segments(length - less, k, edits) if cuts is None else (cuts[:, less, k], cuts[:, less, k + 1] - cuts[:, less, k])
+
     every = np.arange(len(start))
     lines, keys, probes = [], [], []
 
@@ -147,11 +161,11 @@ def line_keys(run: np.ndarray, start: np.ndarray, length: np.ndarray, edits: int
         probes.append(np.full(len(line), probe, np.uint8))
 
     for k in range(edits + 1):
-        at, size = segments(length, k, edits)
+        at, size = segment(k, 0)
         put(every, key(every, at, size, k, length), 0)
         for less in range(edits + 1):
             of = length - less
-            at, size = segments(of, k, edits)
+            at, size = segment(k, less)
             # Before the segment at most k edits, behind it at most edits - k.
             for shift in range(max(-k, less - (edits - k)), min(k, less + (edits - k)) + 1):
                 ok = np.flatnonzero((at + shift >= 0) & (at + shift + size <= length) & (size > 0))
@@ -272,30 +286,108 @@ def _lines(docs: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, number long, line long, length long")
 
 
+SENT = pa.schema([("bucket", pa.int64()), ("rest", pa.binary()), ("line", pa.binary()), ("parity", pa.binary()), ("probe", pa.binary())])
+SENT_COLUMNS = "bucket long, rest binary, line binary, parity binary, probe binary"
+
+
+def _packed(name: np.ndarray, parity: np.ndarray, keys: tuple[np.ndarray, np.ndarray, np.ndarray], buckets: int) -> pa.Table:
+    """Keys of lines with these names and parities, a row for each key bucket."""
+    line, key, probe = keys
+    places = exchange.place(key, buckets)
+    order = np.argsort((places >> np.uint64(40)).astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
+    places, line, probe = places[order], line[order], probe[order]
+    rows = [
+        (b, exchange.planes(places[i:j] & exchange.REST), exchange.planes(name[line[i:j]].view(np.uint64), 8), exchange.planes(parity[line[i:j]], 8), probe[i:j].tobytes())
+        for b, i, j in exchange.by_bucket(places)
+    ]
+    return exchange.rows_table(rows, SENT)
+
+
 def _sent_keys(docs: DataFrame, buckets: int, edits: int, min_chars: int) -> DataFrame:
     """Packed keys of each slice's distinct lines, for the key buckets."""
-    schema = pa.schema([("bucket", pa.int64()), ("rest", pa.binary()), ("line", pa.binary()), ("parity", pa.binary()), ("probe", pa.binary())])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 x = lines_of(part.column("text"), min_chars, min_chars)
                 name, once = np.unique(x.line, return_index=True)
-                if not len(once):
-                    continue
-                parity = parities(x.chars, x.at[once], x.length[once])
-                line, key, probe = line_keys(x.run, x.at[once], x.length[once], edits)
-                places = exchange.place(key, buckets)
-                order = np.argsort((places >> np.uint64(40)).astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
-                places, line, probe = places[order], line[order], probe[order]
-                rows = [
-                    (b, exchange.planes(places[i:j] & exchange.REST), exchange.planes(name[line[i:j]].view(np.uint64), 8), exchange.planes(parity[line[i:j]], 8), probe[i:j].tobytes())
-                    for b, i, j in exchange.by_bucket(places)
-                ]
-                yield from exchange.rows_table(rows, schema).to_batches()
+                if len(once):
+                    parity = parities(x.chars, x.at[once], x.length[once])
+                    yield from _packed(name, parity, line_keys(x.run, x.at[once], x.length[once], edits), buckets).to_batches()
+        release()
+
+    return docs.select("text").mapInArrow(run, SENT_COLUMNS)
+
+
+def even_cuts(counts: np.ndarray, edges: np.ndarray, edits: int) -> list[int]:
+    """Ends of edits + 1 segments between which the entropy of the places is shared out evenly.
+    ``counts``: of 16 classes at each place; ``edges``: where the places start and end."""
+    share = counts / counts.sum(axis=1, keepdims=True)
+    weight = np.cumsum(-(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1) + 1e-3)
+    at = edges[1 + np.searchsorted(weight, weight[-1] * np.arange(1, edits + 1) / (edits + 1))]
+    k = np.arange(1, edits + 1)  # a segment has a character at least
+    at = np.minimum(np.maximum.accumulate(np.maximum(at, k) - k) + k, edges[-1] - (edits + 1 - k))
+    return [0, *at.tolist(), int(edges[-1])]
+
+
+def _cuts(held: DataFrame, edits: int) -> DataFrame:
+    """hot, length, cuts: where the lines of each length in each divided key are cut, and before
+    that where those of one character less are, and so on. A part of a key's lines (the one with
+    the most, of those in one task) decides for all of them; this bears on speed alone."""
+
+    def run(batches):
+        now, counts, edges, n = None, None, None, 0
+        for batch in batches:
+            for part in slices(batch, "line_text"):
+                chars, at = code_points(*raw(part.column("line_text")))
+                sums, undo = running(chars), powers(len(chars) + 1)[1]
+                hot, length = (part.column(c).to_numpy() for c in ("hot", "length"))
+                change = np.flatnonzero(np.append(True, (hot[1:] != hot[:-1]) | (length[1:] != length[:-1])))
+                for i, j in zip(change.tolist(), [*change[1:].tolist(), len(hot)]):
+                    if now != (hot[i], length[i]):
+                        if n:
+                            yield pa.RecordBatch.from_pylist([{"hot": int(now[0]), "length": int(now[1]), "n": n, "cuts": even_cuts(counts, edges, edits)}], CUTS)
+                        now, n = (hot[i], length[i]), 0
+                        places = min(int(length[i]), PLACES)
+                        edges = int(length[i]) * np.arange(places + 1) // places
+                        counts = np.zeros((places, 16), np.int64)
+                    for m in range(i, j, 2000):
+                        where = at[m : min(m + 2000, j), None] + edges
+                        piece = mix((sums[where[:, 1:]] - sums[where[:, :-1]]) * undo[where[:, :-1]]) >> np.uint64(60)
+                        counts += np.bincount((piece.astype(np.int64) + 16 * np.arange(len(counts))).ravel(), minlength=counts.size).reshape(counts.shape)
+                    n += j - i
+        if n:
+            yield pa.RecordBatch.from_pylist([{"hot": int(now[0]), "length": int(now[1]), "n": n, "cuts": even_cuts(counts, edges, edits)}], CUTS)
         release()
 
-    return docs.select("text").mapInArrow(run, "bucket long, rest binary, line binary, parity binary, probe binary")
+    ordered = held.select("hot", "length", "line_text", "line").repartitionByRange("hot", "length", "line").sortWithinPartitions("hot", "length")
+    parts = ordered.drop("line").mapInArrow(run, "hot long, length long, n long, cuts array<int>")
+    each = parts.groupBy("hot", "length").agg(F.max(F.struct("n", "cuts"))["cuts"].alias("cuts"))
+    longer = each.select("hot", "cuts", F.posexplode(F.sequence(F.col("length"), F.col("length") + edits)).alias("less", "length"))
+    none = F.array_repeat(F.lit(-1), edits + 2)
+    by_less = [F.coalesce(F.max(F.when(F.col("less") == k, F.col("cuts"))), none) for k in range(edits + 1)]
+    return longer.groupBy("hot", "length").agg(F.concat(*by_less).alias("cuts"))
+
+
+CUTS = pa.schema([("hot", pa.int64()), ("length", pa.int64()), ("n", pa.int64()), ("cuts", pa.list_(pa.int32()))])
+
+
+def _divided_keys(held: DataFrame, buckets: int, edits: int) -> DataFrame:
+    """Packed keys of the lines of each divided key, by segments of their own."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "line_text"):
+                chars, at = code_points(*raw(part.column("line_text")))
+                start, length = at[:-1], np.diff(at)
+                cuts = part.column("cuts").flatten().to_numpy().astype(np.int64).reshape(len(start), edits + 1, edits + 2)
+                salt = mix(part.column("hot").to_numpy().view(np.uint64))
+                keys = line_keys(running(chars), start, length, edits, salt, cuts)
+                yield from _packed(part.column("line").to_numpy(), parities(chars, start, length), keys, buckets).to_batches()
+        release()
+
+    columns = held.join(small(kept(_cuts(held, edits))), ["hot", "length"]).select("hot", "line", "line_text", "cuts")
+    return columns.mapInArrow(run, SENT_COLUMNS)
 
 
 def _groups(group: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -342,12 +434,9 @@ def _crossed(group: np.ndarray, parity: np.ndarray, probe: np.ndarray, edits: in
                 yield own[order[a]], own[order[b]]
 
 
-TIES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot", pa.int64()), ("line", pa.binary()), ("parity", pa.binary()), ("probe", pa.binary())])
-
-
-def _ties(table: pa.Table, edits: int, hot_pairs: int) -> pa.Table:
-    """For one key bucket: ties of lines of one key that may be near by their parities, and
-    the lines of hot keys for further tasks."""
+def _ties(table: pa.Table, edits: int, hot_pairs: int, alike_most: int, few: int) -> pa.Table:
+    """For one key bucket: pairs of lines of one key that may be near by their parities (a, b),
+    and the lines (a) of keys that have too many of them (hot)."""
     rest = np.concatenate([exchange.joined(x) for x in table["rest"].to_pylist()])
     line = np.concatenate([exchange.joined(x, 8) for x in table["line"].to_pylist()]).view(np.int64)
     parity = np.concatenate([exchange.joined(x, 8) for x in table["parity"].to_pylist()])
@@ -357,51 +446,64 @@ def _ties(table: pa.Table, edits: int, hot_pairs: int) -> pa.Table:
     fresh = np.ones(len(order), bool)  # equal lines of several slices are one
     fresh[1:] = (rest[1:] != rest[:-1]) | (line[1:] != line[:-1]) | (probe[1:] != probe[:-1])
     rest, line, parity, probe = rest[fresh], line[fresh], parity[fresh], probe[fresh]
-    group = np.cumsum(np.append(True, rest[1:] != rest[:-1])) - 1
-    _, indexed, probing, of = _groups(group, probe)
-    hot = np.flatnonzero((indexed * probing > hot_pairs)[of])
-    rows = []
-    for part, value in _by_parts(parity[hot], edits):
-        bucket = np.uint64(table["bucket"][0].as_py())
-        name = mix(mix(rest[hot] | bucket << np.uint64(40)) + np.uint64(part * 2**16) + value.astype(np.uint64)).view(np.int64)
-        order = np.argsort(name, kind="stable")
-        name = name[order]
-        cut = np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else order
-        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(name)]):
-            own = hot[order[i:j]]
-            rows.append((None, None, int(name[i]), exchange.planes(line[own].view(np.uint64), 8), exchange.planes(parity[own], 8), probe[own].tobytes()))
-    cold = np.ones(len(line), bool)
-    cold[hot] = False
-    pairs = _near_pairs(group[cold], line[cold], parity[cold], probe[cold], edits)
-    found = pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), **{f.name: pa.nulls(len(pairs), f.type) for f in list(TIES)[2:]}})
-    return pa.concat_tables([found, exchange.rows_table(rows, TIES)])
-
-
-def _hot_ties(table: pa.Table, edits: int) -> pa.Table:
-    """Ties among the lines that share a part of a hot key's parities."""
-    line = np.concatenate([exchange.joined(x, 8) for x in table["line"].to_pylist()]).view(np.int64)
-    parity = np.concatenate([exchange.joined(x, 8) for x in table["parity"].to_pylist()])
-    probe = np.concatenate([np.frombuffer(x, np.uint8) for x in table["probe"].to_pylist()])
-    order = np.argsort(probe, kind="stable")
-    pairs = _near_pairs(np.zeros(len(line), np.int64), line[order], parity[order], probe[order], edits, False)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+    cut, indexed, probing, of = _groups(np.cumsum(np.append(True, rest[1:] != rest[:-1])) - 1, probe)
+    over = indexed * probing > hot_pairs
+    cold = ~over[of]
+    pairs, full = _near_pairs(of[cold], line[cold], parity[cold], probe[cold], edits, np.where(indexed + probing > few, alike_most * (indexed + probing), indexed * probing))
+    hot = np.flatnonzero((over | full)[of])
+    bucket = np.uint64(table["bucket"][0].as_py())
+    members = np.unique(np.stack([mix(rest[hot] | bucket << np.uint64(40)).view(np.int64), line[hot]], axis=1), axis=0)
+    return pa.table({
+        "a": pa.array(np.concatenate([pairs[:, 0], members[:, 1]])), "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(members), pa.int64())]),
+        "hot": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(members[:, 0])]),
+    })
+
+
+def _near_pairs(group: np.ndarray, line: np.ndarray, parity: np.ndarray, probe: np.ndarray, edits: int, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of lines whose parities allow that they are near, of the groups with no more than
+    ``most`` of them, and which groups have more."""
+    count = np.zeros(len(most), np.int64)
+    held: list[np.ndarray] = [np.zeros((3, 0), np.int64)]
+    size, bound = 0, AT_ONCE
+
+    def calm() -> np.ndarray:
+        x = np.concatenate(held, axis=1)
+        return x[:, count[x[0]] <= most[x[0]]]
+
+    for a, b in _crossed(group, parity, probe, edits):
+        other = line[a] != line[b]
+        a, b = a[other], b[other]
+        np.add.at(count, group[a], 1)
+        held.append(np.stack([group[a], line[a], line[b]]))
+        size += len(a)
+        if size > bound:
+            held = [calm()]
+            size = held[0].shape[1]
+            bound = max(AT_ONCE, 2 * size)
+    _, x, y = calm()  # equal pairs of parts may have been counted more than once
+    return np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0), count > most
 
 
-def _near_pairs(group: np.ndarray, line: np.ndarray, parity: np.ndarray, probe: np.ndarray, edits: int, split: bool = True) -> np.ndarray:
-    """Lines whose parities allow that they are near, as many pairs as tie the same lines."""
-    found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-    for a, b in _crossed(group, parity, probe, edits, split):
-        other = line[a] != line[b]
-        found.append(np.sort(np.stack([line[a[other]], line[b[other]]], axis=1), axis=1))
-        if sum(map(len, found)) > AT_ONCE:
-            found = [_spanning(np.concatenate(found))]
-    return _spanning(np.concatenate(found))
+def _pairs_later(pairs: DataFrame, edits: int) -> DataFrame:
+    """line: of each pair within the edits (a_text, b_text, a_at, b_at) the later one."""
 
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "a_text"):
+                texts = pa.concat_arrays([part.column("a_text"), part.column("b_text")])
+                chars, at = code_points(*raw(texts))
+                start, length = at[:-1], np.diff(at)
+                n = part.num_rows
+                order = np.argsort(length[:n], kind="stable")  # long pairs go together, so that short ones don't wait
+                ok = np.zeros(n, bool)
+                for i in range(0, n, 50_000):
+                    a = order[i : i + 50_000]
+                    ok[a] = within(chars, start[a], length[a], start[a + n], length[a + n], edits)
+                later = pc.if_else(part.column("a_is_later"), part.column("a"), part.column("b"))
+                yield pa.RecordBatch.from_arrays([later.filter(pa.array(ok))], names=["line"])
+        release()
 
-def _spanning(pairs: np.ndarray) -> np.ndarray:
-    """As many of the pairs as tie the same lines."""
-    pairs = np.unique(pairs, axis=0)
-    return np.array(forest(pairs[:, 0], pairs[:, 1]), np.int64).reshape(-1, 2)
+    return pairs.mapInArrow(run, "line long")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
@@ -437,6 +539,23 @@ def _later(table: pa.Table, edits: int) -> pa.Table:
     return pa.table({"line": pa.array(np.unique(table["line"].to_numpy()[later[differ]]))})
 
 
+def _blocks_later(full: DataFrame, known: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """line: the later lines of pairs within the edits among lines of one key, in blocks."""
+    least = full.groupBy("hot").agg(F.min("line").alias("b"))
+    roots = components(full.join(small(kept(least)), "hot").select(F.col("line").alias("a"), "b"))
+    # Lines of a component are near only if their lengths are.
+    nodes = roots.join(known.withColumnRenamed("line", "node"), "node").select("node", "root", F.floor(F.col("length") / max(edits, 1)).alias("step"), F.lit(None).cast("long").alias("owner"), F.col("length").alias("weight"))
+    blocks = kept(in_blocks(nodes, BLOCK, BLOCK_CHARS).withColumnRenamed("node", "line").join(known.select("line", "length"), "line"))
+    # Blocks are piled up to fill a worker's arrays; a pile holds whole blocks.
+    piles = max(1, (blocks.agg(F.sum("length")).first()[0] or 0) // PILE_CHARS)
+    shipped = blocks.drop("length").join(texts, "line").withColumn("pile", F.pmod("block", F.lit(piles)))
+
+    def later(table: pa.Table) -> pa.Table:
+        return _later(table, edits)
+
+    return shipped.groupBy("pile").applyInArrow(later, "line long")
+
+
 def staying_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int = EXACT_CHARS) -> DataFrame:
     """doc_id and ``stay``: number and hash of its lines that take part and stay."""
     if min_chars <= 2 * edits:
@@ -448,30 +567,34 @@ def staying_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
     place = F.struct(F.col("doc_id").alias("doc"), F.col("number").alias("number"))
     firsts = kept(_lines(docs, min_chars, exact_chars).groupBy("line").agg(F.min(place).alias("first"), F.first("length").alias("length")))
 
-    hot_pairs = HOT_PAIRS
-
-    def ties(table: pa.Table) -> pa.Table:
-        return _ties(table, edits, hot_pairs)
-
-    def hot_ties(table: pa.Table) -> pa.Table:
-        return _hot_ties(table, edits)
-
-    found = kept(_sent_keys(docs, buckets, edits, min_chars).groupBy("bucket").applyInArrow(ties, "a long, b long, hot long, line binary, parity binary, probe binary"))
-    hot = found.filter("hot is not null").select("hot", "line", "parity", "probe").groupBy("hot").applyInArrow(hot_ties, "a long, b long")
-    tied = components(found.filter("hot is null").select("a", "b").unionByName(hot))
-    known = gathered(tied.withColumnRenamed("node", "line").join(firsts, "line").select("line", "root", "length", F.col("first.doc").alias("first_doc"), F.col("first.number").alias("first_number")))
-    texts = _texts(docs, known, min_chars).dropDuplicates(["line"])
-    # Lines of a component are near only if their lengths are.
-    nodes = known.select(F.col("line").alias("node"), "root", F.floor(F.col("length") / max(edits, 1)).alias("step"), F.lit(None).cast("long").alias("owner"), F.col("length").alias("weight"))
-    wanted = kept(in_blocks(nodes, BLOCK, BLOCK_CHARS).withColumnRenamed("node", "line").join(known, "line"))
-    # Blocks are piled up to fill a worker's arrays; a pile holds whole blocks.
-    piles = max(1, (wanted.agg(F.sum("length")).first()[0] or 0) // PILE_CHARS)
-    shipped = wanted.join(texts, "line").withColumn("pile", F.pmod("block", F.lit(piles)))
-
-    def later(table: pa.Table) -> pa.Table:
-        return _later(table, edits)
-
-    near = shipped.groupBy("pile").applyInArrow(later, "line long").distinct()
+    limits = HOT_PAIRS, ALIKE, FEW
+
+    def tied(keys: DataFrame) -> DataFrame:
+        return kept(keys.groupBy("bucket").applyInArrow(lambda table: _ties(table, edits, *limits), "a long, b long, hot long"))
+
+    found = tied(_sent_keys(docs, buckets, edits, min_chars))
+    wanted = found.select(F.explode(F.array("a", "b")).alias("line")).filter("line is not null").distinct()
+    known = gathered(wanted.join(firsts, "line").select("line", "length", F.col("first.doc").alias("first_doc"), F.col("first.number").alias("first_number")))
+    texts = kept(_texts(docs, known, min_chars).dropDuplicates(["line"]).join(known, "line"))
+    pairs, full = [found.filter("hot is null").select("a", "b")], found.filter("hot is not null").select("hot", F.col("a").alias("line"))
+    work = None
+    while True:
+        # Pairs that a key's lines could make, at most; dividing goes on while it halves them.
+        before, work = work, full.groupBy("hot").count().agg(F.sum(F.col("count").cast("double") ** 2)).first()[0] or 0.0
+        if not work or (before is not None and work > before / 2):
+            break
+        held = kept(full.join(texts, "line").select("hot", "line", "length", "line_text"))
+        size = held.agg(F.sum(F.octet_length("line_text"))).first()[0]
+        found = tied(_divided_keys(held, max(1, size // exchange.CHUNK_BYTES), edits))
+        pairs.append(found.filter("hot is null").select("a", "b"))
+        full = found.filter("hot is not null").select("hot", F.col("a").alias("line"))
+    place_of = F.struct("first_doc", "first_number")
+    of = lambda side: texts.select(F.col("line").alias(side), F.col("line_text").alias(f"{side}_text"), place_of.alias(f"{side}_at"))
+    both = reduce(DataFrame.unionByName, pairs).distinct().join(of("a"), "a").join(of("b"), "b").filter("a_at <> b_at")  # rows of one id may hold both at one place
+    near = _pairs_later(both.select("a", "b", "a_text", "b_text", (F.col("a_at") > F.col("b_at")).alias("a_is_later")), edits)
+    if work:
+        near = near.unionByName(_blocks_later(full, known, texts, edits))
+    near = near.distinct()
     stay = firsts.join(small(kept(near)), "line", "left_anti").select(F.col("first.doc").alias("doc_id"), F.struct(F.col("first.number").alias("number"), "line").alias("stay"))
     return stay.groupBy("doc_id").agg(F.sort_array(F.collect_list("stay")).alias("stay"))
 

@@ -263,6 +263,60 @@ def test_lines(spark, docs, empty, monkeypatch):
     assert collections.Counter(map(tuple, line_join.lines_digest(docs).collect())) == lines_left(rows)
 
 
+def template_lines(n, seed=31):
+    rng = random.Random(seed)
+    return [f"Product {rng.randrange(10**6):06d} in stock, price {rng.randrange(100):02d}.{rng.randrange(100):02d} EUR, add to cart" for _ in range(n)]
+
+
+def test_template_lines(spark, monkeypatch):
+    """Lines of one template: the same rows as brute force, however often their keys are divided."""
+    lines = template_lines(110)
+    rng = random.Random(32)
+    lines += [x[:9] + rng.choice("0123456789") + x[10:30] + rng.choice(["", "x"]) + x[30:] for x in lines[:60]]
+    rng.shuffle(lines)
+    rows = [(i, x) for i, x in enumerate(lines)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    calls = []
+    whole = line_join._divided_keys
+    monkeypatch.setattr(line_join, "_divided_keys", lambda *a: calls.append(1) or whole(*a))
+    want = lines_left(rows)
+    for few, alike, hot, places in ((0, 1, 1 << 28, 128), (0, 0, 1, 7), (32, 1, 1 << 28, 128)):
+        monkeypatch.setattr(line_join, "FEW", few)
+        monkeypatch.setattr(line_join, "ALIKE", alike)
+        monkeypatch.setattr(line_join, "HOT_PAIRS", hot)
+        monkeypatch.setattr(line_join, "PLACES", places)
+        assert collections.Counter(map(tuple, line_join.lines_digest(docs).collect())) == want
+    assert calls
+
+
+def test_even_cuts():
+    """Segments share the places that differ, and none is empty."""
+    counts = np.zeros((12, 16), np.int64)
+    counts[:, 0] = 16
+    counts[[2, 5, 9]] = 1
+    cuts = line_join.even_cuts(counts, np.arange(13), 2)
+    assert [sum(a <= k < b for k in (2, 5, 9)) for a, b in zip(cuts, cuts[1:])] == [1, 1, 1]
+    counts[:] = 0
+    counts[:, 3] = 5
+    assert line_join.even_cuts(counts, np.arange(13), 2) in ([0, 4, 8, 12], [0, 5, 9, 12])
+    counts[11] = 1
+    assert line_join.even_cuts(counts, np.arange(13), 2) == [0, 10, 11, 12]
+    counts[0], counts[11] = 1, 0
+    counts[11, 3] = 5
+    assert line_join.even_cuts(counts, np.arange(13), 2) == [0, 1, 2, 12]
+
+
+def test_template_lines_ship_linearly(spark, monkeypatch):
+    """Pairs that are sent with their texts grow with the lines: fewer than two for each."""
+    sent = []
+    whole = line_join._pairs_later
+    monkeypatch.setattr(line_join, "_pairs_later", lambda pairs, edits: sent.append(pairs.count()) or whole(pairs, edits))
+    for n in (4000, 8000, 16_000):
+        docs = spark.createDataFrame(list(enumerate(template_lines(n))), "doc_id bigint, text string").repartition(4)
+        assert line_join.staying_lines(docs).count() > 0.98 * n
+    assert all(pairs < 2 * n for pairs, n in zip(sent, (4000, 8000, 16_000)))
+
+
 def test_line_parities(monkeypatch):
     """Lines within the edits have parities that differ no more than edits can make them, and
     lines of one key are paired alike, split by their parities or not."""
