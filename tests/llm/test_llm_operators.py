@@ -655,6 +655,42 @@ def test_secret_threshold_keeps_recall():
     assert model.precision == y[p >= model.threshold].mean()
 
 
+def test_secret_quarters():
+    """All windows of one secret, in whatever context, belong to one owner, and so to one quarter."""
+    rng = random.Random(41)
+    made = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/ABCDEFG") for _ in range(n))
+    for key in (made(20), made(90), made(200), "AKIA" + "Q7" * 8, "0123456789abcdef" * 3):
+        texts = [f"password = {key}", f"set {made(6)} api_key: '{key}' and {made(30)} more", f"x\nTOKEN={key}\n{made(15)} token={key}"]
+        if key.startswith(("AKIA", "0123")):
+            texts += [f"see {key} here", f"{made(13)} ({key})"]
+        owners = {f["owner"] for row in secret_cnn.findings(texts) for f in row if f["secret"]}
+        assert owners == {secret_cnn.name_of(key)}
+        assert not owners & {f["owner"] for row in secret_cnn.findings(texts) for f in row if not f["secret"]}
+    assert {f["owner"] for f in secret_cnn.findings(["some/path/name.txt-of-a-file-that-is-longer-than-one-window/of/forty"])[0]} == {secret_cnn.name_of("some/path/name.txt-of-a-file-that-is-longer-than-one-window/of/forty")}
+
+
+def test_secret_table_rates(spark):
+    """Labels weigh as they stand in the table, so scores add up to the number of secrets."""
+    y = np.arange(40) < 20
+    w = secret_cnn.table_rates(y, {True: 10, False: 390})
+    assert np.isclose(w.sum(), 40) and np.isclose(w[y].sum() / w.sum(), 10 / 400)
+    model = secret_cnn.CharNetwork()
+    rng = np.random.default_rng(3)
+    logit = np.concatenate([rng.normal(0.5, 1, 200), rng.normal(-0.5, 1, 200)])
+    model.logits = lambda x: logit
+    y = np.arange(400) < 200
+    w = secret_cnn.table_rates(y, {True: 100, False: 1900})
+    model.calibrate(np.zeros((400, 1)), y, w)
+    p = model.probability(np.zeros((400, 1)))
+    assert abs((w * p).sum() / w.sum() - 0.05) < 0.01
+    hit = p >= model.threshold
+    assert np.isclose(model.precision, w[hit & y].sum() / w[hit].sum()) and model.recall >= secret_cnn.RECALL
+    texts = [f"password = abcDEF{k:03d}xyz012 and plain/words/here/{k} again/other/words/{k}" for k in range(50)]
+    rows = secret_cnn.smallest(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), 5).collect()
+    want = collections.Counter(f["secret"] for row in secret_cnn.findings(texts) for f in row)
+    assert {k: sum(r["n"] for r in rows if r["secret"] == k) for k in (True, False)} == dict(want)
+
+
 def test_rare_secrets_are_sampled(spark, monkeypatch):
     """The bound is on labelled windows, not on documents, and the sample doesn't depend on partitions."""
     monkeypatch.setattr(secret_cnn, "SAMPLE", 40)
