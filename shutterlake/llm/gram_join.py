@@ -6,7 +6,9 @@
    shingle among the rarest n - ceil(t n) + 1 of each; these are the document's keys, and
    keys of one document go. Equal sets are one node from here on.
 3. Documents that share a key and whose sizes allow a link are tied into components
-   (a superset of the linked ones).
+   (a superset of the linked ones). A bucket of keys with more than KEY_BYTES, as one that
+   most documents share makes it, is dealt out: each part ties its own documents and passes
+   on, for each key, one document for each run of sizes, and these are tied to each other.
 4. Blocks of documents multiply their sparse incidence matrices row by row, accumulating the
    overlap of every pair; pairs below the bound that their sizes set are dropped. A task
    returns a spanning forest of its links. A first round takes each document with one that it
@@ -17,8 +19,8 @@
 
 Edge cases: a null text, or one without words, has an empty set, links with nothing and
 is its own component; fewer words than the shingle size are one shingle; rows of equal
-ids are rows of their own; a null id never is a component's id unless all are null; an
-empty table gives an empty result; further columns are carried over by ``join_components``.
+ids are rows of their own; a null id never is a component's id unless all are null, and rows
+without one are told apart by their texts; an empty table gives an empty result; further columns are carried over by ``join_components``.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ from shutterlake.llm.store import kept
 from shutterlake.llm.text_arrays import LOWER_ASCII, gram_hashes, hash_spans, mix, raw, words
 
 SHINGLE, PERCENT = 5, 75
-NULL_ID = -(2**63)
+#: Bytes of keys up to which one task ties a bucket's documents.
+KEY_BYTES = 16 << 20
 #: Documents and shingles of a block.
 BLOCK, BLOCK_SHINGLES = 200, 1_000_000
 #: Copies of one set from which on they are joined apart, by broadcast.
@@ -85,13 +88,13 @@ def _prefixes(grams: np.ndarray, at: np.ndarray, count: np.ndarray, percent: int
     return row[take], grams[order][take]
 
 
-_NODES = "kind int, bucket long, doc_id long, n long, node long, keys binary, nodes binary, sizes binary"
+_NODES = "kind int, bucket long, doc_id long, row long, n long, node long, keys binary, nodes binary, sizes binary"
 
 
 def _nodes_and_keys(table: pa.Table, answers: pa.Table, buckets: int, key_buckets: int, size: int, percent: int) -> pa.Table:
     """A row for each document (kind 0), and packed keys for each key bucket (kind 1)."""
     schema = pa.schema(
-        [("kind", pa.int32()), ("bucket", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("keys", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())]
+        [("kind", pa.int32()), ("bucket", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("keys", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())]
     )
     if not table.num_rows:
         return schema.empty_table()
@@ -99,7 +102,7 @@ def _nodes_and_keys(table: pa.Table, answers: pa.Table, buckets: int, key_bucket
     n = np.diff(at)
     node = set_hashes(grams, at)
     docs = pa.Table.from_arrays(
-        [pa.array(np.zeros(len(n), np.int32)), pa.nulls(len(n), pa.int64()), table["doc_id"].combine_chunks(), pa.array(n), pa.array(node.view(np.int64)), *[pa.nulls(len(n), pa.binary())] * 3],
+        [pa.array(np.zeros(len(n), np.int32)), pa.nulls(len(n), pa.int64()), table["doc_id"].combine_chunks(), table["row"].combine_chunks(), pa.array(n), pa.array(node.view(np.int64)), *[pa.nulls(len(n), pa.binary())] * 3],
         schema=schema,
     )
     row, key = _prefixes(grams, at, exchange.counts_of(grams, answers, buckets), percent)
@@ -112,26 +115,56 @@ def _nodes_and_keys(table: pa.Table, answers: pa.Table, buckets: int, key_bucket
     row, key, bucket = row[order], key[order], bucket[order].astype(np.int64)
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else []
     rows = [
-        (1, int(bucket[i]), None, None, None, key[i:j].tobytes(), node[row[i:j]].tobytes(), n[row[i:j]].astype("<u4").tobytes())
+        (1, int(bucket[i]), None, None, None, None, key[i:j].tobytes(), node[row[i:j]].tobytes(), n[row[i:j]].astype("<u4").tobytes())
         for i, j in zip(cuts, [*cuts[1:], len(bucket)])
     ]
     return pa.concat_tables([docs, exchange.rows_table(rows, schema)])
 
 
+_TIES = "a long, b long, bucket long, keys binary, nodes binary, sizes binary, tops binary"
+_TIE_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), *[(c, pa.binary()) for c in ("keys", "nodes", "sizes", "tops")]])
+
+
 def _ties(table: pa.Table, percent: int) -> pa.Table:
-    """Ties (a, b) of one key bucket: the nodes of a key, ordered by size, with the first
-    node of their run; runs end where the next size is too large for any link across."""
-    key = np.concatenate([np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()])
-    node = np.concatenate([np.frombuffer(x, np.int64) for x in table["nodes"].to_pylist()])
-    size = np.concatenate([np.frombuffer(x, "<u4") for x in table["sizes"].to_pylist()]).astype(np.int64)
+    """Ties (a, b) between nodes of one key, from one bucket or a part of it. ``sizes`` and ``tops``
+    are the smallest and largest size that a node stands for. A key's nodes are cut into runs where
+    the next size is too large for any link across; each is tied to the first of its run. If the
+    bucket is ``dealt``, a packed row names each run's first node with the sizes of the run."""
+    key, node, size, top = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("keys", np.uint64), ("nodes", np.int64), ("sizes", "<u4"), ("tops", "<u4")))
     order = np.lexsort((node, size, key))
-    key, node, size = key[order], node[order], size[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (100 * size[:-1] < percent * size[1:])
-    hub = node[np.flatnonzero(new)][np.cumsum(new) - 1]
+    key, node, size, top = key[order], node[order], size[order].astype(np.int64), top[order].astype(np.int64)
+    other = np.ones(len(key), bool)
+    other[1:] = key[1:] != key[:-1]
+    # The largest size so far, key by key.
+    base = np.cumsum(other) << 32
+    reach = np.maximum.accumulate(base + top) - base
+    new = other.copy()
+    new[1:] |= 100 * reach[:-1] < percent * size[1:]
+    first = np.flatnonzero(new)
+    hub = node[first][np.cumsum(new) - 1]
     pairs = np.unique(np.stack([hub, node], axis=1)[hub != node], axis=0)
-    found = forest(pairs[:, 0], pairs[:, 1])
-    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+    rows = [(x, y, None, None, None, None, None) for x, y in forest(pairs[:, 0], pairs[:, 1])]
+    if table["dealt"][0].as_py():
+        last = np.append(first[1:], len(key)) - 1
+        rows.append((None, None, table["bucket"][0].as_py(), key[first].tobytes(), node[first].tobytes(), size[first].astype("<u4").tobytes(), reach[last].astype("<u4").tobytes()))
+    return exchange.rows_table(rows, _TIE_SCHEMA)
+
+
+def tied_pairs(keys: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b: ties between nodes of one key, from packed rows (bucket, keys, nodes, sizes)."""
+    held = keys.groupBy("bucket").agg(F.sum(F.octet_length("keys")).alias("held")).filter(F.col("held") > KEY_BYTES)
+    parts = small(kept(held.select("bucket", F.ceil(F.col("held") / KEY_BYTES).alias("parts"))))
+
+    def ties(table: pa.Table) -> pa.Table:
+        return _ties(table, percent)
+
+    dealt = keys.join(parts, "bucket", "left").select(
+        "bucket", F.coalesce(F.pmod(F.xxhash64("keys", "nodes"), "parts"), F.lit(0)).alias("part"), F.col("parts").isNotNull().alias("dealt"), "keys", "nodes", "sizes", F.col("sizes").alias("tops")
+    )
+    found = kept(dealt.groupBy("bucket", "part").applyInArrow(ties, _TIES))
+    runs = found.filter("a is null").select("bucket", F.lit(False).alias("dealt"), "keys", "nodes", "sizes", "tops")
+    between = runs.groupBy("bucket").applyInArrow(ties, _TIES)
+    return found.filter("a is not null").union(between).select("a", "b")
 
 
 def overlaps(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -174,8 +207,9 @@ def block_links(texts: pa.Array, nodes: np.ndarray, size: int, percent: int) ->
 
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of ``df``."""
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    chunked, chunks = exchange.in_chunks(docs, "text", "doc_id")
+    own_id = F.col(doc_id).cast("long")
+    docs = df.select(own_id.alias("doc_id"), F.coalesce(own_id, F.xxhash64(text)).alias("row"), F.col(text).alias("text"))
+    chunked, chunks = exchange.in_chunks(docs, "text", "doc_id", "row")
     buckets, key_buckets = exchange.buckets_for(chunks), max(1, chunks // 8)
 
     def tokens(table: pa.Table) -> np.ndarray:
@@ -186,27 +220,24 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     answers = exchange.shared_tokens(chunked, tokens, buckets)
     found = kept(chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(nodes_and_keys, _NODES))
-    members = found.filter("kind = 0").select("doc_id", "n", "node")
-
-    def ties(table: pa.Table) -> pa.Table:
-        return _ties(table, percent)
-
-    tied_pairs = gathered(found.filter("kind = 1").groupBy("bucket").applyInArrow(ties, "a long, b long").distinct())
-    tied = components(tied_pairs)
-    # One text of each node stands for all. Nodes whose ids are all null use the null id.
-    nodes = kept(members.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies")))
-    known = gathered(nodes.join(tied, "node").select("node", "doc_id", "n", "root"))
-    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    members = found.filter("kind = 0").select("doc_id", "row", "n", "node")
+    pairs = gathered(tied_pairs(found.filter("kind = 1").select("bucket", "keys", "nodes", "sizes"), percent).distinct())
+    tied = components(pairs)
+    # One text of each node stands for all.
+    nodes = kept(members.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.count("*").alias("copies")))
+    known = gathered(nodes.join(tied, "node").select("node", "row", "n", "root"))
+    # Equal rows without an id go once.
+    rows = docs.filter("doc_id is not null").union(docs.filter("doc_id is null").dropDuplicates(["row"])).select("row", "text")
 
     def links(table: pa.Table) -> pa.Table:
         return _links(table, size, percent)
 
     def linked(blocks: DataFrame) -> DataFrame:
-        wanted = kept(blocks.join(known, "node").select("block", "node", F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id")))
-        return rows.join(small(wanted), "_id").select("block", "node", "text").groupBy("block").applyInArrow(links, "a long, b long")
+        wanted = kept(blocks.join(known, "node").select("block", "node", "row"))
+        return rows.join(small(wanted), "row").select("block", "node", "text").groupBy("block").applyInArrow(links, "a long, b long")
 
     # First round: a document tied to more than one goes with the smallest of them.
-    hubs = kept(tied_pairs.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("hub")).join(known.select("node", "n"), "node"))
+    hubs = kept(pairs.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("hub")).join(known.select("node", "n"), "node"))
     parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     groups = hubs.join(hubs.groupBy("hub").agg(parts.alias("parts")), "hub")
     block = F.xxhash64("hub", "part").alias("block")
@@ -224,7 +255,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     left = owned.join(open_roots, "root").join(big, ["root", "owner"], "left")
     left = kept(left.select("node", "root", step.alias("step"), F.when(F.col("big"), F.col("owner")).alias("owner"), F.col("n").alias("weight")))
     found_links = linked(in_blocks(left, BLOCK, BLOCK_SHINGLES))
-    return _classes(members, nodes, kept(components(near.union(found_links))))
+    return _classes(members.drop("row"), nodes, kept(components(near.union(found_links))))
 
 
 def _classes(members: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:

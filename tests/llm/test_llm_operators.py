@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import functions as F
 
 from shutterlake.llm import entry, fair_mix, gram_join, line_join, matroska, pair_rank, piece_codec, quality_rules, recompress, secret_cnn, surrogate
@@ -550,6 +551,69 @@ def test_gram_join(spark, docs, empty, monkeypatch):
     assert collections.Counter(map(tuple, got)) == classes(rows)
     left = gram_join.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r[0] for r in left} == {c for (_, _, c) in classes(rows)}
+    # Every bucket of keys dealt out; rows without an id among the copies, some of them equal.
+    monkeypatch.setattr(gram_join, "KEY_BYTES", 64)
+    rows += [(None, t) for _, t in rows[:40]] + [(None, rows[3][1])] * 30 + [(None, None), (None, "")]
+    got = gram_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert collections.Counter(map(tuple, got)) == classes(rows)
+
+
+class Lists(AccumulatorParam):
+    def zero(self, value):
+        return []
+
+    def addInPlace(self, a, b):
+        return a + b
+
+
+def packed_keys(rng, rows, most, keys=3):
+    """Rows (bucket, keys, nodes, sizes) as chunks send them."""
+    out = []
+    for i in range(rows):
+        n = rng.randint(1, most)
+        key, size = [rng.randrange(keys) for _ in range(n)], [int(10 ** rng.uniform(0, 4)) for _ in range(n)]
+        node = [i * most + k for k in range(n)]
+        out.append((key[0] % 2, np.array(key, np.uint64).tobytes(), np.array(node, np.int64).tobytes(), np.array(size, "<u4").tobytes()))
+    return out
+
+
+def test_ties_of_dealt_buckets(spark, monkeypatch):
+    """A bucket that is dealt out ties the same nodes as one that isn't."""
+    rows = packed_keys(random.Random(5), 60, 4)
+    packed = spark.createDataFrame(rows, "bucket bigint, keys binary, nodes binary, sizes binary")
+    found = []
+    for limit in (1 << 20, 40):
+        monkeypatch.setattr(gram_join, "KEY_BYTES", limit)
+        top = {}
+
+        def find(x):
+            while top.setdefault(x, x) != x:
+                x = top[x]
+            return x
+
+        ties = gram_join.tied_pairs(packed).collect()
+        for a, b in ties:
+            top[max(find(a), find(b))] = min(find(a), find(b))
+        found.append({x: find(x) for x in list(top)})
+    assert found[0] == found[1] and len(set(found[0].values())) > 3
+
+
+def test_ties_of_one_key(spark, monkeypatch):
+    """A key that all documents share is tied in parts of bounded size, whose number grows."""
+    monkeypatch.setattr(gram_join, "KEY_BYTES", 2000)
+    for rows in (100, 200, 400):
+        packed = spark.createDataFrame([(0, np.full(50, 7, np.uint64).tobytes(), np.arange(i * 50, i * 50 + 50).tobytes(), np.full(50, 9, "<u4").tobytes()) for i in range(rows)], "bucket bigint, keys binary, nodes binary, sizes binary")
+        own, largest = gram_join._ties, spark.sparkContext.accumulator([], Lists())
+
+        def counted(table, percent):
+            largest.add([sum(len(x) // 8 for x in table["keys"].to_pylist())])
+            return own(table, percent)
+
+        monkeypatch.setattr(gram_join, "_ties", counted)
+        ties = gram_join.tied_pairs(packed).collect()
+        monkeypatch.setattr(gram_join, "_ties", own)
+        assert len(ties) == rows * 50 - 1
+        assert max(largest.value) <= 1500
 
 
 def test_quality_rules(docs, empty):
