@@ -843,7 +843,9 @@ def r6_journal(spark, sf):
 
 # ---- pixels
 
-PIX = "SELECT vec_id, transform(embedding, x -> CAST(least(greatest(floor((x + 1.0) * 127.5), 0), 255) AS INT)) AS p FROM embeddings"
+# In the type of the values, as DuckDB reads its decimal literals beside a FLOAT (Spark's would make it a DOUBLE); limits come before
+# the floor, where NaN is still the largest value.
+PIX = "SELECT vec_id, transform(embedding, x -> CAST(floor(least(greatest((x + CAST(1.0 AS FLOAT)) * CAST(127.5 AS FLOAT), CAST(0 AS FLOAT)), CAST(255 AS FLOAT))) AS INT)) AS p FROM embeddings"
 
 
 def _images(spark, sf):
