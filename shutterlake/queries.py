@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from shutterlake.functions import exif, geometry, paths, pixels, text, xmp
 from shutterlake.operators import benchmarks, journal, ratings, reconcile, stores, views
 from shutterlake.plans import prewarm
-from shutterlake.shared import new_folder
+from shutterlake.shared import new_folder, stored
 from shutterlake.sources import catalog as sources
 from shutterlake.sources import derived as d
 from shutterlake.sources import files
@@ -655,9 +655,10 @@ def p4_image_info_fields(spark, sf):
 def t1_order_catalog(spark, sf):
     """Each photo's place in the ordered catalogue, as the sorted partitions lie."""
     ordered = sources.order_catalog(cat(spark, sf).select("folder", "file_name"))
-    # Ids grow with the partition and the row in it; only rows of one partition are numbered together.
+    # Ids grow with the partition and the row in it; only rows of one partition are numbered together. They are stored, as
+    # Spark draws other ranges each time that it sorts.
     placed = ordered.withColumn("_id", F.monotonically_increasing_id())
-    placed = placed.withColumn("_part", F.shiftright("_id", 33))
+    placed = stored(placed.withColumn("_part", F.shiftright("_id", 33)))
     before = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
     return placed.join(F.broadcast(before), "_part").select("folder", "file_name", (F.col("_before") + F.col("_id") - F.shiftleft(F.col("_part"), 33)).alias("place"))
 

@@ -32,3 +32,20 @@ def test_pixel_limits(spark, edges, name):
     con.execute(f"create view embeddings as select * from '{edges}/embeddings.parquet'")
     want = con.execute(f"select {', '.join(frame.columns)} from ({SQL[name]}) q order by vec_id").fetchall()
     assert [tuple(r) for r in frame.orderBy("vec_id").collect()] == want
+
+
+def test_places_of_many_photos(spark, tmp_path):
+    """Far more photos than Spark draws to cut its ranges."""
+    pq.write_table(pa.table({"doc_id": range(60_000), "n_chars": range(60_000)}), f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    want = con.execute(f"select folder, file_name, place from ({SQL['t1_order_catalog']}) q order by place").fetchall()
+    off = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.exchange.reuse")
+    for name in off:  # either may hide that ranges were drawn twice
+        spark.conf.set(name, "false")
+    try:
+        got = QUERIES["t1_order_catalog"](spark, str(tmp_path)).collect()
+    finally:
+        for name in off:
+            spark.conf.unset(name)
+    assert sorted(map(tuple, got), key=lambda r: r[2]) == want
