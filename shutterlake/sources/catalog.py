@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shutterlake import schemas
-from shutterlake.functions.paths import file_name, is_raw_name, sidecar_owner
+from shutterlake.functions.paths import is_raw_name, sidecar_owner
 from shutterlake.functions.xmp import xmp_new_sidecar, xmp_parse_rating, xmp_update_rating
+from shutterlake.sources.files import contents, list_files
 
 
 def catalog_from_listing(listing: DataFrame) -> DataFrame:
@@ -21,15 +22,10 @@ def catalog_from_listing(listing: DataFrame) -> DataFrame:
 
 def scan_catalog(spark: SparkSession, root: str) -> DataFrame:
     """Photos below ``root`` from the file system: folder, file_name, path, size, mtime_ns.
-    Contents aren't read. File systems give microseconds, and skip names that begin with
-    ``_``; a listing table keeps both."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{[aA][rR][wW],[dD][nN][gG]}").option("recursiveFileLookup", "true").load(root)
-    path = F.col("path")
-    named = files.select(
-        F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("folder"), file_name(path).alias("file_name"), path,
-        F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"),
-    )
-    return named.filter(is_raw_name(F.col("file_name")))
+    Contents aren't read. Tasks list the folders; those whose names begin with ``.`` or ``_`` are
+    left out. Times are whole milliseconds; a listing table keeps more."""
+    found = list_files(spark, root).filter(is_raw_name(F.col("name")))
+    return found.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), F.col("name").alias("file_name"), "path", "size", "mtime_ns")
 
 
 def order_catalog(catalog: DataFrame) -> DataFrame:
@@ -43,9 +39,9 @@ def with_owner(catalog: DataFrame, folder_ignores_case: Column | None = None) ->
 def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
     """owner, sidecar_mtime_ns, rating of the sidecars below ``root``; what isn't UTF-8 or
     not well formed has no rating."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][mM][pP]").option("recursiveFileLookup", "true").load(root)
+    files = contents(list_files(spark, root).filter(F.col("name").rlike("[.][xX][mM][pP]$") & ~F.col("name").startswith(".")), root)
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    return files.select(F.col("path").alias("owner"), (F.unix_micros("modificationTime") * 1000).alias("sidecar_mtime_ns"), xmp_parse_rating(text).alias("rating"))
+    return files.select(F.col("path").alias("owner"), F.col("mtime_ns").alias("sidecar_mtime_ns"), xmp_parse_rating(text).alias("rating"))
 
 
 def sidecar_ratings(sidecars: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
-"""Many small files: written by tasks, found again through a manifest.
+"""Many small files: written by tasks, found again through a manifest or by listing.
 
 File systems are those of PyArrow (local and shared mounts, S3, GCS, HDFS), opened in the
-task that writes or reads; the driver neither lists nor opens files.
+task that writes, lists or reads; the driver neither lists nor opens files.
 """
 
 from __future__ import annotations
@@ -16,8 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.functions.xmp import xmp_parse_rating
+from shutterlake.shared import stored
 
 MANIFEST = "name string, file string, bytes bigint, sha256 string"
+LISTED = "path string, name string, is_file boolean, size bigint, mtime_ns bigint"
+#: Tasks that list the folders of one depth, and rows of a batch of what they find.
+LISTERS, LISTED_ROWS = 10_000, 10_000
 
 
 def opened(root: str) -> tuple[fs.FileSystem, str]:
@@ -25,6 +29,67 @@ def opened(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(root)
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """The root with its file system, as Spark names files: ``file:/photos`` for a local path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def placed(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a qualified root, and the path on it."""
+    if root.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + root[5:].lstrip("/")
+    store, base = opened(root.replace("s3a:", "s3:", 1) if root.startswith("s3a:") else root)
+    return store, base.rstrip("/")
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """path, name, size, mtime_ns (whole milliseconds) of every file below ``root``. Folders whose
+    names begin with ``.`` or ``_`` are left out. Tasks list the folders, one depth after the
+    other; the driver sees how many there are."""
+    top = qualified(spark, root)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = placed(top)
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                found = store.get_file_info(fs.FileSelector(base + folder[len(top) :]))
+                for i in range(0, len(found), LISTED_ROWS):
+                    part = found[i : i + LISTED_ROWS]
+                    columns = [f"{folder}/{f.base_name}" for f in part], [f.base_name for f in part], [f.is_file for f in part], [f.size for f in part], [None if f.mtime_ns is None else f.mtime_ns // 1_000_000 * 1_000_000 for f in part]
+                    kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["path", "name", "is_file", "size", "mtime_ns"])
+
+    depths, folders, n = [], spark.createDataFrame([(top,)], "path string"), 1
+    while n:
+        depths.append(stored(folders.repartition(min(n, LISTERS), "path").mapInArrow(listed, LISTED)))
+        folders = depths[-1].filter(~F.col("is_file") & ~F.col("name").rlike("^[._]")).select("path")
+        n = folders.count()
+    every = depths[0]
+    for depth in depths[1:]:
+        every = every.union(depth)
+    return every.filter("is_file").drop("is_file")
+
+
+def contents(files: DataFrame, root: str) -> DataFrame:
+    """``files`` (of ``list_files``) with the content of each; null if it is gone."""
+    top = qualified(files.sparkSession, root)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = placed(top)
+        for batch in batches:
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                try:
+                    with store.open_input_stream(base + path[len(top) :]) as found:
+                        content = found.read()
+                except FileNotFoundError:
+                    content = None
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([content], pa.binary())], names=[*batch.schema.names, "content"])
+
+    spread = files.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism), "path")
+    return spread.mapInArrow(read, "path string, name string, size bigint, mtime_ns bigint, content binary")
+
+
 def write_files(frame: DataFrame, root: str, extension: str) -> DataFrame:
     """Writes each row of ``name`` and ``content`` (binary) as a file below ``root`` and returns
     the manifest, which is stored under ``root``/manifest: name, file, bytes, sha256.

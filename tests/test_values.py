@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from shutterlake.queries import QUERIES, SQL
+from shutterlake.sources import catalog as sources
 
 PIXELS = ("a10_image_error_metrics", "a11_neighbor_delta_mae", "x1_levels", "x2_superpixels", "x3_calibrate", "x4_pack_rgba", "x5_rotate", "x6_downscale", "x7_validate_pixels", "x8_develop_crop")
 
@@ -49,3 +50,19 @@ def test_places_of_many_photos(spark, tmp_path):
         for name in off:
             spark.conf.unset(name)
     assert sorted(map(tuple, got), key=lambda r: r[2]) == want
+
+
+def test_listing_by_tasks(spark, tmp_path):
+    """The driver gets no row for a file: nothing of its size is sent to it. Names need no escape."""
+    for k in range(40):
+        (tmp_path / f"d {k}" / "a%20b").mkdir(parents=True)
+        for n in ("_x.ARW", "ü#1.dng", ".h.arw", "y.jpg"):
+            (tmp_path / f"d {k}" / "a%20b" / n).write_bytes(b"abc" * k)
+    (tmp_path / "_temporary").mkdir()
+    (tmp_path / "_temporary" / "z.arw").write_bytes(b"abc")
+    (tmp_path / "d 1" / "n.xmp").write_bytes(b"\xff")
+    out = sources.scan_catalog(spark, str(tmp_path))
+    assert sorted((r["path"], r["folder"], r["file_name"], r["size"]) for r in out.collect()) == sorted((f"file:{tmp_path}/d {k}/a%20b/{n}", f"file:{tmp_path}/d {k}/a%20b", n, 3 * k) for k in range(40) for n in ("_x.ARW", "ü#1.dng"))
+    assert not any(str(tmp_path) in f for f in out.inputFiles())  # no index of the photos on the driver
+    found = sources.read_sidecars(spark, str(tmp_path))
+    assert [(r["owner"], r["rating"]) for r in found.collect()] == [(f"file:{tmp_path}/d 1/n.xmp", None)]
