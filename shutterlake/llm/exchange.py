@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.text_arrays import arrow_session
+from shutterlake.llm.text_arrays import arrow_session, trim
 
 #: Text of a chunk, and of the chunks whose tokens one bucket could hold: a (chunk, bucket)
 #: row holds about CHUNK_BYTES * BUCKET_BYTES / input of them. Both grow with the executors.
@@ -80,18 +80,24 @@ def rows_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 def answer(table: pa.Table) -> pa.Table:
     """For one bucket: each chunk's tokens whose count over all chunks is 2 or more."""
-    sent = table.to_pylist()
-    rest = [joined(r["rest"]) for r in sent]
-    n = [joined(r["n"], 2) for r in sent]
-    found, inverse = np.unique(np.concatenate(rest), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate(n), len(found)).astype(np.int64)[inverse]
+    chunk, bucket = table["chunk"].to_pylist(), table["bucket"].to_pylist()
+    size = [len(x) // 5 for x in table["rest"].to_pylist()]
+    rest = np.concatenate([joined(x) for x in table["rest"].to_pylist()])
+    order = np.argsort(rest)
+    rest = rest[order]
+    first = np.flatnonzero(np.concatenate([rest[:1] == rest[:1], rest[1:] != rest[:-1]]))
+    del rest  # a bucket's tokens are held once or twice at a time, not eight times
+    n = np.concatenate([joined(x, 2).astype(np.uint16) for x in table["n"].to_pylist()])
+    sums = np.minimum(np.add.reduceat(n[order], first, dtype=np.int64), 65535).astype(np.uint16) if len(first) else n
+    n[order] = np.repeat(sums, np.diff(first, append=len(order)))
+    del order
     rows, at = [], 0
-    for r, own in zip(sent, rest):
-        count = total[at : at + len(own)]
-        at += len(own)
+    for c, b, k, sent in zip(chunk, bucket, size, table["rest"].to_pylist()):
+        count = n[at : at + k]
+        at += k
         shared = count > 1
         if shared.any():
-            rows.append((r["chunk"], r["bucket"], planes(own[shared]), planes(np.minimum(count[shared], 65535), 2)))
+            rows.append((c, b, planes(joined(sent)[shared]), planes(count[shared], 2)))
     return rows_table(rows, pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("rest", pa.binary()), ("n", pa.binary())]))
 
 
@@ -99,9 +105,16 @@ def shared_tokens(chunked: DataFrame, tokens, buckets: int) -> DataFrame:
     """Rows of ANSWER; ``tokens`` gives the token hashes of a chunk's table."""
 
     def emit(table: pa.Table) -> pa.Table:
-        return send(tokens(table), table["chunk"][0].as_py(), buckets)
+        sent = send(tokens(table), table["chunk"][0].as_py(), buckets)
+        trim()
+        return sent
 
-    return chunked.groupBy("chunk").applyInArrow(emit, SENT).groupBy("bucket").applyInArrow(answer, ANSWER)
+    def answers(table: pa.Table) -> pa.Table:
+        found = answer(table)
+        trim()
+        return found
+
+    return chunked.groupBy("chunk").applyInArrow(emit, SENT).groupBy("bucket").applyInArrow(answers, ANSWER)
 
 
 def counts_of(tokens: np.ndarray, answers: pa.Table, buckets: int) -> np.ndarray:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from shutterlake.llm import exchange
 from shutterlake.llm.components import components, forest, gathered, in_blocks, small
 from shutterlake.llm.store import kept
-from shutterlake.llm.text_arrays import LOWER_ASCII, gram_hashes, hash_spans, mix, raw, words
+from shutterlake.llm.text_arrays import LOWER_ASCII, gram_hashes, hash_spans, mix, raw, trim, words
 
 SHINGLE, PERCENT = 5, 75
 #: Bytes of keys up to which one task ties a bucket's documents.
@@ -216,7 +216,9 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         return shingle_sets(table["text"], size)[0]
 
     def nodes_and_keys(table: pa.Table, answers: pa.Table) -> pa.Table:
-        return _nodes_and_keys(table, answers, buckets, key_buckets, size, percent)
+        found = _nodes_and_keys(table, answers, buckets, key_buckets, size, percent)
+        trim()
+        return found
 
     answers = exchange.shared_tokens(chunked, tokens, buckets)
     found = kept(chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(nodes_and_keys, _NODES))
@@ -230,7 +232,9 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = docs.filter("doc_id is not null").union(docs.filter("doc_id is null").dropDuplicates(["row"])).select("row", "text")
 
     def links(table: pa.Table) -> pa.Table:
-        return _links(table, size, percent)
+        found = _links(table, size, percent)
+        trim()
+        return found
 
     def linked(blocks: DataFrame) -> DataFrame:
         wanted = kept(blocks.join(known, "node").select("block", "node", "row"))

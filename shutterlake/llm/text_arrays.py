@@ -66,6 +66,11 @@ def release() -> None:
     """Give memory that a task no longer needs back to the system: workers live on, and
     wait beside others for their next task."""
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """The same after each group of a task, without looking for cycles."""
     pa.default_memory_pool().release_unused()
     if hasattr(_LIBC, "malloc_trim"):
         _LIBC.malloc_trim(0)
