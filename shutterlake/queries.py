@@ -892,6 +892,11 @@ LIFT_SQL = f"SELECT vec_id, quad, k, {geometry.GAIN} * v / (1 + ({geometry.GAIN}
 GAMMA_SQL = f"SELECT vec_id, quad, k, CASE WHEN l <= 0.0031308 THEN 12.92 * l ELSE 1.055 * pow(l, 1 / CAST(2.4 AS DOUBLE)) - 0.055 END AS g FROM ({LIFT_SQL}) l"
 
 
+def _pattern():
+    """By the id's remainder, the last one without an id; negative ids have a remainder too."""
+    return F.element_at(F.array(*map(F.lit, pixels.QUADS)), F.coalesce(F.pmod("vec_id", F.lit(4)) + 1, F.lit(4)).cast("int"))
+
+
 def _scaled(spark, sf):
     four = lambda x: F.array(*[F.lit(float(x + i)) for i in range(4)])
     return _images(spark, sf).select("vec_id", pixels.normalize_cfa(F.col("m"), four(4096), four(4352)).alias("n"))
@@ -899,7 +904,7 @@ def _scaled(spark, sf):
 
 def _developed(spark, sf, upto):
     """RGB planes after quads are joined, and after calibration."""
-    pattern = F.element_at(F.array(*map(F.lit, pixels.QUADS)), (F.col("vec_id") % 4 + 1).cast("int"))
+    pattern = _pattern()
     rgb = _scaled(spark, sf).select("vec_id", pixels.superpixels(F.col("n"), pattern, F.array(*map(F.lit, (0, 0, 8, 8)))).alias("p"))
     if upto == "quads":
         return rgb
@@ -936,7 +941,7 @@ def x4_pack_rgba(spark, sf):
 def x2_x8_develop_browse(spark, sf):
     four = lambda x: F.array(*[F.lit(float(x)) for _ in range(4)])
     camera = F.array(*[F.lit(x) for x in (1.4, -0.3, -0.1, -0.2, 1.3, -0.1, 0.0, -0.4, 1.4)])
-    dev = pixels.develop_browse(F.col("m"), F.element_at(F.array(*map(F.lit, pixels.QUADS)), (F.col("vec_id") % 4 + 1).cast("int")), F.array(*map(F.lit, (1, 1, 6, 6))), four(4096), four(4351), four(1.5), camera)
+    dev = pixels.develop_browse(F.col("m"), _pattern(), F.array(*map(F.lit, (1, 1, 6, 6))), four(4096), four(4351), four(1.5), camera)
     return _images(spark, sf).select("vec_id", dev.alias("i")).select("vec_id", "i.width", "i.height", _bytes(F.col("i")).alias("rgba"))
 
 
@@ -950,7 +955,7 @@ CROP_RGB_SQL = f"SELECT vec_id, quad, CASE vec_id % 4 WHEN 0 THEN d WHEN 1 THEN
 def x8_develop_crop(spark, sf):
     """A cropped area from mosaic to opaque image in one step; levels and matrix are exact in binary."""
     four = lambda x: F.array(*[F.lit(float(x + i)) for i in range(4)])
-    pattern = F.element_at(F.array(*map(F.lit, pixels.QUADS)), (F.col("vec_id") % 4 + 1).cast("int"))
+    pattern = _pattern()
     area, gains, matrix = (F.array(*map(F.lit, x)) for x in ((1, 1, 6, 6), (2.0, 1.0, 1.5), (1.5, -0.25, -0.25, -0.5, 1.75, -0.25, 0.0, -0.5, 1.5)))
     made = _images(spark, sf).select("vec_id", pixels.develop_browse(F.col("m"), pattern, area, four(4096), four(4352), gains, matrix).alias("i"))
     return made.select("vec_id", "i.width", "i.height", _bytes(F.col("i")).alias("rgba"))

@@ -66,3 +66,25 @@ def test_listing_by_tasks(spark, tmp_path):
     assert not any(str(tmp_path) in f for f in out.inputFiles())  # no index of the photos on the driver
     found = sources.read_sidecars(spark, str(tmp_path))
     assert [(r["owner"], r["rating"]) for r in found.collect()] == [(f"file:{tmp_path}/d 1/n.xmp", None)]
+
+
+def compared(spark, folder, name, ids, values):
+    table = pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(values, pa.list_(pa.float32()))})
+    pq.write_table(table, f"{folder}/embeddings.parquet")
+    frame = QUERIES[name](spark, str(folder))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{folder}/embeddings.parquet'")
+    want = con.execute(f"select {', '.join(frame.columns)} from ({SQL[name]}) q").fetchall()
+    key = lambda r: (r[0] is None, r[0] or 0)
+    return sorted(map(tuple, frame.collect()), key=key), sorted(want, key=key)
+
+
+@pytest.mark.parametrize("name", ("x2_superpixels", "x3_calibrate", "x4_pack_rgba", "x8_develop_crop"))
+def test_pixels_of_odd_ids(spark, tmp_path, name):
+    """Without an id the SQL takes the last pattern; of negative ids it has a pattern where 4 divides them."""
+    got, want = compared(spark, tmp_path, name, [None, 7, -4, 2**40 + 1], np.random.default_rng(7).normal(0, 0.3, (4, 64)).tolist())
+    assert got == want
+    ids = [-1, -2, -3]
+    rows, _ = compared(spark, tmp_path, name, ids, np.random.default_rng(8).normal(0, 0.3, (3, 64)).tolist())
+    same, _ = compared(spark, tmp_path, name, [i + 4 for i in ids], np.random.default_rng(8).normal(0, 0.3, (3, 64)).tolist())
+    assert [r[1:] for r in rows] == [r[1:] for r in same]
