@@ -965,7 +965,7 @@ def x8_develop_crop(spark, sf):
 def x5_rotate(spark, sf):
     turned = pixels.rotate(F.col("a"), F.when(F.col("vec_id") % 2 == 0, "R180").otherwise("R90"))
     shown = F.transform(F.sequence(F.lit(1), F.lit(127), F.lit(2)), lambda k: F.conv(F.substring(F.hex(F.col("r.rgba")), k, F.lit(2)), 16, 10))
-    return _images(spark, sf).select("vec_id", turned.alias("r")).select("vec_id", F.array_join(shown, ",").alias("rgba"))
+    return _images(spark, sf).select("vec_id", turned.alias("r")).select("vec_id", F.when(F.col("r").isNotNull(), F.array_join(shown, ",")).alias("rgba"))
 
 
 @query(

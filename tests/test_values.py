@@ -88,3 +88,9 @@ def test_pixels_of_odd_ids(spark, tmp_path, name):
     rows, _ = compared(spark, tmp_path, name, ids, np.random.default_rng(8).normal(0, 0.3, (3, 64)).tolist())
     same, _ = compared(spark, tmp_path, name, [i + 4 for i in ids], np.random.default_rng(8).normal(0, 0.3, (3, 64)).tolist())
     assert [r[1:] for r in rows] == [r[1:] for r in same]
+
+
+def test_turned_null_image(spark, tmp_path):
+    values = [None, *np.random.default_rng(9).normal(0, 0.3, (2, 64)).tolist()]
+    got, want = compared(spark, tmp_path, "x5_rotate", [0, 1, 2], values)
+    assert got == want and got[0] == (0, None)
