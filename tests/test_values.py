@@ -94,3 +94,14 @@ def test_turned_null_image(spark, tmp_path):
     values = [None, *np.random.default_rng(9).normal(0, 0.3, (2, 64)).tolist()]
     got, want = compared(spark, tmp_path, "x5_rotate", [0, 1, 2], values)
     assert got == want and got[0] == (0, None)
+
+
+def test_shrunk_ties(spark, tmp_path):
+    """Values halfway between two, which the SQL rounds up."""
+    weights, rng = np.array([[111, 111, 29, -9], [-9, 29, 111, 111]]), np.random.default_rng(3)
+    image = rng.integers(0, 256, (60_000, 4, 4, 4))
+    tie = (np.einsum("ri,cj,nijk->nrck", weights, weights, image) % 58_564 == 29_282).any(axis=(1, 2, 3))
+    assert tie.sum() >= 10
+    values = ((image[tie].reshape(-1, 64) + 0.5) / 127.5 - 1).astype(np.float32)
+    got, want = compared(spark, tmp_path, "x6_downscale", range(len(values)), values.tolist())
+    assert got == want
