@@ -1042,3 +1042,32 @@ def test_windows_named_by_symbols():
         content = [word[i : i + size].tobytes() for i in at]
         assert len(set(zip(names.tolist(), content))) == len(set(names.tolist())) == len(set(content)) < len(at)
 
+
+
+def test_secret_network_takes_all_windows(spark, monkeypatch):
+    """Windows beyond the bounded start bear on the network, its threshold and what it is measured on."""
+    rng = random.Random(19)
+    text = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    rows = [(i, f"see {text(14, 'abcdefghij')} there" + (f' token = "{text(32, "0123456789abcdef")}"' if i % 3 == 0 else "")) for i in range(300)]
+    monkeypatch.setattr(secret_cnn, "SAMPLE", 40)
+    monkeypatch.setattr(secret_cnn, "AT_ONCE", 64)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = [f for row in secret_cnn.findings([r[1] for r in rows]) for f in row]
+    views = np.array([f["view"] for f in found], np.int16)
+    assert (secret_cnn.bare_of(views) == np.array([f["bare"] for f in found])).all()
+    told = {}
+    judge = secret_cnn.CharNetwork.judge
+    monkeypatch.setattr(secret_cnn.CharNetwork, "judge", lambda self, z, y, w=None, n=None: (told.setdefault("n", []).append(n), judge(self, z, y, w, n))[1])
+    models = [secret_cnn.train(frame.repartition(n)) for n in (1, 5)]
+    assert all((a == b).all() for a, b in zip(models[0].parts, models[1].parts)) and models[0].threshold == models[1].threshold
+    owners = {(f["secret"], tuple(f["view"])): f["owner"] % 4 for f in found}
+    assert [n.sum() for n in told["n"][:2]] == [3 * sum(o == turn for o in owners.values()) for turn in (2, 3)]
+    # One window more, whose digest isn't among the smallest, changes the network.
+    low = {secret: sorted(secret_cnn.digests(views[[f["secret"] == secret for f in found]]))[19] for secret in (True, False)}
+    for i in range(1000):
+        more = f"zzz {i} {text(16, 'klmnop')} end"
+        f = secret_cnn.findings([more])[0][0]
+        if f["owner"] % 4 < 2 and secret_cnn.digests(np.array([f["view"]], np.int16))[0] > low[f["secret"]]:
+            break
+    changed = secret_cnn.train(frame.union(spark.createDataFrame([(1000, more)], frame.schema)))
+    assert any((a != b).any() for a, b in zip(models[0].parts, changed.parts))
