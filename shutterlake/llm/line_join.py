@@ -76,8 +76,11 @@ def split_lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def code_points(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of UTF-8 bytes and the places of byte cuts among them."""
-    heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), heads[cuts]
+    if not len(data) or data.max() < 128:
+        return data.astype(np.uint32), np.asarray(cuts, np.int64)
+    heads = np.zeros(len(data) + 1, np.int32)
+    np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), heads[cuts].astype(np.int64)
 
 
 def segments(length: np.ndarray, k: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +91,7 @@ def segments(length: np.ndarray, k: int, edits: int) -> tuple[np.ndarray, np.nda
 
 
 _ODD = 0x9E3779B97F4A7C15
-_CODES = mix(np.arange(1, 1 << 14, dtype=np.uint64))
+_CODES = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 _POWERS: list[np.ndarray] = []
 
 
@@ -103,25 +106,33 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def running(chars: np.ndarray) -> np.ndarray:
     """Running sums of scrambled code points times powers: any substring's fingerprint is a
     difference of two of them times an inverse power."""
-    known = chars < len(_CODES)
-    value = _CODES[np.where(known, chars, 0)]
-    if not known.all():
+    if not len(chars) or chars.max() < len(_CODES):
+        value = _CODES[chars]
+    else:
+        known = chars < len(_CODES)
+        value = _CODES[np.where(known, chars, 0)]
         value[~known] = mix(chars[~known].astype(np.uint64) + np.uint64(1))
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * powers(len(chars) + 1)[0][:-1], dtype=np.uint64)])
+    value *= powers(len(chars) + 1)[0][:-1]
+    out = np.zeros(len(chars) + 1, np.uint64)
+    np.cumsum(value, out=out[1:])
+    return out
 
 
 def parities(chars: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Parities of each line's characters in 32 classes (low bits; letters of one alphabet
     have classes of their own) and of its pairs of neighbours in 32 classes (high bits)."""
-    one, low = np.uint64(1), np.uint64(31)
-    code = chars.astype(np.uint64)
-    single, double = (np.zeros(len(code) + 1, np.uint64) for _ in range(2))
-    np.bitwise_xor.accumulate(one << (code & low), out=single[1:])
-    if len(code) > 1:
-        np.bitwise_xor.accumulate(one << (mix(code[:-1] << np.uint64(32) | code[1:]) >> np.uint64(59)) + np.uint64(32), out=double[1:-1])
+    one, low = np.uint32(1), np.uint32(31)
+    single, double = (np.zeros(len(chars) + 1, np.uint32) for _ in range(2))
+    np.bitwise_xor.accumulate(one << (chars & low), out=single[1:])
+    if len(chars) > 1:
+        pair = chars[:-1] * np.uint32(0x9E3779B1) + chars[1:] * np.uint32(0x85EBCA77)
+        pair ^= pair >> np.uint32(15)
+        pair *= np.uint32(0x2C1B3C6D)
+        np.bitwise_xor.accumulate(one << (pair >> np.uint32(27)), out=double[1:-1])
     end = start + length
     # A line of n characters has n - 1 pairs, all between its ends.
-    return (single[end] ^ single[start]) | np.where(length > 1, double[np.maximum(end - 1, 0)] ^ double[start], np.uint64(0))
+    pairs = np.where(length > 1, double[np.maximum(end - 1, 0)] ^ double[start], np.uint32(0))
+    return (single[end] ^ single[start]).astype(np.uint64) | pairs.astype(np.uint64) << np.uint64(32)
 
 
 def alike(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
@@ -262,7 +273,8 @@ def lines_of(column: pa.Array, min_chars: int, exact_chars: int) -> Lines:
     data, at = raw(column)
     start, end, row, number = split_lines(data, at)
     chars, cuts = code_points(data, np.stack([start, end]))
-    in_words = np.concatenate([[0], np.cumsum((data != 32) & ((data < 9) | (data > 13)))])
+    in_words = np.zeros(len(data) + 1, np.int32)
+    np.cumsum((data != 32) & ((data < 9) | (data > 13)), out=in_words[1:])
     part = (cuts[1] - cuts[0] >= exact_chars) & (in_words[end] > in_words[start])
     run, first, length = running(chars), cuts[0][part], (cuts[1] - cuts[0])[part]
     line = line_hashes(run, first, length).view(np.int64)
