@@ -15,7 +15,7 @@ from shutterlake.llm.fair_mix import mix_sources
 from shutterlake.llm.gram_join import keep_first
 from shutterlake.llm.line_join import dedup_lines
 from shutterlake.llm.pair_rank import score_quality
-from shutterlake.llm.piece_codec import decode_pieces, encode_pieces
+from shutterlake.llm.piece_codec import code_pieces
 from shutterlake.llm.store import stored
 
 WORD = r"[^\x20\x09-\x0D]"
@@ -46,8 +46,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, decoded again as a check."""
-    coded = encode_pieces(docs, entry.piece_model(), keep=["doc_id", "text"])
-    back = decode_pieces(coded, entry.piece_model())
+    back = code_pieces(docs, entry.piece_model(), keep=["doc_id", "text"])
     same = F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False))
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("exact"))
 

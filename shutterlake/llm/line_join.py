@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from shutterlake.llm import exchange
 from shutterlake.llm.components import components, gathered, in_blocks, small
 from shutterlake.llm.store import kept, spare
-from shutterlake.llm.text_arrays import arrow_session, joined_spans, mix, raw, release, slices
+from shutterlake.llm.text_arrays import arrow_session, joined_spans, mix, raw, release, slices, trim
 
 EDITS, MIN_CHARS, EXACT_CHARS = 2, 20, 1
 #: Lines and code points of a block.
@@ -563,7 +563,9 @@ def _blocks_later(full: DataFrame, known: DataFrame, texts: DataFrame, edits: in
     shipped = blocks.drop("length").join(texts, "line").withColumn("pile", F.pmod("block", F.lit(piles)))
 
     def later(table: pa.Table) -> pa.Table:
-        return _later(table, edits)
+        found = _later(table, edits)
+        trim()
+        return found
 
     return shipped.groupBy("pile").applyInArrow(later, "line long")
 
@@ -581,8 +583,13 @@ def staying_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", edi
 
     limits = HOT_PAIRS, ALIKE, FEW
 
+    def ties(table: pa.Table) -> pa.Table:
+        found = _ties(table, edits, *limits)
+        trim()
+        return found
+
     def tied(keys: DataFrame) -> DataFrame:
-        return kept(keys.groupBy("bucket").applyInArrow(lambda table: _ties(table, edits, *limits), "a long, b long, hot long"))
+        return kept(keys.groupBy("bucket").applyInArrow(ties, "a long, b long, hot long"))
 
     found = tied(_sent_keys(docs, buckets, edits, min_chars))
     wanted = found.select(F.explode(F.array("a", "b")).alias("line")).filter("line is not null").distinct()

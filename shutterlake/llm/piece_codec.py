@@ -431,8 +431,24 @@ def decode_pieces(df: DataFrame, model_path: str, ids: str = "ids", out: str = "
     return map_slices(df, ids, [(out, T.StringType())], make, keep)
 
 
+def code_pieces(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", begin_end: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """Append ``ids`` as encode_pieces does, and ``decoded``, the text that these ids stand for. One Python
+    worker does both: in two steps each core holds two, and both keep a model as long as they live."""
+    shared = _shared(df, model_path)
+
+    def make():
+        model = _model(shared)
+
+        def code(column: pa.Array) -> list[pa.Array]:
+            packed = model.encode(column, begin_end)
+            return [packed, model.decode(packed)]
+
+        return code
+
+    return map_slices(df, text, [(ids, T.BinaryType()), (decoded, T.StringType())], make, keep)
+
+
 def token_digest(df: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
-    coded = encode_pieces(df.select("doc_id", "text"), model_path, keep=["doc_id"])
-    back = decode_pieces(coded, model_path)
+    back = code_pieces(df.select("doc_id", "text"), model_path, keep=["doc_id"])
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import sentencepiece
 
-from shutterlake.llm import entry, oracles, pair_rank
+from shutterlake.llm import entry, oracles, pair_rank, piece_codec
 from shutterlake.llm.store import stored
 
 from .test_llm_operators import ROWS, SCHEMA, WORD, classes, early_lines
@@ -53,6 +53,16 @@ def test_awkward_rows(spark):
             assert len(out) == len(ROWS)
 
 
+def test_pieces_in_one_worker(spark):
+    """Ids and their texts come from one Python worker of each task: workers live on, with their model."""
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    for coded in (dict(corpus_pipeline.STAGES)["pieces"](spark, docs, SF), piece_codec.token_digest(docs, entry.piece_model())):
+        assert coded._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    back = piece_codec.decode_pieces(piece_codec.encode_pieces(docs, entry.piece_model()), entry.piece_model())
+    both = piece_codec.code_pieces(docs, entry.piece_model())
+    assert both.columns == back.columns and both.exceptAll(back).count() == 0 == back.exceptAll(both).count()
+
+
 def test_empty(spark):
     docs = entry.documents(spark, SF).limit(0)
     for _, stage in corpus_pipeline.STAGES:
